@@ -142,7 +142,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
     return out.select(
         *[F.when(F.col("gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(left, "\n")).alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
         F.size("__lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
     )
 
 
