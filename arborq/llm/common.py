@@ -31,10 +31,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: str | None = None, compression: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", compression)
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

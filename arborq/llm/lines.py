@@ -45,7 +45,7 @@ class LineRuns:
         path = new_path(self.spark, "line-run")
         name = path.rpartition("/")[2].replace("-", "_")
         out = run.select("h1", "h2", "n_docs").repartition(self.buckets, "h1", "h2")
-        out.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        out.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).option("compression", "uncompressed").saveAsTable(name)
         return name, path
 
     def _drop(self, run: tuple[str, str]) -> None:
@@ -127,6 +127,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
         .select("row", "batch", "id", "mark", "pos", *_hashes(F.col("key"))),
         "line-keys",
         "batch",
+        "uncompressed",  # hashes don't compress, and a codec's buffers would lie outside the heap
     )
     index = LineRuns(spark, min_docs)
     for b in range(batches):
