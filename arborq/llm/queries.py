@@ -6,6 +6,7 @@ from arborq.llm.chat import OP1_SQL, op1_chat_format
 from arborq.llm.exact import OP6_SQL, op6_exact_dedup
 from arborq.llm.lines import OP10_SQL, op10_line_dedup
 from arborq.llm.media import op3_media_columns
+from arborq.llm.packing import op9_packing
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op3_media_columns": op3_media_columns, "op6_exact_dedup": op6_exact_dedup, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_chat_format": op1_chat_format, "op3_media_columns": op3_media_columns, "op6_exact_dedup": op6_exact_dedup, "op9_packing": op9_packing, "op10_line_dedup": op10_line_dedup}
 SQL = {"op1_chat_format": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op10_line_dedup": OP10_SQL}
