@@ -7,10 +7,11 @@ from arborq.llm.codec import op4_token_ids
 from arborq.llm.exact import OP6_SQL, op6_exact_dedup
 from arborq.llm.lang import op7_language_id
 from arborq.llm.lines import OP10_SQL, op10_line_dedup
+from arborq.llm.lm import op2_lm_scoring
 from arborq.llm.media import op3_media_columns
 from arborq.llm.mixing import op8_source_mixing
 from arborq.llm.near import op5_near_dedup
 from arborq.llm.packing import op9_packing
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op3_media_columns": op3_media_columns, "op4_token_ids": op4_token_ids, "op5_near_dedup": op5_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_language_id": op7_language_id, "op8_source_mixing": op8_source_mixing, "op9_packing": op9_packing, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_lm_scoring": op2_lm_scoring, "op3_media_columns": op3_media_columns, "op4_token_ids": op4_token_ids, "op5_near_dedup": op5_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_language_id": op7_language_id, "op8_source_mixing": op8_source_mixing, "op9_packing": op9_packing, "op10_line_dedup": op10_line_dedup}
 SQL = {"op1_chat_format": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op10_line_dedup": OP10_SQL}
