@@ -96,7 +96,7 @@ def completions(names: DataFrame, query: str, cutoff: float = 0.6) -> DataFrame:
     base = F.create_map(*[x for k, v in PRIORITY.items() for x in (F.lit(k), F.lit(v))])[F.col("source")]
     priority = base + F.when(F.col("source").isin("local", "module"), F.col("depth")).otherwise(0)
     found = names.where(prefix | (similar >= cutoff)).withColumns({"rank": completion_rank(label, query), "priority": priority})
-    order = ["rank", "priority", F.char_length("label"), "label"]
+    order = ["rank", "priority", F.char_length("label"), "label", "source", "depth"]
     # ranks over all matches: a global order, so all of a range lies in one partition and only counts go across
     return relational_rank(found, order)
 
