@@ -20,6 +20,7 @@ FANOUT = 3
 BATCHES = 4
 #: What is stripped at both ends of a line: blank and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
+RUN = "h1 long, h2 long, n_docs long"
 
 
 def line_key(line: Column) -> Column:
@@ -57,15 +58,14 @@ class LineRuns:
 
     def counts(self) -> DataFrame:
         """(h1, h2, n_docs) over all runs; a key has one row."""
-        runs = self.runs()
+        runs = [run for level in self.levels for run in level]
         if not runs:
-            return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long")
-        if len(runs) == 1:
-            return runs[0]
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
+            return self.spark.createDataFrame([], RUN)
+        return self.spark.table(runs[0][0]) if len(runs) == 1 else self._summed(runs)
+
+    def _summed(self, runs: list[tuple[str, str]]) -> DataFrame:
+        # one scan of all files: of a union of bucketed tables Spark 4.1 takes for granted that a key's rows meet, and they don't
+        return self.spark.read.schema(RUN).parquet(*[path for _, path in runs]).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
 
     def novel(self, keys: DataFrame) -> DataFrame:
         """Keys (h1, h2, ...) that no run holds: one merge anti join a run."""
@@ -88,10 +88,7 @@ class LineRuns:
 
     def _merge(self, level: int) -> None:
         old = self.levels[level]
-        out = self.spark.table(old[0][0])
-        for name, _ in old[1:]:
-            out = out.unionByName(self.spark.table(name))
-        merged = self._write(out.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs")))
+        merged = self._write(self._summed(old))
         self.levels[level] = []
         for run in old:
             self._drop(run)
@@ -134,16 +131,16 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
         once = keys.where(F.col("batch") == b).groupBy("row", "h1", "h2").agg(F.lit(1).alias("one"))
         index.add(once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs")))
     common = index.counts().where(F.col("n_docs") >= min_docs).select("h1", "h2")
-    gone = keys.join(common, ["h1", "h2"], "left_semi").groupBy("id", "mark").agg(F.collect_set("pos").alias("gone"))
+    gone = keys.join(common, ["h1", "h2"], "left_semi").groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark_of")).agg(F.collect_set("pos").alias("__gone"))
     lines = docs.withColumn("__mark", mark)
-    out = lines.join(gone, F.col(id_col).eqNullSafe(F.col("id")) & (F.col("__mark") == F.col("mark")), "left")
+    out = lines.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__mark_of")), "left")
     split = _lines(text_col)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("gone")), lambda i: F.get("__lines", i))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")), lambda i: F.get("__lines", i))
     out = out.withColumn("__lines", split)
     return out.select(
-        *[F.when(F.col("gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(left, "\n")).alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
+        *[F.when(F.col("__gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(left, "\n")).alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
         F.size("__lines").cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_dropped"),
     )
 
 
