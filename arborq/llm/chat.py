@@ -84,7 +84,7 @@ def materialise(formatted: DataFrame) -> DataFrame:
     e, f = examples(formatted).alias("e"), formatted.alias("f")
     pairs = e.join(f, F.col("e.conv_id").eqNullSafe(F.col("f.conv_id")) & (F.col("f.seq") <= F.col("e.target_seq")))
     parts = F.array_sort(F.collect_list(F.struct("f.seq", "f.segment")))
-    out = pairs.groupBy("e.conv_id", "target_seq", "loss_start", "loss_end").agg(parts.alias("parts"))
+    out = pairs.groupBy("e.conv_id", "target_seq", "e.loss_start", "e.loss_end").agg(parts.alias("parts"))
     return out.select("conv_id", "target_seq", F.array_join(F.col("parts.segment"), "").alias("example"), "loss_start", "loss_end")
 
 

@@ -27,7 +27,7 @@ from arborq.llm.common import slices, stored, table, texts_of
 from arborq.llm.tokens import default_vocabulary, encoder
 
 WINDOW = 4096
-#: In ids of padding.
+#: In ids of padding, for windows of WINDOW ids; for others in proportion, and so is the grid's STRIDE.
 SENTENCE_COST, WORD_COST = 32, 512
 STRIDE, BLOCK = 512, 1_000_000
 #: Sequence ids of tails start here; those of partition p at p << 32.
@@ -63,16 +63,16 @@ def cuts(places: np.ndarray, costs: np.ndarray, window: int = WINDOW) -> list[in
 
 def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(places, costs) of all places where a window may end, and 0."""
+    sentence, word, stride = (max(1, x * window // WINDOW) for x in (SENTENCE_COST, WORD_COST, STRIDE))
     soft = sentence_ends[~np.isin(sentence_ends, doc_ends, assume_unique=True)]
-    places, costs = np.concatenate([[0], doc_ends, soft]), np.concatenate([[0], np.zeros(len(doc_ends), np.int64), np.full(len(soft), SENTENCE_COST)])
+    places, costs = np.concatenate([[0], doc_ends, soft]), np.concatenate([[0], np.zeros(len(doc_ends), np.int64), np.full(len(soft), sentence)])
     order = np.argsort(places, kind="stable")
     places, costs = places[order], costs[order]
     gaps = np.diff(places)
-    stride = min(STRIDE, window)
     wide = np.flatnonzero(gaps > stride)
     if len(wide):
         grid = np.concatenate([np.arange(places[i] + stride, places[i + 1], stride) for i in wide])
-        places, costs = np.append(places, grid), np.append(costs, np.full(len(grid), WORD_COST))
+        places, costs = np.append(places, grid), np.append(costs, np.full(len(grid), word))
         order = np.argsort(places, kind="stable")
         places, costs = places[order], costs[order]
     return places.astype(np.int64), costs.astype(np.int64)
