@@ -27,10 +27,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines found in ten documents or more, and documents that have no other; n_chars follows the text."""
-    out = lines.drop_common_lines(docs)
-    out = out.where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
-    return out.select(*[F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Drops lines found in ten documents or more; n_chars follows the text. A document with no other line is a copy of others rather than a text with boilerplate: it stays as it is, for the next stage to keep one of such copies."""
+    names = docs.columns
+    out = lines.drop_common_lines(docs.withColumn("__whole", F.col("text")))
+    whole = F.col("n_dropped") == F.col("n_lines")
+    out = out.withColumn("text", F.when(whole, F.col("__whole")).otherwise(F.col("text")))
+    return out.select(*[F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in names])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
