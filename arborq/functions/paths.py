@@ -77,6 +77,6 @@ def uri_to_path(uri: str) -> str | None:
     return f"//{m[1]}{path}" if m[1] else path
 
 
-normalised = F.udf(_normalised, StringType())
-to_uri = F.udf(lambda p: None if p is None else path_to_uri(p), StringType())
-from_uri = F.udf(lambda u: None if u is None else uri_to_path(u), StringType())
+normalised = F.udf(_normalised, StringType(), useArrow=False)
+to_uri = F.udf(lambda p: None if p is None else path_to_uri(p), StringType(), useArrow=False)
+from_uri = F.udf(lambda u: None if u is None else uri_to_path(u), StringType(), useArrow=False)

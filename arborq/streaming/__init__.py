@@ -1 +1 @@
-
+"""Change feeds and state over streams."""
