@@ -34,7 +34,8 @@ def extension(path: Column) -> Column:
 def folders(path: Column, own: bool = False) -> Column:
     """All folders above a path, topmost first; with own, the path itself as the last."""
     parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts) - (0 if own else 1)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    counts = F.sequence(F.lit(1), F.size(parts))
+    return F.transform(counts if own else F.slice(counts, 1, F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
 
 
 def uri_scheme(uri: Column) -> Column:

@@ -23,7 +23,13 @@ def scan(spark: SparkSession, folder: str, max_julia_files: int | None = None, l
     UTF-8 has a null content, or is an error where not lenient. With a cap, TooManyFiles is raised before content is read.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    path = F.regexp_replace("path", "^file:/*", "/")
+    listed = spark.createDataFrame([(x,) for x in raw.inputFiles()], "path string")  # Spark's readers pass over empty files
+    path = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
+    empty = listed.select(path.alias("path"), F.lit(b"").alias("content"))
+    own = F.regexp_replace("path", "^file:/*", "/")
+    raw = raw.select(own.alias("path"), "content")
+    raw = raw.unionByName(empty.join(raw.select("path"), "path", "left_anti"))
+    path = F.col("path")
     skip = "/(" + "|".join(x.replace(".", "\\.") for x in SKIPPED) + ")/"
     rows = raw.withColumns({"path": path, "language_id": paths.language_of(path)}).where(F.col("language_id").isNotNull() & ~F.col("path").rlike(skip))
     if max_julia_files is not None:
