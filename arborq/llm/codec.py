@@ -31,72 +31,101 @@ from arborq.llm.tokens import default_vocabulary, encoder
 MAGIC = b"IDCM0001"
 BLOCK, LANES = 2048, 2048  #: ids of a block; blocks that go side by side
 FILE_IDS = BLOCK * LANES  #: a file is closed at the first document's end after so many
-SLOTS1, SLOTS2, SURE, REFRESH = 1024, 2048, 15, 32
+SLOTS1, SLOTS2, SURE, REFRESH = 512, 1024, 15, 32
 TOP, WORD = np.uint64(1 << 40), np.uint64(16)
 HEAD = struct.Struct("<8sIQIIQ")  # magic, block, ids, documents, ranks, words
 
 _x = np.arange(4096)
 STRETCH = np.clip(np.round(256 * np.log((_x + 0.5) / (4095.5 - _x))), -2047, 2047).astype(np.int32)
 SQUASH = np.clip(np.round(4096 / (1 + np.exp(-(_x - 2048) / 256))), 24, 4072).astype(np.int32)
+CLASSES = 17
 CLASS = np.floor(np.log2(np.arange(1, 65537))).astype(np.int32)
 
 
+#: What is added to a slot (its id over 4 bits of sureness) when it is wrong, then when it is right, by sureness.
+STEP = np.array([-((k + 1) >> 1) for k in range(SURE + 1)] + [1] * SURE + [0], np.int32)
+
+
 class Model:
-    """Of n blocks side by side."""
+    """Of n blocks side by side. In arrays with two rows the first is for order 2, the second for order 1; with three, the third is for order 0."""
 
     def __init__(self, n: int):
-        lanes = np.arange(n, dtype=np.int32)
-        self.at1, self.at2, self.at_s, self.at_c = lanes * SLOTS1, lanes * SLOTS2, lanes * (SURE + 1), lanes * 16
-        self.t1, self.t2 = np.zeros(n * SLOTS1, np.int32), np.zeros(n * SLOTS2, np.int32)
-        start = np.tile(np.minimum(400 + 220 * np.arange(SURE + 1), 3900), n).astype(np.int32)
-        self.p2, self.p1, self.p0 = start.copy(), start.copy() // 2, np.full(n, 800, np.int32)
-        self.w2, self.w1, self.w0 = (np.full(n, v, np.int32) for v in (32000, 16000, 12000))
-        self.prev1 = self.prev2 = np.zeros(n, np.int32)
-        self.counts = np.full((n, 16), 2, np.int32)
+        lanes = np.arange(n)
+        self.at = np.stack([lanes * SLOTS2, n * SLOTS2 + lanes * SLOTS1])
+        self.at_s = np.stack([lanes * (SURE + 1), (n + lanes) * (SURE + 1)])
+        self.at_c = lanes * CLASSES
+        self.slots = np.zeros(n * (SLOTS1 + SLOTS2), np.int32)
+        start = np.tile(np.minimum(400 + 220 * np.arange(SURE + 1), 3900), n)
+        self.chances = np.concatenate([start, start // 2]).astype(np.int32)
+        self.hits = np.full(n, 800, np.int32)
+        self.weights = np.repeat(np.array([[32000], [16000], [12000]], np.int32), n, 1)
+        self.prev1 = self.prev2 = np.zeros(n, np.int64)
+        self.counts = np.full((n, CLASSES), 2, np.int32)
         self.steps = 0
+        self._room()
         self.refresh()
 
+    def _room(self) -> None:
+        n = len(self.hits)
+        self.k, self.x = np.empty((2, n), np.int64), np.empty((3, n), np.int32)
+
     def refresh(self) -> None:
         """The classes' cumulative frequencies, in all 4096; each has 1 at least."""
+        np.clip(self.weights, -65000, 65000, out=self.weights)
         total = self.counts.sum(1, keepdims=True)
-        freq = 1 + self.counts * 4080 // total
+        freq = 1 + self.counts * (4096 - CLASSES) // total
         freq[:, 0] += 4096 - freq.sum(1)
-        self.cum = np.zeros((len(freq), 17), np.int32)
-        np.cumsum(freq, 1, out=self.cum[:, 1:])
+        self.cum = np.full((len(freq), 32), 4096, np.int32)
+        self.cum[:, 0] = 0
+        np.cumsum(freq, 1, out=self.cum[:, 1 : CLASSES + 1])
 
     def shrink(self, keep: int) -> None:
         """Later steps are for the first `keep` blocks only."""
-        for name in ("at1", "at2", "at_s", "at_c", "p0", "w2", "w1", "w0", "prev1", "prev2", "counts", "cum"):
+        for name in ("at", "at_s", "weights"):
+            setattr(self, name, np.ascontiguousarray(getattr(self, name)[:, :keep]))
+        for name in ("at_c", "hits", "prev1", "prev2", "counts", "cum"):
             setattr(self, name, getattr(self, name)[:keep])
+        self._room()
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """(candidate, chance of 4096 that it is right) for each block."""
-        self.k1 = self.at1 + ((self.prev1 * 40503 >> 6) & (SLOTS1 - 1))
-        self.k2 = self.at2 + (((self.prev1 * 40503 + self.prev2 * 10007) >> 5) & (SLOTS2 - 1))
-        self.s1, self.s2 = self.t1.take(self.k1), self.t2.take(self.k2)
-        self.c1, self.c2 = self.s1 >> 4, self.s2 >> 4
-        self.candidate = np.where(self.s2 & SURE, self.c2, self.c1)
-        self.j1, self.j2 = self.at_s + (self.s1 & SURE), self.at_s + (self.s2 & SURE)
-        self.q1, self.q2 = self.p1.take(self.j1), self.p2.take(self.j2)
-        self.x2, self.x1, self.x0 = STRETCH[self.q2], STRETCH[self.q1], STRETCH[self.p0]
-        dot = (self.w2 * self.x2 + self.w1 * self.x1 + self.w0 * self.x0) >> 16
-        self.chance = SQUASH.take(dot + 2048, mode="clip")
-        return self.candidate, self.chance
+        np.bitwise_and(self.prev1 * 40503 + self.prev2 * 10007 >> 5, SLOTS2 - 1, out=self.k[0])
+        np.bitwise_and(self.prev1, SLOTS1 - 1, out=self.k[1])
+        self.k += self.at
+        self.s = self.slots.take(self.k)
+        self.c, self.sure = self.s >> 4, self.s & SURE
+        self.j = self.at_s + self.sure
+        self.q = self.chances.take(self.j)
+        STRETCH.take(self.q, out=self.x[:2], mode="clip")
+        STRETCH.take(self.hits, out=self.x[2], mode="clip")
+        dot = np.multiply(self.weights, self.x)
+        sums = dot[0] + dot[1]
+        sums += dot[2]
+        sums >>= 16
+        sums += 2048
+        self.chance = SQUASH.take(sums, mode="clip")
+        return np.where(self.sure[0] > 0, self.c[0], self.c[1]), self.chance
 
     def update(self, rank: np.ndarray, hit: np.ndarray, missed: np.ndarray, classes: np.ndarray) -> None:
         """rank: what came; hit: whether that is the candidate; missed: the blocks where not, classes: of the ranks there."""
-        came = hit * np.int32(4096)
-        error = (came - self.chance) * 6
-        for w, x in ((self.w2, self.x2), (self.w1, self.x1), (self.w0, self.x0)):
-            w += x * error + 8192 >> 14
-            np.clip(w, -65000, 65000, out=w)
-        self.p0 += (came - self.p0) >> 6
-        np.clip(self.p0, 16, 4079, out=self.p0)
-        for t, k, s, c, p, j, q in ((self.t2, self.k2, self.s2, self.c2, self.p2, self.j2, self.q2), (self.t1, self.k1, self.s1, self.c1, self.p1, self.j1, self.q1)):
-            right = c == rank
-            p[j] = q + ((right * np.int32(4096) - q) >> 5)
-            sure = s & SURE
-            t[k] = np.where(right, s + (sure < SURE), np.where(sure > 1, s - (sure + 1 >> 1), (rank << 4) + 1))
+        came = np.multiply(hit, 4096, dtype=np.int32)
+        change = self.x * ((came - self.chance) * 6)
+        change += 8192
+        change >>= 14
+        self.weights += change
+        came -= self.hits
+        came >>= 6
+        self.hits += came
+        right = self.c == rank
+        to = np.multiply(right, 4096, dtype=np.int32)
+        to -= self.q
+        to >>= 5
+        to += self.q
+        self.chances[self.j] = to
+        step = STEP.take(np.add(self.sure, np.multiply(right, SURE + 1, dtype=np.int32)))
+        step += self.s
+        right |= self.sure > 1
+        self.slots[self.k] = np.where(right, step, (rank << 4) + 1)
         if len(missed):
             self.counts.reshape(-1)[self.at_c[missed] + classes] += 24
         self.steps += 1
@@ -105,7 +134,7 @@ class Model:
             if big.any():
                 self.counts[big] = (self.counts[big] + 1) >> 1
             self.refresh()
-        self.prev2, self.prev1 = self.prev1, rank
+        self.prev2, self.prev1 = self.prev1, rank.astype(np.int64)
 
 
 def _lanes(n: int, block: int) -> tuple[int, np.ndarray]:
@@ -117,6 +146,13 @@ def _lanes(n: int, block: int) -> tuple[int, np.ndarray]:
     return blocks, sizes
 
 
+def _groups(blocks: int) -> list[tuple[int, int]]:
+    """(first, after the last) of the blocks that go side by side: about LANES each, for a few alone would take as many steps."""
+    n = max(1, round(blocks / LANES))
+    edges = [blocks * i // n for i in range(n + 1)]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+
+
 def _encode_lanes(ranks: np.ndarray, sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """(words of all blocks one after another, words of each)."""
     n = len(sizes)
@@ -129,9 +165,9 @@ def _encode_lanes(ranks: np.ndarray, sizes: np.ndarray, block: int) -> tuple[np.
     at = np.arange(n, dtype=np.int64) * width
     low, span = np.zeros(n, np.uint64), np.full(n, (1 << 56) - 1, np.uint64)
     for step in range(int(sizes.max())):
-        if step == short and n > 1 and len(model.p0) == n:
+        if step == short and n > 1 and len(model.hits) == n:
             model.shrink(n - 1)
-        m = len(model.p0)
+        m = len(model.hits)
         rank = columns[step, :m]
         lo, sp = low[:m], span[:m]
         candidate, chance = model.predict()
@@ -142,7 +178,7 @@ def _encode_lanes(ranks: np.ndarray, sizes: np.ndarray, block: int) -> tuple[np.
         np.copyto(sp, bound)
         wanted = rank[missed]
         classes = CLASS.take(wanted)
-        c = classes + missed * 17
+        c = classes + missed * 32
         cum = model.cum.reshape(-1)
         unit = rest >> np.uint64(12)
         first = cum.take(c).astype(np.uint64)
@@ -189,9 +225,9 @@ def _decode_lanes(words: np.ndarray, used: np.ndarray, sizes: np.ndarray, block:
     columns = np.zeros((block, n), np.int32)
     span = np.full(n, (1 << 56) - 1, np.uint64)
     for step in range(int(sizes.max())):
-        if step == short and n > 1 and len(model.p0) == n:
+        if step == short and n > 1 and len(model.hits) == n:
             model.shrink(n - 1)
-        m = len(model.p0)
+        m = len(model.hits)
         co, sp = code[:m], span[:m]
         candidate, chance = model.predict()
         bound = (sp >> np.uint64(12)) * chance.astype(np.uint64)
@@ -201,25 +237,27 @@ def _decode_lanes(words: np.ndarray, used: np.ndarray, sizes: np.ndarray, block:
         edge = bound[missed]
         rest, left = sp[missed] - edge, co[missed] - edge
         np.copyto(sp, bound)
-        unit = rest >> np.uint64(12)
+        unit = np.maximum(rest >> np.uint64(12), np.uint64(1))
         target = np.minimum(left // unit, np.uint64(4095)).astype(np.int32)
-        rows = model.cum[missed]
-        classes = (rows[:, 1:] <= target[:, None]).sum(1, dtype=np.int32)
-        c = classes + missed * 17
         cum = model.cum.reshape(-1)
+        row = missed * 32
+        c = row.copy()
+        for step_of in (16, 8, 4, 2, 1):  # the last place with no more than target
+            c += step_of * (cum.take(c + step_of) <= target)
+        classes = (c - row).astype(np.int32)
         first = cum.take(c).astype(np.uint64)
         wide = classes.astype(np.uint64)
         part = (unit * (cum.take(c + 1).astype(np.uint64) - first)) >> wide
         left -= unit * first
-        place = left // part
-        rank[missed] = place.astype(np.int32) - 1 + (1 << classes)
+        place = left // np.maximum(part, np.uint64(1))
+        rank[missed] = np.minimum(place, np.uint64(65535)).astype(np.int32) - 1 + (1 << classes)
         co[missed] = left - place * part
         sp[missed] = part
         columns[step, :m] = rank
         model.update(rank, hit, missed, classes)
         small = np.flatnonzero(sp < TOP)
         while len(small):
-            a = at[small]
+            a = np.minimum(at[small], len(words) - 2)  # damaged blocks may run on
             fresh = ((words[a] & np.uint64(0xFF)) << np.uint64(8)) | (words[a + 1] >> np.uint64(8))
             co[small] = (co[small] << WORD) | fresh
             at[small] = a + 1
@@ -238,8 +276,8 @@ def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray,
     ranks = place.take(ids)
     blocks, sizes = _lanes(len(ids), block)
     words, used = [], []
-    for a in range(0, blocks, LANES):
-        w, u = _encode_lanes(ranks[a * block : (a + LANES) * block], sizes[a : a + LANES], block)
+    for a, b in _groups(blocks):
+        w, u = _encode_lanes(ranks[a * block : b * block], sizes[a:b], block)
         words.append(w)
         used.append(u)
     raw = memoryview(np.ascontiguousarray(ids, "<u2")).cast("B")
@@ -275,8 +313,7 @@ def decode_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     words = np.frombuffer(data, "<u2", n_words, at + 4)
     ids = np.empty(n, np.uint16)
     upto = np.append(0, np.cumsum(used.astype(np.int64)))
-    for a in range(0, blocks, LANES):
-        b = min(blocks, a + LANES)
+    for a, b in _groups(blocks):
         ranks = _decode_lanes(words[upto[a] : upto[b]], used[a:b].astype(np.int64), sizes[a:b], block)
         ids[a * block : a * block + len(ranks)] = order[np.minimum(ranks, seen - 1)]
     raw = memoryview(ids).cast("B")
