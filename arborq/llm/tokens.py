@@ -3,7 +3,7 @@
 The tokenizer lower-cases, and its pattern cuts a text into runs of letters, single digits, runs of other characters
 without white space, and an apostrophe with certain letters after it. For texts in Latin-1 this is done for a whole batch
 with numpy: runs of one class of characters (a lone apostrophe goes with the letters after it) are looked up by their
-bytes; those the table lacks go through the library and into the table. Other texts, and those with "<|" (which may begin
+bytes; those the table lacks go through the library (words of letters straight to its model) and into the table. Other texts, and those with "<|" (which may begin
 a special token) or a control character that Python and the tokenizer see differently, go through the library whole.
 """
 
@@ -18,7 +18,7 @@ import numpy as np
 from arborq.llm import bytewords
 
 #: log2 of the table's slots, and the words after which it starts anew.
-TABLE_BITS, TABLE_WORDS = 20, 600_000
+TABLE_BITS, TABLE_WORDS = 21, 1_200_000
 #: The id after each document.
 END_ID = 2
 _ODD = re.compile("[\x00\x1c-\x1f]")
@@ -26,6 +26,9 @@ _SPACE, _LETTER, _NUMBER, _OTHER, _END = range(5)
 _CLASSES = np.array([_SPACE if chr(b).isspace() else _LETTER if chr(b).isalpha() else _NUMBER if chr(b).isnumeric() else _OTHER for b in range(256)], np.uint8)
 _CLASSES[0x1F] = _END
 _APOSTROPHE = ord("'")
+#: Byte-level models take printable characters for bytes: those of Latin-1 that are, and 256 and on for the others in turn.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def default_vocabulary() -> str:
@@ -40,9 +43,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends_word = np.zeros(65536, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends_word[i] = token.endswith("</w>")
         self._reset()
 
     def _reset(self) -> None:
@@ -72,20 +72,14 @@ class Encoder:
         return len(self.starts) - 1
 
     def _encoded(self, words: list[str]) -> list[int]:
-        """Indexes of words, encoded many at once: each of letters alone gives ids of which only the last ends a word."""
-        out: list[int] = []
-        for at in range(0, len(words), 1024):
-            part = words[at : at + 1024]
-            ids = self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids
-            cuts = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(cuts) == len(part):
-                out += range(len(self.starts), len(self.starts) + len(part))
-                self.starts.extend((np.append(0, cuts[:-1]) + len(self.flat)).tolist())
-                self.lengths.extend(np.diff(cuts, prepend=0).tolist())
-                self.flat.extend(ids)
-            else:
-                out += [self._add(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in part]
-        return out
+        """Indexes of words of lower-case letters: what the pattern leaves whole goes to the library's model as it is, in its characters for bytes."""
+        first, model = len(self.starts), self.tokenizer.model
+        for w in words:
+            ids = [t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))]
+            self.starts.append(len(self.flat))
+            self.lengths.append(len(ids))
+            self.flat.extend(ids)
+        return list(range(first, len(self.starts)))
 
     def _learn(self, data: bytes, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, hashes: np.ndarray, missing: np.ndarray) -> None:
         _, first = np.unique(hashes[missing], return_index=True)  # of words that share a hash the others come in the next call
