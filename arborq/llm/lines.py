@@ -130,7 +130,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
     for b in range(batches):
         once = keys.where(F.col("batch") == b).groupBy("row", "h1", "h2").agg(F.lit(1).alias("one"))
         index.add(once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs")))
-    common = index.counts().where(F.col("n_docs") >= min_docs).select("h1", "h2")
+    # as a table of its own, so that a small one is broadcast by its size, and a hot key's rows can be dealt to many tasks
+    common = stored(index.counts().where(F.col("n_docs") >= min_docs).select("h1", "h2"), "common-lines", compression="uncompressed")
     gone = keys.join(common, ["h1", "h2"], "left_semi").groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark_of")).agg(F.collect_set("pos").alias("__gone"))
     lines = docs.withColumn("__mark", mark)
     out = lines.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__mark_of")), "left")
