@@ -56,8 +56,9 @@ def language_of(path: Column) -> Column:
 def _normalised(path: str | None) -> str | None:
     if path is None:
         return None
+    scheme, path = re.match(r"([A-Za-z][A-Za-z0-9+.-]*://)?(.*)", path, re.DOTALL).groups()
     out = posixpath.normpath(path) if path else ""
-    return out[1:] if out.startswith("//") else out
+    return (scheme or "") + (out[1:] if out.startswith("//") else out)
 
 
 def path_to_uri(path: str) -> str:

@@ -59,7 +59,7 @@ def parse_config(text: str | None) -> dict:
 
 
 def parsed(content: Column) -> Column:
-    return F.udf(parse_config, PARSED)(content)
+    return F.udf(parse_config, PARSED, useArrow=False)(content)
 
 
 def configs(files: DataFrame, name: str) -> DataFrame:

@@ -40,7 +40,7 @@ def _project(text: str | None) -> dict | None:
 
 def project_fields(content: Column) -> Column:
     """Name, uuid and version as a project file gives them; null if it isn't TOML."""
-    return F.udf(_project, "struct<name: string, uuid: string, version: string>")(content)
+    return F.udf(_project, "struct<name: string, uuid: string, version: string>", useArrow=False)(content)
 
 
 DEPS = "array<struct<name: string, kind: string, uuid: string, version: string, tree_sha: string, path: string>>"
@@ -71,7 +71,7 @@ def manifest_entries(text: str | None) -> list[dict] | None:
 
 
 def dependencies(content: Column) -> Column:
-    return F.udf(manifest_entries, DEPS)(content)
+    return F.udf(manifest_entries, DEPS, useArrow=False)(content)
 
 
 def classified(found: DataFrame, fields: Column) -> DataFrame:

@@ -59,4 +59,4 @@ def parse_versions(text: str | None) -> list[dict]:
 
 def registry(packages: DataFrame, versions: Column) -> DataFrame:
     """packages (name, uuid, ...) exploded to a row for each version in the text of its versions file."""
-    return packages.withColumn("v", F.explode(F.udf(parse_versions, VERSIONS)(versions))).select("name", "uuid", "v.*")
+    return packages.withColumn("v", F.explode(F.udf(parse_versions, VERSIONS, useArrow=False)(versions))).select("name", "uuid", "v.*")
