@@ -229,11 +229,11 @@ def mixed(docs: DataFrame, labels: DataFrame, factors: dict[str, float]) -> Data
     """
     names = docs.columns
     classifier = fit_classifier(labelled_domains(docs, labels), sorted(factors))
-    members = stored(posteriors(docs.withColumnsRenamed({c: f"__{c}" for c in names if c not in ("doc_id", "text")}), classifier), "members")
+    members = stored(posteriors(docs.withColumnsRenamed({c: f"own_{c}" for c in names if c not in ("doc_id", "text")}), classifier), "members")
     there = total_tokens(members, len(factors))
     out = fit_rates(members, there * np.array([factors[d] for d in classifier.domains]))
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     whole = F.round("rate")
     copies = F.when(F.abs(F.col("rate") - whole) <= SNAP, whole).otherwise(F.floor(F.col("rate") + chance)).cast("int")
     out = out.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.select(*[F.col(c if c in ("doc_id", "text") else f"__{c}").alias(c) for c in names])
+    return out.select(*[F.col(c if c in ("doc_id", "text") else f"own_{c}").alias(c) for c in names])
