@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborq.llm.common import ascii_lower, new_path, remove, stored, table
+from arborq.llm.common import ascii_lower, new_path, remove, small, stored, table
 
 #: Runs of a level that are merged into one of the next.
 FANOUT = 3
@@ -39,7 +39,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, settled: int, buckets: int | None = None, fanout: int = FANOUT):
         self.spark, self.settled, self.fanout = spark, settled, fanout
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)  # runs are far smaller than texts
         self.levels: list[list[tuple[str, str]]] = []
 
     def _write(self, run: DataFrame) -> tuple[str, str]:
@@ -131,7 +131,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
         once = keys.where(F.col("batch") == b).groupBy("row", "h1", "h2").agg(F.lit(1).alias("one"))
         index.add(once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs")))
     # as a table of its own, so that a small one is broadcast by its size, and a hot key's rows can be dealt to many tasks
-    common = stored(index.counts().where(F.col("n_docs") >= min_docs).select("h1", "h2"), "common-lines", compression="uncompressed")
+    common = small(index.counts().where(F.col("n_docs") >= min_docs).select("h1", "h2"), "common-lines")
     gone = keys.join(common, ["h1", "h2"], "left_semi").groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark_of")).agg(F.collect_set("pos").alias("__gone"))
     lines = docs.withColumn("__mark", mark)
     out = lines.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__mark_of")), "left")
