@@ -21,6 +21,9 @@ TABLES = {
     "includes": "ordinal int, target string, guarded boolean, testitem int, module array<string>, start int",
     "calls": "callee string, min_args int, max_args int, kws array<string>, start int, stop int",
     "tests": "kind string, label string, start int",
+    "scopes": "scope_id int, kind string, module array<string>, outward array<int>",
+    "bindings": "scope_id int, name string, kind string, start int",
+    "refs": "scope_id int, name string, start int, in_macro boolean",
     "findings": "rule_id string, message string, start int, stop int",
 }
 FACTS = "uri string, " + ", ".join(f"{t} array<struct<{', '.join(c.replace(' ', ': ', 1) for c in cols.split(', '))}>>" for t, cols in TABLES.items())

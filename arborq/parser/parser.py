@@ -5,9 +5,10 @@ What isn't understood is skipped to the end of its statement and leaves no fact;
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
-from arborq.parser.lexer import OPENERS, SyntaxProblem, Token, tokens
+from arborq.parser.lexer import KEYWORDS, OPENERS, SyntaxProblem, Token, tokens
 
 UNBOUNDED = 2**31 - 1
 #: Macros that open a scope with a test body.
@@ -25,6 +26,9 @@ class Facts:
     calls: list[tuple] = field(default_factory=list)  # (callee, min, max, kws, start, stop)
     tests: list[tuple] = field(default_factory=list)  # (kind, label or None, start)
     findings: list[tuple] = field(default_factory=list)  # (rule_id, message, start, stop)
+    scopes: list[tuple] = field(default_factory=list)  # (scope_id, kind, module path, scopes from itself out to its module)
+    bindings: list[tuple] = field(default_factory=list)  # (scope_id, name, kind, start)
+    refs: list[tuple] = field(default_factory=list)  # (scope_id, name, start, in_macro)
 
 
 def parse(text: str | None) -> Facts:
@@ -44,6 +48,11 @@ class _Parser:
         self.loops = self.functions = self.scopes = self.guards = 0
         self.test: int | None = None
         self.order = 0
+        self.scope: list[int] = []
+        self.named: list[bool] = []  # for each bracket around: whether `name = value` in it names an argument
+        self.bound: set[int] = set()  # where names stand that are bound, and so aren't uses
+        self.in_macro = False
+        self.open_scope("file")
 
     # tokens
     def peek(self, k: int = 0) -> Token | None:
@@ -61,6 +70,37 @@ class _Parser:
         self.order += 1
         return self.order
 
+    # scopes
+    def open_scope(self, kind: str) -> None:
+        i = len(self.f.scopes)
+        out = [i] if kind in ("module", "file") else [i, *self.f.scopes[self.scope[-1]][3]]
+        self.f.scopes.append((i, kind, list(self.path), out))
+        self.scope.append(i)
+
+    def bind(self, t: Token, kind: str) -> None:
+        if t.start not in self.bound:
+            self.bound.add(t.start)
+            self.f.bindings.append((self.scope[-1], t.text, kind, t.start))
+
+    def use(self, t: Token) -> None:
+        if t.start not in self.bound:
+            self.f.refs.append((self.scope[-1], t.text, t.start, self.in_macro))
+
+    def head_uses(self, head: list[Token], params: list[Token]) -> None:
+        """Of a method's head: arguments and type parameters are bound, other names but the method's own are used."""
+        for t in params:
+            self.bind(t, "argument")
+        where = False
+        first = next((k for k, t in enumerate(head) if t.kind == "open"), len(head))
+        for k, t in enumerate(head):
+            if t.text == "where":
+                where = True
+            elif t.kind == "name" and k > first and not (head[k - 1].text == "." and head[k - 1].stop == t.start):
+                if where and head[k - 1].text in ("where", "{", ","):
+                    self.bind(t, "typeparam")
+                else:
+                    self.use(t)
+
     # blocks
     def file(self, size: int) -> None:
         self.f.nodes.append((0, -1, "file", None, 0, size))
@@ -131,7 +171,9 @@ class _Parser:
         self.path.append(name)
         saved = self.functions, self.scopes, self.loops
         self.functions = self.scopes = self.loops = 0
+        self.open_scope("module")
         self.statements(("end",))
+        self.scope.pop()
         self.functions, self.scopes, self.loops = saved
         self.path.pop()
         self.close(i, self.end(opener))
@@ -182,6 +224,8 @@ class _Parser:
         for dots, path, names in clauses:
             if path or dots:
                 self.f.imports.append((self.next_order(), keyword.text, dots, path, names, list(self.path), keyword.start))
+                for name in names or path[-1:]:
+                    self.f.bindings.append((self.scope[-1], name, "import", keyword.start))
                 if dots - 1 > len(self.path):
                     self.f.findings.append(("relative_import", "more dots than there are modules around", keyword.start, keyword.stop))
         if keyword.text == "using" and not colon:
@@ -204,9 +248,16 @@ class _Parser:
         if self.top():
             self.f.items.append((self.next_order(), name, [], kind, list(self.path), None, None, [], False, first.start))
         self.functions += 1
+        self.open_scope("struct")
+        if self.is_("{"):
+            stop = matching(self.t, self.at)
+            for k in range(self.at, stop if stop is not None else self.at):
+                if self.t[k].kind == "name" and self.t[k - 1].text in ("{", ","):
+                    self.bind(self.t[k], "field")
         while self.peek() and self.peek().kind not in ("newline", "semicolon") and not self.is_("end"):
             self.simple()
         self.statements(("end",))
+        self.scope.pop()
         self.functions -= 1
         self.close(i, self.end(first))
 
@@ -232,7 +283,10 @@ class _Parser:
         self.duplicates(params)
         self.functions += 1
         saved, self.loops = self.loops, 0
+        self.open_scope("function")
+        self.head_uses(head, params)
         self.statements(("end",))
+        self.scope.pop()
         self.loops = saved
         self.functions -= 1
         self.close(i, self.end(opener))
@@ -257,8 +311,11 @@ class _Parser:
         """To the end of a statement; a declaration, if it is an assignment or a short function at the top."""
         first = self.at
         p = self.peek()
-        if p.kind == "name" and self.top() and declared != "local":
+        saved = self.in_macro
+        around = len(self.scope)
+        if p.kind == "name":
             self.declaration(declared)
+            self.targets(declared)
         depth = len(self.parents)
         while (p := self.peek()) is not None:
             if p.kind == "semicolon" or p.kind == "close":
@@ -272,6 +329,30 @@ class _Parser:
                 break
             self.simple()
         assert len(self.parents) == depth
+        del self.scope[around:]
+        self.in_macro = saved
+
+    def targets(self, declared: str | None) -> None:
+        """Names that the statement at hand assigns to, and what `local` and `global` name."""
+        k, own = self.at, []
+        while k < len(self.t) and self.t[k].kind == "name":
+            own.append(self.t[k])
+            k += 1
+            if k < len(self.t) and self.t[k].text == "::":
+                while k < len(self.t) and self.t[k].text != "=" and self.t[k].kind not in ("newline", "semicolon", "comma"):
+                    k += 1
+            if k < len(self.t) and self.t[k].kind == "comma":
+                k += 1
+                continue
+            break
+        if own and (declared or k < len(self.t) and self.t[k].text == "="):
+            kind = "global" if self.top() or declared == "global" else "local"
+            if self.f.scopes[self.scope[-1]][1] == "struct":
+                kind = "field"
+            for t in own:
+                self.bind(t, kind)
+        elif len(own) == 1 and self.f.scopes[self.scope[-1]][1] == "struct":
+            self.bind(own[0], "field")
 
     def declaration(self, declared: str | None) -> None:
         """Looks at a statement that begins with a name, without taking it."""
@@ -294,9 +375,18 @@ class _Parser:
                     stop = matching(self.t, stop + 1)
             if stop is not None and stop + 1 < len(self.t) and self.t[stop + 1].text == "=":
                 names, arity, params = signature(self.t[self.at : stop + 1])
-                if names:
-                    self.f.items.append((self.next_order(), names[-1], names[:-1], "function", list(self.path), *arity, start))
+                if names and self.f.scopes[self.scope[-1]][1] != "struct":
+                    if self.top():
+                        self.f.items.append((self.next_order(), names[-1], names[:-1], "function", list(self.path), *arity, start))
+                    elif len(names) == 1:
+                        self.bind(self.t[self.at], "local")
                     self.duplicates(params)
+                    self.bound.add(self.t[self.at].start)
+                    self.open_scope("function")
+                    self.head_uses(self.t[self.at : stop + 1], params)
+                    self.bound.update(t.start for t in self.t[self.at : stop + 1] if t.kind == "name")
+            return
+        if not self.top() or declared == "local":
             return
         if self.t[k].text == "::":
             while k < len(self.t) and self.t[k].text != "=" and self.t[k].kind not in ("newline", "semicolon"):
@@ -322,8 +412,18 @@ class _Parser:
             return None
         if p.kind == "op":
             self.operator()
+        prev = self.t[self.at - 1] if self.at else None
         self.take()
         nxt = self.peek()
+        if p.kind == "string":
+            for name in interpolated(p.text):
+                self.f.refs.append((self.scope[-1], name, p.start, self.in_macro))
+        elif p.kind == "name":
+            member = prev is not None and prev.stop == p.start and (prev.text == "." or prev.text == ":" and not (self.at > 2 and self.t[self.at - 3].stop == prev.start and self.t[self.at - 3].kind in ("name", "number", "close")))
+            if nxt and nxt.text == "->":
+                self.bind(p, "argument")
+            elif not member and not (self.named and self.named[-1] and nxt and nxt.text == "="):
+                self.use(p)
         if p.kind == "name" and nxt and nxt.kind == "open" and nxt.text == "(" and nxt.start == p.stop:
             self.call(p)
         return None
@@ -341,21 +441,30 @@ class _Parser:
         elif p.text == "||" and left and left.text in ("true", "false") and left.kind == "keyword" or p.text == "&&" and any(x.text in ("true", "false") and x.kind == "keyword" for x in sides):
             self.f.findings.append(("pointless_boolean", "a literal decides this", p.start, p.stop))
 
-    def brackets(self) -> None:
+    def brackets(self, call: bool = False) -> None:
         opener = self.take()
         first = self.at
+        stop = matching(self.t, self.at - 1)
+        if stop is not None and stop + 1 < len(self.t) and self.t[stop + 1].text == "->":
+            for k in range(first, stop):
+                if self.t[k].kind == "name" and self.t[k - 1].kind in ("open", "comma", "semicolon"):
+                    self.bind(self.t[k], "argument")
+        self.named.append(opener.text == "(")
         while (p := self.peek()) is not None and p.kind != "close":
             prev = self.t[self.at - 1]
             if p.kind == "keyword" and p.text == "end" and opener.text == "[":
                 self.take()  # an index
             elif p.kind == "keyword" and p.text in ("for", "if") and self.at > first and prev.kind not in ("comma", "semicolon", "newline", "open") and prev.text not in ("=", "=>", "->", "&&", "||", "?", ":"):
-                self.take()  # a generator
+                word = self.take()  # a generator
+                if word.text == "for":
+                    self.loop_names("generator")
             elif p.kind == "keyword" and p.text in ("end", "else", "elseif", "catch", "finally"):
                 raise SyntaxProblem(f"{opener.text} is not closed", opener.start, p.stop)
             else:
                 self.simple()
         if self.peek() is None:
             raise SyntaxProblem(f"{opener.text} is not closed", opener.start, self.t[-1].stop)
+        self.named.pop()
         closer = self.take()
         if {"(": ")", "[": "]", "{": "}"}[opener.text] != closer.text:
             raise SyntaxProblem(f"{opener.text} is closed by {closer.text}", opener.start, closer.stop)
@@ -381,6 +490,7 @@ class _Parser:
 
     def macro(self) -> None:
         t = self.take()
+        self.in_macro = True
         name = t.text.rpartition(".")[2]
         name = name if name.startswith("@") else "@" + name
         if name == "@show":
@@ -395,6 +505,8 @@ class _Parser:
                     self.f.findings.append(("testitem_errors", "a test item needs a name", t.start, t.stop))
             saved, self.test = self.test, len(self.f.nodes)
             self.scopes += 1
+            self.in_macro = False
+            self.open_scope("test")
             i = self.node(name[1:], label, t.start)
             while (p := self.peek()) is not None and p.kind not in ("newline", "semicolon", "close"):
                 if p.kind == "keyword" and p.text == "begin":
@@ -402,6 +514,7 @@ class _Parser:
                     break
                 self.simple()
             self.close(i, self.t[self.at - 1].stop)
+            self.scope.pop()
             self.scopes -= 1
             self.test = saved
 
@@ -415,7 +528,13 @@ class _Parser:
         loop, scope = kind in ("for", "while"), kind in ("let", "do", "for", "while", "try")
         guarded = 0
         conditions: list[tuple] = []
+        if scope:
+            self.open_scope(kind)
         if kind in ("if", "while", "for", "let", "do"):
+            if kind == "for":
+                self.loop_names("loop")
+            elif kind in ("do", "let"):
+                self.header_names(kind)
             self.condition(kind, conditions)
             guarded = kind == "if" and any(x in _GUARDS for x in conditions[-1])
         self.loops += loop
@@ -431,13 +550,53 @@ class _Parser:
                 if own in conditions[:-1] and "(" not in own and not any(x.startswith("@") for x in own):
                     self.f.findings.append(("duplicate_branch_condition", "an earlier branch has this condition", self.t[start].start, self.t[self.at - 1].stop))
             elif word.text == "catch" and self.peek() and self.peek().kind == "name":
-                self.take()
+                self.bind(self.take(), "caught")
             self.statements(("end", "else", "elseif", "catch", "finally"))
+        if scope:
+            self.scope.pop()
         self.guards -= guarded
         self.scopes -= scope
         self.loops -= loop
         self.close(i, self.end(opener))
 
+    def loop_names(self, kind: str) -> None:
+        """Binds the names before `in` of a loop's head, and of the further ones after commas."""
+        k, own, depth = self.at, [], 0
+        while k < len(self.t) and self.t[k].kind in ("name", "comma", "open", "close"):
+            depth += (self.t[k].kind == "open") - (self.t[k].kind == "close")
+            if depth < 0:
+                return
+            if self.t[k].kind == "name":
+                if self.t[k].text == "in":
+                    break
+                own.append(self.t[k])
+            k += 1
+        if k < len(self.t) and self.t[k].text in ("in", "=", "∈"):
+            for t in own:
+                self.bind(t, kind)
+            self.bound.add(self.t[k].start)
+        # for i in a, j in b
+        depth = 0
+        for j in range(k, len(self.t) - 2):
+            t = self.t[j]
+            if t.kind == "newline" or depth < 0:
+                break
+            depth += (t.kind == "open") - (t.kind == "close")
+            if depth == 0 and t.kind == "comma" and self.t[j + 1].kind == "name" and self.t[j + 2].text in ("in", "=", "∈"):
+                self.bind(self.t[j + 1], kind)
+                self.bound.add(self.t[j + 2].start)
+
+    def header_names(self, kind: str) -> None:
+        """Binds the arguments of `do` and the names that `let` sets."""
+        k, depth = self.at, 0
+        while k < len(self.t) and self.t[k].kind not in ("newline", "semicolon"):
+            t = self.t[k]
+            depth += (t.kind == "open") - (t.kind == "close")
+            after = self.t[k - 1].kind in ("comma", "open") or k == self.at
+            if t.kind == "name" and (kind == "do" and after or kind == "let" and after and depth == 0):
+                self.bind(t, "argument" if kind == "do" else "local")
+            k += 1
+
     def condition(self, kind: str, conditions: list[tuple]) -> None:
         start = self.at
         while (p := self.peek()) is not None:
@@ -462,6 +621,18 @@ class _Parser:
                 self.f.findings.append(("incorrect_iter_spec", "a loop over a number", text[2].start, text[2].stop))
 
 
+_INSIDE = re.compile(r"(?<!\\)\$(?:\(((?:[^()]|\([^()]*\))*)\)|([^\W\d]\w*!?))")
+_NAME = re.compile(r"(?<![\w.:@])[^\W\d]\w*!?(?!\s*=[^=])")
+
+
+def interpolated(text: str) -> list[str]:
+    """Names used inside a string's $name and $(...)."""
+    out: list[str] = []
+    for code, name in _INSIDE.findall(text):
+        out += [name] if name else [x for x in _NAME.findall(re.sub(r'"[^"]*"', "", code)) if x not in KEYWORDS]
+    return out
+
+
 def continues(t: Token) -> bool:
     return t.kind == "op" and t.text not in ("'", "...") and t.text != "!" or t.kind in ("comma", "open") or t.text in ("=", "->", "in")
 

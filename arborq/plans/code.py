@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborq.operators import analysis, lifecycle
+from arborq.operators import analysis, lifecycle, resolve
 from arborq.plans.registry import query, table
 
 _KIND = "p_partkey % 6"
@@ -83,3 +83,18 @@ def inventory_cutoff(spark: SparkSession, d: str) -> DataFrame:
     body = F.replace("content", F.lit("@show a"), F.lit("@show a, a"))
     new = old.join(large, "uri", "left").select("uri", F.when(F.col("hit"), F.replace(body, F.lit("struct S"), F.lit("struct T"))).otherwise(body).alias("content"))
     return lifecycle.changed(analysis.inventory_hash(analysis.facts(new)), analysis.inventory_hash(analysis.facts(old)), "uri", "hash").select("uri")
+
+
+@query(f"""
+SELECT uri, rule_id, count(*)::BIGINT AS n FROM (
+  SELECT {_URI} AS uri, CASE WHEN {_KIND} = 4 THEN 'unused_binding' ELSE 'unused_function_argument' END AS rule_id FROM part WHERE {_KIND} IN (0, 2, 4)) GROUP BY ALL""")
+def unused_names(spark: SparkSession, d: str) -> DataFrame:
+    """Arguments c and xs..., and the local v, that nothing uses."""
+    return resolve.unused(_facts(spark, d)).groupBy("uri", "rule_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+SELECT uri, name, count(*)::BIGINT AS n FROM (
+  SELECT {_URI} AS uri, unnest(['a', 'a', 'b']) AS name FROM part WHERE {_KIND} = 0 UNION ALL SELECT {_URI}, 'x' FROM part WHERE {_KIND} = 2 UNION ALL SELECT {_URI}, unnest(['i', 'i']) FROM part WHERE {_KIND} = 4) GROUP BY ALL""")
+def bound_uses(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.bound_uses(_facts(spark, d)).groupBy("uri", "name").agg(F.count("*").alias("n"))

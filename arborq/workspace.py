@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborq.functions import paths
-from arborq.operators import analysis, config, diagnostics, features, graph, lifecycle, projects, relational, rules, symbols
+from arborq.operators import analysis, config, diagnostics, features, graph, lifecycle, projects, relational, resolve, rules, symbols
 from arborq.operators.graph import shared_dir
 from arborq.sources import folders
 from arborq.streaming import changes
@@ -37,6 +37,8 @@ class Workspace:
         self.active_project: str | None = None
         self.pending = spark.createDataFrame([], "kind string, path string, package string, content_hash string")
         self.failed = spark.createDataFrame([], "kind string, path string, package string, content_hash string, message string")
+        #: (package, name): what installed packages and the language export; null: rules that need it are withheld.
+        self.environment: DataFrame | None = None
         self._facts: DataFrame | None = None
 
     @classmethod
@@ -206,7 +208,23 @@ class Workspace:
         found = self.lint_configs()
         errors = found.select(F.col("config").alias("uri"), F.lit("config_errors").alias("rule_id"), F.explode("errors").alias("message"), F.lit(0).alias("start"), F.lit(0).alias("stop"))
         shadow = config.shadowed(found).select(F.col("config").alias("uri"), F.lit("shadowed_config").alias("rule_id"), F.col("by").alias("message"), F.lit(0).alias("start"), F.lit(0).alias("stop"))
-        return own.unionByName(tests).unionByName(includes).unionByName(errors).unionByName(shadow)
+        out = own.unionByName(tests).unionByName(includes).unionByName(errors).unionByName(shadow)
+        for more in (resolve.unused(self.facts), resolve.redeclared(self.facts), resolve.unfit_calls(self.facts), *self._environment_findings()):
+            out = out.unionByName(more)
+        return out
+
+    def _environment_findings(self) -> list[DataFrame]:
+        """What needs the names that the environment has: nothing, until `environment` is set."""
+        if self.environment is None:
+            return []
+        spliced = analysis.module_files(self.include_records(), self.facts.select("uri"), self.roots())
+        packages = self.environment.select(F.col("package").alias("name")).distinct().unionByName(self.workspace_packages()).distinct()
+        return [resolve.missing_references(self.facts, spliced, analysis.declarations(self.facts, spliced), self.environment.select("name").distinct(), packages), resolve.unresolved_imports(self.facts, spliced, packages)]
+
+    def workspace_packages(self) -> DataFrame:
+        """(name) of the packages in the workspace."""
+        content = self.files.select(F.col("uri").alias("project"), "content")
+        return self.packages().join(content, "project").select(projects.project_fields(F.col("content")).getField("name").alias("name"))
 
     def diagnostics(self) -> DataFrame:
         """findings with severity, of regular files in scope; a configuration file is in its own scope."""
@@ -256,6 +274,23 @@ class Workspace:
     def hover(self, uri: str, *offsets: int) -> DataFrame:
         return features.hover(self.table("calls"), self.table("items"), self._points(uri, offsets))
 
+    def definitions(self, uri: str, *offsets: int) -> DataFrame:
+        return resolve.definitions(self.facts, self._points(uri, offsets))
+
+    def references(self, uri: str, *offsets: int) -> DataFrame:
+        return resolve.references(self.facts, self._points(uri, offsets))
+
+    def highlights(self, uri: str, *offsets: int) -> DataFrame:
+        return self.references(uri, *offsets).where(F.col("ref_uri") == uri)
+
+    def rename_edits(self, uri: str, offset: int, name: str) -> DataFrame:
+        """(uri, start, stop, text): uses and declarations of what stands at a place, given another name."""
+        old = F.char_length("name")
+        uses = self.references(uri, offset).select(F.col("ref_uri").alias("uri"), F.col("ref_start").alias("start"), (F.col("ref_start") + old).alias("stop"))
+        heads = self.definitions(uri, offset).join(self.table("bindings").select(F.col("uri").alias("target_uri"), F.col("start").alias("target_start")), ["target_uri", "target_start"], "left_semi")
+        heads = heads.select(F.col("target_uri").alias("uri"), F.col("target_start").alias("start"), (F.col("target_start") + old).alias("stop"))
+        return uses.unionByName(heads).distinct().withColumn("text", F.lit(name))
+
     def document_links(self, uri: str | None = None) -> DataFrame:
         own = self.files if uri is None else self.files.where(F.col("uri") == uri)
         return features.document_links(own, self.files)

@@ -45,7 +45,7 @@ def test_files(workspace):
 
 def test_diagnostics(workspace):
     got = {(r["uri"].rpartition("/")[2], r["rule_id"], r["severity"], r["message"]) for r in workspace.diagnostics().collect()}
-    assert {(u, r, s) for u, r, s, _ in got} == {("P.jl", "include_errors", "warning"), ("P.jl", "bare_using", "warning"), ("a.jl", "nothing_comparison", "warning")}
+    assert {(u, r, s) for u, r, s, _ in got} == {("P.jl", "include_errors", "warning"), ("P.jl", "bare_using", "warning"), ("a.jl", "nothing_comparison", "warning"), ("a.jl", "unused_function_argument", "warning")}
     assert {m.split()[0] for _, r, _, m in got if r == "include_errors"} == {"DuplicateInclude", "MissingFile"}
     counts = {r["uri"]: r["n"] for r in workspace.diagnostics_per_file().collect()}
     assert counts["file:///w/src/P.jl"] == 3 and counts["file:///w/gen/x.jl"] == 0 and len(counts) == len(CONTENT)
@@ -70,7 +70,7 @@ def test_features(workspace):
     assert [r["label"] for r in w.completions("f").orderBy("place").collect()][0] == "f"
     assert column(w.workspace_symbols("g"), "name") == {"g"}
     assert column(w.document_links(), "link") == {"a.jl"}
-    assert column(w.code_actions(), "action") == {"CompareNothingWithTripleEqual", "ExplicitPackageVarImport"}
+    assert column(w.code_actions(), "action") == {"CompareNothingWithTripleEqual", "ExplicitPackageVarImport", "DeleteUnusedFunctionArgumentName"}
     edits = {r["uri"]: (r["text"], r["error"]) for r in w.format_edits(lambda t: t.replace("h()", "h( )") if "f(x)" not in t else 1 / 0).collect()}
     assert edits["untitled:1"] == ("h( ) = 1\n", None) and edits[a][1].startswith("ZeroDivisionError")
 
