@@ -63,3 +63,14 @@ def test_include_findings(spark, name):
 def test_files_on_a_cycle_alone_have_no_root(spark):
     nodes, e = frames(spark, [("a", "b"), ("b", "a")], ["a", "b"])
     assert graph.roots(nodes, e).isEmpty() and graph.roots_of(nodes, e).isEmpty()
+
+
+def test_release_deletes_what_was_written(spark):
+    import os
+
+    nodes, e = frames(spark, [("a", "b")], ["a", "b"])
+    assert graph.reachable(nodes, e).count() == 2
+    paths = [p.removeprefix("file:") for p in graph._written]
+    assert paths and all(os.path.isdir(p) for p in paths)
+    graph.release(spark)
+    assert not graph._written and not any(os.path.isdir(p) for p in paths)
