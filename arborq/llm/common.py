@@ -32,9 +32,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Tables written so far and not yet released, in this Python process.
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that `stored` has written: for when all results that read them have been written themselves."""
+    while _written:
+        remove(spark, _written.pop())
+
+
 def stored(df: DataFrame, name: str, partition_by: str | None = None, compression: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    _written.append(path)
     writer = df.write.mode("overwrite").option("compression", compression)
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
