@@ -7,8 +7,12 @@ candidates; a banded alignment of their words decides: edit distance of at most
 
 Texts with the same words are one from the start. Within a bucket of equal sketches every text is compared with the
 bucket's first (a star), not with all others. Those that turn out different from it are bucketed again with one sketch
-more, and so on until no bucket holds two of them; a group of n copies costs about n comparisons, and many texts that
-share a passage only are parted sketch by sketch instead of being compared in all pairs.
+more, and so on until no bucket holds two of them; a group of n copies so costs about n comparisons.
+
+The stars only make large groups cheaply. After them every pair of a bucket that is still in two groups is looked at, so
+that no candidates are lost: a bound below the edit distance (words that one text has more often than the other, in BINS
+hashed counts) rules out most without their texts, block against block, and the alignment decides the rest. The bounds of
+n texts that share a passage and aren't near one another take n * n / 2 looks at BINS bytes each: that part is quadratic.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -26,6 +30,8 @@ from arborq.llm.bytewords import mix, word_hashes
 from arborq.llm.common import slices, small, stored, table, texts_of
 
 SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 32
+#: Hashed counts of a text's words; texts of a block, about; blocks of a bucket that one task meets all others with.
+BINS, BLOCK, STRIPE = 256, 512, 16
 _U = np.uint64
 
 
@@ -186,6 +192,76 @@ def _verified(similarity: float):
     return run
 
 
+def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        words, sizes = word_hashes(texts_of(batch))
+        at = np.repeat(np.arange(len(sizes)), sizes) * BINS + (mix(words) % _U(BINS)).astype(np.int64)
+        counts = np.minimum(np.bincount(at, minlength=len(sizes) * BINS), 255).astype(np.uint8).reshape(-1, BINS)  # cut off, the bound is only lower
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in counts], pa.binary())], names=["node", "profile"])
+
+
+def _bounds(similarity: float):
+    """Pairs of two blocks in different groups whose edit distance may be within the limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                (a, la, na, pa_), (b, lb, nb, pb) = ([np.array([x[k] for x in row[side]], np.int64) for k in ("node", "label", "n_words")] + [np.frombuffer(b"".join(x["profile"] for x in row[side]), np.uint8).reshape(-1, BINS)] for side in ("one", "other"))
+                sa, sb = pa_.sum(1, dtype=np.int64), pb.sum(1, dtype=np.int64)
+                out = []
+                for i in range(len(a)):
+                    limit = ((1 - similarity) * np.maximum(na[i], nb) + 1e-9).astype(np.int64)
+                    at = np.flatnonzero((la[i] != lb) & (np.abs(na[i] - nb) <= limit))
+                    bound = np.maximum(sa[i], sb[at]) - np.minimum(pa_[i], pb[at]).sum(1, dtype=np.int64)
+                    ok = bound <= limit[at]
+                    at, bound = at[ok], bound[ok]
+                    out.append(np.stack([np.maximum(a[i], b[at]), np.minimum(a[i], b[at]), bound]))
+                found = np.concatenate(out, 1) if out else np.zeros((3, 0), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "bound"])
+
+    return run
+
+
+def _closed(labels: DataFrame, members: DataFrame, texts: DataFrame, checked: DataFrame, similarity: float) -> DataFrame:
+    """labels (node, label) with groups joined that candidates link: after it all members (node, n_words, sketch) that agree in a sketch have one label or are known not to be near."""
+    entries = members.join(labels, "node").select("node", "label", "n_words", F.posexplode("sketch").alias("band", "key"))
+    mixed = entries.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("band", "key", "n")
+    entries = small(entries.join(mixed, ["band", "key"]), "mixed")
+    if entries.isEmpty():
+        return labels
+    # groups of a block or more have blocks of their own, so that none is compared with itself
+    parts = entries.groupBy("band", "key", "label").agg(F.count("*").alias("own"))
+    large = F.col("own") >= BLOCK
+    block = F.when(large, F.struct("label", F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK)).alias("part"))).otherwise(F.struct(F.lit(-1).cast("long").alias("label"), F.pmod(F.xxhash64("label"), F.ceil(F.col("n") / BLOCK)).alias("part")))
+    profiles = stored(texts.join(entries.select("node").distinct(), "node", "left_semi").mapInArrow(_profiled, "node long, profile binary"), "profiles")
+    dealt = entries.join(parts, ["band", "key", "label"]).join(profiles, "node").withColumn("block", block)
+    blocks = stored(dealt.groupBy("band", "key", "block").agg(F.collect_list(F.struct("node", "label", "n_words", "profile")).alias("of")), "blocks")
+    stripes = blocks.groupBy("band", "key").agg(F.ceil(F.count("*") / STRIPE).alias("stripes"))
+    striped = blocks.join(stripes, ["band", "key"])
+    one = striped.select("band", "key", F.pmod(F.xxhash64("block"), "stripes").alias("stripe"), F.col("block").alias("block_a"), F.col("of").alias("one"))
+    other = striped.select("band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1)).alias("stripe"), F.col("block").alias("block_b"), F.col("of").alias("other"))
+    alone = (F.col("block_a") == F.col("block_b")) & (F.col("block_a.label") >= 0)
+    met = one.join(other, ["band", "key", "stripe"]).where((F.col("block_a") <= F.col("block_b")) & ~alone).select("one", "other")
+    rest = small(met.mapInArrow(_bounds(similarity), "a long, b long, bound long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    least = 2  # pairs of two groups that are aligned at once: one that is near will do
+    while True:
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+        rest = rest.select("a", "b", "bound").join(of("a"), "a").join(of("b"), "b").where("label_a != label_b")
+        both = Window.partitionBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).orderBy("bound", "a", "b")
+        rest = small(rest.withColumn("nth", F.row_number().over(both)), "rest")
+        if rest.isEmpty():
+            return labels
+        a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        found = stored(rest.where(F.col("nth") <= least).select("a", "b").join(a, "a").join(b, "b").mapInArrow(_verified(similarity), "a long, b long, near boolean"), "checked", compression="uncompressed")
+        links = found.where("near").join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+        if not links.isEmpty():
+            merged = components(links).select(F.col("node").alias("label"), F.col("label").alias("into"))
+            labels = small(labels.join(merged, "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
+        rest = rest.where(F.col("nth") > least)
+        least *= 16
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links (a, b): label is the least node of its component. Labels spread along links and jump to their labels' labels; each round is stored."""
     both = small(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -210,8 +286,8 @@ def _sketch_table(rows: DataFrame, count: int) -> DataFrame:
 def _labels(rows: DataFrame, similarity: float, count: int) -> DataFrame:
     """(row, label) for each of rows (row, text, digest, n_words, sketch): rows near one another, directly or through others, have one label."""
     firsts = rows.where("n_words > 0").groupBy("digest").agg(F.min("row").alias("node"))
-    nodes = rows.select("row", "sketch").join(firsts.select("node"), F.col("row") == F.col("node"), "left_semi")
-    members = small(nodes.select(F.col("row").alias("node"), "sketch"), "members")
+    nodes = rows.select("row", "n_words", "sketch").join(firsts.select("node"), F.col("row") == F.col("node"), "left_semi")
+    members = small(nodes.select(F.col("row").alias("node"), "n_words", "sketch"), "members")
     open_ = members.select("node", F.posexplode("sketch").alias("band", "key"))
     texts = rows.select(F.col("row").alias("node"), "text")
     checked = rows.sparkSession.createDataFrame([], "a long, b long, near boolean")
@@ -226,13 +302,15 @@ def _labels(rows: DataFrame, similarity: float, count: int) -> DataFrame:
         fresh = stored(pairs.join(a, "a").join(b, "b").mapInArrow(_verified(similarity), "a long, b long, near boolean"), "checked", compression="uncompressed")
         checked = checked.unionByName(fresh) if depth else fresh
         failed = stars.join(checked.where("not near"), (F.col("node") == F.col("a")) & (F.col("hub") == F.col("b")), "left_semi").select("node", "band", "key")
-        failed = failed.join(members, "node")
+        failed = failed.join(members.select("node", "sketch"), "node")
         more = F.element_at("sketch", F.pmod(F.col("band") + depth + 1, F.lit(count)).cast("int") + 1)
         open_ = small(failed.select("node", "band", F.xxhash64("key", more).alias("key")), "open")
         if open_.groupBy("band", "key").count().where("count > 1").isEmpty():
             break
-    labels = components(checked.where("near").select("a", "b"))
-    nodes = firsts.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
+    linked = components(checked.where("near").select("a", "b"))
+    labels = small(members.select("node").join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    labels = _closed(labels, members, texts, checked, similarity)
+    nodes = firsts.join(labels, "node").select("digest", "label")
     wordless = rows.where("n_words = 0").groupBy("digest").agg(F.min("row").alias("label"))
     # as a table of its own, so that Spark can deal the rows of a digest with many copies to many tasks
     nodes = small(nodes.unionByName(wordless), "nodes")

@@ -86,6 +86,27 @@ def test_planted_groups(spark):
     assert sum(x["stays"] for x in got) == len(groups)
 
 
+def test_candidates_beyond_the_star_are_compared(spark):
+    """Groups by all pairs that agree in a sketch, each compared: a text near a group's rim but not near its first is of the group."""
+    r = random.Random(5)
+    base = words(r, 300, 10**6)
+    group = [changed(r, base, 24) for _ in range(40)]
+    texts = [" ".join(x) for x in [base, *group, *(changed(r, r.choice(group), 46) for _ in range(15))]]
+    passage = words(r, 80, 10**6)
+    texts += [" ".join(passage + words(r, 100, 10**6)) for _ in range(60)]
+    h, n = word_hashes(texts)
+    s, own = near.sketches(h, n), np.split(h, np.cumsum(n)[:-1])
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if (s[i] == s[j]).any()]
+    limits = [int(0.2 * max(n[i], n[j]) + 1e-9) for i, j in pairs]
+    label = list(range(len(texts)))
+    for (i, j), d, limit in zip(pairs, near.distances([(own[i], own[j]) for i, j in pairs], limits), limits, strict=True):
+        if d <= limit:
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    got = {x["doc_id"]: x["class_id"] for x in near.near_groups(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(label))
+
+
 def test_odd_texts(spark):
     texts = odd_texts()
     got = {x["doc_id"]: x["class_id"] for x in near.near_groups(documents(spark, texts)).collect()}
