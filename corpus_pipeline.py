@@ -27,11 +27,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines found in ten documents or more; n_chars follows the text. A document with no other line is a copy of others rather than a text with boilerplate: it stays as it is, for the next stage to keep one of such copies."""
+    """Drops lines found in ten documents or more; n_chars follows the text. A document with no other line but blank ones is a copy of others rather than a text with boilerplate: it stays as it is, for the next stage to keep one of such copies."""
     names = docs.columns
     own = docs.withColumnsRenamed({c: f"own_{c}" for c in names if c not in ("doc_id", "text")})
     out = lines.drop_common_lines(own.withColumn("__whole", F.col("text")))
-    whole = F.col("n_dropped") == F.col("n_lines")
+    # blank lines are never dropped: what is left of a copy is blank
+    whole = (F.col("n_dropped") > 0) & (F.btrim("text", F.lit(lines.BLANKS)) == "")
     out = out.withColumn("text", F.when(whole, F.col("__whole")).otherwise(F.col("text")))
     return out.select(*[F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c if c in ("doc_id", "text") else f"own_{c}").alias(c) for c in names])
 

@@ -101,3 +101,15 @@ def test_each_stage_takes_effect(spark, tmp_path):
     assert not any("A line that ten have" in t for t in kept["line_dedup"].values()) and kept["line_dedup"].keys() == kept["language_id"].keys()
     assert kept["line_dedup"].keys() - kept["near_dedup"].keys() == {100}
     assert not kept["mix"].keys() & toxic.keys() and len(kept["mix"].keys() & set(range(60))) >= 58
+
+
+def test_copies_with_blank_lines_stay_whole(spark):
+    """Copies of a text with blank lines between paragraphs or a final newline: the line stage leaves them, and one is kept."""
+    from tests.llm.helpers import DOCS
+
+    copy = "A first paragraph of words\n\nand a second one\n \t\nthen the last\n"
+    rows = [(i, copy, "en", "s", len(copy)) for i in range(12)] + [(20, "and a second one\n\nits own line\n", "en", "s", 1)]
+    out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, DOCS), "")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
+    assert all(got[i] == (copy, len(copy)) for i in range(12))
+    assert got[20][0] == "\nits own line\n"
