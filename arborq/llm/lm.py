@@ -7,9 +7,9 @@ given its neighbours on both sides.
 
 Ids are those of the tokenizer; the OUTPUTS - 1 most frequent of the corpus are told apart, the others share one and
 divide its probability evenly. Training is by stochastic gradients where the documents lie: in each of ROUNDS rounds every
-partition starts from the same parameters, goes through all its documents (every STRIDE-th place of the stream, another
-phase each round), and the results are averaged by their places, pairwise in a tree of tasks. Counts and training so
-cover every document, and what is sent grows with the number of partitions.
+partition starts from the same parameters, goes through all its documents (every STRIDE-th place of each, another phase
+each round), and the results are averaged by their places, pairwise in a tree of tasks. ROUNDS is a multiple of STRIDE, so
+that counts and training cover every place of every document; what is sent grows with the number of partitions.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from arborq.llm.tokens import default_vocabulary, encoder
 
 SIDE, HIDDEN, CLASSES, PER_CLASS = 2, 16, 64, 32
 OUTPUTS = CLASSES * PER_CLASS
-ROUNDS, STRIDE, BATCH, RATE = 2, 8, 8192, 0.15
+ROUNDS, STRIDE, BATCH, RATE = 2, 2, 8192, 0.15
 #: Results of training that one task of the tree averages.
 FAN_IN = 16
 
@@ -145,6 +145,12 @@ def streamed(documents: list[np.ndarray], rank: np.ndarray) -> tuple[np.ndarray,
     return out, at
 
 
+def in_round(documents: list[np.ndarray], turn: int, stride: int) -> np.ndarray:
+    """Of all ids one after another, which train in a round: told by the place in the document, so that no order of documents matters."""
+    sizes = np.array([len(x) for x in documents], np.int64)
+    return (np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)) % stride == turn % stride
+
+
 @dataclass
 class Scorer:
     rank: np.ndarray  #: of each token id, OUTPUTS - 1 for rare ones
@@ -208,8 +214,9 @@ def trained(tokens: DataFrame, rank: np.ndarray, rounds: int = ROUNDS, stride: i
             vector, rank = shared.value
             own, squares, weight = Network.of(vector), [np.full(x.shape, 1e-8, np.float32) for x in Network.of(vector).parts()], 0
             for batch in slices(batches, "ids"):
-                stream, at = streamed(_ids_of(batch), rank)
-                at = at[(weight + turn * (stride // 2)) % stride :: stride]
+                documents = _ids_of(batch)
+                stream, at = streamed(documents, rank)
+                at = at[in_round(documents, turn, stride)]
                 own.train(stream, at, squares)
                 weight += len(at)
             if weight:

@@ -105,6 +105,13 @@ def test_scores_of_no_and_of_odd_texts(spark):
     assert len(got) == len(odd_texts()) and all(x["log_prob"] <= 0 for x in got)
 
 
+def test_every_place_trains():
+    sizes = [1, 0, 2, 3, 7, 50]
+    documents_ = [np.zeros(n, np.uint16) for n in sizes]
+    times = sum(lm.in_round(documents_, turn, lm.STRIDE).astype(int) for turn in range(lm.ROUNDS))
+    assert len(times) == sum(sizes) and (times == lm.ROUNDS // lm.STRIDE).all() and times.min() > 0
+
+
 def test_every_id_counts_once(spark):
     tokens = lm.token_table(documents(spark, ["a b", "b", None]))
     rank, rare = lm.ranks(tokens)
