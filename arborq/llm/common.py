@@ -39,7 +39,9 @@ _written: list[str] = []
 def release(spark: SparkSession) -> None:
     """Deletes the tables that `stored` has written: for when all results that read them have been written themselves."""
     while _written:
-        remove(spark, _written.pop())
+        path = _written.pop()
+        spark.sql(f"DROP TABLE IF EXISTS {path.rpartition('/')[2].replace('-', '_')}")
+        remove(spark, path)
 
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None, compression: str = "zstd") -> DataFrame:
@@ -51,6 +53,16 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None, compressio
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], compression: str = "zstd") -> DataFrame:
+    """`stored` as a table bucketed and sorted by keys, in as many buckets as a shuffle has partitions: joins and sums by these keys move only what they are joined with."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    called = path.rpartition("/")[2].replace("-", "_")
+    _written.append(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).option("compression", compression).saveAsTable(called)
+    return spark.table(called)
+
+
 def small(df: DataFrame, name: str) -> DataFrame:
     """`stored`, for tables of a few numbers a document whose last step is cheap: in a quarter as many files as a shuffle has partitions, and without a codec, for they hold hashes and ids."""
     files = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)

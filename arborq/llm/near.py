@@ -4,32 +4,40 @@ A text is its lower-cased words (runs of ASCII letters and digits and of charact
 of SKETCHES hash functions picks the two least labelled k-mers and keeps them in the order of the text, so that a sketch
 agrees with a chance that falls with edit distance, not only with shared k-mers. Texts that agree in a sketch are
 candidates; a banded alignment of their words decides: edit distance of at most (1 - SIMILARITY) of the longer text.
-
-Texts with the same words are one from the start. Within a bucket of equal sketches every text is compared with the
-bucket's first (a star), not with all others. Those that turn out different from it are bucketed again with one sketch
-more, and so on until no bucket holds two of them; a group of n copies so costs about n comparisons.
-
-The stars only make large groups cheaply. After them every pair of a bucket that is still in two groups is looked at, so
-that no candidates are lost: a bound below the edit distance (words that one text has more often than the other, in BINS
-hashed counts) rules out most without their texts, block against block, and the alignment decides the rest. The bounds of
-n texts that share a passage and aren't near one another take n * n / 2 looks at BINS bytes each: that part is quadratic.
+Pairs at that very limit agree in one of the SKETCHES with a chance of about 0.9, nearer ones more surely.
+
+Texts with the same words are one from the start. Sketches are sent packed, to find the buckets of two texts or more; of a
+bucket with many texts in one batch only two are sent and the others passed on, so that no task gathers a hot bucket.
+Within a bucket a text is compared with the first of its star, not with all others; a group of n copies costs about n
+comparisons. Texts lie in a table bucketed by row: a comparison moves the texts of its two ends, never all of them.
+
+The stars only make large groups cheaper. After them every pair of a bucket that is still in two groups is looked at, so
+that no candidates are lost: lengths, then a bound below the edit distance (words that one text has more often than the
+other, in BINS hashed counts) rule out most without their texts, block against block, and the alignment decides the rest.
+The bounds of n texts of like lengths that share a passage and aren't near one another take n * n / 2 looks at BINS bytes
+each: that part is quadratic.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from arborq.llm.bytewords import mix, word_hashes
-from arborq.llm.common import slices, small, stored, table, texts_of
+from arborq.llm.common import bucketed, slices, small, stored, table, texts_of
 
-SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 32
+SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 64
+#: Words that are sketched at a time.
+PART_WORDS = 50_000
+#: Texts of a star, at most; texts of an Arrow batch in one bucket from which on they aren't sent to where the bucket is.
+STAR, HOT = 256, 64
 #: Hashed counts of a text's words; texts of a block, about; blocks of a bucket that one task meets all others with.
 BINS, BLOCK, STRIPE = 256, 512, 16
 _U = np.uint64
@@ -37,6 +45,17 @@ _U = np.uint64
 
 def sketches(words: np.ndarray, sizes: np.ndarray, shingle: int = SHINGLE, count: int = SKETCHES) -> np.ndarray:
     """(texts, count): Order MinHash values. A text of fewer words than a shingle is one k-mer; one without words gets zeros."""
+    out = np.zeros((len(sizes), count), np.uint64)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):  # as many texts at a time as a processor's cache holds
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PART_WORDS, "right")))
+        out[start:stop] = _sketches(words[ends[start] - sizes[start] : ends[stop - 1]], sizes[start:stop], shingle, count)
+        start = stop
+    return out
+
+
+def _sketches(words: np.ndarray, sizes: np.ndarray, shingle: int, count: int) -> np.ndarray:
     out = np.zeros((len(sizes), count), np.uint64)
     full = np.flatnonzero(sizes > 0)
     if not len(full):
@@ -60,21 +79,17 @@ def sketches(words: np.ndarray, sizes: np.ndarray, shingle: int = SHINGLE, count
     if same.any():  # occurrence labels
         run = np.append(0, np.cumsum(~same))
         begin = np.flatnonzero(np.append(True, ~same))
-        code[order] += (np.arange(len(order)) - begin[run]).astype(np.uint64) * _U(0xA24BAED4963EE407)
+        code[order] = mix(code[order] + (np.arange(len(order)) - begin[run]).astype(np.uint64) * _U(0xA24BAED4963EE407))
     low = _U((1 << 24) - 1)  # places fit 24 bits, or wrap: then order is told for part of a text of over 16 million words only
-    mask, where = ~low, place.astype(np.uint64) & low
-    full_places = first
-    for i in range(count):
-        v = code ^ _U(0x632BE59BD9B4E019 * (i + 1) & 0xFFFFFFFFFFFFFFFF)
-        v *= _U(0x9E3779B97F4A7C15)
-        v ^= v >> _U(32)
-        v *= _U(0xD6E8FEB86659FD93)
+    mask, where, v = ~low, place.astype(np.uint64) & low, np.empty(len(doc), np.uint64)
+    single = kmers == 1
+    for i, factor in enumerate(_factors(count)):
+        np.multiply(code, factor, out=v)  # codes are mixed: the upper bits of an odd multiple are a hash of their own
         v &= mask
         v |= where
         least = np.minimum.reduceat(v, first)
-        v[full_places + (least & low).astype(np.int64)] = _U(0xFFFFFFFFFFFFFFFF)
+        v[first + (least & low).astype(np.int64)] = _U(0xFFFFFFFFFFFFFFFF)
         second = np.minimum.reduceat(v, first)
-        single = kmers == 1
         second[single] = least[single]
         swap = (second & low) < (least & low)
         a, b = np.where(swap, second, least) >> _U(24), np.where(swap, least, second) >> _U(24)
@@ -82,6 +97,11 @@ def sketches(words: np.ndarray, sizes: np.ndarray, shingle: int = SHINGLE, count
     return out
 
 
+def _factors(count: int) -> np.ndarray:
+    """Odd numbers, a hash function each."""
+    return mix(np.arange(1, count + 1, dtype=np.uint64) * _U(0x632BE59BD9B4E019)) | _U(1)
+
+
 def distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]) -> list[int]:
     """Edit distance of each pair of word arrays, or its limit + 1 where it is more. Exact: an alignment in a band that is widened until it holds the best one."""
     out = [0] * len(pairs)
@@ -172,13 +192,80 @@ def _sketched(count: int):
             raw = memoryview(np.ascontiguousarray(words)).cast("B")
             # texts without words are equal only if they are identical
             digests = [hashlib.blake2b(raw[8 * a : 8 * b] if b > a else b"text" + t.encode(), digest_size=16).digest() for t, a, b in zip(texts, (ends - sizes).tolist(), ends.tolist(), strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, count, dtype=np.int32)), pa.array(values.reshape(-1).view(np.int64)))
-            own = [pa.array(digests, pa.binary()), pa.array(sizes), lists]
+            own = [pa.array(digests, pa.binary()), pa.array(sizes), pa.array([x.tobytes() for x in values], pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, "digest", "n_words", "sketch"])
 
     return run
 
 
+DEALT = "part int, passed boolean, keys binary, nodes binary, hubs binary"
+
+
+def _dealt(parts: int):
+    """Sketches of (row, sketch) as packed entries, a row for each part of the keys that a batch has. Of a bucket with many texts of the batch the first two go to the bucket's part; the others need not, and are passed on wherever there is room."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64)
+            nodes = np.repeat(batch.column("row").to_numpy(), len(values) // batch.num_rows)
+            order = np.lexsort((nodes, values))
+            values, nodes = values[order], nodes[order]
+            begin = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+            sizes = np.diff(np.append(begin, len(values)))
+            nth = np.arange(len(values)) - np.repeat(begin, sizes)
+            hot = (np.repeat(sizes, sizes) > HOT) & (nth > 1)
+            hubs = np.repeat(nodes[begin], sizes)
+            part = ((values >> _U(40)) % _U(parts)).astype(np.int64)
+            rows = []
+            for passed, which in ((False, np.flatnonzero(~hot)), (True, np.flatnonzero(hot))):
+                own = part[which] if not passed else np.arange(len(which)) // 4096 * 7919 % parts
+                which = which[np.argsort(own, kind="stable")]
+                own = np.sort(own)
+                for at in np.split(np.arange(len(which)), np.flatnonzero(own[1:] != own[:-1]) + 1):
+                    if len(at):
+                        w = which[at]
+                        rows.append((int(own[at[0]]), passed, values[w].tobytes(), nodes[w].tobytes(), hubs[w].tobytes() if passed else None))
+            types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["part", "passed", "keys", "nodes", "hubs"])
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries (key, node, hub) of the buckets with more texts than one. Rows come sorted by part. A star has STAR texts at most, whose hub is its first; the hub of stars' first texts is the bucket's first."""
+    part, held = -1, []
+
+    def entries(keys: np.ndarray, nodes: np.ndarray, hubs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(keys), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000].view(np.int64)) for x in (keys, nodes, hubs)], names=["key", "node", "hub"])
+
+    def close() -> Iterator[pa.RecordBatch]:
+        keys, nodes = (np.concatenate([np.frombuffer(x[k], t) for x in held]) for k, t in ((0, np.uint64), (1, np.int64)))
+        order = np.lexsort((nodes, keys))
+        keys, nodes = keys[order], nodes[order]
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sizes = np.diff(np.append(begin, len(keys)))
+        nth, first = np.arange(len(keys)) - np.repeat(begin, sizes), np.repeat(begin, sizes)
+        hubs = nodes[np.where(nth % STAR == 0, first, first + nth // STAR * STAR)]
+        many = np.repeat(sizes, sizes) > 1
+        yield from entries(keys[many], nodes[many], hubs[many])
+
+    for batch in batches:
+        for own, passed, keys, nodes, hubs in zip(*(batch.column(c).to_pylist() for c in ("part", "passed", "keys", "nodes", "hubs")), strict=True):
+            if passed:
+                yield from entries(np.frombuffer(keys, np.uint64), np.frombuffer(nodes, np.int64), np.frombuffer(hubs, np.int64))
+                continue
+            if own != part and held:
+                yield from close()
+                held = []
+            part = own
+            held.append((keys, nodes))
+    if held:
+        yield from close()
+
+
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in slices(batches, "text_a") for s in slices([b], "text_b")):
@@ -222,28 +309,26 @@ def _bounds(similarity: float):
     return run
 
 
-def _closed(labels: DataFrame, members: DataFrame, texts: DataFrame, checked: DataFrame, similarity: float) -> DataFrame:
-    """labels (node, label) with groups joined that candidates link: after it all members (node, n_words, sketch) that agree in a sketch have one label or are known not to be near."""
-    entries = members.join(labels, "node").select("node", "label", "n_words", F.posexplode("sketch").alias("band", "key"))
-    mixed = entries.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("band", "key", "n")
-    entries = small(entries.join(mixed, ["band", "key"]), "mixed")
-    if entries.isEmpty():
+def _compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b) with near, stored. texts: (node, text), bucketed by node: only the pairs and the texts of their ends are moved."""
+    a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return stored(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_verified(similarity), "a long, b long, near boolean"), "checked", compression="uncompressed")
+
+
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels with the groups joined that found (a, b, near) links."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    links = small(found.where("near").join(of("a"), "a").join(of("b"), "b").where("label_a != label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "links")
+    if links.isEmpty():
         return labels
-    # groups of a block or more have blocks of their own, so that none is compared with itself
-    parts = entries.groupBy("band", "key", "label").agg(F.count("*").alias("own"))
-    large = F.col("own") >= BLOCK
-    block = F.when(large, F.struct("label", F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK)).alias("part"))).otherwise(F.struct(F.lit(-1).cast("long").alias("label"), F.pmod(F.xxhash64("label"), F.ceil(F.col("n") / BLOCK)).alias("part")))
-    profiles = stored(texts.join(entries.select("node").distinct(), "node", "left_semi").mapInArrow(_profiled, "node long, profile binary"), "profiles")
-    dealt = entries.join(parts, ["band", "key", "label"]).join(profiles, "node").withColumn("block", block)
-    blocks = stored(dealt.groupBy("band", "key", "block").agg(F.collect_list(F.struct("node", "label", "n_words", "profile")).alias("of")), "blocks")
-    stripes = blocks.groupBy("band", "key").agg(F.ceil(F.count("*") / STRIPE).alias("stripes"))
-    striped = blocks.join(stripes, ["band", "key"])
-    one = striped.select("band", "key", F.pmod(F.xxhash64("block"), "stripes").alias("stripe"), F.col("block").alias("block_a"), F.col("of").alias("one"))
-    other = striped.select("band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1)).alias("stripe"), F.col("block").alias("block_b"), F.col("of").alias("other"))
-    alone = (F.col("block_a") == F.col("block_b")) & (F.col("block_a.label") >= 0)
-    met = one.join(other, ["band", "key", "stripe"]).where((F.col("block_a") <= F.col("block_b")) & ~alone).select("one", "other")
-    rest = small(met.mapInArrow(_bounds(similarity), "a long, b long, bound long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    least = 2  # pairs of two groups that are aligned at once: one that is near will do
+    into = components(links).select(F.col("node").alias("label"), F.col("label").alias("into"))
+    return small(labels.join(into, "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
+
+
+def _settled(labels: DataFrame, rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """labels with the groups joined that rest (a, b, bound) links. Of pairs between the same two groups those of least bound are compared first, for one that is near will do; in the end every pair is compared or within a group."""
+    least = 2
     while True:
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
         rest = rest.select("a", "b", "bound").join(of("a"), "a").join(of("b"), "b").where("label_a != label_b")
@@ -251,17 +336,46 @@ def _closed(labels: DataFrame, members: DataFrame, texts: DataFrame, checked: Da
         rest = small(rest.withColumn("nth", F.row_number().over(both)), "rest")
         if rest.isEmpty():
             return labels
-        a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        found = stored(rest.where(F.col("nth") <= least).select("a", "b").join(a, "a").join(b, "b").mapInArrow(_verified(similarity), "a long, b long, near boolean"), "checked", compression="uncompressed")
-        links = found.where("near").join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-        if not links.isEmpty():
-            merged = components(links).select(F.col("node").alias("label"), F.col("label").alias("into"))
-            labels = small(labels.join(merged, "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
+        labels = _merged(labels, _compared(rest.where(F.col("nth") <= least), texts, similarity))
         rest = rest.where(F.col("nth") > least)
         least *= 16
 
 
+def _closed(labels: DataFrame, entries: DataFrame, rows: DataFrame, checked: DataFrame, similarity: float) -> DataFrame:
+    """labels (node, label) with groups joined that candidates link: after it all texts that agree in a sketch have one label or are known not to be near.
+
+    Two near texts are in one class of lengths or in two that are next to each other: a bucket's texts meet those of their
+    own class and of the next.
+    """
+    own = entries.select("key", "node").join(labels, "node")
+    mixed = own.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("key")
+    mixed = small(own.join(mixed, "key"), "mixed")
+    if mixed.isEmpty():
+        return labels
+    step = math.log(1.001 / similarity)
+    lengths = rows.select(F.col("row").alias("node"), "n_words")
+    ends = mixed.join(lengths, "node").withColumn("class", F.floor(F.log("n_words") / step).cast("int"))
+    ends = ends.withColumn("visits", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("class", F.col("class") - F.col("visits").cast("int"))
+    met = ends.groupBy("key", "class").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.min("visits").alias("none")).where("least != most and not none").select("key", "class", "n")
+    ends = small(ends.join(met, ["key", "class"]), "ends")
+    # groups of a block or more have blocks of their own, so that none is compared with itself
+    parts = ends.groupBy("key", "class", "label").agg(F.count("*").alias("own"))
+    large = F.col("own") >= BLOCK
+    block = F.when(large, F.struct("visits", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK)).alias("part"))).otherwise(F.struct("visits", F.lit(-1).cast("long").alias("label"), F.pmod(F.xxhash64("label"), F.ceil(F.col("n") / BLOCK)).alias("part")))
+    texts = rows.select(F.col("row").alias("node"), "text")
+    profiles = stored(texts.join(ends.select("node").distinct(), "node", "left_semi").mapInArrow(_profiled, "node long, profile binary"), "profiles")
+    dealt = ends.join(parts, ["key", "class", "label"]).join(profiles, "node").withColumn("block", block)
+    blocks = stored(dealt.groupBy("key", "class", "block").agg(F.collect_list(F.struct("node", "label", "n_words", "profile")).alias("of")), "blocks")
+    stripes = blocks.groupBy("key", "class").agg(F.ceil(F.count("*") / STRIPE).alias("stripes"))
+    striped = blocks.join(stripes, ["key", "class"])
+    one = striped.where("not block.visits").select("key", "class", F.pmod(F.xxhash64("block"), "stripes").alias("stripe"), F.col("block").alias("block_a"), F.col("of").alias("one"))
+    other = striped.select("key", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1)).alias("stripe"), F.col("block").alias("block_b"), F.col("of").alias("other"))
+    alone = (F.col("block_a.label") == F.col("block_b.label")) & (F.col("block_a.label") >= 0)
+    pairs = one.join(other, ["key", "class", "stripe"]).where((F.col("block_a") <= F.col("block_b")) & ~alone).select("one", "other")
+    rest = small(pairs.mapInArrow(_bounds(similarity), "a long, b long, bound long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    return _settled(labels, rest, texts, similarity)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links (a, b): label is the least node of its component. Labels spread along links and jump to their labels' labels; each round is stored."""
     both = small(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -278,39 +392,36 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _sketch_table(rows: DataFrame, count: int) -> DataFrame:
-    """rows (text, ...) with digest, n_words, sketch and row (a number of its own for each), stored."""
-    own = [StructField("digest", BinaryType()), StructField("n_words", LongType()), StructField("sketch", ArrayType(LongType()))]
-    return stored(rows.mapInArrow(_sketched(count), StructType([*rows.schema.fields, *own])).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    """rows (text, ...) with digest, n_words, sketch and row (a number of its own for each), stored in buckets by row."""
+    own = [StructField("digest", BinaryType()), StructField("n_words", LongType()), StructField("sketch", BinaryType())]
+    return bucketed(rows.mapInArrow(_sketched(count), StructType([*rows.schema.fields, *own])).withColumn("row", F.monotonically_increasing_id()), "sketches", ["row"])
+
+
+def _entries(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, hub): of rows (row, sketch) that are nodes, a row for each bucket with others that each is in; hub is the one of them to compare it with first."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.select("row", "sketch").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    dealt = own.mapInArrow(_dealt(2 * n), DEALT).repartition(n, "part").sortWithinPartitions("part")
+    return stored(dealt.mapInArrow(_gathered, "key long, node long, hub long"), "entries", compression="uncompressed")
 
 
 def _labels(rows: DataFrame, similarity: float, count: int) -> DataFrame:
     """(row, label) for each of rows (row, text, digest, n_words, sketch): rows near one another, directly or through others, have one label."""
-    firsts = rows.where("n_words > 0").groupBy("digest").agg(F.min("row").alias("node"))
-    nodes = rows.select("row", "n_words", "sketch").join(firsts.select("node"), F.col("row") == F.col("node"), "left_semi")
-    members = small(nodes.select(F.col("row").alias("node"), "n_words", "sketch"), "members")
-    open_ = members.select("node", F.posexplode("sketch").alias("band", "key"))
+    firsts = small(rows.where("n_words > 0").groupBy("digest").agg(F.min("row").alias("node")), "firsts")
     texts = rows.select(F.col("row").alias("node"), "text")
-    checked = rows.sparkSession.createDataFrame([], "a long, b long, near boolean")
-    for depth in range(count):
-        hubs = open_.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "key", "hub")
-        stars = small(open_.join(hubs, ["band", "key"]).where("node != hub"), "stars")
-        pairs = stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-        if depth:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        fresh = stored(pairs.join(a, "a").join(b, "b").mapInArrow(_verified(similarity), "a long, b long, near boolean"), "checked", compression="uncompressed")
-        checked = checked.unionByName(fresh) if depth else fresh
-        failed = stars.join(checked.where("not near"), (F.col("node") == F.col("a")) & (F.col("hub") == F.col("b")), "left_semi").select("node", "band", "key")
-        failed = failed.join(members.select("node", "sketch"), "node")
-        more = F.element_at("sketch", F.pmod(F.col("band") + depth + 1, F.lit(count)).cast("int") + 1)
-        open_ = small(failed.select("node", "band", F.xxhash64("key", more).alias("key")), "open")
-        if open_.groupBy("band", "key").count().where("count > 1").isEmpty():
-            break
-    linked = components(checked.where("near").select("a", "b"))
-    labels = small(members.select("node").join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-    labels = _closed(labels, members, texts, checked, similarity)
-    nodes = firsts.join(labels, "node").select("digest", "label")
+    entries = _entries(rows, firsts)
+    labels = small(entries.select("node").distinct().withColumn("label", F.col("node")), "labels")
+    stars = small(entries.where("node != hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("agree")), "stars")
+    # first the hub that a text agrees with most, then the others as far as they are in another group still
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
+    checked = _compared(best, texts, similarity)
+    labels = _merged(labels, checked)
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    others = stars.join(of("a"), "a").join(of("b"), "b").where("label_a != label_b").select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    more = _compared(others, texts, similarity)
+    labels = _merged(labels, more)
+    labels = _closed(labels, entries, rows, checked.unionByName(more), similarity)
+    nodes = firsts.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     wordless = rows.where("n_words = 0").groupBy("digest").agg(F.min("row").alias("label"))
     # as a table of its own, so that Spark can deal the rows of a digest with many copies to many tasks
     nodes = small(nodes.unionByName(wordless), "nodes")

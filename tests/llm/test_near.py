@@ -128,3 +128,38 @@ def test_components(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(30)] + [(50, 40), (40, 50), (60, 61)], "a long, b long")
     got = {r["node"]: r["label"] for r in near.components(links).collect()}
     assert all(got[i] == 0 for i in range(31)) and got[50] == got[40] == 40 and got[61] == 60
+
+
+def test_recall_against_all_pairs(spark):
+    """Pairs a tenth to a fifth of whose words are edited, with texts of their own and with a passage that all share: groups against brute force over all pairs."""
+    r = random.Random(9)
+    passage = words(r, 60, 10**6)
+    for shared in ([], passage):
+        texts, rates = [], []
+        for share in (0.1, 0.15, 0.19):
+            for _ in range(120):
+                own = words(r, 200 - len(shared), 10**6)
+                at = r.sample(range(len(own)), int(share * 200))
+                texts += [" ".join(shared + own), " ".join(shared + [f"new{r.randrange(10**9)}" if i in set(at) else w for i, w in enumerate(own)])]
+                rates.append(share)
+        h, n = word_hashes(texts)
+        own = np.split(h, np.cumsum(n)[:-1])
+        pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near._unshared(own[i], own[j]) <= 0.2 * max(n[i], n[j])]
+        limits = [int(0.2 * max(n[i], n[j]) + 1e-9) for i, j in pairs]
+        want = {(i, j) for (i, j), d, k in zip(pairs, near.distances([(own[i], own[j]) for i, j in pairs], limits), limits, strict=True) if d <= k}
+        assert want == {(2 * k + 1, 2 * k) for k in range(len(rates))}
+        got = {x["doc_id"]: x["class_id"] for x in near.near_groups(documents(spark, texts)).collect()}
+        found = np.array([got[2 * k] == got[2 * k + 1] for k in range(len(rates))])
+        assert all(got[i] in (i, i - i % 2) for i in got)  # no links but those
+        for share, least in ((0.1, 0.98), (0.15, 0.95), (0.19, 0.9)):
+            assert found[np.array(rates) == share].mean() >= least, (share, len(shared))
+
+
+def test_hot_buckets_are_passed_on(spark, monkeypatch):
+    """Buckets with many texts of a batch, and stars that are full: the groups stay whole."""
+    r = random.Random(10)
+    monkeypatch.setattr(near, "HOT", 3)
+    monkeypatch.setattr(near, "STAR", 4)
+    groups = [frozenset(range(80)), frozenset(range(80, 90))]
+    texts = [" ".join(changed(r, base, 3)) for base, n in ((words(r, 150, 10**6), 80), (words(r, 90, 10**6), 10)) for _ in range(n)]
+    assert classes(near.near_groups(documents(spark, texts)).collect()) == set(groups)
