@@ -38,8 +38,8 @@ SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 64
 PART_WORDS = 50_000
 #: Texts of a star, at most; texts of an Arrow batch in one bucket from which on they aren't sent to where the bucket is.
 STAR, HOT = 256, 64
-#: Hashed counts of a text's words; texts of a block, about; blocks of a bucket that one task meets all others with.
-BINS, BLOCK, STRIPE = 256, 512, 16
+#: Hashed counts of a text's words, and for a first look; texts of a block, about; blocks of a bucket that one task meets all others with.
+BINS, FOLD, BLOCK, STRIPE = 1024, 256, 512, 16
 _U = np.uint64
 
 
@@ -274,17 +274,30 @@ def _verified(similarity: float):
             a, b = np.split(wa, np.cumsum(na)[:-1]), np.split(wb, np.cumsum(nb)[:-1])
             limits = [int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b, strict=True)]
             near = [d <= limit for d, limit in zip(distances(list(zip(a, b, strict=True)), limits), limits, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+            own = ["a", "b", "label_a", "label_b"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(near, pa.bool_())], names=[*own, "near"])
 
     return run
 
 
 def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashed word counts, four bits each: cut off at 15, which only lowers the bound."""
     for batch in slices(batches, "text"):
         words, sizes = word_hashes(texts_of(batch))
         at = np.repeat(np.arange(len(sizes)), sizes) * BINS + (mix(words) % _U(BINS)).astype(np.int64)
-        counts = np.minimum(np.bincount(at, minlength=len(sizes) * BINS), 255).astype(np.uint8).reshape(-1, BINS)  # cut off, the bound is only lower
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in counts], pa.binary())], names=["node", "profile"])
+        counts = np.minimum(np.bincount(at, minlength=len(sizes) * BINS), 15).astype(np.uint8).reshape(-1, BINS // 2, 2)
+        packed = counts[:, :, 0] << 4 | counts[:, :, 1]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in packed], pa.binary())], names=["node", "profile"])
+
+
+def _block(column: pa.ListArray, row: int) -> tuple[np.ndarray, ...]:
+    """(nodes, labels, words, hashed counts, the same in FOLD bins) of a block."""
+    of = column[row].values
+    raw = np.frombuffer(b"".join(of.field("profile").to_pylist()), np.uint8).reshape(len(of), BINS // 2)
+    counts = np.empty((len(of), BINS), np.uint8)
+    counts[:, ::2], counts[:, 1::2] = raw >> 4, raw & 15
+    folded = counts.reshape(len(of), BINS // FOLD, FOLD).sum(1, dtype=np.uint8)
+    return *(of.field(k).to_numpy(zero_copy_only=False) for k in ("node", "label", "n_words")), counts, folded
 
 
 def _bounds(similarity: float):
@@ -292,53 +305,82 @@ def _bounds(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                (a, la, na, pa_), (b, lb, nb, pb) = ([np.array([x[k] for x in row[side]], np.int64) for k in ("node", "label", "n_words")] + [np.frombuffer(b"".join(x["profile"] for x in row[side]), np.uint8).reshape(-1, BINS)] for side in ("one", "other"))
+            for row in range(batch.num_rows):  # no more than two blocks at a time
+                (a, la, na, pa_, fa), (b, lb, nb, pb, fb) = (_block(batch.column(side), row) for side in ("one", "other"))
                 sa, sb = pa_.sum(1, dtype=np.int64), pb.sum(1, dtype=np.int64)
                 out = []
                 for i in range(len(a)):
                     limit = ((1 - similarity) * np.maximum(na[i], nb) + 1e-9).astype(np.int64)
                     at = np.flatnonzero((la[i] != lb) & (np.abs(na[i] - nb) <= limit))
-                    bound = np.maximum(sa[i], sb[at]) - np.minimum(pa_[i], pb[at]).sum(1, dtype=np.int64)
-                    ok = bound <= limit[at]
-                    at, bound = at[ok], bound[ok]
-                    out.append(np.stack([np.maximum(a[i], b[at]), np.minimum(a[i], b[at]), bound]))
-                found = np.concatenate(out, 1) if out else np.zeros((3, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "bound"])
+                    for own, other in ((fa, fb), (pa_, pb)):
+                        bound = np.maximum(sa[i], sb[at]) - np.minimum(own[i], other[at]).sum(1, dtype=np.int64)
+                        ok = bound <= limit[at]
+                        at, bound = at[ok], bound[ok]
+                    if len(at):
+                        first = a[i] > b[at]
+                        mine = lambda x, y: (np.where(first, x, y), np.where(first, y, x))  # noqa: B023, E731
+                        out.append(np.stack([*mine(a[i], b[at]), *mine(la[i], lb[at]), bound]))
+                if out:
+                    found = np.concatenate(out, 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "label_a", "label_b", "bound"])
 
     return run
 
 
+PAIRS = "a long, b long, label_a long, label_b long"
+
+
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of pairs (a, b, ...) that are in two groups, with both groups' labels."""
+    for c in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c)
+    return pairs.where("label_a != label_b")
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) with near, stored. texts: (node, text), bucketed by node: only the pairs and the texts of their ends are moved."""
+    """pairs (a, b, label_a, label_b) with near, stored. texts: (node, text), bucketed by node: only the pairs and the texts of their ends are moved."""
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return stored(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_verified(similarity), "a long, b long, near boolean"), "checked", compression="uncompressed")
+    both = pairs.select("a", "b", "label_a", "label_b").join(a, "a").join(b, "b")
+    return stored(both.mapInArrow(_verified(similarity), f"{PAIRS}, near boolean"), "checked", compression="uncompressed")
 
 
-def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """labels with the groups joined that found (a, b, near) links."""
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
-    links = small(found.where("near").join(of("a"), "a").join(of("b"), "b").where("label_a != label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "links")
-    if links.isEmpty():
-        return labels
-    into = components(links).select(F.col("node").alias("label"), F.col("label").alias("into"))
-    return small(labels.join(into, "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
+def _joined(found: DataFrame) -> DataFrame | None:
+    """(label, into) for the labels of groups that found (label_a, label_b, near) links; None where there are no links."""
+    links = small(found.where("near").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "links")
+    return None if links.isEmpty() else components(links).select(F.col("node").alias("label"), F.col("label").alias("into"))
+
+
+def _renamed(rows: DataFrame, into: DataFrame | None, c: str = "label") -> DataFrame:
+    """rows with the labels in column c replaced."""
+    if into is None:
+        return rows
+    into = into.select(F.col("label").alias(c), "into")
+    return rows.join(into, c, "left").withColumn(c, F.coalesce("into", c)).drop("into")
+
+
+def _grouped(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels with the groups joined that found links."""
+    return small(_renamed(labels, _joined(found)), "labels")
+
+
+def _first_of_groups(rest: DataFrame, count: int) -> DataFrame:
+    """rest (..., label_a, label_b, bound) with first: whether a pair is of the `count` of least bound between the same two groups."""
+    both = Window.partitionBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).orderBy("bound", "a", "b")
+    return rest.withColumn("first", F.row_number().over(both) <= count)
 
 
 def _settled(labels: DataFrame, rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """labels with the groups joined that rest (a, b, bound) links. Of pairs between the same two groups those of least bound are compared first, for one that is near will do; in the end every pair is compared or within a group."""
-    least = 2
+    """labels with the groups joined that rest (a, b, label_a, label_b, bound) links. Of pairs between the same two groups the likeliest are compared first, for one that is near will do; in the end every pair is compared or within a group."""
+    count = 4
     while True:
-        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
-        rest = rest.select("a", "b", "bound").join(of("a"), "a").join(of("b"), "b").where("label_a != label_b")
-        both = Window.partitionBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).orderBy("bound", "a", "b")
-        rest = small(rest.withColumn("nth", F.row_number().over(both)), "rest")
+        rest = small(_first_of_groups(rest.where("label_a != label_b"), count), "rest")
         if rest.isEmpty():
             return labels
-        labels = _merged(labels, _compared(rest.where(F.col("nth") <= least), texts, similarity))
-        rest = rest.where(F.col("nth") > least)
-        least *= 16
+        into = _joined(_compared(rest.where("first"), texts, similarity))
+        rest = _renamed(_renamed(rest.where("not first"), into, "label_a"), into, "label_b")
+        labels = small(_renamed(labels, into), "labels")
+        count *= 64
 
 
 def _closed(labels: DataFrame, entries: DataFrame, rows: DataFrame, checked: DataFrame, similarity: float) -> DataFrame:
@@ -372,7 +414,7 @@ def _closed(labels: DataFrame, entries: DataFrame, rows: DataFrame, checked: Dat
     other = striped.select("key", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1)).alias("stripe"), F.col("block").alias("block_b"), F.col("of").alias("other"))
     alone = (F.col("block_a.label") == F.col("block_b.label")) & (F.col("block_a.label") >= 0)
     pairs = one.join(other, ["key", "class", "stripe"]).where((F.col("block_a") <= F.col("block_b")) & ~alone).select("one", "other")
-    rest = small(pairs.mapInArrow(_bounds(similarity), "a long, b long, bound long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    rest = pairs.mapInArrow(_bounds(similarity), f"{PAIRS}, bound long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
     return _settled(labels, rest, texts, similarity)
 
 
@@ -411,16 +453,14 @@ def _labels(rows: DataFrame, similarity: float, count: int) -> DataFrame:
     texts = rows.select(F.col("row").alias("node"), "text")
     entries = _entries(rows, firsts)
     labels = small(entries.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    stars = small(entries.where("node != hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("agree")), "stars")
-    # first the hub that a text agrees with most, then the others as far as they are in another group still
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
+    stars = small(entries.where("node != hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg((-F.count("*")).alias("bound")), "stars")
+    # first the hub that a text agrees with most; then of the others one for each two groups that are left
+    best = stars.groupBy("a").agg(F.min_by("b", F.struct("bound", "b")).alias("b")).select("a", "b", F.col("a").alias("label_a"), F.col("b").alias("label_b"))
     checked = _compared(best, texts, similarity)
-    labels = _merged(labels, checked)
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
-    others = stars.join(of("a"), "a").join(of("b"), "b").where("label_a != label_b").select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = _compared(others, texts, similarity)
-    labels = _merged(labels, more)
-    labels = _closed(labels, entries, rows, checked.unionByName(more), similarity)
+    labels = _grouped(labels, checked)
+    others = _labelled(stars.join(checked.select("a", "b"), ["a", "b"], "left_anti"), labels)
+    found = _compared(_first_of_groups(others, 1).where("first"), texts, similarity)
+    labels = _closed(_grouped(labels, found), entries, rows, checked.unionByName(found), similarity)
     nodes = firsts.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     wordless = rows.where("n_words = 0").groupBy("digest").agg(F.min("row").alias("label"))
     # as a table of its own, so that Spark can deal the rows of a digest with many copies to many tasks
