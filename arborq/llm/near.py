@@ -330,13 +330,6 @@ def _bounds(similarity: float):
 PAIRS = "a long, b long, label_a long, label_b long"
 
 
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Those of pairs (a, b, ...) that are in two groups, with both groups' labels."""
-    for c in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c)
-    return pairs.where("label_a != label_b")
-
-
 def _compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """pairs (a, b, label_a, label_b) with near, stored. texts: (node, text), bucketed by node: only the pairs and the texts of their ends are moved."""
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -359,11 +352,6 @@ def _renamed(rows: DataFrame, into: DataFrame | None, c: str = "label") -> DataF
     return rows.join(into, c, "left").withColumn(c, F.coalesce("into", c)).drop("into")
 
 
-def _grouped(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """labels with the groups joined that found links."""
-    return small(_renamed(labels, _joined(found)), "labels")
-
-
 def _first_of_groups(rest: DataFrame, count: int) -> DataFrame:
     """rest (..., label_a, label_b, bound) with first: whether a pair is of the `count` of least bound between the same two groups."""
     both = Window.partitionBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).orderBy("bound", "a", "b")
@@ -454,13 +442,10 @@ def _labels(rows: DataFrame, similarity: float, count: int) -> DataFrame:
     entries = _entries(rows, firsts)
     labels = small(entries.select("node").distinct().withColumn("label", F.col("node")), "labels")
     stars = small(entries.where("node != hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg((-F.count("*")).alias("bound")), "stars")
-    # first the hub that a text agrees with most; then of the others one for each two groups that are left
+    # only the hub that a text agrees with most: most copies are in their group then, and the rest comes with all other candidates
     best = stars.groupBy("a").agg(F.min_by("b", F.struct("bound", "b")).alias("b")).select("a", "b", F.col("a").alias("label_a"), F.col("b").alias("label_b"))
     checked = _compared(best, texts, similarity)
-    labels = _grouped(labels, checked)
-    others = _labelled(stars.join(checked.select("a", "b"), ["a", "b"], "left_anti"), labels)
-    found = _compared(_first_of_groups(others, 1).where("first"), texts, similarity)
-    labels = _closed(_grouped(labels, found), entries, rows, checked.unionByName(found), similarity)
+    labels = _closed(small(_renamed(labels, _joined(checked)), "labels"), entries, rows, checked, similarity)
     nodes = firsts.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     wordless = rows.where("n_words = 0").groupBy("digest").agg(F.min("row").alias("label"))
     # as a table of its own, so that Spark can deal the rows of a digest with many copies to many tasks
