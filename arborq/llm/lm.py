@@ -5,8 +5,9 @@ A network reads the SIDE token ids on either side of a place and predicts the on
 then within the class) gives the id's probability. A document's score is the sum of log-probabilities of all its ids, each
 given its neighbours on both sides.
 
-Ids are those of the tokenizer; the OUTPUTS - 1 most frequent of the corpus are told apart, the others share one and
-divide its probability evenly. Training is by stochastic gradients where the documents lie: in each of ROUNDS rounds every
+Ids are those of the tokenizer, by rank of their counts. The OUTPUTS - 1 most frequent have outputs of their own. The last
+output stands for all others: a further softmax over RARE_CLASSES, from the same context, tells its class, and an id has
+the share of its class's counts that is its own. As context a rare id has one of RARE_ROWS rows. Training is by stochastic gradients where the documents lie: in each of ROUNDS rounds every
 partition starts from the same parameters, goes through all its documents (every STRIDE-th place of each, another phase
 each round), and the results are averaged by their places, pairwise in a tree of tasks. ROUNDS is a multiple of STRIDE, so
 that counts and training cover every place of every document; what is sent grows with the number of partitions.
@@ -27,6 +28,11 @@ from arborq.llm.tokens import default_vocabulary, encoder
 
 SIDE, HIDDEN, CLASSES, PER_CLASS = 2, 16, 64, 32
 OUTPUTS = CLASSES * PER_CLASS
+RARE_CLASSES, RARE_ROWS = 256, 1024
+#: Ids there may be. A place beyond the text has this rank.
+EDGE = 65536
+#: Row of the tables for each rank.
+ROWS = np.append(np.where(np.arange(EDGE) < OUTPUTS - 1, np.arange(EDGE), OUTPUTS - 1 + np.arange(EDGE) % RARE_ROWS), OUTPUTS - 1 + RARE_ROWS).astype(np.int32)
 ROUNDS, STRIDE, BATCH, RATE = 2, 2, 8192, 0.15
 #: Results of training that one task of the tree averages.
 FAN_IN = 16
@@ -34,19 +40,20 @@ FAN_IN = 16
 
 @dataclass
 class Network:
-    tables: np.ndarray  #: (2 * SIDE, OUTPUTS + 1, HIDDEN); the last row is for places beyond the text
+    tables: np.ndarray  #: (2 * SIDE, rows, HIDDEN); the last row is for places beyond the text
     bias: np.ndarray
     to_class: np.ndarray  #: (HIDDEN + 1, CLASSES)
     to_token: np.ndarray  #: (CLASSES, HIDDEN + 1, PER_CLASS)
+    to_rare: np.ndarray  #: (HIDDEN + 1, RARE_CLASSES)
 
     @classmethod
     def new(cls, seed: int = 1) -> Network:
         r = np.random.default_rng(seed)
         draw = lambda *shape: r.normal(0, 0.3, shape).astype(np.float32)
-        return cls(draw(2 * SIDE, OUTPUTS + 1, HIDDEN), np.zeros(HIDDEN, np.float32), draw(HIDDEN + 1, CLASSES) * np.float32(0.3), draw(CLASSES, HIDDEN + 1, PER_CLASS) * np.float32(0.3))
+        return cls(draw(2 * SIDE, int(ROWS[-1]) + 1, HIDDEN), np.zeros(HIDDEN, np.float32), *(draw(*shape) * np.float32(0.3) for shape in ((HIDDEN + 1, CLASSES), (CLASSES, HIDDEN + 1, PER_CLASS), (HIDDEN + 1, RARE_CLASSES))))
 
     def parts(self) -> list[np.ndarray]:
-        return [self.tables, self.bias, self.to_class, self.to_token]
+        return [self.tables, self.bias, self.to_class, self.to_token, self.to_rare]
 
     def vector(self) -> np.ndarray:
         return np.concatenate([x.reshape(-1) for x in self.parts()])
@@ -54,92 +61,130 @@ class Network:
     @classmethod
     def of(cls, vector: np.ndarray) -> Network:
         out, at = cls.new(), 0
-        for name in ("tables", "bias", "to_class", "to_token"):
+        for name in ("tables", "bias", "to_class", "to_token", "to_rare"):
             x = getattr(out, name)
             setattr(out, name, vector[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
         return out
 
-    def hidden(self, stream: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(activations with a 1 at the end, ids around each place)."""
-        around = [stream[at + o] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))]
+    def hidden(self, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(activations with a 1 at the end, rows of the ids around each place). rows: of the stream."""
+        around = [rows.take(at + o) for o in (*range(-SIDE, 0), *range(1, SIDE + 1))]
         h = np.empty((len(at), HIDDEN + 1), np.float32)
         h[:, HIDDEN] = 1
-        total = self.tables[0][around[0]]
+        total = self.tables[0].take(around[0], 0)
         for t, ids in zip(self.tables[1:], around[1:], strict=True):
-            total += t[ids]
+            total += t.take(ids, 0)
         total += self.bias
         np.tanh(total, out=h[:, :HIDDEN])
         return h, around
 
     def log_probs(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of the ids at the places `at`."""
-        out = np.empty(len(at), np.float32)
+        """Of the ids at the places `at`; of a rare one without its share of its class."""
+        out, rows = np.empty(len(at), np.float32), ROWS.take(stream)
         for a in range(0, len(at), BATCH):
             place = at[a : a + BATCH]
-            out[a : a + BATCH] = self._log_probs(self.hidden(stream, place)[0], stream[place])
+            out[a : a + BATCH] = self._log_probs(self.hidden(rows, place)[0], stream.take(place))
         return out
 
-    def _log_probs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        classes, within = ids % CLASSES, ids // CLASSES
-        logits = h @ self.to_class
-        rows = np.arange(len(ids))
-        out = logits[rows, classes] - _log_sum(logits)
-        order = np.argsort(classes.astype(np.uint8), kind="stable")
-        h, inner = h[order], np.empty((len(ids), PER_CLASS), np.float32)
-        edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
+    def _log_probs(self, h: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        ids = np.minimum(ranks, OUTPUTS - 1)
+        order, classes, within, edges = _by_class(ids)
+        h = h.take(order, 0)
+        found = _Softmax(h @ self.to_class)
+        inner = _Softmax(self._inner(h, edges))
+        sorted_ = found.log_of(classes) + inner.log_of(within)
+        rare = np.flatnonzero(ids[order] == OUTPUTS - 1)
+        if len(rare):
+            sorted_[rare] += _Softmax(h[rare] @ self.to_rare).log_of(rare_class(ranks[order[rare]]))
+        out = np.empty(len(ids), np.float32)
+        out[order] = sorted_
+        return out
+
+    def _inner(self, h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        inner = np.empty((len(h), PER_CLASS), np.float32)
         for c in range(CLASSES):
             if edges[c] < edges[c + 1]:
                 np.matmul(h[edges[c] : edges[c + 1]], self.to_token[c], out=inner[edges[c] : edges[c + 1]])
-        out[order] += inner[rows, within[order]] - _log_sum(inner)
-        return out
+        return inner
 
     def train(self, stream: np.ndarray, at: np.ndarray, squares: list[np.ndarray]) -> None:
         """A step of Adagrad for each BATCH of places; squares: sums of squared gradients, as parts()."""
+        table_rows = ROWS.take(stream)
         for a in range(0, len(at), BATCH):
             place = at[a : a + BATCH]
             n = np.float32(len(place))
-            ids = stream[place]
-            order = np.argsort((ids % CLASSES).astype(np.uint8), kind="stable")
-            place, ids = place[order], ids[order]
-            classes, within = ids % CLASSES, ids // CLASSES
-            h, around = self.hidden(stream, place)
-            rows = np.arange(len(ids))
-            d = _softmax(h @ self.to_class)
-            d[rows, classes] -= 1
+            order, classes, within, edges = _by_class(np.minimum(stream.take(place), OUTPUTS - 1))
+            place = place.take(order)
+            h, around = self.hidden(table_rows, place)
+            d = _Softmax(h @ self.to_class).less(classes)
             back = d @ self.to_class.T
             g_class = h.T @ d / n
-            g_token = np.zeros_like(self.to_token)
-            edges = np.searchsorted(classes, np.arange(CLASSES + 1))
+            g_token, g_rare = np.zeros_like(self.to_token), np.zeros_like(self.to_rare)
+            e = _Softmax(self._inner(h, edges)).less(within)
             for c in range(CLASSES):
                 i, j = edges[c], edges[c + 1]
                 if i < j:
-                    e = _softmax(h[i:j] @ self.to_token[c])
-                    e[rows[: j - i], within[i:j]] -= 1
-                    back[i:j] += e @ self.to_token[c].T
-                    g_token[c] = h[i:j].T @ e / n
+                    back[i:j] += e[i:j] @ self.to_token[c].T
+                    g_token[c] = h[i:j].T @ e[i:j] / n
+            ranks = stream.take(place)
+            rare = np.flatnonzero(ranks >= OUTPUTS - 1)
+            if len(rare):
+                e = _Softmax(h[rare] @ self.to_rare).less(rare_class(ranks[rare]))
+                back[rare] += e @ self.to_rare.T
+                g_rare = h[rare].T @ e / n
             d_in = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2) / n
-            g_tables = np.stack([np.stack([np.bincount(x, d_in[:, k], OUTPUTS + 1) for k in range(HIDDEN)], 1) for x in around]).astype(np.float32)
-            for p, g, s in zip(self.parts(), [g_tables, d_in.sum(0), g_class, g_token], squares, strict=True):
+            for p, g, s in zip(self.parts()[1:], [d_in.sum(0), g_class, g_token, g_rare], squares[1:], strict=True):
                 s += g * g
                 p -= np.float32(RATE) * g / (np.sqrt(s) + np.float32(1e-6))
+            for t, ids, s in zip(self.tables, around, squares[0], strict=True):  # only the rows that occur have a gradient
+                by = np.argsort(ids.astype(np.uint16), kind="stable")
+                ids = ids[by]
+                first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+                g, ids = np.add.reduceat(d_in.take(by, 0), first), ids[first]
+                sums = s[ids] + g * g
+                s[ids] = sums
+                t[ids] -= np.float32(RATE) * g / (np.sqrt(sums) + np.float32(1e-6))
+
+
+def _by_class(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(an order by class; in it the classes, places within them; where each class begins and the last ends)."""
+    classes = ids % CLASSES
+    order = np.argsort(classes.astype(np.uint8), kind="stable")
+    classes = classes.take(order)
+    return order, classes, ids.take(order) // CLASSES, np.searchsorted(classes, np.arange(CLASSES + 1))
+
+
+def rare_class(ranks: np.ndarray) -> np.ndarray:
+    return (ranks - (OUTPUTS - 1)) % RARE_CLASSES
+
 
+class _Softmax:
+    """Of logits, which it overwrites. They are far from overflow: no maximum is taken off."""
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    return np.log(np.exp(np.clip(x, -60, 60)).sum(1))  # far from overflow: no maximum is taken off
+    def __init__(self, x: np.ndarray):
+        np.minimum(x, 60, out=x)
+        self.x, self.at = x, np.arange(len(x)) * x.shape[1]
 
+    def log_of(self, which: np.ndarray) -> np.ndarray:
+        """The logarithm of one probability a row."""
+        out = self.x.reshape(-1).take(self.at + which)
+        np.exp(self.x, out=self.x)
+        return out - np.log(self.x @ np.ones(self.x.shape[1], np.float32) + np.float32(1e-30))
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(np.clip(x, -60, 60))
-    x /= x.sum(1, keepdims=True)
-    return x
+    def less(self, which: np.ndarray) -> np.ndarray:
+        """The probabilities, of which one a row is lessened by 1."""
+        np.exp(self.x, out=self.x)
+        self.x /= (self.x @ np.ones(self.x.shape[1], np.float32) + np.float32(1e-30))[:, None]
+        self.x.reshape(-1)[self.at + which] -= 1
+        return self.x
 
 
 def streamed(documents: list[np.ndarray], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ranks of all ids, with SIDE empty places before, between and after documents; the places of ids)."""
     sizes = np.array([len(x) for x in documents], np.int64)
     n = int(sizes.sum()) + SIDE * (len(documents) + 1)
-    out = np.full(n, OUTPUTS, np.int64)
+    out = np.full(n, EDGE, np.int32)
     at = np.arange(int(sizes.sum())) + SIDE * (1 + np.repeat(np.arange(len(documents)), sizes))
     out[at] = rank[np.concatenate(documents)] if len(at) else 0
     return out, at
@@ -153,15 +198,15 @@ def in_round(documents: list[np.ndarray], turn: int, stride: int) -> np.ndarray:
 
 @dataclass
 class Scorer:
-    rank: np.ndarray  #: of each token id, OUTPUTS - 1 for rare ones
-    rare: int  #: ids that share that rank
+    rank: np.ndarray  #: of each token id
+    share: np.ndarray  #: logarithm of each rank's share of its class of rare ids; 0 for frequent ones
     network: Network
 
     def scores(self, documents: list[np.ndarray]) -> np.ndarray:
         """The sum of the log-probabilities of each document's ids."""
         stream, at = streamed(documents, self.rank)
         logs = self.network.log_probs(stream, at).astype(np.float64)
-        logs[stream[at] == OUTPUTS - 1] -= np.log(max(1, self.rare))
+        logs += self.share.take(stream.take(at))
         ends = np.cumsum([len(x) for x in documents])
         upto = np.append(0, np.cumsum(logs))[np.append(0, ends)]
         return np.diff(upto)
@@ -194,13 +239,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
 
-def ranks(tokens: DataFrame) -> tuple[np.ndarray, int]:
-    """(rank of each id by its count in all documents, ids that share the last rank)."""
+def ranks(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each id by its count in all documents, logarithm of each rank's share of its class of rare ids). An id that no document has counts as one."""
     counts = tokens.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
-    order = [r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))]
-    out = np.full(65536, OUTPUTS - 1, np.int64)
-    out[order[: OUTPUTS - 1]] = np.arange(len(order[: OUTPUTS - 1]))
-    return out, max(0, len(order) - OUTPUTS + 1)
+    n = np.zeros(EDGE, np.int64)
+    for r in counts:
+        n[r["id"]] = r["n"]
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(EDGE, np.int32)
+    rank[order] = np.arange(EDGE)
+    own = np.maximum(n[order], 1).astype(np.float64)
+    share, rare = np.zeros(EDGE), np.arange(OUTPUTS - 1, EDGE)
+    share[rare] = np.log(own[rare] / np.bincount(rare_class(rare), own[rare], RARE_CLASSES)[rare_class(rare)])
+    return rank, share
 
 
 def trained(tokens: DataFrame, rank: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
@@ -245,8 +296,8 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(tokens: DataFrame) -> Scorer:
-    rank, rare = ranks(tokens)
-    return Scorer(rank, rare, trained(tokens, rank))
+    rank, share = ranks(tokens)
+    return Scorer(rank, share, trained(tokens, rank))
 
 
 def score(tokens: DataFrame, scorer: Scorer) -> DataFrame:

@@ -65,19 +65,65 @@ def test_held_out_is_the_contracts(spark):
 def test_network_gradients_and_probabilities():
     n = lm.Network.new()
     r = np.random.default_rng(1)
-    stream, at = lm.streamed([r.integers(0, 3000, 50).astype(np.uint16), np.zeros(0, np.uint16), r.integers(0, 3000, 7).astype(np.uint16)], np.minimum(np.arange(65536), lm.OUTPUTS - 1))
+    stream, at = lm.streamed([r.integers(0, 3000, 50).astype(np.uint16), np.zeros(0, np.uint16), r.integers(0, 3000, 7).astype(np.uint16)], np.arange(65536, dtype=np.int32))
     assert len(at) == 57
-    h, _ = n.hidden(stream, at[:3])
-    total = sum(np.exp(n._log_probs(h, np.full(3, i))) for i in range(lm.OUTPUTS))
-    assert np.allclose(total, 1, atol=1e-3)
-    before = n.log_probs(stream, at).mean()
+    h, _ = n.hidden(lm.ROWS[stream], at[:3])
+    frequent = sum(np.exp(n._log_probs(h, np.full(3, i))) for i in range(lm.OUTPUTS - 1))
+    rare = sum(np.exp(n._log_probs(h, np.full(3, lm.OUTPUTS - 1 + i))) for i in range(lm.RARE_CLASSES))
+    assert np.allclose(frequent + rare, 1, atol=1e-3) and (rare > 0).all()
+    before = n.log_probs(stream, at)
     squares = [np.full(x.shape, 1e-8, np.float32) for x in n.parts()]
     for _ in range(30):
         n.train(stream, at, squares)
-    assert n.log_probs(stream, at).mean() > before + 2
+    after, is_rare = n.log_probs(stream, at), stream[at] >= lm.OUTPUTS - 1
+    assert is_rare.any() and after.mean() > before.mean() + 2 and after[is_rare].mean() > before[is_rare].mean() + 2
     assert (lm.Network.of(n.vector()).vector() == n.vector()).all()
 
 
+def test_steps_follow_the_gradient():
+    """The first step against differences of the loss, for some of each part's parameters."""
+    r = np.random.default_rng(2)
+    stream, at = lm.streamed([r.integers(0, 2600, 300).astype(np.uint16)], np.arange(65536, dtype=np.int32))
+    n, stepped = lm.Network.new(), lm.Network.new()
+    squares = [np.zeros(x.shape, np.float32) for x in n.parts()]
+    stepped.train(stream, at, squares)
+    loss = lambda: -n.log_probs(stream, at).astype(np.float64).mean()
+    for part, squared in zip(n.parts(), squares, strict=True):
+        flat, size = part.reshape(-1), np.sqrt(squared.reshape(-1))
+        for i in np.argsort(-size)[:5]:
+            old, step = flat[i], np.float32(0.02)
+            flat[i] = old + step
+            up = loss()
+            flat[i] = old - step
+            down = loss()
+            flat[i] = old
+            assert abs(abs(up - down) / (2 * step) - size[i]) < 0.1 * size[i] + 1e-4
+
+
+def test_held_out_texts_against_counts(spark):
+    """Of texts that it hasn't seen the network tells more than counts of ids do."""
+    r = random.Random(6)
+    follows = {i: r.sample(range(60), 3) for i in range(60)}
+
+    def text():
+        at, out = r.randrange(60), []
+        for _ in range(80):
+            at = r.choice(follows[at])
+            out.append(f"{'bcdfghjklm'[at % 10]}{'aeiouy'[at // 10]}t")
+        return " ".join(out)
+
+    tokens = lm.token_table(documents(spark, [text() for _ in range(300)]).select("doc_id", "text").repartition(2))
+    rank, share = lm.ranks(tokens)
+    scorer = lm.Scorer(rank, share, lm.trained(tokens, rank, rounds=16, stride=1))
+    held = lm.token_table(documents(spark, [text() for _ in range(40)]))
+    counts = np.ones(65536)
+    for x in tokens.collect():
+        counts += np.bincount(np.frombuffer(x["ids"], np.uint16), minlength=65536)
+    p = np.log(counts / counts.sum())
+    alone = np.mean([p[np.frombuffer(x["ids"], np.uint16)].mean() for x in held.collect()])
+    assert np.mean([x["mean_log_prob"] for x in lm.score(held, scorer).collect()]) > alone + 0.5
+
+
 def test_learned_order_scores_above_shuffled(spark):
     r = random.Random(2)
     chain = [f"tok{i}" for i in range(30)]
@@ -89,8 +135,8 @@ def test_learned_order_scores_above_shuffled(spark):
     texts = [sentence() for _ in range(200)]
     odd = ["", None] + [" ".join(r.sample(t.split(), 60)) for t in texts[:20]]
     tokens = lm.token_table(documents(spark, texts + odd, extra=True).select("doc_id", "text").repartition(3))
-    rank, rare = lm.ranks(tokens)
-    scorer = lm.Scorer(rank, rare, lm.trained(tokens, rank, rounds=25, stride=1))
+    rank, share = lm.ranks(tokens)
+    scorer = lm.Scorer(rank, share, lm.trained(tokens, rank, rounds=25, stride=1))
     got = {x["doc_id"]: x for x in lm.score(tokens, scorer).collect()}
     good, bad = np.mean([got[i]["mean_log_prob"] for i in range(200)]), np.mean([got[i]["mean_log_prob"] for i in range(202, 222)])
     assert good > bad + 0.3
@@ -114,8 +160,10 @@ def test_every_place_trains():
 
 def test_every_id_counts_once(spark):
     tokens = lm.token_table(documents(spark, ["a b", "b", None]))
-    rank, rare = lm.ranks(tokens)
-    assert sorted(rank)[:2] == [0, 1] and rare == 0
+    rank, share = lm.ranks(tokens)
+    assert sorted(rank) == list(range(65536)) and (share[: lm.OUTPUTS - 1] == 0).all()
+    in_class = lm.rare_class(np.arange(lm.OUTPUTS - 1, 65536))
+    assert np.allclose(np.bincount(in_class, np.exp(share[lm.OUTPUTS - 1 :])), 1)
 
 
 @pytest.fixture(scope="module")
