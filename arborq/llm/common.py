@@ -40,7 +40,9 @@ def release(spark: SparkSession) -> None:
     """Deletes the tables that `stored` has written: for when all results that read them have been written themselves."""
     while _written:
         path = _written.pop()
-        spark.sql(f"DROP TABLE IF EXISTS {path.rpartition('/')[2].replace('-', '_')}")
+        called = path.rpartition("/")[2].replace("-", "_")
+        if _paths.pop(called, None):
+            spark.sql(f"DROP TABLE IF EXISTS {called}")
         remove(spark, path)
 
 
@@ -53,14 +55,29 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None, compressio
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, keys: list[str], compression: str = "zstd") -> DataFrame:
-    """`stored` as a table bucketed and sorted by keys, in as many buckets as a shuffle has partitions: joins and sums by these keys move only what they are joined with."""
+#: Where the files of tables by `bucketed` lie, by name.
+_paths: dict[str, str] = {}
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str], compression: str = "zstd", dealt: bool = False) -> DataFrame:
+    """`stored` as a table bucketed and sorted by keys, in as many buckets as a shuffle has partitions: joins and sums by these keys move only what they are joined with. dealt: df comes from a join of such tables, a bucket to a task."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     called = path.rpartition("/")[2].replace("-", "_")
     _written.append(path)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).option("compression", compression).saveAsTable(called)
-    return spark.table(called)
+    (df if dealt else df.repartition(n, *keys)).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).option("compression", compression).saveAsTable(called)
+    _paths[called] = path
+    out = spark.table(called)
+    out._stored_as = called
+    return out
+
+
+def drop(table_: DataFrame) -> None:
+    """Deletes a table that `bucketed` has written."""
+    called = table_._stored_as
+    table_.sparkSession.sql(f"DROP TABLE IF EXISTS {called}")
+    remove(table_.sparkSession, _paths[called])
+    _written.remove(_paths.pop(called))
 
 
 def small(df: DataFrame, name: str) -> DataFrame:
@@ -69,6 +86,16 @@ def small(df: DataFrame, name: str) -> DataFrame:
     return stored(df.coalesce(files), name, compression="uncompressed")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names, made longer where df has a column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
