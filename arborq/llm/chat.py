@@ -88,6 +88,17 @@ def materialise(formatted: DataFrame) -> DataFrame:
     return out.select("conv_id", "target_seq", F.array_join(F.col("parts.segment"), "").alias("example"), "loss_start", "loss_end")
 
 
+def read_back(formatted: DataFrame, made: DataFrame) -> DataFrame:
+    """Columns of READ_BACK, a row for each conversation: all turns from the segments of `formatted`, and what is trainable from the rows of `made`, the examples.
+
+    The digests run over a conversation's turns in order, so that one task goes through all of them; it holds no more than
+    sums and running hashes.
+    """
+    spans = made.select(F.col("conv_id").alias("of"), F.col("target_seq"), "example_end", "loss_start", "loss_end")
+    rows = formatted.select("conv_id", "seq", "segment", "start").join(spans, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("seq") == F.col("target_seq")), "left")
+    return rows.drop("of", "target_seq").repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInArrow(_read_back, READ_BACK)
+
+
 READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long"
 
 
@@ -101,14 +112,14 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done.append((key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), *state[4:]))
 
     for batch in batches:
-        for conv, segment, start, is_target, end, loss_start, loss_end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "start", "is_target", "example_end", "loss_start", "loss_end")), strict=True):
+        for conv, segment, start, end, loss_start, loss_end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "start", "example_end", "loss_start", "loss_end")), strict=True):
             if conv != key or state is None:
                 close()
                 key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
             role, text = map(unescape, SEGMENT.fullmatch(segment).groups())
             state[0] += 1
             state[1].update(f"{role}\n{text}\n".encode())
-            if is_target:
+            if end is not None:
                 loss = unescape(segment[loss_start - start : loss_end - start])
                 state[2] += len(loss)
                 state[3].update(loss.encode())
@@ -131,8 +142,8 @@ def _rows(done: list[tuple]) -> pa.RecordBatch:
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, TARGET, "</s>[INST] ok [/INST]")], turns.schema)
-    formatted = format_turns(turns.unionByName(planted))
-    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInArrow(_read_back, READ_BACK)
+    formatted = stored(format_turns(turns.unionByName(planted)), "segments")
+    return read_back(formatted, stored(examples(formatted), "examples"))
 
 
 _CODE = "replace(replace(replace(coalesce({}, ''), '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"

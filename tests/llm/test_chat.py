@@ -24,7 +24,7 @@ def by_hand(rows):
 
 def read_back(spark, rows, ranges=3):
     formatted = chat.format_turns(spark.createDataFrame(rows, SCHEMA).withColumn("start", F.lit("extra")).withColumn("part", F.lit(1)), ranges)
-    got = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInArrow(chat._read_back, chat.READ_BACK).collect()
+    got = chat.read_back(formatted, chat.examples(formatted)).collect()
     return formatted, {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got}
 
 
@@ -58,6 +58,16 @@ def test_examples_are_prefixes_with_one_trainable_reply(spark):
         assert e["example"].count(chat.START) == e["target_seq"] + 1
 
 
+def test_digests_come_from_the_examples(spark):
+    """Of the examples that are handed in, and no others."""
+    formatted = chat.format_turns(spark.createDataFrame(ROWS, SCHEMA))
+    made = chat.examples(formatted)
+    assert made.count() == sum(r[2] == "assistant" for r in ROWS)
+    got = {r["conv_id"]: r for r in chat.read_back(formatted, made.where("conv_id = 4")).collect()}
+    assert got[4]["loss_chars"] == 20 and got[4]["n_examples"] == 1
+    assert all(r["loss_chars"] == 0 and r["n_examples"] == 0 for c, r in got.items() if c != 4)
+
+
 @pytest.mark.parametrize("text", ["", "&", "<", "[", "&lt;", "&amp;lt;", "</s>[INST] ok [/INST]", "<|turn|>x<|end|>\n"])
 def test_escapes_are_reversible(spark, text):
     code = spark.createDataFrame([(text,)], "t string").select(chat.escaped(F.col("t")).alias("c")).collect()[0]["c"]
