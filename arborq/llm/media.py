@@ -1,9 +1,11 @@
 """Media columns: ISO base media files (MP4 and its kin).
 
-``walk`` goes through nested boxes; ``tracks`` decodes the sample tables (stts, stsc, stsz or stz2, stco or co64, stss)
-and gives each track's codec, duration and samples' byte ranges without touching the payload in ``mdat``. ``features`` is
-the summary a column stores. ``container`` writes a file with one track of raw 8-bit samples, which the query uses to
-store texts.
+``walk`` goes through nested boxes; ``tracks`` decodes the sample tables (stts, stsc, stsz or stz2, stco or co64, stss) and
+those of fragments (trex, tfhd, tfdt, trun), and gives each track's codec, duration and samples' byte ranges without
+touching the payload in ``mdat``. ``media_columns`` stores these as typed columns of a table of files. ``media_table``
+writes texts as files with one track of raw 8-bit samples, which the query stores, reads back and describes.
+
+Times are decoding times: composition offsets (ctts) and edit lists (elst) change neither duration in the media nor ranges.
 """
 
 from __future__ import annotations
@@ -18,20 +20,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from arborq.llm.common import slices, table, texts_of
+from arborq.llm.common import slices, stored, table, texts_of
 
 #: Boxes that hold boxes.
 PARENTS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf", b"mfra")
 #: Of the files that ``container`` writes: bytes of a sample, samples of a chunk, samples from one keyframe to the next, samples a second.
 SAMPLE, CHUNK, GROUP, RATE = 64, 64, 16, 1000
 CODEC = b"raw8"
+#: Boxes in boxes, at most.
+DEPTH = 32
 
 
-def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path of types, start and end of the content) of each box, parents first. Sizes of 1 (64 bits) and 0 (to the end) are read. Raises ValueError on a box that doesn't fit its parent."""
-    end = len(data) if end is None else end
-    while start < end:
+def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path of types, start and end of the content) of each box, parents first. Sizes of 1 (64 bits) and 0 (to the end) are read. Raises ValueError on a box that doesn't fit its parent, or lies deeper than DEPTH."""
+    open_ = [((), 0, len(data))]
+    while open_:
+        path, start, end = open_.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise ValueError(f"{end - start} bytes are left at {start}, too few for a box")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -46,13 +55,16 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[b
             raise ValueError(f"box {kind!r} at {start} of {size} bytes doesn't fit")
         own = (*path, kind)
         yield own, start + head, start + size
+        open_.append((path, start + size, end))
         if kind in PARENTS:
-            yield from walk(data, start + head, start + size, own)
-        start += size
+            if len(own) >= DEPTH:
+                raise ValueError(f"boxes are nested {DEPTH} deep at {start}")
+            open_.append((own, start + head, start + size))
 
 
 @dataclass
 class Track:
+    number: int = 0
     codec: str = ""
     handler: str = ""
     timescale: int = 0
@@ -62,6 +74,14 @@ class Track:
     sync: np.ndarray | None = None  #: indexes of keyframes
     times: np.ndarray | None = None  #: decoding time of each sample
 
+    def seconds(self) -> float:
+        return self.duration / max(1, self.timescale)
+
+    def keyframes(self) -> list[tuple[int, int]]:
+        """The byte range from each keyframe to the next, or to the track's end."""
+        ends = np.append(self.sync[1:], len(self.sizes)) - 1 if len(self.sync) else self.sync
+        return list(zip(self.offsets[self.sync].tolist(), (self.offsets[ends] + self.sizes[ends]).tolist(), strict=True))
+
 
 def _full(data: memoryview, at: int) -> tuple[int, int]:
     return data[at], at + 4  # version, place of the fields
@@ -73,44 +93,39 @@ def _u32(data: memoryview, at: int, n: int, width: int = 1) -> np.ndarray:
 
 
 def tracks(data: bytes | memoryview) -> list[Track]:
-    """Tracks in the order of the file."""
+    """Tracks in the order of the file, the samples of its fragments after those of its tables. Raises ValueError if it is damaged."""
     data = memoryview(data)
     out: list[Track] = []
     raw: list[dict] = []
-    for path, at, end in walk(data):
-        kind = path[-1]
-        if kind == b"trak":
-            out.append(Track())
-            raw.append({})
-        if len(path) < 3 or path[:2] != (b"moov", b"trak"):
-            continue
-        t, r = out[-1], raw[-1]
-        if kind == b"mdhd":
-            version, at = _full(data, at)
-            t.timescale, t.duration = struct.unpack_from(">IQ", data, at + 16) if version else struct.unpack_from(">II", data, at + 8)
-        elif kind == b"hdlr":
-            t.handler = bytes(data[at + 8 : at + 12]).decode("latin-1")
-        elif kind == b"stsd" and end - at >= 16:
-            t.codec = bytes(data[at + 12 : at + 16]).decode("latin-1")
-        elif kind in (b"stts", b"stsc", b"stco", b"stss"):
-            n = struct.unpack_from(">I", data, at + 4)[0]
-            r[kind] = _u32(data, at + 8, n, {b"stts": 2, b"stsc": 3}.get(kind, 1))
-        elif kind == b"co64":
-            r[b"stco"] = np.frombuffer(data, ">u8", struct.unpack_from(">I", data, at + 4)[0], at + 8).astype(np.int64)
-        elif kind == b"stsz":
-            size, n = struct.unpack_from(">II", data, at + 4)
-            r[b"stsz"] = np.full(n, size, np.int64) if size else _u32(data, at + 12, n)
-        elif kind == b"stz2":
-            bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
-            if bits == 4:
-                b = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12)
-                r[b"stsz"] = np.stack([b >> 4, b & 15], 1).ravel()[:n].astype(np.int64)
-            else:
-                r[b"stsz"] = np.frombuffer(data, ">u2" if bits == 16 else np.uint8, n, at + 12).astype(np.int64)
+    defaults: dict[int, tuple[int, int, int]] = {}  # of a track's samples in fragments: duration, size, flags
+    runs: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    moof = 0
+    fragment: dict = {}
+    try:
+        for path, at, end in walk(data):
+            kind = path[-1]
+            if kind == b"trak":
+                out.append(Track())
+                raw.append({})
+            elif kind == b"moof":
+                moof, fragment = at - 8, {}
+            elif kind == b"trex":
+                number, _, *own = struct.unpack_from(">5I", data, at + 4)
+                defaults[number] = tuple(own)
+            elif kind == b"tfhd":
+                fragment = _fragment(data, at, moof, fragment, defaults)
+            elif kind == b"tfdt" and fragment:
+                fragment["time"] = struct.unpack_from(">Q" if data[at] else ">I", data, at + 4)[0]
+            elif kind == b"trun" and fragment:
+                runs.setdefault(fragment["number"], []).append(_run(data, at, end, fragment))
+            elif len(path) >= 3 and path[:2] == (b"moov", b"trak"):
+                _told(data, at, end, kind, out[-1], raw[-1])
+    except (struct.error, IndexError) as e:
+        raise ValueError(f"a box is cut off: {e}") from e
     for t, r in zip(out, raw, strict=True):
         t.sizes = r.get(b"stsz", np.zeros(0, np.int64))
-        n, chunks, runs = len(t.sizes), r.get(b"stco", np.zeros(0, np.int64)), r.get(b"stsc", np.zeros((0, 3), np.int64))
-        per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1))) if len(runs) else np.zeros(0, np.int64)
+        n, chunks, spread = len(t.sizes), r.get(b"stco", np.zeros(0, np.int64)), r.get(b"stsc", np.zeros((0, 3), np.int64))
+        per_chunk = np.repeat(spread[:, 1], np.diff(np.append(spread[:, 0], len(chunks) + 1))) if len(spread) else np.zeros(0, np.int64)
         if per_chunk.sum() != n:
             raise ValueError(f"stsc deals out {per_chunk.sum()} samples, stsz has {n}")
         ends = np.cumsum(t.sizes)
@@ -119,10 +134,96 @@ def tracks(data: bytes | memoryview) -> list[Track]:
         t.offsets = np.repeat(chunks - before, per_chunk) + ends - t.sizes
         t.sync = r[b"stss"] - 1 if b"stss" in r else np.arange(n)
         stts = r.get(b"stts", np.zeros((0, 2), np.int64))
-        t.times = np.append(0, np.cumsum(np.repeat(stts[:, 1], stts[:, 0])))[:n]
+        times = np.append(0, np.cumsum(np.repeat(stts[:, 1], stts[:, 0])))
+        t.times, last = times[:n], int(times[min(n, len(times) - 1)])
+        if t.number in runs:
+            offsets, sizes, lasting, sync, begins = (np.concatenate(x) for x in zip(*runs[t.number], strict=True))
+            t.sync = np.append(t.sync, n + np.flatnonzero(sync)).astype(np.int64)
+            t.offsets, t.sizes, t.times = np.append(t.offsets, offsets), np.append(t.sizes, sizes), np.append(t.times, begins)
+            last = max(last, int((begins + lasting).max(initial=0)))
+        t.duration = t.duration or last
     return out
 
 
+def _told(data: memoryview, at: int, end: int, kind: bytes, t: Track, r: dict) -> None:
+    """What a box of a track tells."""
+    if kind == b"tkhd":
+        t.number = struct.unpack_from(">I", data, at + (20 if data[at] else 12))[0]
+    elif kind == b"mdhd":
+        version, at = _full(data, at)
+        t.timescale, t.duration = struct.unpack_from(">IQ", data, at + 16) if version else struct.unpack_from(">II", data, at + 8)
+    elif kind == b"hdlr":
+        t.handler = bytes(data[at + 8 : at + 12]).decode("latin-1")
+    elif kind == b"stsd" and end - at >= 16:
+        t.codec = bytes(data[at + 12 : at + 16]).decode("latin-1")
+    elif kind in (b"stts", b"stsc", b"stco", b"stss"):
+        n = struct.unpack_from(">I", data, at + 4)[0]
+        r[kind] = _u32(data, at + 8, n, {b"stts": 2, b"stsc": 3}.get(kind, 1))
+    elif kind == b"co64":
+        r[b"stco"] = np.frombuffer(data, ">u8", struct.unpack_from(">I", data, at + 4)[0], at + 8).astype(np.int64)
+    elif kind == b"stsz":
+        size, n = struct.unpack_from(">II", data, at + 4)
+        r[b"stsz"] = np.full(n, size, np.int64) if size else _u32(data, at + 12, n)
+    elif kind == b"stz2":
+        bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+        if bits == 4:
+            b = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12)
+            r[b"stsz"] = np.stack([b >> 4, b & 15], 1).ravel()[:n].astype(np.int64)
+        else:
+            r[b"stsz"] = np.frombuffer(data, ">u2" if bits == 16 else np.uint8, n, at + 12).astype(np.int64)
+
+
+#: Flag of a sample that isn't a keyframe.
+_NO_SYNC = 0x10000
+
+
+def _fragment(data: memoryview, at: int, moof: int, before: dict, defaults: dict[int, tuple[int, int, int]]) -> dict:
+    """A tfhd: the track, where its data begins, and what its samples have unless they say otherwise."""
+    flags, number = struct.unpack_from(">2I", data, at)
+    at += 8
+    duration, size, sample_flags = defaults.get(number, (0, 0, 0))
+    # without a place of its own a track's data is told from the moof, or goes on where the track before it ended
+    base = moof if flags & 0x20000 or not before else before["next"]
+    if flags & 1:
+        base = struct.unpack_from(">Q", data, at)[0]
+        at += 8
+    at += 4 * bool(flags & 2)
+    own = []
+    for bit, value in ((8, duration), (16, size), (32, sample_flags)):
+        if flags & bit:
+            value = struct.unpack_from(">I", data, at)[0]
+            at += 4
+        own.append(value)
+    return {"number": number, "base": base, "next": base, "time": 0, "default": own}
+
+
+def _run(data: memoryview, at: int, end: int, fragment: dict) -> tuple[np.ndarray, ...]:
+    """(offsets, sizes, durations, whether keyframes, times) of a trun's samples."""
+    flags, n = struct.unpack_from(">2I", data, at)
+    flags &= 0xFFFFFF
+    at += 8
+    start = fragment["next"]
+    if flags & 1:
+        start = fragment["base"] + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    first = None
+    if flags & 4:
+        first = struct.unpack_from(">I", data, at)[0]
+        at += 4
+    bits = [b for b in (0x100, 0x200, 0x400, 0x800) if flags & b]
+    if at + 4 * n * len(bits) > end:
+        raise ValueError(f"trun has {n} samples, more than its box")
+    columns = dict(zip(bits, _u32(data, at, n, max(1, len(bits))).reshape(n, -1).T if bits else [], strict=True))
+    lasting, sizes, sample_flags = (columns.get(b, np.full(n, d, np.int64)) for b, d in zip((0x100, 0x200, 0x400), fragment["default"], strict=True))
+    if first is not None and n and 0x400 not in columns:
+        sample_flags[0] = first
+    ends, upto = np.cumsum(sizes), np.cumsum(lasting)
+    begins = fragment["time"] + upto - lasting
+    fragment["next"] = start + int(sizes.sum())
+    fragment["time"] += int(lasting.sum())
+    return start + ends - sizes, sizes, lasting, (sample_flags & _NO_SYNC) == 0, begins
+
+
 def payload(data: bytes, track: Track) -> bytes:
     """All samples of a track in order; samples that lie side by side are taken in one piece."""
     if not len(track.sizes):
@@ -136,9 +237,8 @@ def features(data: bytes, found: list[Track] | None = None) -> str:
     """Codec, duration in seconds, samples, and keyframes with the byte range from each to the next, of every track."""
     out = []
     for t in tracks(data) if found is None else found:
-        ends = np.append(t.sync[1:], len(t.sizes)) - 1 if len(t.sync) else t.sync
-        ranges = ",".join(f"{a}-{b}" for a, b in zip(t.offsets[t.sync].tolist(), (t.offsets[ends] + t.sizes[ends]).tolist(), strict=True))
-        out.append(f"codec={t.codec};handler={t.handler};seconds={t.duration / max(1, t.timescale):.3f};samples={len(t.sizes)};keyframes={ranges}")
+        ranges = ",".join(f"{a}-{b}" for a, b in t.keyframes())
+        out.append(f"codec={t.codec};handler={t.handler};seconds={t.seconds():.3f};samples={len(t.sizes)};keyframes={ranges}")
     return "|".join(out)
 
 
@@ -180,32 +280,70 @@ def container(samples: bytes) -> bytes:
     return head + _box(b"mdat", samples)
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-
 def store_text(text: str | None) -> tuple[int, bytes]:
     """(bytes of the text in UTF-8, a media file whose samples hold them, zeros up to a positive multiple of 64 after them). Null is an empty text."""
     data = (text or "").encode()
     return len(data), container(data + bytes(-len(data) % 64 if data else 64))
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (s for b in batches for s in slices([b], "text")):
-        rows = []
-        for text in texts_of(batch):
-            n, media = store_text(text)
-            found = tracks(media)
-            back = payload(media, found[0])
-            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(media, found)))
-        types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=names)
+        sizes, files = zip(*map(store_text, texts_of(batch)), strict=True)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+
+def media_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media): each whole text of docs (doc_id, text; other columns are left out) as a media file; a row for each row, repeated ones and those with a null id too."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_written, "doc_id long, n_bytes long, media binary")
 
 
-def media_columns(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, text), other columns are left out. Stores each whole text as a media file, reads it back, and gives the columns of SCHEMA; a row for each row, repeated ones and those with a null id too."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_columns, SCHEMA)
+TRACKS = ArrayType(StructType([StructField("codec", StringType()), StructField("handler", StringType()), StructField("seconds", DoubleType()), StructField("samples", LongType()), StructField("keyframes", ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())])))]))
+
+
+def _described(media: bytes | None) -> tuple[list[dict] | None, str | None]:
+    if media is None:
+        return None, None
+    try:
+        found = tracks(media)
+        return [{"codec": t.codec, "handler": t.handler, "seconds": t.seconds(), "samples": len(t.sizes), "keyframes": [{"start": a, "stop": b} for a, b in t.keyframes()]} for t in found], None
+    except ValueError as e:
+        return None, str(e)
+
+
+def media_columns(files: DataFrame, media_col: str = "media") -> DataFrame:
+    """files with `tracks` and `problem` added, in place of columns of those names.
+
+    tracks has a struct for each track: codec, handler, seconds, samples, and the byte range from each keyframe to the next.
+    A file that is damaged has null tracks, and what is wrong with it as `problem`; a null file has neither.
+    """
+    files = files.drop("tracks", "problem")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch], media_col):
+                found, problems = zip(*map(_described, part.column(media_col).to_pylist()), strict=True)
+                kind = to_arrow_type(TRACKS)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind), pa.array(problems, pa.string())], names=[*part.schema.names, "tracks", "problem"])
+
+    return files.mapInArrow(run, StructType([*files.schema.fields, StructField("tracks", TRACKS), StructField("problem", StringType())]))
+
+
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, seconds double, n_keyframes long"
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (s for b in batches for s in slices([b], "media")):
+        rows = []
+        for media, told in zip(batch.column("media").to_pylist(), batch.column("tracks").to_pylist(), strict=True):
+            back = payload(media, tracks(media)[0])
+            ranges = lambda t: ",".join(f"{k['start']}-{k['stop']}" for k in t["keyframes"])
+            feature = "|".join(f"codec={t['codec']};handler={t['handler']};seconds={t['seconds']:.3f};samples={t['samples']};keyframes={ranges(t)}" for t in told)
+            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, told[0]["codec"], told[0]["seconds"], len(told[0]["keyframes"])))
+        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64())
+        columns = zip(*rows, strict=True) if rows else [()] * len(types)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[x.split()[0] for x in DIGESTS.split(", ")])
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(table(spark, sf_dir, "documents"))
+    files = stored(media_table(table(spark, sf_dir, "documents")), "media")
+    return media_columns(files).mapInArrow(_digests, DIGESTS)

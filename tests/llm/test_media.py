@@ -6,24 +6,26 @@ import zlib
 import pytest
 
 from arborq.llm import media
+from arborq.llm.common import stored
 from tests.llm.helpers import documents, odd_texts
 
 
 def test_round_trip_of_odd_texts(spark):
     texts = odd_texts()
-    got = {r["doc_id"]: r for r in media.media_columns(documents(spark, texts, extra=True)).collect()}
+    files = stored(media.media_table(documents(spark, texts, extra=True)), "media")
+    got = {r["doc_id"]: r for r in media.media_columns(files).mapInArrow(media._digests, media.DIGESTS).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         data = (t or "").encode()
         padded = data + bytes(-len(data) % 64 or (0 if data else 64))
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-        stored = media.store_text(t)[1]
-        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        stored_ = media.store_text(t)[1]
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(stored_), hashlib.sha256(stored_).hexdigest(), media.features(stored_))
 
 
 def test_empty_table(spark):
-    assert media.media_columns(documents(spark, [])).count() == 0
+    assert media.media_columns(media.media_table(documents(spark, []))).count() == 0
 
 
 def test_sample_tables():
@@ -72,3 +74,49 @@ def test_scattered_chunks_variable_sizes_and_64_bit_boxes():
 def test_damaged_boxes_are_errors(data):
     with pytest.raises(ValueError):
         media.tracks(data)
+
+
+def test_columns_of_files_good_bad_and_null(spark):
+    good = media.container(bytes(range(64)) * 40)
+    df = spark.createDataFrame([(1, bytearray(good), "a"), (2, bytearray(good[:300]), "b"), (3, None, "c"), (4, bytearray(b""), "d"), (1, bytearray(good), "a")], "doc_id long, media binary, tracks string")
+    got = media.media_columns(df).orderBy("doc_id").collect()
+    assert got[0] == got[1] and len(got) == 5
+    (t,) = got[0]["tracks"]
+    assert (t["codec"], t["seconds"], t["samples"]) == ("raw8", 0.04, 40) and got[0]["problem"] is None
+    at = good.index(b"mdat") + 4
+    assert [(k["start"], k["stop"]) for k in t["keyframes"]] == [(at, at + 1024), (at + 1024, at + 2048), (at + 2048, at + 2560)]
+    assert got[2]["tracks"] is None and "doesn't fit" in got[2]["problem"]
+    assert got[3]["tracks"] is None and got[3]["problem"] is None and got[4]["tracks"] == []
+
+
+def test_deep_boxes_are_an_error():
+    data = b""
+    for _ in range(3000):
+        data = media._box(b"moov", data)
+    with pytest.raises(ValueError):
+        media.tracks(data)
+
+
+def test_fragments():
+    r = random.Random(8)
+    box, full = media._box, media._full_box
+    samples = [r.randbytes(r.randint(1, 60)) for _ in range(9)]
+    stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"avc1", bytes(8))), full(b"stts", bytes(4)), full(b"stsc", bytes(4)), full(b"stsz", bytes(8)), full(b"stco", bytes(4)))
+    mdia = box(b"mdia", full(b"mdhd", struct.pack(">4I2H", 0, 0, 1000, 0, 0, 0)), full(b"hdlr", bytes(4), b"vide", bytes(13)), box(b"minf", stbl))
+    trak = box(b"trak", full(b"tkhd", struct.pack(">5I", 0, 0, 7, 0, 0), bytes(60)), mdia)
+    data = box(b"ftyp", b"isom", bytes(4)) + box(b"moov", trak, box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 40, 0, 0x10000))))
+    for k, own in enumerate((samples[:4], samples[4:])):  # the first with sizes and first flags, the second with all fields
+
+        def moof(offset, k=k, own=own):
+            if k == 0:
+                run = full(b"trun", struct.pack(">IiI", len(own), offset, 0), *(struct.pack(">I", len(x)) for x in own), flags=0x205)
+            else:
+                run = full(b"trun", struct.pack(">Ii", len(own), offset), *(struct.pack(">4I", 50, len(x), 0 if i == 2 else 0x10000, 0) for i, x in enumerate(own)), flags=0xF01)
+            return box(b"moof", full(b"mfhd", struct.pack(">I", k)), box(b"traf", full(b"tfhd", struct.pack(">I", 7), flags=0x20000), full(b"tfdt", struct.pack(">I", 160 * k)), run))
+
+        data += moof(len(moof(0)) + 8) + box(b"mdat", b"".join(own))
+    (t,) = media.tracks(data)
+    assert media.payload(data, t) == b"".join(samples)
+    assert (t.codec, t.duration, t.sync.tolist()) == ("avc1", 160 + 5 * 50, [0, 6])
+    assert t.times.tolist() == [0, 40, 80, 120, 160, 210, 260, 310, 360]
+    assert [data[a:b] for a, b in t.keyframes()][1] == b"".join(samples[6:])
