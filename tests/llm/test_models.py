@@ -211,6 +211,34 @@ def test_rates_are_the_optimum():
     assert np.allclose(mixing.rates_of(p, history, rate, mixing.RIDGE)[0], x, atol=0.02)
 
 
+def test_rates_of_the_query_are_the_optimum(spark):
+    """The distributed fit, in its few passes, against plain projected gradient run to the end on the driver."""
+    r = np.random.default_rng(4)
+    sharp = r.dirichlet([0.05] * 3, 500)
+    rows = [(i, int(r.integers(1, 500)), [float(x) for x in p]) for i, p in enumerate([*sharp, [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]])]
+    members = spark.createDataFrame([*rows, *rows[:30]], "doc_id long, n_tokens long, posterior array<double>").withColumn("rate", F.lit("extra")).repartition(3)
+    n, p = np.array([x[1] for x in [*rows, *rows[:30]]], float), np.array([x[2] for x in [*rows, *rows[:30]]])
+    total = n.sum()
+    for share in ([0.6, 0.3, 0.1], [0.9, 0.1, 0.0], [0.2, 0.2, 0.2]):
+        targets = np.array(share) * total
+        step = 1 / (np.linalg.eigvalsh((p * n[:, None]).T @ p / total)[-1] + mixing.RIDGE)
+        want = np.ones(len(n))
+        for _ in range(60_000):
+            want = np.maximum(0, want - step * (p @ (((want * n) @ p - targets) / total) + mixing.RIDGE * (want - 1)))
+        got = {x["doc_id"]: x["rate"] for x in mixing.fit_rates(members, targets).collect()}
+        assert np.allclose([got[x[0]] for x in rows], want[: len(rows)], atol=0.02)
+
+
+def test_repeated_ids_are_one_labelled_row(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, None), (None, "x"), (3, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 0, 0), (2, 0, 0), (3, None, None), (None, 1, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = mixing.labelled_domains(docs, labels).collect()
+    assert sorted(r["domain"] for r in rows) == ["good", "plain"] and {r["text"] for r in rows if r["domain"] == "plain"} == {""}
+    assert mixing.labelled_domains(docs, labels, 1).count() <= 1
+    nothing = mixing.fit_classifier(mixing.labelled_domains(docs, labels.limit(0)), ["good", "plain"])
+    assert np.allclose(nothing.posteriors(["a", ""]), 0.5)
+
+
 def test_mixing_drops_and_keeps(spark, mixture):
     texts, labels = mixture
     docs = documents(spark, texts, extra=True)
