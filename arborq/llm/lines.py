@@ -111,12 +111,14 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
-    mark = F.xxhash64(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))))
-    row, lines_, gone, id_of, mark_of, own_mark = fresh(docs, "row", "lines", "gone", "id_of", "mark_of", "mark")
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    mark = F.xxhash64(ascii_lower(whole) if copies_once else whole)
+    lines_, gone, id_of, mark_of, own_mark = fresh(docs, "lines", "gone", "id_of", "mark_of", "mark")
     counted = "mark" if copies_once else "row"
     keys = stored(
-        docs.withColumn(row, F.monotonically_increasing_id())  # before the lines are dealt out, or each line gets its own
-        .select(F.col(row).alias("row"), F.pmod(mark if copies_once else F.xxhash64(F.col(id_col)), F.lit(batches)).cast("int").alias("batch"), F.col(id_col).alias("id"), mark.alias("mark"), F.posexplode(_lines(text_col)).alias("pos", "line"))
+        # all that holds for a document before its lines are dealt out, or it is computed for each line
+        docs.select(F.monotonically_increasing_id().alias("row"), F.pmod(mark if copies_once else F.xxhash64(F.col(id_col)), F.lit(batches)).cast("int").alias("batch"), F.col(id_col).alias("id"), mark.alias("mark"), _lines(text_col).alias("lines"))
+        .select("row", "batch", "id", "mark", F.posexplode("lines").alias("pos", "line"))
         .withColumn("key", line_key(F.col("line")))
         .where(F.char_length("key") >= min_chars)
         .select("row", "batch", "id", "mark", "pos", *_hashes(F.col("key"))),
