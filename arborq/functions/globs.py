@@ -9,43 +9,29 @@ from pyspark.sql import functions as F
 
 
 def glob_to_regex(glob: str) -> str:
-    """`*` and `?` stay within a segment, `**` spans segments, [..] and [!..] are classes; a slash in front or inside anchors the pattern at the folder, one at the end takes all below. Raises ValueError on an empty or unclosed pattern."""
-    body = glob
+    """`*` and `?` stay within a segment, `**` spans segments, [..], [!..] and [^..] are classes. A slash in front or inside anchors the pattern at the folder; one at the end takes what is below, and nothing else does. A backslash is a slash, and a bracket without an end is itself."""
+    body = glob.replace("\\", "/")
     below = body.endswith("/")
-    body = body.rstrip("/") if below else body
-    anchored = "/" in body
+    body = body[:-1] if below else body
+    anywhere = "/" not in body
     body = body.removeprefix("/")
-    if not body:
-        raise ValueError("an empty pattern")
-    out, at = [], 0
-    while at < len(body):
-        c = body[at]
-        if body.startswith("**/", at) and (at == 0 or body[at - 1] == "/"):
-            out.append("(?:[^/]+/)*")
-            at += 3
-        elif body.startswith("**", at):
-            out.append(".*")
-            at += 2
-        elif c == "*":
-            out.append("[^/]*")
-            at += 1
-        elif c == "?":
-            out.append("[^/]")
-            at += 1
-        elif c == "[":
-            end = body.find("]", at + 2)
-            if end < 0:
-                raise ValueError(f"an unclosed class in {glob}")
-            inside = body[at + 1 : end]
-            out.append(f"[^{_class(inside[1:])}]" if inside[0] == "!" else f"[{_class(inside)}]")
-            at = end + 1
-        else:
-            out.append(re.escape(c))
-            at += 1
-    return ("^" if anchored else "^(?:.*/)?") + "".join(out) + ("/.*$" if below else "(?:/.*)?$")
+    return ("^(?:.*/)?" if anywhere else "^") + _PART.sub(_part, body) + ("/.*$" if below else "$")
 
 
-def _class(text: str) -> str:
+#: What a pattern consists of: a class may begin with its own closing bracket.
+_PART = re.compile(r"(?P<folders>\*\*/)|(?P<all>\*\*)|(?P<some>\*)|(?P<one>\?)|\[(?P<none>[!^]?)(?P<members>\]?[^\]]*)\]|(?P<plain>.)", re.DOTALL)
+_FIXED = {"folders": "(?:[^/]*/)*", "all": ".*", "some": "[^/]*", "one": "[^/]"}
+
+
+def _part(m: re.Match) -> str:
+    if m.lastgroup in _FIXED:
+        return _FIXED[m.lastgroup]
+    if m.lastgroup == "plain":
+        return re.escape(m["plain"])
+    return f"[{'^' if m['none'] else ''}{_members(m['members'])}]"
+
+
+def _members(text: str) -> str:
     return re.sub(r"([\\\[\]^&])", r"\\\1", text)
 
 

@@ -80,6 +80,14 @@ def scoped(files: DataFrame, found: DataFrame) -> DataFrame:
     return relational.in_scope(files, found.select("dir", "include", "exclude"), "uri", "dir", admits)
 
 
+def scoped_above(every: DataFrame, found: DataFrame) -> DataFrame:
+    """every configuration file (config) with by_others: whether all of found in folders strictly above its own admit it."""
+    up = every.select("config").distinct().withColumn("dir", F.explode(paths.folders(paths.dirname(F.col("config")))))
+    admits = selected_by(below("config", "dir"), F.col("include"), F.col("exclude"))
+    against = up.join(found.select("dir", "include", "exclude"), "dir").where(~admits).select("config").distinct().withColumn("by_others", F.lit(False))
+    return every.select("config").distinct().join(against, "config", "left").select("config", F.coalesce("by_others", F.lit(True)).alias("by_others"))
+
+
 def effective(files: DataFrame, found: DataFrame) -> DataFrame:
     """(uri, rule_id, severity) for every file and rule: preset of the nearest config (default, where there is none), its rules over that, and its matching overrides over those in file order."""
     spark = files.sparkSession

@@ -126,10 +126,10 @@ def symbol_matches(items: DataFrame, query: str, name: str = "name") -> DataFram
 
 
 def doc_search(docs: DataFrame, word: str, limit: int = 25, name: str = "name") -> DataFrame:
-    """The `limit` entries with the least edit distance, under 2, of the word to the name or to its first half."""
+    """The `limit` entries nearest to the word, by edit distance, case aside, if that is under 2; half of it counts for entries that begin with the word, and the word itself is at 0."""
     c = F.lower(F.col(name))
-    half = F.substring(c, F.lit(1), F.ceil(F.char_length(c) / 2).cast("int"))
-    score = F.least(F.levenshtein(c, F.lit(word.lower())), F.levenshtein(half, F.lit(word.lower())) + 1)
+    distance = F.levenshtein(c, F.lit(word.lower())).cast("double")
+    score = F.when(F.col(name) == word, 0.0).when(c.startswith(word.lower()), distance / 2).otherwise(distance)
     return docs.withColumn("score", score).where("score < 2").orderBy("score", name).limit(limit)
 
 

@@ -6,6 +6,7 @@ What isn't understood is skipped to the end of its statement and leaves no fact;
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass, field
 
 from arborq.parser.lexer import KEYWORDS, OPENERS, SyntaxProblem, Token, tokens
@@ -13,6 +14,10 @@ from arborq.parser.lexer import KEYWORDS, OPENERS, SyntaxProblem, Token, tokens
 UNBOUNDED = 2**31 - 1
 #: Macros that open a scope with a test body.
 TEST_MACROS = ("@testitem", "@testset", "@safetestset", "@testmodule", "@testsnippet")
+#: Those of them whose body is a module of its own.
+TEST_MODULES = ("@testitem", "@testmodule", "@testsnippet")
+#: Blocks and brackets in one another, at most.
+DEPTH = 300
 _GUARDS = ("isfile", "ispath", "isdefined", "@isdefined")
 
 
@@ -32,14 +37,27 @@ class Facts:
 
 
 def parse(text: str | None) -> Facts:
+    """Facts of a file. Where it can't be understood further, those so far and a finding; that goes for a fault of the parser too, so that a file never costs the others their facts."""
     facts = Facts()
     try:
-        _Parser(tokens(text or ""), facts).file(len(text or ""))
+        parsed(text or "", facts)
     except SyntaxProblem as e:
         facts.findings.append(("syntax_errors", e.message, e.start, e.stop))
+    except Exception as e:  # noqa: BLE001
+        facts.findings.append(("syntax_errors", f"this can't be parsed: {e!r}", 0, len(text or "")))
+    facts.nodes = [(*n[:5], len(text or "")) if n[5] < 0 else n for n in facts.nodes]
     return facts
 
 
+def parsed(text: str, facts: Facts) -> None:
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 20 * DEPTH))
+    try:
+        _Parser(tokens(text), facts).file(len(text))
+    finally:
+        sys.setrecursionlimit(limit)
+
+
 class _Parser:
     def __init__(self, toks: list[Token], facts: Facts):
         self.t, self.at, self.f = toks, 0, facts
@@ -52,8 +70,27 @@ class _Parser:
         self.named: list[bool] = []  # for each bracket around: whether `name = value` in it names an argument
         self.bound: set[int] = set()  # where names stand that are bound, and so aren't uses
         self.in_macro = False
+        self.depth = 0
+        self.saw = [False]  # for each bracket around: whether what stands in it so far asks if something exists
+        self.heads: set[int] = set()  # where the heads of short functions begin
+        self.closes: dict[int, int] = {}  # of each bracket, where it ends
+        around: list[int] = []
+        for k, t in enumerate(toks):
+            if t.kind == "open":
+                around.append(k)
+            elif t.kind == "close" and around:
+                self.closes[around.pop()] = k
         self.open_scope("file")
 
+    def deeper(self) -> None:
+        self.depth += 1
+        if self.depth > DEPTH:
+            p = self.peek() or self.t[-1]
+            raise SyntaxProblem(f"blocks and brackets are nested over {DEPTH} deep", p.start, p.stop)
+
+    def matching(self, at: int) -> int | None:
+        return self.closes.get(at) if self.t[at].kind == "open" else matching(self.t, at)
+
     # tokens
     def peek(self, k: int = 0) -> Token | None:
         return self.t[self.at + k] if self.at + k < len(self.t) else None
@@ -142,6 +179,8 @@ class _Parser:
 
     def statement(self) -> None:
         p = self.peek()
+        if p is None:
+            return None
         if p.kind == "keyword":
             word = p.text
             if word in ("module", "baremodule"):
@@ -162,6 +201,7 @@ class _Parser:
 
     def module(self) -> None:
         opener = self.take()
+        self.deeper()
         name = self.take().text if self.peek() else ""
         if self.path and self.path[-1] == name:
             self.f.findings.append(("module_name", f"module {name} has its parent's name", opener.start, opener.stop))
@@ -176,6 +216,7 @@ class _Parser:
         self.scope.pop()
         self.functions, self.scopes, self.loops = saved
         self.path.pop()
+        self.depth -= 1
         self.close(i, self.end(opener))
 
     def top(self) -> bool:
@@ -239,6 +280,7 @@ class _Parser:
 
     def datatype(self) -> None:
         first = self.take()
+        self.deeper()
         kind = first.text
         if kind in ("mutable", "abstract", "primitive"):
             self.take()
@@ -250,7 +292,7 @@ class _Parser:
         self.functions += 1
         self.open_scope("struct")
         if self.is_("{"):
-            stop = matching(self.t, self.at)
+            stop = self.matching(self.at)
             for k in range(self.at, stop if stop is not None else self.at):
                 if self.t[k].kind == "name" and self.t[k - 1].text in ("{", ","):
                     self.bind(self.t[k], "field")
@@ -259,10 +301,12 @@ class _Parser:
         self.statements(("end",))
         self.scope.pop()
         self.functions -= 1
+        self.depth -= 1
         self.close(i, self.end(first))
 
     def function(self) -> None:
         opener = self.take()
+        self.deeper()
         i = self.node(opener.text, None, opener.start)
         head: list[Token] = []
         depth = 0
@@ -289,6 +333,7 @@ class _Parser:
         self.scope.pop()
         self.loops = saved
         self.functions -= 1
+        self.depth -= 1
         self.close(i, self.end(opener))
 
     def duplicates(self, params: list[Token]) -> None:
@@ -311,11 +356,15 @@ class _Parser:
         """To the end of a statement; a declaration, if it is an assignment or a short function at the top."""
         first = self.at
         p = self.peek()
-        saved = self.in_macro
+        if p is None:
+            return
+        saved = self.in_macro, self.functions, self.guards
         around = len(self.scope)
+        self.saw[-1] = False
         if p.kind == "name":
-            self.declaration(declared)
+            short = self.declaration(declared)
             self.targets(declared)
+            self.functions += short
         depth = len(self.parents)
         while (p := self.peek()) is not None:
             if p.kind == "semicolon" or p.kind == "close":
@@ -330,7 +379,7 @@ class _Parser:
             self.simple()
         assert len(self.parents) == depth
         del self.scope[around:]
-        self.in_macro = saved
+        self.in_macro, self.functions, self.guards = saved
 
     def targets(self, declared: str | None) -> None:
         """Names that the statement at hand assigns to, and what `local` and `global` name."""
@@ -354,8 +403,8 @@ class _Parser:
         elif len(own) == 1 and self.f.scopes[self.scope[-1]][1] == "struct":
             self.bind(own[0], "field")
 
-    def declaration(self, declared: str | None) -> None:
-        """Looks at a statement that begins with a name, without taking it."""
+    def declaration(self, declared: str | None) -> bool:
+        """Looks at a statement that begins with a name, without taking it; true, if it is a short function."""
         k, names = self.at, []
         while k < len(self.t) and self.t[k].kind == "name":
             names.append(self.t[k].text)
@@ -365,14 +414,14 @@ class _Parser:
                 k += 1
                 break
         if k >= len(self.t):
-            return
+            return False
         start = self.t[self.at].start
         if self.t[k].text == "(" and self.t[k].start == self.t[k - 1].stop or self.t[k].text == "{":
-            stop = matching(self.t, k)
+            stop = self.matching(k)
             while stop is not None and stop + 1 < len(self.t) and self.t[stop + 1].text in ("::", "where"):
                 stop = stop + 2 if stop + 2 < len(self.t) else None
                 if stop is not None and stop + 1 < len(self.t) and self.t[stop + 1].kind == "open":
-                    stop = matching(self.t, stop + 1)
+                    stop = self.matching(stop + 1)
             if stop is not None and stop + 1 < len(self.t) and self.t[stop + 1].text == "=":
                 names, arity, params = signature(self.t[self.at : stop + 1])
                 if names and self.f.scopes[self.scope[-1]][1] != "struct":
@@ -385,14 +434,17 @@ class _Parser:
                     self.open_scope("function")
                     self.head_uses(self.t[self.at : stop + 1], params)
                     self.bound.update(t.start for t in self.t[self.at : stop + 1] if t.kind == "name")
-            return
+                    self.heads.add(self.t[k - 1].start)
+                    return True
+            return False
         if not self.top() or declared == "local":
-            return
+            return False
         if self.t[k].text == "::":
             while k < len(self.t) and self.t[k].text != "=" and self.t[k].kind not in ("newline", "semicolon"):
                 k += 1
         if k < len(self.t) and self.t[k].text == "=" and len(names) == 1:
             self.f.items.append((self.next_order(), names[0], [], declared or "assignment", list(self.path), None, None, [], False, start))
+        return False
 
     def simple(self) -> None:
         """One token, or a bracket or block with all in it."""
@@ -412,6 +464,12 @@ class _Parser:
             return None
         if p.kind == "op":
             self.operator()
+            if p.text in ("&&", "||", "?") and self.saw[-1]:
+                self.guards += 1  # to the end of the statement or bracket
+        elif p.kind == "name" and p.text in _GUARDS:
+            self.saw[-1] = True
+        elif p.kind == "comma":
+            self.saw[-1] = False
         prev = self.t[self.at - 1] if self.at else None
         self.take()
         nxt = self.peek()
@@ -444,12 +502,15 @@ class _Parser:
     def brackets(self, call: bool = False) -> None:
         opener = self.take()
         first = self.at
-        stop = matching(self.t, self.at - 1)
+        stop = self.matching(self.at - 1)
         if stop is not None and stop + 1 < len(self.t) and self.t[stop + 1].text == "->":
             for k in range(first, stop):
                 if self.t[k].kind == "name" and self.t[k - 1].kind in ("open", "comma", "semicolon"):
                     self.bind(self.t[k], "argument")
         self.named.append(opener.text == "(")
+        self.deeper()
+        self.saw.append(False)
+        guards, asked = self.guards, False
         while (p := self.peek()) is not None and p.kind != "close":
             prev = self.t[self.at - 1]
             if p.kind == "keyword" and p.text == "end" and opener.text == "[":
@@ -461,25 +522,33 @@ class _Parser:
             elif p.kind == "keyword" and p.text in ("end", "else", "elseif", "catch", "finally"):
                 raise SyntaxProblem(f"{opener.text} is not closed", opener.start, p.stop)
             else:
+                asked |= self.saw[-1]
+                if p.kind in ("comma", "semicolon"):
+                    self.guards = guards
                 self.simple()
         if self.peek() is None:
             raise SyntaxProblem(f"{opener.text} is not closed", opener.start, self.t[-1].stop)
         self.named.pop()
+        asked |= self.saw.pop()
+        self.saw[-1] |= asked
+        self.guards = guards
+        self.depth -= 1
         closer = self.take()
         if {"(": ")", "[": "]", "{": "}"}[opener.text] != closer.text:
             raise SyntaxProblem(f"{opener.text} is closed by {closer.text}", opener.start, closer.stop)
 
     def call(self, callee: Token) -> None:
-        stop = matching(self.t, self.at)
+        stop = self.matching(self.at)
         if stop is None:
             raise SyntaxProblem("( is not closed", self.peek().start, self.t[-1].stop)
         low, high, kws = arguments(self.t[self.at + 1 : stop])
         before = self.t[self.at - 2] if self.at > 1 else None
-        own = before is not None and before.text in ("function", "macro", ".") or self.defines(stop)
+        own = before is not None and before.text in ("function", "macro", ".") or self.defines(stop) or callee.start in self.heads
         if not own:
             self.f.calls.append((callee.text, low, high, kws, callee.start, self.t[stop].stop))
-        if callee.text in ("include", "includet") and not (before is not None and before.text in ("function", ".")):
-            inside = [t for t in self.t[self.at + 1 : stop] if t.kind != "newline"]
+        inside = [t for t in self.t[self.at + 1 : stop] if t.kind != "newline"] if callee.text in ("include", "includet") else []
+        # a call of one argument; a method's own head isn't a call
+        if inside and low == high == 1 and not kws and callee.start not in self.heads and not (before is not None and before.text in ("function", "macro", ".")):
             target = static_path(inside) if not self.functions else None
             self.f.includes.append((self.next_order(), target, self.guards > 0, self.test, list(self.path), callee.start))
         self.brackets()
@@ -493,6 +562,8 @@ class _Parser:
         self.in_macro = True
         name = t.text.rpartition(".")[2]
         name = name if name.startswith("@") else "@" + name
+        if name in _GUARDS:
+            self.saw[-1] = True
         if name == "@show":
             self.f.findings.append(("debug_statement", "a debugging statement", t.start, t.stop))
         elif name == "@async":
@@ -503,7 +574,9 @@ class _Parser:
                 self.f.tests.append((name[1:], label, t.start))
                 if label is None:
                     self.f.findings.append(("testitem_errors", "a test item needs a name", t.start, t.stop))
-            saved, self.test = self.test, len(self.f.nodes)
+            saved = self.test
+            if name in TEST_MODULES and self.test is None:
+                self.test = len(self.f.nodes)
             self.scopes += 1
             self.in_macro = False
             self.open_scope("test")
@@ -524,6 +597,7 @@ class _Parser:
         if kind in ("function", "macro", "module", "baremodule", "struct"):
             self.at -= 1
             return {"struct": self.datatype, "module": self.module, "baremodule": self.module}.get(kind, self.function)()
+        self.deeper()
         i = self.node(kind, None, opener.start)
         loop, scope = kind in ("for", "while"), kind in ("let", "do", "for", "while", "try")
         guarded = 0
@@ -536,7 +610,7 @@ class _Parser:
             elif kind in ("do", "let"):
                 self.header_names(kind)
             self.condition(kind, conditions)
-            guarded = kind == "if" and any(x in _GUARDS for x in conditions[-1])
+            guarded = int(kind == "if" and any(x in _GUARDS for x in conditions[-1]))
         self.loops += loop
         self.scopes += scope
         self.guards += guarded
@@ -547,7 +621,10 @@ class _Parser:
                 start = self.at
                 self.condition("if", conditions)
                 own = conditions[-1]
-                if own in conditions[:-1] and "(" not in own and not any(x.startswith("@") for x in own):
+                if any(x in _GUARDS for x in own):
+                    self.guards += 1
+                    guarded += 1
+                if own and own in conditions[:-1] and "(" not in own and not any(x.startswith("@") for x in own):
                     self.f.findings.append(("duplicate_branch_condition", "an earlier branch has this condition", self.t[start].start, self.t[self.at - 1].stop))
             elif word.text == "catch" and self.peek() and self.peek().kind == "name":
                 self.bind(self.take(), "caught")
@@ -557,6 +634,7 @@ class _Parser:
         self.guards -= guarded
         self.scopes -= scope
         self.loops -= loop
+        self.depth -= 1
         self.close(i, self.end(opener))
 
     def loop_names(self, kind: str) -> None:

@@ -143,11 +143,15 @@ def symbol_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH w AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS name FROM part),
-s AS (SELECT name, least(levenshtein(name, 'bolt'), levenshtein(name[1:ceil(length(name) / 2)::INTEGER], 'bolt') + 1) AS score FROM w)
-SELECT name, score::BIGINT AS score FROM s WHERE score < 2 ORDER BY score, name LIMIT 25""")
+n AS (SELECT name FROM w UNION ALL SELECT name || 's' FROM w UNION ALL SELECT name || 'ify' FROM w UNION ALL SELECT substr(name, 2) FROM w UNION ALL SELECT upper(name) FROM w),
+s AS (SELECT name, CASE WHEN name = 'bolt' THEN 0.0 WHEN starts_with(lower(name), 'bolt') THEN 0.5 * levenshtein(lower(name), 'bolt') ELSE levenshtein(lower(name), 'bolt') END::DOUBLE AS score FROM (SELECT DISTINCT name FROM n))
+SELECT name, score FROM s WHERE score < 2 ORDER BY score, name LIMIT 25""")
 def doc_search(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).distinct()
-    return symbols.doc_search(words, "bolt").select("name", F.col("score").cast("long").alias("score"))
+    """Words of the parts' names, with endings, without their first letters and in capitals."""
+    words = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w"))
+    w = F.col("w")
+    forms = F.array(w, F.concat(w, F.lit("s")), F.concat(w, F.lit("ify")), F.substring(w, 2, 1000), F.upper(w))
+    return symbols.doc_search(words.select(F.explode(forms).alias("name")).distinct(), "bolt").select("name", "score")
 
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:

@@ -61,6 +61,24 @@ def glob_scope(spark: SparkSession, d: str) -> DataFrame:
     return config.scoped(files(spark, d).select("uri"), found)
 
 
+#: Patterns, and what each means as SQL over p, a path below the folder: only a slash at the end takes what is below, [^..] is a negation, a backslash a slash, an open bracket itself, and an empty pattern has no file.
+_RULES = [
+    ("src2", "p = 'src2' OR p LIKE '%/src2'"), ("src2/", "starts_with(p, 'src2/') OR p LIKE '%/src2/%'"), ("en/src2", "p = 'en/src2'"), ("/en/src2/", "starts_with(p, 'en/src2/')"), ("en\\src1/*.jl", "regexp_full_match(p, 'en/src1/[0-9]+.jl')"),
+    ("[^de]*/", "regexp_matches(p, '(^|/)[^de/][^/]*/')"), ("*[!0-5].jl", "substr(p, -4, 1) NOT IN ('0', '1', '2', '3', '4', '5') AND p LIKE '%.jl'"), ("**/src1/**", "p LIKE 'src1/%' OR p LIKE '%/src1/%'"), ("?r/src?/?.jl", "regexp_full_match(p, '[^/]r/src[^/]/[^/].jl')"), ("[src", "p LIKE '%[src'"), ("", "p = ''"),
+]
+
+
+@query(f"""
+WITH f AS (SELECT ltrim({URI}, '/') AS p FROM documents)
+SELECT rule, count(*)::BIGINT AS n, min(p) AS first_path, max(p) AS last_path FROM ({" UNION ALL ".join(f"SELECT {i} AS rule, p FROM f WHERE {sql}" for i, (_, sql) in enumerate(_RULES))}) GROUP BY rule""")
+def glob_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What each of _RULES takes of the documents' paths."""
+    own = files(spark, d).select(F.ltrim("uri", F.lit("/")).alias("p"))
+    hits = F.array(*[F.when(globs.selected(F.col("p"), [g], []), F.lit(i)) for i, (g, _) in enumerate(_RULES)])
+    rows = own.select("p", F.explode(F.array_compact(hits)).alias("rule"))
+    return rows.groupBy("rule").agg(F.count("*").alias("n"), F.min("p").alias("first_path"), F.max("p").alias("last_path"))
+
+
 @query(f"""
 SELECT {URI} AS uri, CASE WHEN source IN ('src1', 'src2', 'src3') THEN '/' || lang || '/' || source WHEN lang IN ('en', 'de') THEN '/' || lang END AS config_dir FROM documents""")
 def nearest_config(spark: SparkSession, d: str) -> DataFrame:

@@ -12,23 +12,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from arborq.operators import relational
-
 CHANGES = "seq long, op string, uri string, content string"
 
 
 def errors(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """(seq, op, uri) of changes that don't fit what is there when their turn comes."""
-    own = Window.partitionBy("uri").orderBy("seq")
+    """(seq, op, uri) of changes that don't fit what is there when their turn comes.
+
+    Whatever was there before, a file is there after an `add` and isn't after a `remove`, be they errors or not; an `update`
+    changes nothing about it. So the last of those two before a change tells, and no fold is needed.
+    """
+    own = Window.partitionBy("uri").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     there = state.select("uri", F.lit(True).alias("there")).dropDuplicates(["uri"])
-    before = F.lag("op").over(own)
-    rows = changes.join(there, "uri", "left").withColumn("exists", F.when(before.isNotNull(), before != "remove").otherwise(F.coalesce("there", F.lit(False))))
+    before = F.last(F.when(F.col("op") != "update", F.col("op") == "add"), ignorenulls=True).over(own)
+    rows = changes.join(there, "uri", "left").withColumn("exists", F.coalesce(before, "there", F.lit(False)))
     return rows.where((F.col("op") == "add") == F.col("exists")).select("seq", "op", "uri")
 
 
+def outcome(changes: DataFrame) -> DataFrame:
+    """(uri, op, content, added, updates): what a batch of changes that fit makes of each file: the last change, whether the file was added anew, and updates since then."""
+    begun = changes.groupBy("uri").agg(F.max(F.when(F.col("op") == "add", F.col("seq"))).alias("begun"))
+    rows = changes.join(begun, "uri")
+    since = F.col("begun").isNull() | (F.col("seq") > F.col("begun"))
+    return rows.groupBy("uri").agg(
+        F.max_by("op", "seq").alias("op"), F.max_by(F.struct("content"), "seq")["content"].alias("content"), F.first("begun").isNotNull().alias("added"), F.count(F.when(since & (F.col("op") == "update"), 1)).alias("updates")
+    )
+
+
 def applied(state: DataFrame, changes: DataFrame) -> DataFrame:
     """state (uri, content) after the changes."""
-    last = relational.latest(changes.select("uri", "seq", "op", "content"), ["uri"], ["seq"])
+    last = outcome(changes)
     kept = state.select("uri", "content").join(last.select("uri"), "uri", "left_anti")
     return kept.unionByName(last.where("op <> 'remove'").select("uri", "content"))
 

@@ -92,10 +92,18 @@ class Workspace:
         self.add_files(folders.scan(self.spark, folder, max_julia_files))
 
     def apply(self, feed: DataFrame) -> DataFrame:
-        """A batch of changes (seq, op, uri, content); gives those that didn't fit and were passed over."""
+        """A batch of changes (seq, op, uri, content); gives those that didn't fit and were passed over. A file that is updated keeps its language, and whether it is regular; its revision counts the updates."""
         wrong = changes.errors(self.files, feed)
-        kept = changes.applied(self.files, feed.join(wrong.select("seq"), "seq", "left_anti"))
-        self._set(_as_files(kept))
+        last = changes.outcome(feed.join(wrong.select("seq"), "seq", "left_anti"))
+        kept = self.files.join(last.select("uri"), "uri", "left_anti")
+        before = self.files.select("uri", F.col("language_id").alias("language_before"), F.col("revision").alias("before"), F.col("is_regular").alias("regular_before"))
+        new = last.where("op <> 'remove'").join(before, "uri", "left")
+        stays = ~F.col("added")
+        new = new.select(
+            "uri", "content", F.when(stays, F.col("language_before")).otherwise(paths.language_of(F.col("uri"))).alias("language_id"),
+            (F.when(stays, F.col("before")).otherwise(1) + F.col("updates")).alias("revision"), F.when(stays, F.col("regular_before")).otherwise(True).alias("is_regular"),
+        )
+        self._set(kept.unionByName(new))
         return wrong
 
     def set_indirect(self, files: DataFrame | None, *gone: str) -> None:
@@ -227,12 +235,11 @@ class Workspace:
         return self.packages().join(content, "project").select(projects.project_fields(F.col("content")).getField("name").alias("name"))
 
     def diagnostics(self) -> DataFrame:
-        """findings with severity, of regular files in scope; a configuration file is in its own scope."""
+        """findings with severity, of regular files in scope. A configuration file that leaves itself out still reports, but not one that a configuration above its folder leaves out."""
         found = self.lint_configs()
         regular = self.files.where("is_regular").select("uri")
-        scope = config.scoped(regular, found)
-        own = found.select(F.col("config").alias("uri"), F.lit(True).alias("is_config"))
-        scope = scope.join(own, "uri", "left").select("uri", (F.col("in_scope") | F.coalesce("is_config", F.lit(False))).alias("in_scope"))
+        every = found.select("config").unionByName(config.configs(self.files, self.format_config).select("config"))
+        scope = config.scoped(regular, found).join(config.scoped_above(every, found), F.col("uri") == F.col("config"), "left").select("uri", F.coalesce("by_others", "in_scope").alias("in_scope"))
         return diagnostics.diagnostics(self.findings(), config.effective(regular, found), scope, self.ready_files(), rules.rules(self.spark))
 
     def diagnostics_per_file(self) -> DataFrame:

@@ -10,18 +10,21 @@ from arborq.functions import globs, paths, text
     "glob, path, hit",
     [
         ("*.jl", "a.jl", True), ("*.jl", "x/y/a.jl", True), ("/*.jl", "a.jl", True), ("/*.jl", "x/a.jl", False), ("src/*.jl", "src/a.jl", True), ("src/*.jl", "x/src/a.jl", False), ("src/*.jl", "src/x/a.jl", False),
-        ("src/**/*.jl", "src/a.jl", True), ("src/**/*.jl", "src/x/y/a.jl", True), ("**/gen/", "a/gen/b.jl", True), ("gen/", "gen/b.jl", True), ("gen/", "gen", False), ("gen", "gen/b.jl", True), ("a?c", "abc", True), ("a?c", "a/c", False),
+        ("src/**/*.jl", "src/a.jl", True), ("src/**/*.jl", "src/x/y/a.jl", True), ("**/gen/", "a/gen/b.jl", True), ("gen/", "gen/b.jl", True), ("gen/", "gen", False), ("gen", "gen/b.jl", False), ("gen", "x/gen", True), ("src/gen", "src/gen/a.jl", False), ("src/gen/", "src/gen/a.jl", True), ("a?c", "abc", True), ("a?c", "a/c", False),
         ("[ab].jl", "a.jl", True), ("[!ab].jl", "a.jl", False), ("[!ab].jl", "c.jl", True), ("a.b", "axb", False), ("docs/**", "docs/x/y", True),
+        ("[^ab].jl", "a.jl", False), ("[^ab].jl", "c.jl", True), ("[]x].jl", "].jl", True), ("[]x].jl", "y.jl", False), ("[a&&b].jl", "&.jl", True), ("src\\a.jl", "src/a.jl", True), ("[ab", "[ab", True), ("[ab", "a", False), ("", "", True), ("", "a", False), ("a{1}+(b)", "a{1}+(b)", True), ("x**/y", "x1/2/y", True),
     ],
 )
 def test_globs(glob, path, hit):
     assert bool(re.search(globs.glob_to_regex(glob), path)) == hit
 
 
-@pytest.mark.parametrize("glob", ["", "/", "[ab"])
-def test_bad_globs(glob):
-    with pytest.raises(ValueError):
-        globs.glob_to_regex(glob)
+def test_globs_in_java_are_as_in_python(spark):
+    patterns = ["*.jl", "src/**/b[]x!].jl", "[^a-c]?", "[a&&b]", "[a[b]", "gen", "gen/", "a\\b", "[ab", "**/x", "x**"]
+    names = ["a.jl", "x/a.jl", "src/b].jl", "src/q/bx.jl", "d1", "a1", "&", "[", "gen", "gen/a", "y/gen", "a/b", "[ab", "x", "y/x", "xyz/1"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", *[F.col("n").rlike(globs.glob_to_regex(g)).alias(f"g{i}") for i, g in enumerate(patterns)])
+    for r in df.collect():
+        assert [r[f"g{i}"] for i in range(len(patterns))] == [bool(re.search(globs.glob_to_regex(g), r["n"])) for g in patterns], r["n"]
 
 
 def test_selection_by_lists_and_by_columns(spark):

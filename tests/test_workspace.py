@@ -8,6 +8,7 @@ from arborq.operators import analysis, config, diagnostics, projects, rules
 from arborq.parser.parser import parse
 from arborq.sources import caches, folders
 from arborq.streaming import changes, state
+from arborq.workspace import Workspace
 
 
 def files(spark, content):
@@ -37,7 +38,7 @@ def test_config_layers(spark):
 
 
 def test_config_errors():
-    got = config.parse_config('presett = 1\npreset = "loud"\ninclude = ["[x"]\n[rules]\nnosuch = "off"\nasync_task = "loud"\n')
+    got = config.parse_config('presett = 1\npreset = "loud"\ninclude = [1]\n[rules]\nnosuch = "off"\nasync_task = "loud"\n')
     assert len(got["errors"]) == 5 and got["preset"] == "default"
     assert config.parse_config("= 1")["errors"][0].startswith("not TOML")
     assert config.parse_config(None)["errors"] == []
@@ -230,6 +231,90 @@ def test_change_errors(spark):
     assert {r["seq"] for r in changes.errors(now, spark.createDataFrame(rows, changes.CHANGES)).collect()} == {1, 2, 6}
 
 
+def test_errors_of_a_feed_in_order(spark):
+    """Against a fold over the changes, one after another."""
+    import random
+
+    r = random.Random(3)
+    for _ in range(4):
+        there = {u for u in "abcd" if r.random() < 0.5}
+        rows = [(i, r.choice(["add", "update", "remove"]), r.choice("abcdef"), f"text {i}") for i in range(60)]
+        files = {u: ("old", 5) for u in there}
+        wrong = set()
+        for seq, op, uri, content in rows:
+            if (op == "add") == (uri in files):
+                wrong.add(seq)
+            elif op == "remove":
+                del files[uri]
+            else:
+                files[uri] = (content, files[uri][1] + 1 if op == "update" else 1)
+        w = Workspace(spark, spark.createDataFrame([(u, "old", "julia", 5, u != "a") for u in there], "uri string, content string, language_id string, revision long, is_regular boolean"))
+        got = w.apply(spark.createDataFrame(rows, changes.CHANGES))
+        assert {x["seq"] for x in got.collect()} == wrong
+        assert {x["uri"]: (x["content"], x["revision"]) for x in w.files.collect()} == files
+
+
+def test_a_feed_keeps_what_is_known_of_files(spark):
+    w = Workspace(spark)
+    w.add_file("untitled:1", "f()", "julia")
+    w.add_file("/s/a.jl", "x = 1")
+    w.set_indirect(spark.createDataFrame([("/o/z.jl", "1"), ("/o/y.jl", "1")], "uri string, content string"))
+    rows = [(1, "update", "untitled:1", "g()"), (2, "update", "/s/b.jl", "not there"), (3, "add", "/s/b.jl", "y"), (4, "update", "untitled:1", "h()"), (5, "update", "/o/z.jl", "2"), (6, "remove", "/s/a.jl", None), (7, "add", "/s/a.jl", "z")]
+    assert {r["seq"] for r in w.apply(spark.createDataFrame(rows, changes.CHANGES)).collect()} == {2}
+    got = {r["uri"]: (r["content"], r["language_id"], r["revision"], r["is_regular"]) for r in w.files.collect()}
+    assert got == {"untitled:1": ("h()", "julia", 3, True), "/s/a.jl": ("z", "julia", 1, True), "/s/b.jl": ("y", "julia", 1, True), "/o/z.jl": ("2", "julia", 2, False), "/o/y.jl": ("1", "julia", 1, False)}
+
+
+def test_which_excluded_configs_report(spark):
+    """One that leaves itself out does, one that another above leaves out doesn't."""
+    bad = "nosuch = 1\n"
+    w = Workspace(spark)
+    w.add_files(files(spark, {"/p/lint.toml": bad + 'exclude = ["**"]', "/q/lint.toml": 'exclude = ["vendor/"]', "/q/vendor/x/lint.toml": bad, "/q/own/lint.toml": bad, "/q/vendor/a.jl": "x == NaN"}))
+    got = {(r["uri"], r["rule_id"]) for r in w.diagnostics().select("uri", "rule_id").collect()}
+    assert got >= {("/p/lint.toml", "config_errors"), ("/q/own/lint.toml", "config_errors")}
+    assert not any(u.startswith("/q/vendor") for u, _ in got)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('isfile("a.jl") && include("a.jl")', [("a.jl", True)]), ('@isdefined(X) || include("a.jl")', [("a.jl", True)]), ('(isfile(x)) && (y; include("a.jl"))', [("a.jl", True)]), ('isfile(x) ? include("a.jl") : include("b.jl")', [("a.jl", True), ("b.jl", True)]),
+        ('isfile(x) && y\ninclude("a.jl")', [("a.jl", False)]), ('f(isfile(x), y && include("a.jl"))', [("a.jl", False)]), ('x && include("a.jl")', [("a.jl", False)]),
+        ('if isfile(x)\n include("a.jl")\nelse\n include("b.jl")\nend\ninclude("c.jl")', [("a.jl", True), ("b.jl", True), ("c.jl", False)]), ('if x\n include("a.jl")\nelseif ispath(y)\n include("b.jl")\nelse\n include("c.jl")\nend', [("a.jl", False), ("b.jl", True), ("c.jl", True)]),
+        ('f() = include("a.jl")', [(None, False)]), ('function f()\n include("a.jl")\nend', [(None, False)]), ("include(p::T) = 1", []), ("include(p::T)::Int = 1\ninclude(f, x) = 2", []), ("function include(p)\n 1\nend", []), ('include(mapexpr, "a.jl")', []), ("include(x)", [(None, False)]),
+    ],
+)
+def test_includes(text, want):
+    assert [(x[1], x[2]) for x in parse(text).includes] == want
+
+
+def test_which_test_bodies_are_modules():
+    f = parse('@testset "s" begin\n include("a.jl")\nend\n@testitem "t" begin\n include("b.jl")\n @testitem "u" begin\n  include("c.jl")\n end\nend\ninclude("d.jl")')
+    bodies = [x[3] for x in f.includes]
+    assert bodies[0] is None and bodies[1] is not None and bodies[2] == bodies[1] and bodies[3] is None
+
+
+def test_broken_code_is_a_finding_and_no_error():
+    import random
+
+    from arborq.parser import parser
+    from arborq.parser.lexer import SyntaxProblem
+
+    r = random.Random(1)
+    words = 'try local const global function end macro module struct mutable abstract primitive type if elseif else for while let do begin quote catch finally import using export public return where in a b f include ( ) [ ] { } , ; . :: = == && || ? : -> ... @testitem @testset @show "s" "$(a)" \'c\' 1 @isdefined isfile'.split() + ["\n"]
+    for _ in range(20_000):
+        text = " ".join(r.choices(words, k=r.randint(1, 14)))
+        try:
+            parser.parsed(text, parser.Facts())
+        except SyntaxProblem:
+            pass
+        except Exception as e:
+            raise AssertionError(text) from e
+    for text in ("(" * 3000 + ")" * 3000, "f(" * 5000, "begin " * 2000, "try local", "module M\nfunction f(x)\n g(", "if a else if b else " * 500):
+        f = parse(text)
+        assert f.findings[-1][0] == "syntax_errors" and all(n[5] >= 0 for n in f.nodes)
+
+
 def test_states_over_a_stream(spark, tmp_path):
     path = tmp_path / "in"
     path.mkdir()
