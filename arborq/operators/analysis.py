@@ -15,15 +15,16 @@ from arborq.parser.parser import parse
 
 TABLES = {
     "nodes": "node_id int, parent_id int, kind string, name string, start int, stop int",
-    "items": "ord int, name string, qualifier array<string>, kind string, module array<string>, min_args int, max_args int, kws array<string>, kwsplat boolean, start int",
-    "imports": "ord int, keyword string, dots int, path array<string>, names array<string>, module array<string>, start int",
-    "exports": "name string, kind string, module array<string>",
+    "items": "ord int, name string, qualifier array<string>, kind string, module array<string>, min_args int, max_args int, kws array<string>, kwsplat boolean, start int, name_start int",
+    "imports": "ord int, keyword string, dots int, path array<string>, names array<string>, module array<string>, start int, called array<string>, starts array<int>",
+    "exports": "name string, kind string, module array<string>, start int",
     "includes": "ordinal int, target string, guarded boolean, testitem int, module array<string>, start int",
     "calls": "callee string, min_args int, max_args int, kws array<string>, start int, stop int",
     "tests": "kind string, label string, start int",
     "scopes": "scope_id int, kind string, module array<string>, outward array<int>",
     "bindings": "scope_id int, name string, kind string, start int",
     "refs": "scope_id int, name string, start int, in_macro boolean",
+    "members": "qualifier array<string>, name string, module array<string>, start int",
     "findings": "rule_id string, message string, start int, stop int",
 }
 FACTS = "uri string, " + ", ".join(f"{t} array<struct<{', '.join(c.replace(' ', ': ', 1) for c in cols.split(', '))}>>" for t, cols in TABLES.items())
@@ -56,8 +57,8 @@ def inventory_hash(found: DataFrame) -> DataFrame:
     """(uri, hash) of what other files can see: no places and no bodies, so that an edit inside a body leaves it as it is."""
     seen = F.struct(
         F.transform("items", lambda x: F.struct(x["name"], x["qualifier"], x["kind"], x["module"], x["min_args"], x["max_args"], x["kws"], x["kwsplat"])).alias("i"),
-        F.transform("imports", lambda x: F.struct(x["keyword"], x["dots"], x["path"], x["names"], x["module"])).alias("m"),
-        F.col("exports").alias("e"),
+        F.transform("imports", lambda x: F.struct(x["keyword"], x["dots"], x["path"], x["names"], x["called"], x["module"])).alias("m"),
+        F.transform("exports", lambda x: F.struct(x["name"], x["kind"], x["module"])).alias("e"),
         F.transform("includes", lambda x: F.struct(x["target"], x["guarded"], x["module"])).alias("n"),
     )
     return found.select("uri", F.sha2(F.to_json(seen), 256).alias("hash"))
@@ -72,27 +73,78 @@ def include_records(found: DataFrame) -> DataFrame:
     return rows.select(F.col("uri").alias("src"), "ordinal", full.alias("target"), "guarded", "testitem", "module")
 
 
+SPLICED = "root string, file string, path array<string>, at array<int>"
+
+
 def module_files(records: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, file, path): the module path that each file of a root's tree is first spliced at, outer modules first.
+    """(root, file, path, at): the module path that each file of a root's tree is first spliced at, outer modules first, and its place in the order of splicing.
 
-    Level by level down the includes that aren't guarded by null targets; a file once met under a root isn't entered again
-    (of several includes at one level the first in source order is taken).
+    Includes are in-place, so the walk is depth-first in source order; a file that was met before isn't entered again.
+    Includes in bodies of test items are left out. Only the part of the graph below a root goes to that root's task.
     """
-    seen = graph.stored(roots.select(F.col("node").alias("root"), F.col("node").alias("file"), F.array().cast("array<string>").alias("path"), F.array(F.lit(0)).alias("at")))
-    frontier = seen
-    edges = records.where("target is not null and testitem is null").join(files.select(F.col("uri").alias("target")), "target", "left_semi")
-    while not frontier.isEmpty():
-        step = frontier.join(edges, F.col("file") == F.col("src")).select("root", F.col("target").alias("file"), F.concat("path", "module").alias("path"), F.concat("at", F.array("ordinal")).alias("at"))
-        first = step.groupBy("root", "file").agg(F.min(F.struct("at", "path")).alias("x")).select("root", "file", "x.path", "x.at")
-        frontier = graph.stored(first.join(seen.select("root", "file"), ["root", "file"], "left_anti"))
-        seen = seen.unionByName(frontier)
-    return seen
+    there = files.select(F.col("uri").alias("target"))
+    edges = records.where("target is not null and testitem is null").select("src", "ordinal", "target", "module").join(there, "target", "left_semi")
+    below = graph.closure(roots.select(F.col("node").alias("src")), edges.select("src", F.col("target").alias("dst"))).select(F.col("src").alias("root"), F.col("dst").alias("src"))
+    rows = below.join(edges, "src").select("root", "src", "ordinal", "target", "module")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    walked = rows.repartition(n, "root").sortWithinPartitions("root", "src", "ordinal", "target").mapInArrow(_splices, SPLICED)
+    own = roots.select(F.col("node").alias("root"), F.col("node").alias("file"), F.array().cast("array<string>").alias("path"), F.array(F.lit(0)).alias("at"))
+    return graph.stored(own.unionByName(walked))
+
+
+def _splices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by root, and by ordinal in a file; those of one root are held at a time."""
+    types = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()))
+    names = [x.split()[0] for x in SPLICED.split(", ")]
+
+    def batch_of(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+
+    root, by_file = None, {}
+    for batch in batches:
+        out: list[tuple] = []
+        for r, src, ordinal, target, module in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if r != root and by_file:
+                out += _spliced(root, by_file)
+                by_file = {}
+            root = r
+            by_file.setdefault(src, []).append((ordinal, target, module))
+        yield batch_of(out)
+    yield batch_of(_spliced(root, by_file) if by_file else [])
+
+
+def _spliced(root: str, by_file: dict[str, list[tuple]]) -> list[tuple]:
+    out, met = [], {root}
+    stack = [(iter(by_file.get(root, ())), [], [0])]
+    while stack:
+        left, path, at = stack[-1]
+        for ordinal, target, module in left:
+            if target not in met:
+                met.add(target)
+                own = (path + module, [*at, ordinal])
+                out.append((root, target, *own))
+                stack.append((iter(by_file.get(target, ())), *own))
+                break
+        else:
+            stack.pop()
+    return out
+
+
+def splices(found: DataFrame) -> DataFrame:
+    """`module_files` of all files with facts, from the roots among them; files of a cycle without a root are roots themselves."""
+    records = include_records(found)
+    nodes = found.select(F.col("uri").alias("node"))
+    edges = records.where("target is not null").select("src", F.col("target").alias("dst"))
+    roots = graph.roots(nodes, edges)
+    out = module_files(records, found.select("uri"), roots)
+    lost = nodes.join(out.select(F.col("file").alias("node")), "node", "left_anti")
+    return out.unionByName(lost.select(F.col("node").alias("root"), F.col("node").alias("file"), F.array().cast("array<string>").alias("path"), F.array(F.lit(0)).alias("at")))
 
 
 def declarations(found: DataFrame, spliced: DataFrame) -> DataFrame:
     """Items of all files with the module they are in under a root: (root, path, name, kind, uri, ord, at)."""
     rows = child(found, "items").join(spliced.withColumnRenamed("file", "uri").withColumnRenamed("path", "base"), "uri")
-    return rows.select("root", F.concat("base", "module").alias("path"), "name", "qualifier", "kind", "min_args", "max_args", "kws", "kwsplat", "uri", "ord", F.concat("at", F.array("ord")).alias("at"))
+    return rows.select("root", F.concat("base", "module").alias("path"), "name", "qualifier", "kind", "min_args", "max_args", "kws", "kwsplat", "uri", "ord", "start", "name_start", F.concat("at", F.array("ord")).alias("at"))
 
 
 def test_ids(found: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborq.operators import relational, symbols
+from arborq.operators import analysis, graph, relational, symbols
 from arborq.operators.analysis import child
 
 FINDING = ("uri", "rule_id", "message", "start", "stop")
@@ -28,9 +28,9 @@ def bound_uses(found: DataFrame) -> DataFrame:
     return best.select("uri", "scope_id", "name", "start", "b.bound_scope", "b.kind")
 
 
-def free_uses(found: DataFrame) -> DataFrame:
-    """(uri, name, start, in_macro, module): uses that no scope of their file binds."""
-    free = child(found, "refs").join(bound_uses(found).select("uri", "name", "start"), ["uri", "name", "start"], "left_anti")
+def free_uses(found: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """(uri, name, start, in_macro, module): uses that no scope of their file binds. bound: `bound_uses`, if at hand."""
+    free = child(found, "refs").join((bound_uses(found) if bound is None else bound).select("uri", "name", "start"), ["uri", "name", "start"], "left_anti")
     return free.join(child(found, "scopes").select("uri", "scope_id", "module"), ["uri", "scope_id"]).select("uri", "name", "start", "in_macro", "module")
 
 
@@ -102,25 +102,123 @@ def unfit_calls(found: DataFrame) -> DataFrame:
     return _finding(symbols.unfit_calls(calls, methods, "callee", fits), "incorrect_call_args", F.concat(F.lit("no method of "), "callee", F.lit(" takes these arguments")), F.col("stop"))
 
 
-def definitions(found: DataFrame, points: DataFrame) -> DataFrame:
-    """(uri, offset, name, target_uri, target_start): where the name at each place is bound in its file, or declared in any."""
-    uses = child(found, "refs").withColumn("stop", F.col("start") + F.char_length("name"))
-    at = relational.innermost(points, uses.select("uri", "name", "scope_id", "start", "stop"), ["uri"], "offset", "start", "stop").select("uri", "offset", "name", "scope_id", "start")
-    own = at.join(bound_uses(found).select("uri", "name", "start", "bound_scope"), ["uri", "name", "start"], "left")
-    first = child(found, "bindings").groupBy("uri", F.col("scope_id").alias("bound_scope"), "name").agg(F.min("start").alias("target_start"))
-    local = own.where("bound_scope is not null").join(first, ["uri", "bound_scope", "name"]).select("uri", "offset", "name", F.col("uri").alias("target_uri"), "target_start")
-    items = child(found, "items").select("name", F.col("uri").alias("target_uri"), F.col("start").alias("target_start"))
-    return local.unionByName(own.where("bound_scope is null").join(items, "name").select("uri", "offset", "name", "target_uri", "target_start"))
-
-
-def references(found: DataFrame, points: DataFrame) -> DataFrame:
-    """(uri, offset, name, ref_uri, ref_start): all uses of what the name at each place stands for: of the same binding in its file, or of the name where it is free and declared in some file."""
-    uses = child(found, "refs").withColumn("stop", F.col("start") + F.char_length("name"))
-    at = relational.innermost(points, uses.select("uri", "name", "start", "stop"), ["uri"], "offset", "start", "stop").select("uri", "offset", "name", "start")
-    bound = bound_uses(found).select("uri", "name", "start", "bound_scope")
-    own = at.join(bound, ["uri", "name", "start"], "left")
-    others = bound.select("uri", "name", "bound_scope", F.col("start").alias("ref_start"))
-    local = own.where("bound_scope is not null").join(others, ["uri", "name", "bound_scope"]).select("uri", "offset", "name", F.col("uri").alias("ref_uri"), "ref_start")
-    declared = child(found, "items").select("name").distinct()
-    free = free_uses(found).join(declared, "name", "left_semi").select("name", F.col("uri").alias("ref_uri"), F.col("start").alias("ref_start"))
-    return local.unionByName(own.where("bound_scope is null").join(free, "name").select("uri", "offset", "name", "ref_uri", "ref_start")).distinct()
+def modules_of(found: DataFrame, spliced: DataFrame) -> DataFrame:
+    """(root, path) of all modules, the roots' own among them."""
+    own = in_modules(child(found, "items").where("kind IN ('module', 'baremodule')").select("uri", "name", "module"), spliced)
+    return own.select("root", F.concat("path", F.array("name")).alias("path")).unionByName(spliced.select("root", F.array().cast("array<string>").alias("path"))).distinct()
+
+
+def reached(rows: DataFrame, modules: DataFrame, dots: str, wanted: str) -> DataFrame:
+    """rows (root, path, ...) with the module (to_root, to_path) that their array `wanted` names from there.
+
+    With dots, from as many modules out, less one. Without, the nearest module of that path inside one of those around, or
+    else one of that path under any root. Rows whose module isn't there are left out.
+    """
+    own = rows.columns
+    depth = F.size("path")
+    outward = F.when(F.col(dots) > 0, F.array(depth - F.col(dots) + 1)).otherwise(F.sequence(F.lit(0), depth))
+    around = rows.withColumn("__n", F.explode(outward)).where("__n >= 0").withColumns({"to_root": F.col("root"), "to_path": F.concat(F.slice("path", 1, F.col("__n")), wanted)})
+    there = modules.select(F.col("root").alias("to_root"), F.col("path").alias("to_path"))
+    near = around.join(there, ["to_root", "to_path"]).select(*own, "__n", "to_root", "to_path")
+    # under other roots all of them, for a module may be spliced under several
+    far = rows.where(F.col(dots) == 0).withColumn("to_path", F.col(wanted)).join(there, "to_path").select(*own, F.lit(-1).alias("__n"), "to_root", "to_path")
+    nearest = F.max("__n").over(Window.partitionBy(*own))
+    return near.unionByName(far).withColumn("__nearest", nearest).where("__n = __nearest").drop("__n", "__nearest")
+
+
+def exposed(found: DataFrame, spliced: DataFrame, declared: DataFrame) -> DataFrame:
+    """(root, path, name, item_root, item_path, item_name): what each name means in each module: its own declarations, and what it imports from modules of the workspace, under the alias it gives."""
+    modules = graph.stored(modules_of(found, spliced))
+    items = graph.stored(declared.where("size(qualifier) = 0").select("root", "path", "name").distinct())
+    own = items.select("root", "path", "name", F.col("root").alias("item_root"), F.col("path").alias("item_path"), F.col("name").alias("item_name"))
+    imports = in_modules(child(found, "imports").withColumnRenamed("path", "wanted"), spliced)
+    columns = ["root", "path", "keyword", "dots", "wanted", "names", "called"]
+    listed = reached(imports.where("size(names) > 0").select(*columns), modules, "dots", "wanted")
+    listed = listed.select("root", "path", F.explode(F.arrays_zip("called", "names")).alias("n"), "to_root", "to_path").select("root", "path", F.col("n.called").alias("name"), F.col("to_root").alias("item_root"), F.col("to_path").alias("item_path"), F.col("n.names").alias("item_name"))
+    whole = imports.where("size(names) = 0 AND size(wanted) > 0").select(*columns)
+    exports = in_modules(child(found, "exports").select("uri", "name", "module"), spliced).select(F.col("root").alias("to_root"), F.col("path").alias("to_path"), "name")
+    used = reached(whole.where("keyword = 'using'"), modules, "dots", "wanted").join(exports, ["to_root", "to_path"]).select("root", "path", "name", F.col("to_root").alias("item_root"), F.col("to_path").alias("item_path"), F.col("name").alias("item_name"))
+    last = whole.withColumns({"item_name": F.element_at("wanted", -1), "outer": F.slice("wanted", 1, F.size("wanted") - 1), "name": F.get("called", 0)})
+    single = reached(last.where("size(outer) > 0 OR dots > 0"), modules, "dots", "outer").select("root", "path", "name", F.col("to_root").alias("item_root"), F.col("to_path").alias("item_path"), "item_name")
+    brought = listed.unionByName(used).unionByName(single)
+    there = items.select(F.col("root").alias("item_root"), F.col("path").alias("item_path"), F.col("name").alias("item_name"))
+    brought = brought.join(there, ["item_root", "item_path", "item_name"], "left_semi").join(items, ["root", "path", "name"], "left_anti")
+    return own.unionByName(brought.select(*own.columns)).distinct()
+
+
+ITEM = ["item_root", "item_path", "item_name"]
+
+
+def sites(found: DataFrame, spliced: DataFrame, declared: DataFrame) -> DataFrame:
+    """(uri, start, name, role, scope, item_root, item_path, item_name): every place that stands for something known. scope is that of a local binding, null for an item; role is use, head, import or export."""
+    # tables that several of the joins below read: stored, so that plans stay small
+    seen, within, modules = (graph.stored(x) for x in (exposed(found, spliced, declared), bound_uses(found), modules_of(found, spliced)))
+    scopes = child(found, "scopes").select("uri", "scope_id", "module")
+    none = [F.lit(None).cast("string").alias("item_root"), F.lit(None).cast("array<string>").alias("item_path"), F.lit(None).cast("string").alias("item_name")]
+    bound = within.where("kind <> 'import'").select("uri", "start", "name", F.lit("use").alias("role"), F.col("bound_scope").alias("scope"), *none)
+    heads = child(found, "bindings").where("kind <> 'import'").select("uri", "start", "name", F.lit("head").alias("role"), F.col("scope_id").alias("scope"), *none)
+    local = lambda df, role: df.select("uri", "start", "name", F.lit(role).alias("role"), F.lit(None).cast("int").alias("scope"), *ITEM)
+    # what is bound at the top of a file or module is an item, or imported
+    top = child(found, "scopes").where("kind IN ('module', 'file')").select("uri", F.col("scope_id").alias("scope"))
+    at_top = within.join(top.withColumnRenamed("scope", "bound_scope"), ["uri", "bound_scope"], "left_semi").join(scopes, ["uri", "scope_id"]).select("uri", "name", "start", "module")
+    free = in_modules(free_uses(found, within).select("uri", "name", "start", "module").unionByName(at_top), spliced)
+    uses = local(free.join(seen, ["root", "path", "name"]), "use")
+    items = declared.where("size(qualifier) = 0").select("uri", F.col("name_start").alias("start"), "name", F.col("root").alias("item_root"), F.col("path").alias("item_path"), F.col("name").alias("item_name"))
+    members = reached(in_modules(child(found, "members").withColumn("dots", F.lit(0)), spliced).select("root", "path", "uri", "name", "start", "qualifier", "dots"), modules, "dots", "qualifier")
+    members = members.select("uri", "name", "start", F.col("to_root").alias("root"), F.col("to_path").alias("path")).join(seen, ["root", "path", "name"])
+    exports = in_modules(child(found, "exports").select("uri", "name", "start", "module"), spliced).join(seen, ["root", "path", "name"])
+    imports = in_modules(child(found, "imports").withColumnRenamed("path", "wanted"), spliced)
+    last = F.element_at("wanted", -1)
+    imports = imports.select("root", "path", "uri", "dots", F.when(F.size("names") > 0, F.col("wanted")).otherwise(F.slice("wanted", 1, F.greatest(F.size("wanted") - 1, F.lit(0)))).alias("outer"), F.explode(F.arrays_zip(F.when(F.size("names") > 0, F.col("names")).otherwise(F.array(last)).alias("n"), F.col("starts").alias("s"))).alias("x"))
+    imports = reached(imports.select("root", "path", "uri", "dots", "outer", F.col("x.n").alias("name"), F.col("x.s").alias("start")), modules, "dots", "outer")
+    imports = imports.select("uri", "name", "start", F.col("to_root").alias("root"), F.col("to_path").alias("path")).join(seen, ["root", "path", "name"])
+    heads = heads.join(top, ["uri", "scope"], "left_anti").select(*heads.columns)
+    bound = bound.join(top, ["uri", "scope"], "left_anti").select(*bound.columns)
+    out = bound.unionByName(heads).unionByName(uses)
+    for df, role in ((items, "head"), (members, "use"), (exports, "export"), (imports, "import")):
+        out = out.unionByName(local(df, role))
+    return out.where("start is not null").distinct()
+
+
+def resolved(found: DataFrame, spliced: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(declarations, sites) of all files, stored: for several questions to them."""
+    spliced = analysis.splices(found) if spliced is None else spliced
+    declared = graph.stored(analysis.declarations(found, spliced))
+    return declared, graph.stored(sites(found, spliced, declared))
+
+
+def _at(points: DataFrame, every: DataFrame) -> DataFrame:
+    """(uri, offset, at_name, scope, item_root, item_path, item_name) of what stands at each place."""
+    spans = every.select("uri", "start", (F.col("start") + F.char_length("name")).alias("stop")).distinct()
+    at = relational.innermost(points, spans, ["uri"], "offset", "start", "stop").select("uri", "offset", "start")
+    return at.join(every, ["uri", "start"]).select("uri", "offset", F.col("name").alias("at_name"), "scope", *ITEM).distinct()
+
+
+def definitions(found: DataFrame, points: DataFrame, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(uri, offset, name, target_uri, target_start): where what each place stands for is bound in its file, or declared as an item of its module, of one that is imported or of the one it is qualified by."""
+    declared, every = known or resolved(found)
+    at = _at(points, every)
+    first = child(found, "bindings").groupBy("uri", F.col("scope_id").alias("scope"), F.col("name").alias("at_name")).agg(F.min("start").alias("target_start"))
+    local = at.where("scope is not null").join(first, ["uri", "scope", "at_name"]).select("uri", "offset", F.col("at_name").alias("name"), F.col("uri").alias("target_uri"), "target_start")
+    items = declared.where("size(qualifier) = 0").select(F.col("root").alias("item_root"), F.col("path").alias("item_path"), F.col("name").alias("item_name"), F.col("uri").alias("target_uri"), F.col("start").alias("target_start"))
+    return local.unionByName(at.join(items, ITEM).select("uri", "offset", F.col("at_name").alias("name"), "target_uri", "target_start")).distinct()
+
+
+def references(found: DataFrame, points: DataFrame, known: tuple[DataFrame, DataFrame] | None = None, roles: tuple[str, ...] = ("use", "import")) -> DataFrame:
+    """(uri, offset, name, ref_uri, ref_start, ref_name): all sites of what each place stands for: of the same binding in its file, or of the same item in any file, whatever it is called there. roles: those of `sites` that are wanted."""
+    every = (known or resolved(found))[1]
+    at = _at(points, every)
+    wanted = every.where(F.col("role").isin(*roles)).select(F.col("uri").alias("ref_uri"), F.col("start").alias("ref_start"), F.col("name").alias("ref_name"), F.col("scope").alias("ref_scope"), *ITEM)
+    local = at.where("scope is not null").drop(*ITEM).join(wanted.where("ref_scope is not null").drop(*ITEM), (F.col("uri") == F.col("ref_uri")) & (F.col("scope") == F.col("ref_scope")) & (F.col("at_name") == F.col("ref_name")))
+    items = at.join(wanted.where("ref_scope is null"), ITEM)
+    columns = ["uri", "offset", F.col("at_name").alias("name"), "ref_uri", "ref_start", "ref_name"]
+    return local.select(*columns).unionByName(items.select(*columns)).distinct()
+
+
+def rename_sites(found: DataFrame, points: DataFrame, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(uri, start, name): all places where what stands at a place is spelled by its own name, its declarations, exports and imports too; aliases stay."""
+    known = known or resolved(found)
+    rows = references(found, points, known, ("use", "head", "import", "export"))
+    spelled = _at(points, known[1]).select("uri", "offset", F.coalesce("item_name", "at_name").alias("spelled")).distinct()
+    rows = rows.join(spelled, ["uri", "offset"]).where(F.col("ref_name") == F.col("spelled"))
+    return rows.select(F.col("ref_uri").alias("uri"), F.col("ref_start").alias("start"), F.col("spelled").alias("name")).distinct()

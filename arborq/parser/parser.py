@@ -24,9 +24,9 @@ _GUARDS = ("isfile", "ispath", "isdefined", "@isdefined")
 @dataclass
 class Facts:
     nodes: list[tuple] = field(default_factory=list)  # (node_id, parent_id, kind, name, start, stop)
-    items: list[tuple] = field(default_factory=list)  # (ord, name, qualifier, kind, module path, min, max, kws, kwsplat, start)
-    imports: list[tuple] = field(default_factory=list)  # (ord, keyword, dots, path, names, module path, start)
-    exports: list[tuple] = field(default_factory=list)  # (name, kind, module path)
+    items: list[tuple] = field(default_factory=list)  # (ord, name, qualifier, kind, module path, min, max, kws, kwsplat, start, where the name starts)
+    imports: list[tuple] = field(default_factory=list)  # (ord, keyword, dots, path, names, module path, start, what they are called here, where they start)
+    exports: list[tuple] = field(default_factory=list)  # (name, kind, module path, start)
     includes: list[tuple] = field(default_factory=list)  # (ordinal, target or None, guarded, test node or None, module path, start)
     calls: list[tuple] = field(default_factory=list)  # (callee, min, max, kws, start, stop)
     tests: list[tuple] = field(default_factory=list)  # (kind, label or None, start)
@@ -34,6 +34,7 @@ class Facts:
     scopes: list[tuple] = field(default_factory=list)  # (scope_id, kind, module path, scopes from itself out to its module)
     bindings: list[tuple] = field(default_factory=list)  # (scope_id, name, kind, start)
     refs: list[tuple] = field(default_factory=list)  # (scope_id, name, start, in_macro)
+    members: list[tuple] = field(default_factory=list)  # (qualifier, name, module path, start): names after names and dots
 
 
 def parse(text: str | None) -> Facts:
@@ -202,12 +203,13 @@ class _Parser:
     def module(self) -> None:
         opener = self.take()
         self.deeper()
-        name = self.take().text if self.peek() else ""
+        called = self.take() if self.peek() else opener
+        name = called.text if called is not opener else ""
         if self.path and self.path[-1] == name:
             self.f.findings.append(("module_name", f"module {name} has its parent's name", opener.start, opener.stop))
         i = self.node(opener.text, name, opener.start)
         if self.top():
-            self.f.items.append((self.next_order(), name, [], opener.text, list(self.path), None, None, [], False, opener.start))
+            self.f.items.append((self.next_order(), name, [], opener.text, list(self.path), None, None, [], False, opener.start, called.start))
         self.path.append(name)
         saved = self.functions, self.scopes, self.loops
         self.functions = self.scopes = self.loops = 0
@@ -236,36 +238,44 @@ class _Parser:
     def imported(self) -> None:
         keyword = self.take()
         toks = self.names_until_line()
-        clauses: list[tuple[int, list[str], list[str]]] = []
+        clauses: list[tuple[int, list[str], list[str], list[str], list[int]]] = []
         colon = False
         dots, path = 0, []
         names: list[str] = []
-        skip_alias = False
+        called: list[str] = []  # the names' aliases; without names, the module's
+        starts: list[int] = []
+        alias = False
         for t in toks:
             if t.text == "as":
-                skip_alias = True
+                alias = True
             elif t.text == ":" and not colon:
-                colon = True
+                colon, called = True, []
             elif t.kind == "comma":
-                skip_alias = False
+                alias = False
                 if not colon:
-                    clauses.append((dots, path, []))
-                    dots, path = 0, []
-            elif skip_alias:
-                continue
+                    clauses.append((dots, path, [], called, starts))
+                    dots, path, called, starts = 0, [], [], []
+            elif alias:
+                if t.kind in ("name", "macro"):
+                    called = [*called[:-1], t.text] if colon else [t.text]
             elif colon:
                 if t.kind in ("name", "macro", "keyword", "op") and t.text != ".":
                     names.append(t.text)
+                    called.append(t.text)
+                    starts.append(t.start)
             elif t.kind == "op" and set(t.text) == {"."}:
                 if not path:
                     dots += len(t.text)
             elif t.kind in ("name", "macro", "keyword"):
                 path.append(t.text)
-        clauses.append((dots, path, names))
-        for dots, path, names in clauses:
+                called, starts = [t.text], [t.start]
+        if colon:
+            starts = starts[-len(names) :] if names else []
+        clauses.append((dots, path, names, called, starts))
+        for dots, path, names, called, starts in clauses:
             if path or dots:
-                self.f.imports.append((self.next_order(), keyword.text, dots, path, names, list(self.path), keyword.start))
-                for name in names or path[-1:]:
+                self.f.imports.append((self.next_order(), keyword.text, dots, path, names, list(self.path), keyword.start, called, starts))
+                for name in called:
                     self.f.bindings.append((self.scope[-1], name, "import", keyword.start))
                 if dots - 1 > len(self.path):
                     self.f.findings.append(("relative_import", "more dots than there are modules around", keyword.start, keyword.stop))
@@ -276,7 +286,7 @@ class _Parser:
         kind = self.take().text
         for t in self.names_until_line():
             if t.kind in ("name", "macro", "keyword", "op"):
-                self.f.exports.append((t.text, kind, list(self.path)))
+                self.f.exports.append((t.text, kind, list(self.path), t.start))
 
     def datatype(self) -> None:
         first = self.take()
@@ -285,10 +295,11 @@ class _Parser:
         if kind in ("mutable", "abstract", "primitive"):
             self.take()
             kind = {"mutable": "mutable_struct"}.get(kind, kind)
-        name = self.take().text if self.peek() and self.peek().kind in ("name", "keyword") else ""
+        called = self.take() if self.peek() and self.peek().kind in ("name", "keyword") else first
+        name = called.text if called is not first else ""
         i = self.node(kind, name, first.start)
         if self.top():
-            self.f.items.append((self.next_order(), name, [], kind, list(self.path), None, None, [], False, first.start))
+            self.f.items.append((self.next_order(), name, [], kind, list(self.path), None, None, [], False, first.start, called.start))
         self.functions += 1
         self.open_scope("struct")
         if self.is_("{"):
@@ -323,7 +334,7 @@ class _Parser:
         if names:
             self.f.nodes[i] = (*self.f.nodes[i][:3], ".".join(names), *self.f.nodes[i][4:])
             if self.top():
-                self.f.items.append((self.next_order(), names[-1], names[:-1], opener.text, list(self.path), *arity, opener.start))
+                self.f.items.append((self.next_order(), names[-1], names[:-1], opener.text, list(self.path), *arity, opener.start, head[min(2 * len(names), len(head)) - 2].start if len(names) > 1 else head[0].start))
         self.duplicates(params)
         self.functions += 1
         saved, self.loops = self.loops, 0
@@ -426,7 +437,7 @@ class _Parser:
                 names, arity, params = signature(self.t[self.at : stop + 1])
                 if names and self.f.scopes[self.scope[-1]][1] != "struct":
                     if self.top():
-                        self.f.items.append((self.next_order(), names[-1], names[:-1], "function", list(self.path), *arity, start))
+                        self.f.items.append((self.next_order(), names[-1], names[:-1], "function", list(self.path), *arity, start, self.t[k - 1].start))
                     elif len(names) == 1:
                         self.bind(self.t[self.at], "local")
                     self.duplicates(params)
@@ -443,7 +454,7 @@ class _Parser:
             while k < len(self.t) and self.t[k].text != "=" and self.t[k].kind not in ("newline", "semicolon"):
                 k += 1
         if k < len(self.t) and self.t[k].text == "=" and len(names) == 1:
-            self.f.items.append((self.next_order(), names[0], [], declared or "assignment", list(self.path), None, None, [], False, start))
+            self.f.items.append((self.next_order(), names[0], [], declared or "assignment", list(self.path), None, None, [], False, start, start))
         return False
 
     def simple(self) -> None:
@@ -478,6 +489,8 @@ class _Parser:
                 self.f.refs.append((self.scope[-1], name, p.start, self.in_macro))
         elif p.kind == "name":
             member = prev is not None and prev.stop == p.start and (prev.text == "." or prev.text == ":" and not (self.at > 2 and self.t[self.at - 3].stop == prev.start and self.t[self.at - 3].kind in ("name", "number", "close")))
+            if member and prev.text == "." and (qualifier := self.qualifier(self.at - 2)):
+                self.f.members.append((qualifier, p.text, list(self.path), p.start))
             if nxt and nxt.text == "->":
                 self.bind(p, "argument")
             elif not member and not (self.named and self.named[-1] and nxt and nxt.text == "="):
@@ -486,6 +499,17 @@ class _Parser:
             self.call(p)
         return None
 
+    def qualifier(self, at: int) -> list[str]:
+        """The names before the dot at a place, if nothing but names and dots stand there."""
+        out: list[str] = []
+        while at > 0 and self.t[at].text == "." and self.t[at - 1].kind == "name" and self.t[at - 1].stop == self.t[at].start:
+            out.append(self.t[at - 1].text)
+            at -= 2
+            if at < 0 or self.t[at].stop != self.t[at + 1].start or self.t[at].text != ".":
+                touching = at >= 0 and self.t[at].stop == self.t[at + 1].start and self.t[at].kind in ("name", "close", "string", "number")
+                return [] if touching else out[::-1]
+        return []
+
     def operator(self) -> None:
         p, left, right = self.peek(), self.t[self.at - 1] if self.at else None, self.peek(1)
         sides = [x for x in (left, right) if x]

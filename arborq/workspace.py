@@ -151,7 +151,7 @@ class Workspace:
         return self._facts if self._facts is not None else self.refresh()
 
     def table(self, name: str) -> DataFrame:
-        """nodes, items, imports, exports, includes, calls, tests or findings."""
+        """One of analysis.TABLES, with uri."""
         return analysis.child(self.facts, name)
 
     # include graph
@@ -175,8 +175,7 @@ class Workspace:
         return graph.best_root(self.roots_for(*uris), F.col("root").contains("/test/"))
 
     def declarations(self) -> DataFrame:
-        spliced = analysis.module_files(self.include_records(), self.facts.select("uri"), self.roots())
-        return analysis.declarations(self.facts, spliced)
+        return analysis.declarations(self.facts, analysis.splices(self.facts))
 
     # projects
     def project_folders(self) -> DataFrame:
@@ -225,7 +224,7 @@ class Workspace:
         """What needs the names that the environment has: nothing, until `environment` is set."""
         if self.environment is None:
             return []
-        spliced = analysis.module_files(self.include_records(), self.facts.select("uri"), self.roots())
+        spliced = analysis.splices(self.facts)
         packages = self.environment.select(F.col("package").alias("name")).distinct().unionByName(self.workspace_packages()).distinct()
         return [resolve.missing_references(self.facts, spliced, analysis.declarations(self.facts, spliced), self.environment.select("name").distinct(), packages), resolve.unresolved_imports(self.facts, spliced, packages)]
 
@@ -291,12 +290,9 @@ class Workspace:
         return self.references(uri, *offsets).where(F.col("ref_uri") == uri)
 
     def rename_edits(self, uri: str, offset: int, name: str) -> DataFrame:
-        """(uri, start, stop, text): uses and declarations of what stands at a place, given another name."""
-        old = F.char_length("name")
-        uses = self.references(uri, offset).select(F.col("ref_uri").alias("uri"), F.col("ref_start").alias("start"), (F.col("ref_start") + old).alias("stop"))
-        heads = self.definitions(uri, offset).join(self.table("bindings").select(F.col("uri").alias("target_uri"), F.col("start").alias("target_start")), ["target_uri", "target_start"], "left_semi")
-        heads = heads.select(F.col("target_uri").alias("uri"), F.col("target_start").alias("start"), (F.col("target_start") + old).alias("stop"))
-        return uses.unionByName(heads).distinct().withColumn("text", F.lit(name))
+        """(uri, start, stop, text): all places that spell what stands at a place, given another name."""
+        rows = resolve.rename_sites(self.facts, self._points(uri, (offset,)))
+        return rows.select("uri", "start", (F.col("start") + F.char_length("name")).alias("stop"), F.lit(name).alias("text"))
 
     def document_links(self, uri: str | None = None) -> DataFrame:
         own = self.files if uri is None else self.files.where(F.col("uri") == uri)

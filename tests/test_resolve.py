@@ -109,3 +109,65 @@ def test_rename_and_environment(spark):
     w.environment = spark.createDataFrame([("Base", x) for x in ("Int", "rethrow", "include", "args")] + [("Known", "k"), ("Other", "thing")], "package string, name string")
     got = {(r["rule_id"], r["message"].split()[-1]) for r in w.findings().where("rule_id IN ('missing_reference', 'unresolved_import')").collect()}
     assert got == {("missing_reference", "missing_name"), ("unresolved_import", "Nowhere")}
+
+
+FILES = {
+    "/t/T.jl": "module T\ninclude(\"A.jl\")\ninclude(\"B.jl\")\nusing .A: foo as fa, both\nimport .B\nfa(1) + B.foo(2) + both() + T.A.foo(3)\nend\n",
+    "/t/A.jl": "module A\nexport foo, both\nfoo(x) = x\nfoo(x, y) = foo(x) + y\nboth() = foo(1)\nfunction outer()\n    foo = 1\n    return foo\nend\nend\n",
+    "/t/B.jl": "module B\nusing ..A\nfoo(x) = 2x\nbar() = foo(3) + both()\nend\n",
+}
+
+
+@pytest.fixture(scope="module")
+def tree(spark):
+    w = Workspace(spark)
+    w.add_files(spark.createDataFrame(list(FILES.items()), "uri string, content string"))
+    w.refresh()
+    return w
+
+
+def places(uri, *what):
+    """Where `what` stands, each (text, offset in it)."""
+    return {(uri, FILES[uri].index(t) + k) for t, k in what}
+
+
+def test_references_go_by_item_and_not_by_name(tree):
+    a = FILES["/t/A.jl"]
+    got = {(r["ref_uri"], r["ref_start"]) for r in tree.references("/t/A.jl", a.index("foo(x) + y")).collect()}
+    want = places("/t/A.jl", ("foo(x) + y", 0), ("foo(1)", 0)) | places("/t/T.jl", ("foo as", 0), ("fa(1)", 0), ("foo(3)", 0))
+    assert got == want
+    got = {(r["ref_uri"], r["ref_start"]) for r in tree.references("/t/T.jl", FILES["/t/T.jl"].index("foo(2)")).collect()}
+    assert got == places("/t/B.jl", ("foo(3)", 0)) | places("/t/T.jl", ("foo(2)", 0))
+    got = {(r["target_uri"], r["target_start"]) for r in tree.definitions("/t/B.jl", FILES["/t/B.jl"].index("both()")).collect()}
+    assert got == places("/t/A.jl", ("both() =", 0))
+    got = {(r["target_uri"], r["target_start"]) for r in tree.definitions("/t/T.jl", FILES["/t/T.jl"].index("fa(1)")).collect()}
+    assert got == places("/t/A.jl", ("foo(x) = x", 0), ("foo(x, y)", 0))
+
+
+def renamed(w, uri, offset, name):
+    out = dict(FILES)
+    for e in w.rename_edits(uri, offset, name).orderBy("uri", F.desc("start")).collect():
+        out[e["uri"]] = out[e["uri"]][: e["start"]] + e["text"] + out[e["uri"]][e["stop"] :]
+    return {u for u in out if out[u] != FILES[u]}, out
+
+
+def test_rename_takes_declarations_exports_and_imports_of_one_item(tree):
+    changed, out = renamed(tree, "/t/A.jl", FILES["/t/A.jl"].index("foo(1)"), "new")
+    assert changed == {"/t/A.jl", "/t/T.jl"}
+    assert out["/t/T.jl"] == FILES["/t/T.jl"].replace("foo as", "new as").replace("A.foo", "A.new")
+    assert out["/t/A.jl"] == FILES["/t/A.jl"].replace("foo", "new").replace("new = 1", "foo = 1").replace("return new", "return foo")
+    changed, out = renamed(tree, "/t/A.jl", FILES["/t/A.jl"].index("foo = 1"), "here")
+    assert changed == {"/t/A.jl"} and out["/t/A.jl"] == FILES["/t/A.jl"].replace("foo = 1", "here = 1").replace("return foo", "return here")
+    changed, out = renamed(tree, "/t/B.jl", FILES["/t/B.jl"].index("foo(x)"), "new")
+    assert changed == {"/t/B.jl", "/t/T.jl"} and out["/t/B.jl"] == FILES["/t/B.jl"].replace("foo", "new") and out["/t/T.jl"] == FILES["/t/T.jl"].replace("B.foo", "B.new")
+
+
+def test_files_are_spliced_depth_first(spark):
+    """A file that is reached deep first, and at the top later, is where it was first."""
+    text = {"/m.jl": 'module M\ninclude("a.jl")\ninclude("c.jl")\nend\ninclude("b.jl")', "/a.jl": 'module A\ninclude("b.jl")\nend', "/b.jl": 'x = 1\ninclude("c.jl")\ninclude("m.jl")', "/c.jl": "y = 1"}
+    found = analysis.facts(spark.createDataFrame(list(text.items()), "uri string, content string")).persist()
+    roots = spark.createDataFrame([("/m.jl",)], "node string")
+    got = {r["file"]: (r["path"], r["at"]) for r in analysis.module_files(analysis.include_records(found), found.select("uri"), roots).collect()}
+    assert {f: p for f, (p, _) in got.items()} == {"/m.jl": [], "/a.jl": ["M"], "/b.jl": ["M", "A"], "/c.jl": ["M", "A"]}
+    assert sorted(got, key=lambda f: got[f][1]) == ["/m.jl", "/a.jl", "/b.jl", "/c.jl"]
+    assert {r["file"]: r["path"] for r in analysis.splices(found).collect()}.keys() == text.keys()  # a cycle has no root
