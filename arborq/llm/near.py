@@ -38,8 +38,10 @@ SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 64
 PART_WORDS = 50_000
 #: Texts of a star, at most; texts of an Arrow batch in one bucket from which on they aren't sent to where the bucket is.
 STAR, HOT = 256, 64
-#: Hashed counts of a text's words, and for a first look; texts of a block, about; blocks of a bucket that one task meets all others with.
-BINS, FOLD, BLOCK, STRIPE = 1024, 256, 512, 16
+#: Hashed counts of a text's words, and for a first look.
+BINS, FOLD = 2048, 256
+#: Texts of a bucket that one task compares; of larger ones, texts of a block, about, and blocks that one task meets all others with.
+SMALL, BLOCK, STRIPE = 4096, 512, 16
 _U = np.uint64
 
 
@@ -281,48 +283,86 @@ def _verified(similarity: float):
 
 
 def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashed word counts, four bits each: cut off at 15, which only lowers the bound."""
+    """Counts of words, each labelled by its occurrence in the text, in hashed bins: two bits each, cut off at 3, which only lowers the bound."""
     for batch in slices(batches, "text"):
         words, sizes = word_hashes(texts_of(batch))
-        at = np.repeat(np.arange(len(sizes)), sizes) * BINS + (mix(words) % _U(BINS)).astype(np.int64)
-        counts = np.minimum(np.bincount(at, minlength=len(sizes) * BINS), 15).astype(np.uint8).reshape(-1, BINS // 2, 2)
-        packed = counts[:, :, 0] << 4 | counts[:, :, 1]
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((words, doc))
+        begin = np.flatnonzero(np.append(True, (words[order][1:] != words[order][:-1]) | (doc[order][1:] != doc[order][:-1]))) if len(words) else np.zeros(0, np.int64)
+        nth = np.arange(len(words)) - np.repeat(begin, np.diff(np.append(begin, len(words))))
+        at = doc * BINS + (mix(words[order] + nth.astype(np.uint64) * _U(0xA24BAED4963EE407)) % _U(BINS)).astype(np.int64)
+        counts = np.minimum(np.bincount(at, minlength=len(sizes) * BINS), 3).astype(np.uint8).reshape(-1, BINS // 4, 4)
+        packed = counts[:, :, 0] | counts[:, :, 1] << 2 | counts[:, :, 2] << 4 | counts[:, :, 3] << 6
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in packed], pa.binary())], names=["node", "profile"])
 
 
+def _unpacked(nodes: np.ndarray, labels: np.ndarray, n_words: np.ndarray, profiles: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(nodes, labels, words, hashed counts, the same in FOLD bins)"""
+    raw = np.frombuffer(b"".join(profiles), np.uint8).reshape(len(nodes), BINS // 4)
+    counts = np.empty((len(nodes), BINS), np.uint8)
+    for k in range(4):
+        counts[:, k::4] = raw >> 2 * k & 3
+    return nodes, labels, n_words, counts, counts.reshape(len(nodes), BINS // FOLD, FOLD).sum(1, dtype=np.uint8)
+
+
 def _block(column: pa.ListArray, row: int) -> tuple[np.ndarray, ...]:
-    """(nodes, labels, words, hashed counts, the same in FOLD bins) of a block."""
     of = column[row].values
-    raw = np.frombuffer(b"".join(of.field("profile").to_pylist()), np.uint8).reshape(len(of), BINS // 2)
-    counts = np.empty((len(of), BINS), np.uint8)
-    counts[:, ::2], counts[:, 1::2] = raw >> 4, raw & 15
-    folded = counts.reshape(len(of), BINS // FOLD, FOLD).sum(1, dtype=np.uint8)
-    return *(of.field(k).to_numpy(zero_copy_only=False) for k in ("node", "label", "n_words")), counts, folded
+    return _unpacked(*(of.field(k).to_numpy(zero_copy_only=False) for k in ("node", "label", "n_words")), of.field("profile").to_pylist())
+
+
+def _possible(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], similarity: float, after: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Pairs of a text in `one` with one in `other`, in different groups, whose edit distance may be within the limit. after: both are the same, and only later texts are met, by the first `after` ones."""
+    (a, la, na, pa_, fa), (b, lb, nb, pb, fb) = one, other
+    sa, sb = pa_.sum(1, dtype=np.int64), pb.sum(1, dtype=np.int64)
+    out = []
+    for i in range(len(a) if after is None else after):
+        start = 0 if after is None else i + 1
+        limit = ((1 - similarity) * np.maximum(na[i], nb[start:]) + 1e-9).astype(np.int64)
+        near = np.flatnonzero((la[i] != lb[start:]) & (np.abs(na[i] - nb[start:]) <= limit))
+        limit, at = limit[near], near + start
+        for own, others in ((fa, fb), (pa_, pb)):
+            bound = np.maximum(sa[i], sb[at]) - np.minimum(own[i], others[at]).sum(1, dtype=np.int64)
+            ok = bound <= limit
+            at, limit, bound = at[ok], limit[ok], bound[ok]
+        if len(at):
+            first = a[i] > b[at]
+            mine = lambda x, y: (np.where(first, x, y), np.where(first, y, x))  # noqa: B023, E731
+            out.append(np.stack([*mine(a[i], b[at]), *mine(la[i], lb[at]), bound]))
+    if out:
+        found = np.concatenate(out, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "label_a", "label_b", "bound"])
 
 
 def _bounds(similarity: float):
-    """Pairs of two blocks in different groups whose edit distance may be within the limit."""
+    """Possible pairs of two blocks, two at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):  # no more than two blocks at a time
-                (a, la, na, pa_, fa), (b, lb, nb, pb, fb) = (_block(batch.column(side), row) for side in ("one", "other"))
-                sa, sb = pa_.sum(1, dtype=np.int64), pb.sum(1, dtype=np.int64)
-                out = []
-                for i in range(len(a)):
-                    limit = ((1 - similarity) * np.maximum(na[i], nb) + 1e-9).astype(np.int64)
-                    at = np.flatnonzero((la[i] != lb) & (np.abs(na[i] - nb) <= limit))
-                    for own, other in ((fa, fb), (pa_, pb)):
-                        bound = np.maximum(sa[i], sb[at]) - np.minimum(own[i], other[at]).sum(1, dtype=np.int64)
-                        ok = bound <= limit[at]
-                        at, bound = at[ok], bound[ok]
-                    if len(at):
-                        first = a[i] > b[at]
-                        mine = lambda x, y: (np.where(first, x, y), np.where(first, y, x))  # noqa: B023, E731
-                        out.append(np.stack([*mine(a[i], b[at]), *mine(la[i], lb[at]), bound]))
-                if out:
-                    found = np.concatenate(out, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "label_a", "label_b", "bound"])
+            for row in range(batch.num_rows):
+                yield from _possible(_block(batch.column("one"), row), _block(batch.column("other"), row), similarity)
+
+    return run
+
+
+def _within(similarity: float):
+    """Possible pairs within each (key, class). Rows come sorted by these and visits; those of one are held at a time, SMALL at most."""
+
+    def close(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        visits, *numbers, profiles = zip(*held, strict=True)
+        own = _unpacked(*(np.array(x, np.int64) for x in numbers), profiles)
+        yield from _possible(own, own, similarity, len(held) - sum(visits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            for key, class_, *rest in zip(*(batch.column(c).to_pylist() for c in ("key", "class", "visits", "node", "label", "n_words", "profile")), strict=True):
+                if (key, class_) != group:
+                    if held:
+                        yield from close(held)
+                    group, held = (key, class_), []
+                held.append(tuple(rest))
+        if held:
+            yield from close(held)
 
     return run
 
@@ -360,7 +400,7 @@ def _first_of_groups(rest: DataFrame, count: int) -> DataFrame:
 
 def _settled(labels: DataFrame, rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """labels with the groups joined that rest (a, b, label_a, label_b, bound) links. Of pairs between the same two groups the likeliest are compared first, for one that is near will do; in the end every pair is compared or within a group."""
-    count = 4
+    count = 1
     while True:
         rest = small(_first_of_groups(rest.where("label_a != label_b"), count), "rest")
         if rest.isEmpty():
@@ -368,7 +408,7 @@ def _settled(labels: DataFrame, rest: DataFrame, texts: DataFrame, similarity: f
         into = _joined(_compared(rest.where("first"), texts, similarity))
         rest = _renamed(_renamed(rest.where("not first"), into, "label_a"), into, "label_b")
         labels = small(_renamed(labels, into), "labels")
-        count *= 64
+        count *= 8
 
 
 def _closed(labels: DataFrame, entries: DataFrame, rows: DataFrame, checked: DataFrame, similarity: float) -> DataFrame:
@@ -388,12 +428,24 @@ def _closed(labels: DataFrame, entries: DataFrame, rows: DataFrame, checked: Dat
     ends = ends.withColumn("visits", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("class", F.col("class") - F.col("visits").cast("int"))
     met = ends.groupBy("key", "class").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.min("visits").alias("none")).where("least != most and not none").select("key", "class", "n")
     ends = small(ends.join(met, ["key", "class"]), "ends")
+    texts = rows.select(F.col("row").alias("node"), "text")
+    profiles = stored(texts.join(ends.select("node").distinct(), "node", "left_semi").mapInArrow(_profiled, "node long, profile binary"), "profiles")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ends.where(F.col("n") <= SMALL).drop("n").join(profiles, "node").repartition(n, "key", "class").sortWithinPartitions("key", "class", "visits", "node")
+    rest = dealt.mapInArrow(_within(similarity), f"{PAIRS}, bound long")
+    large = ends.where(F.col("n") > SMALL)
+    if not large.isEmpty():
+        rest = rest.unionByName(_between_blocks(large, profiles).mapInArrow(_bounds(similarity), f"{PAIRS}, bound long"))
+    rest = rest.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    return _settled(labels, rest, texts, similarity)
+
+
+def _between_blocks(ends: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(one, other): the texts of large buckets in blocks, and every two blocks of a bucket that are to meet."""
     # groups of a block or more have blocks of their own, so that none is compared with itself
     parts = ends.groupBy("key", "class", "label").agg(F.count("*").alias("own"))
     large = F.col("own") >= BLOCK
     block = F.when(large, F.struct("visits", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK)).alias("part"))).otherwise(F.struct("visits", F.lit(-1).cast("long").alias("label"), F.pmod(F.xxhash64("label"), F.ceil(F.col("n") / BLOCK)).alias("part")))
-    texts = rows.select(F.col("row").alias("node"), "text")
-    profiles = stored(texts.join(ends.select("node").distinct(), "node", "left_semi").mapInArrow(_profiled, "node long, profile binary"), "profiles")
     dealt = ends.join(parts, ["key", "class", "label"]).join(profiles, "node").withColumn("block", block)
     blocks = stored(dealt.groupBy("key", "class", "block").agg(F.collect_list(F.struct("node", "label", "n_words", "profile")).alias("of")), "blocks")
     stripes = blocks.groupBy("key", "class").agg(F.ceil(F.count("*") / STRIPE).alias("stripes"))
@@ -401,9 +453,7 @@ def _closed(labels: DataFrame, entries: DataFrame, rows: DataFrame, checked: Dat
     one = striped.where("not block.visits").select("key", "class", F.pmod(F.xxhash64("block"), "stripes").alias("stripe"), F.col("block").alias("block_a"), F.col("of").alias("one"))
     other = striped.select("key", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1)).alias("stripe"), F.col("block").alias("block_b"), F.col("of").alias("other"))
     alone = (F.col("block_a.label") == F.col("block_b.label")) & (F.col("block_a.label") >= 0)
-    pairs = one.join(other, ["key", "class", "stripe"]).where((F.col("block_a") <= F.col("block_b")) & ~alone).select("one", "other")
-    rest = pairs.mapInArrow(_bounds(similarity), f"{PAIRS}, bound long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    return _settled(labels, rest, texts, similarity)
+    return one.join(other, ["key", "class", "stripe"]).where((F.col("block_a") <= F.col("block_b")) & ~alone).select("one", "other")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -155,6 +155,21 @@ def test_recall_against_all_pairs(spark):
             assert found[np.array(rates) == share].mean() >= least, (share, len(shared))
 
 
+def test_large_buckets_go_by_blocks(spark, monkeypatch):
+    """The same links, whether one task compares a bucket or blocks of it do."""
+    r = random.Random(12)
+    passage = words(r, 120, 10**6)
+    texts = [" ".join(passage + words(r, r.choice((30, 60, 100)), 10**6)) for _ in range(80)]
+    texts += [" ".join(changed(r, passage + words(r, 20, 10**6), 10)) for _ in range(30)]
+    df = documents(spark, texts)
+    whole = {x["doc_id"]: x["class_id"] for x in near.near_groups(df).collect()}
+    monkeypatch.setattr(near, "SMALL", 8)
+    monkeypatch.setattr(near, "BLOCK", 4)
+    monkeypatch.setattr(near, "STRIPE", 2)
+    assert {x["doc_id"]: x["class_id"] for x in near.near_groups(df).collect()} == whole
+    assert 1 < len(set(whole.values())) < len(texts)
+
+
 def test_hot_buckets_are_passed_on(spark, monkeypatch):
     """Buckets with many texts of a batch, and stars that are full: the groups stay whole."""
     r = random.Random(10)
