@@ -80,10 +80,10 @@ def drop(table_: DataFrame) -> None:
     _written.remove(_paths.pop(called))
 
 
-def small(df: DataFrame, name: str) -> DataFrame:
-    """`stored`, for tables of a few numbers a document whose last step is cheap: in a quarter as many files as a shuffle has partitions, and without a codec, for they hold hashes and ids."""
-    files = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    return stored(df.coalesce(files), name, compression="uncompressed")
+def small(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
+    """`stored`, for tables of a few numbers a document: in an eighth as many files as a shuffle has partitions, and without a codec, for they hold hashes and ids. spread: the last step is a long one, and goes on in all its tasks before their few rows are put together."""
+    files = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return stored(df.repartition(files) if spread else df.coalesce(files), name, compression="uncompressed")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

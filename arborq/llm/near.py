@@ -375,7 +375,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b", "label_a", "label_b").join(a, "a").join(b, "b")
-    return stored(both.mapInArrow(_verified(similarity), f"{PAIRS}, near boolean"), "checked", compression="uncompressed")
+    return small(both.mapInArrow(_verified(similarity), f"{PAIRS}, near boolean"), "checked", spread=True)
 
 
 def _joined(found: DataFrame) -> DataFrame | None:
@@ -429,7 +429,7 @@ def _closed(labels: DataFrame, entries: DataFrame, rows: DataFrame, checked: Dat
     met = ends.groupBy("key", "class").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.min("visits").alias("none")).where("least != most and not none").select("key", "class", "n")
     ends = small(ends.join(met, ["key", "class"]), "ends")
     texts = rows.select(F.col("row").alias("node"), "text")
-    profiles = stored(texts.join(ends.select("node").distinct(), "node", "left_semi").mapInArrow(_profiled, "node long, profile binary"), "profiles")
+    profiles = small(texts.join(ends.select("node").distinct(), "node", "left_semi").mapInArrow(_profiled, "node long, profile binary"), "profiles", spread=True)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = ends.where(F.col("n") <= SMALL).drop("n").join(profiles, "node").repartition(n, "key", "class").sortWithinPartitions("key", "class", "visits", "node")
     rest = dealt.mapInArrow(_within(similarity), f"{PAIRS}, bound long")
@@ -482,7 +482,7 @@ def _entries(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = rows.select("row", "sketch").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     dealt = own.mapInArrow(_dealt(2 * n), DEALT).repartition(n, "part").sortWithinPartitions("part")
-    return stored(dealt.mapInArrow(_gathered, "key long, node long, hub long"), "entries", compression="uncompressed")
+    return small(dealt.mapInArrow(_gathered, "key long, node long, hub long"), "entries", spread=True)
 
 
 def _labels(rows: DataFrame, similarity: float, count: int) -> DataFrame:
