@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -392,23 +392,28 @@ def _renamed(rows: DataFrame, into: DataFrame | None, c: str = "label") -> DataF
     return rows.join(into, c, "left").withColumn(c, F.coalesce("into", c)).drop("into")
 
 
-def _first_of_groups(rest: DataFrame, count: int) -> DataFrame:
-    """rest (..., label_a, label_b, bound) with first: whether a pair is of the `count` of least bound between the same two groups."""
-    both = Window.partitionBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).orderBy("bound", "a", "b")
-    return rest.withColumn("first", F.row_number().over(both) <= count)
+def _settled(labels: DataFrame, rest: DataFrame, checked: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """labels with the groups joined that rest (a, b, label_a, label_b, bound) links; checked (a, b) are known not to be near, or joined.
 
-
-def _settled(labels: DataFrame, rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """labels with the groups joined that rest (a, b, label_a, label_b, bound) links. Of pairs between the same two groups the likeliest are compared first, for one that is near will do; in the end every pair is compared or within a group."""
-    count = 1
-    while True:
-        rest = small(_first_of_groups(rest.where("label_a != label_b"), count), "rest")
-        if rest.isEmpty():
-            return labels
-        into = _joined(_compared(rest.where("first"), texts, similarity))
-        rest = _renamed(_renamed(rest.where("not first"), into, "label_a"), into, "label_b")
-        labels = small(_renamed(labels, into), "labels")
-        count *= 8
+    Of the pairs between two groups a few of least bound are compared at a time, for one that is near will do; in the end
+    every pair is compared or within a group.
+    """
+    count, rest, done = 1, small(rest, "rest", spread=True), checked.select("a", "b")
+    while not rest.isEmpty():
+        groups = [F.least("label_a", "label_b").alias("one"), F.greatest("label_a", "label_b").alias("other"), F.pmod(F.xxhash64("a", "b"), F.lit(count)).alias("share")]
+        first = rest.groupBy(*groups).agg(F.min(F.struct("bound", "a", "b", "label_a", "label_b")).alias("p")).select("p.*")
+        first = small(first.join(done, ["a", "b"], "left_anti"), "first")
+        into = _joined(_compared(first, texts, similarity))
+        done = done.unionByName(first.select("a", "b"))
+        if into is not None:
+            labels = small(_renamed(labels, into), "labels")
+            # by pairs of groups, which are fewer than pairs of texts
+            now = rest.select("label_a", "label_b", F.col("label_a").alias("label"), F.col("label_b").alias("to")).distinct()
+            now = _renamed(_renamed(now, into), into, "to").where("label != to")
+            rest = rest.join(now, ["label_a", "label_b"]).select("a", "b", F.col("label").alias("label_a"), F.col("to").alias("label_b"), "bound")
+        rest = small(rest.join(done, ["a", "b"], "left_anti"), "rest")
+        count *= 16
+    return labels
 
 
 def _closed(labels: DataFrame, entries: DataFrame, rows: DataFrame, checked: DataFrame, similarity: float) -> DataFrame:
@@ -436,8 +441,7 @@ def _closed(labels: DataFrame, entries: DataFrame, rows: DataFrame, checked: Dat
     large = ends.where(F.col("n") > SMALL)
     if not large.isEmpty():
         rest = rest.unionByName(_between_blocks(large, profiles).mapInArrow(_bounds(similarity), f"{PAIRS}, bound long"))
-    rest = rest.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    return _settled(labels, rest, texts, similarity)
+    return _settled(labels, rest.distinct(), checked, texts, similarity)
 
 
 def _between_blocks(ends: DataFrame, profiles: DataFrame) -> DataFrame:
