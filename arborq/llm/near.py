@@ -38,6 +38,8 @@ SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 64
 PART_WORDS = 50_000
 #: Texts of a star, at most; texts of an Arrow batch in one bucket from which on they aren't sent to where the bucket is.
 STAR, HOT = 256, 64
+#: Rounds of stars over groups, before all pairs that are left.
+ROUNDS = 3
 #: Hashed counts of a text's words, and for a first look.
 BINS, FOLD = 2048, 256
 #: Texts of a bucket that one task compares; of larger ones, texts of a block, about, and blocks that one task meets all others with.
@@ -398,22 +400,36 @@ def _settled(labels: DataFrame, rest: DataFrame, checked: DataFrame, texts: Data
     Of the pairs between two groups a few of least bound are compared at a time, for one that is near will do; in the end
     every pair is compared or within a group.
     """
-    count, rest, done = 1, small(rest, "rest", spread=True), checked.select("a", "b")
+    count, rest, done, links = 1, small(rest, "rest", spread=True), checked.select("a", "b"), None
     while not rest.isEmpty():
         groups = [F.least("label_a", "label_b").alias("one"), F.greatest("label_a", "label_b").alias("other"), F.pmod(F.xxhash64("a", "b"), F.lit(count)).alias("share")]
         first = rest.groupBy(*groups).agg(F.min(F.struct("bound", "a", "b", "label_a", "label_b")).alias("p")).select("p.*")
         first = small(first.join(done, ["a", "b"], "left_anti"), "first")
-        into = _joined(_compared(first, texts, similarity))
+        found = _compared(first, texts, similarity)
+        links = found if links is None else links.unionByName(found)
+        into = _joined(found)
         done = done.unionByName(first.select("a", "b"))
         if into is not None:
-            labels = small(_renamed(labels, into), "labels")
             # by pairs of groups, which are fewer than pairs of texts
             now = rest.select("label_a", "label_b", F.col("label_a").alias("label"), F.col("label_b").alias("to")).distinct()
             now = _renamed(_renamed(now, into), into, "to").where("label != to")
             rest = rest.join(now, ["label_a", "label_b"]).select("a", "b", F.col("label").alias("label_a"), F.col("to").alias("label_b"), "bound")
         rest = small(rest.join(done, ["a", "b"], "left_anti"), "rest")
         count *= 16
-    return labels
+    return labels if links is None else small(_renamed(labels, _joined(links)), "labels")
+
+
+def _starred(labels: DataFrame, entries: DataFrame, checked: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(labels, checked) after another round of stars: each group is compared with one text of another, the one that its texts share most buckets with of those that are drawn as a bucket's hub. A round costs as many comparisons as there are groups at most."""
+    own = entries.select("key", "node").join(labels, "node")
+    drawn = F.xxhash64("key", "node")
+    hubs = own.groupBy("key").agg(F.min_by(F.struct("node", "label"), drawn).alias("hub"), F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
+    met = own.join(hubs.select("key", "hub"), "key").where("label != hub.label")
+    agree = met.groupBy(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b"), F.col("label").alias("label_a"), F.col("hub.label").alias("label_b")).agg(F.count("*").alias("n"))
+    agree = agree.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    best = agree.groupBy("label_a").agg(F.max_by(F.struct("a", "b", "label_b"), F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b", "label_a", "p.label_b")
+    found = _compared(small(best, "best"), texts, similarity)
+    return small(_renamed(labels, _joined(found)), "labels"), checked.unionByName(found)
 
 
 def _closed(labels: DataFrame, entries: DataFrame, rows: DataFrame, checked: DataFrame, similarity: float) -> DataFrame:
@@ -499,7 +515,10 @@ def _labels(rows: DataFrame, similarity: float, count: int) -> DataFrame:
     # only the hub that a text agrees with most: most copies are in their group then, and the rest comes with all other candidates
     best = stars.groupBy("a").agg(F.min_by("b", F.struct("bound", "b")).alias("b")).select("a", "b", F.col("a").alias("label_a"), F.col("b").alias("label_b"))
     checked = _compared(best, texts, similarity)
-    labels = _closed(small(_renamed(labels, _joined(checked)), "labels"), entries, rows, checked, similarity)
+    labels = small(_renamed(labels, _joined(checked)), "labels")
+    for _ in range(ROUNDS):
+        labels, checked = _starred(labels, entries, checked, texts, similarity)
+    labels = _closed(labels, entries, rows, checked, similarity)
     nodes = firsts.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     wordless = rows.where("n_words = 0").groupBy("digest").agg(F.min("row").alias("label"))
     # as a table of its own, so that Spark can deal the rows of a digest with many copies to many tasks
