@@ -39,7 +39,7 @@ PART_WORDS = 50_000
 #: Texts of a star, at most; texts of an Arrow batch in one bucket from which on they aren't sent to where the bucket is.
 STAR, HOT = 256, 64
 #: Rounds of stars over groups, before all pairs that are left.
-ROUNDS = 3
+ROUNDS = 2
 #: Hashed counts of a text's words, and for a first look.
 BINS, FOLD = 2048, 256
 #: Texts of a bucket that one task compares; of larger ones, texts of a block, about, and blocks that one task meets all others with.
@@ -419,16 +419,16 @@ def _settled(labels: DataFrame, rest: DataFrame, checked: DataFrame, texts: Data
     return labels if links is None else small(_renamed(labels, _joined(links)), "labels")
 
 
-def _starred(labels: DataFrame, entries: DataFrame, checked: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(labels, checked) after another round of stars: each group is compared with one text of another, the one that its texts share most buckets with of those that are drawn as a bucket's hub. A round costs as many comparisons as there are groups at most."""
-    own = entries.select("key", "node").join(labels, "node")
-    drawn = F.xxhash64("key", "node")
-    hubs = own.groupBy("key").agg(F.min_by(F.struct("node", "label"), drawn).alias("hub"), F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
-    met = own.join(hubs.select("key", "hub"), "key").where("label != hub.label")
+def _starred(labels: DataFrame, entries: DataFrame, checked: DataFrame, texts: DataFrame, similarity: float, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(labels, checked) after another round of stars: each group is compared with one text of another, the one that it shares most buckets with of those that are drawn as a bucket's hub. A group has one text in a bucket, and a round as many comparisons as there are groups at most."""
+    drawn = F.xxhash64("key", "node", F.lit(turn))
+    own = entries.select("key", "node").join(labels, "node").groupBy("key", "label").agg(F.min_by("node", drawn).alias("node"))
+    hubs = own.groupBy("key").agg(F.min_by(F.struct("node", "label"), drawn).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    met = own.join(hubs, "key").where("label != hub.label")
     agree = met.groupBy(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b"), F.col("label").alias("label_a"), F.col("hub.label").alias("label_b")).agg(F.count("*").alias("n"))
-    agree = agree.join(checked.select("a", "b"), ["a", "b"], "left_anti")
     best = agree.groupBy("label_a").agg(F.max_by(F.struct("a", "b", "label_b"), F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b", "label_a", "p.label_b")
-    found = _compared(small(best, "best"), texts, similarity)
+    best = small(best.dropDuplicates(["a", "b"]).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "best")
+    found = _compared(best, texts, similarity)
     return small(_renamed(labels, _joined(found)), "labels"), checked.unionByName(found)
 
 
@@ -516,8 +516,8 @@ def _labels(rows: DataFrame, similarity: float, count: int) -> DataFrame:
     best = stars.groupBy("a").agg(F.min_by("b", F.struct("bound", "b")).alias("b")).select("a", "b", F.col("a").alias("label_a"), F.col("b").alias("label_b"))
     checked = _compared(best, texts, similarity)
     labels = small(_renamed(labels, _joined(checked)), "labels")
-    for _ in range(ROUNDS):
-        labels, checked = _starred(labels, entries, checked, texts, similarity)
+    for turn in range(ROUNDS):
+        labels, checked = _starred(labels, entries, checked, texts, similarity, turn)
     labels = _closed(labels, entries, rows, checked, similarity)
     nodes = firsts.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     wordless = rows.where("n_words = 0").groupBy("digest").agg(F.min("row").alias("label"))
