@@ -414,6 +414,7 @@ def _settled(labels: DataFrame, rest: DataFrame, checked: DataFrame, texts: Data
             now = rest.select("label_a", "label_b", F.col("label_a").alias("label"), F.col("label_b").alias("to")).distinct()
             now = _renamed(_renamed(now, into), into, "to").where("label != to")
             rest = rest.join(now, ["label_a", "label_b"]).select("a", "b", F.col("label").alias("label_a"), F.col("to").alias("label_b"), "bound")
+            rest = small(rest, "rest")  # or the anti join below goes first, over pairs that this one drops
         rest = small(rest.join(done, ["a", "b"], "left_anti"), "rest")
         count *= 16
     return labels if links is None else small(_renamed(labels, _joined(links)), "labels")
