@@ -11,11 +11,11 @@ bucket with many texts in one batch only two are sent and the others passed on,
 Within a bucket a text is compared with the first of its star, not with all others; a group of n copies costs about n
 comparisons. Texts lie in a table bucketed by row: a comparison moves the texts of its two ends, never all of them.
 
-The stars only make large groups cheaper. After them every pair of a bucket that is still in two groups is looked at, so
-that no candidates are lost: lengths, then a bound below the edit distance (words that one text has more often than the
-other, in BINS hashed counts) rule out most without their texts, block against block, and the alignment decides the rest.
-The bounds of n texts of like lengths that share a passage and aren't near one another take n * n / 2 looks at BINS bytes
-each: that part is quadratic.
+The stars only make large groups cheaper. After them every pair of a bucket that is still in two groups is looked at, in
+the first of the buckets that its texts share, so that no candidates are lost: lengths, then a bound below the edit
+distance (words that one text has more often than the other, in BINS hashed counts) rule out most without their texts,
+block against block, and the alignment decides the rest. The bounds of n texts of like lengths that share a passage and
+aren't near one another take n * n / 2 looks at BINS bytes each: that part is quadratic.
 """
 
 from __future__ import annotations
@@ -285,7 +285,7 @@ def _verified(similarity: float):
 
 
 def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words, each labelled by its occurrence in the text, in hashed bins: two bits each, cut off at 3, which only lowers the bound."""
+    """Counts of words, each labelled by its occurrence in the text, in hashed bins: two bits each, cut off at 3, which only lowers the bound. And the sketch, with zeros where it isn't among the text's keys."""
     for batch in slices(batches, "text"):
         words, sizes = word_hashes(texts_of(batch))
         doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -295,33 +295,40 @@ def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = doc * BINS + (mix(words[order] + nth.astype(np.uint64) * _U(0xA24BAED4963EE407)) % _U(BINS)).astype(np.int64)
         counts = np.minimum(np.bincount(at, minlength=len(sizes) * BINS), 3).astype(np.uint8).reshape(-1, BINS // 4, 4)
         packed = counts[:, :, 0] | counts[:, :, 1] << 2 | counts[:, :, 2] << 4 | counts[:, :, 3] << 6
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in packed], pa.binary())], names=["node", "profile"])
+        keys = (x.values.to_numpy().view(np.uint64) for x in batch.column("keys"))
+        sketch = (np.frombuffer(x, np.uint64) for x in batch.column("sketch").to_pylist())
+        shared = [np.where((x[:, None] == k).any(1), x, _U(0)).tobytes() for x, k in zip(sketch, keys, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(shared, pa.binary())], names=["node", "profile", "shared"])
 
 
-def _unpacked(nodes: np.ndarray, labels: np.ndarray, n_words: np.ndarray, profiles: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(nodes, labels, words, hashed counts, the same in FOLD bins)"""
+def _unpacked(nodes: np.ndarray, labels: np.ndarray, n_words: np.ndarray, profiles: list[bytes], shared: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(nodes, labels, words, hashed counts, the same in FOLD bins, sketches)"""
     raw = np.frombuffer(b"".join(profiles), np.uint8).reshape(len(nodes), BINS // 4)
     counts = np.empty((len(nodes), BINS), np.uint8)
     for k in range(4):
         counts[:, k::4] = raw >> 2 * k & 3
-    return nodes, labels, n_words, counts, counts.reshape(len(nodes), BINS // FOLD, FOLD).sum(1, dtype=np.uint8)
+    return nodes, labels, n_words, counts, counts.reshape(len(nodes), BINS // FOLD, FOLD).sum(1, dtype=np.uint8), np.frombuffer(b"".join(shared), np.uint64).reshape(len(nodes), -1)
 
 
 def _block(column: pa.ListArray, row: int) -> tuple[np.ndarray, ...]:
     of = column[row].values
-    return _unpacked(*(of.field(k).to_numpy(zero_copy_only=False) for k in ("node", "label", "n_words")), of.field("profile").to_pylist())
+    return _unpacked(*(of.field(k).to_numpy(zero_copy_only=False) for k in ("node", "label", "n_words")), of.field("profile").to_pylist(), of.field("shared").to_pylist())
 
 
-def _possible(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], similarity: float, after: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Pairs of a text in `one` with one in `other`, in different groups, whose edit distance may be within the limit. after: both are the same, and only later texts are met, by the first `after` ones."""
-    (a, la, na, pa_, fa), (b, lb, nb, pb, fb) = one, other
+def _possible(key: int, one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], similarity: float, after: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Pairs of a text in `one` with one in `other`, in different groups, whose edit distance may be within the limit, and whose sketches agree in the bucket's key first: others have met in another bucket. after: both are the same, and only later texts are met, by the first `after` ones."""
+    (a, la, na, pa_, fa, ka), (b, lb, nb, pb, fb, kb) = one, other
     sa, sb = pa_.sum(1, dtype=np.int64), pb.sum(1, dtype=np.int64)
+    place = int(np.argmax(ka[0] == _U(key & 0xFFFFFFFFFFFFFFFF)))
+    ka, kb = ka[:, :place], np.ascontiguousarray(kb[:, :place])
     out = []
     for i in range(len(a) if after is None else after):
         start = 0 if after is None else i + 1
         limit = ((1 - similarity) * np.maximum(na[i], nb[start:]) + 1e-9).astype(np.int64)
         near = np.flatnonzero((la[i] != lb[start:]) & (np.abs(na[i] - nb[start:]) <= limit))
         limit, at = limit[near], near + start
+        new = ~((ka[i] == kb[at]) & (ka[i] != 0)).any(1)
+        limit, at = limit[new], at[new]
         for own, others in ((fa, fb), (pa_, pb)):
             bound = np.maximum(sa[i], sb[at]) - np.minimum(own[i], others[at]).sum(1, dtype=np.int64)
             ok = bound <= limit
@@ -341,7 +348,7 @@ def _bounds(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                yield from _possible(_block(batch.column("one"), row), _block(batch.column("other"), row), similarity)
+                yield from _possible(batch.column("key")[row].as_py(), _block(batch.column("one"), row), _block(batch.column("other"), row), similarity)
 
     return run
 
@@ -349,22 +356,22 @@ def _bounds(similarity: float):
 def _within(similarity: float):
     """Possible pairs within each (key, class). Rows come sorted by these and visits; those of one are held at a time, SMALL at most."""
 
-    def close(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        visits, *numbers, profiles = zip(*held, strict=True)
-        own = _unpacked(*(np.array(x, np.int64) for x in numbers), profiles)
-        yield from _possible(own, own, similarity, len(held) - sum(visits))
+    def close(key: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        visits, *numbers, profiles, shared = zip(*held, strict=True)
+        own = _unpacked(*(np.array(x, np.int64) for x in numbers), profiles, shared)
+        yield from _possible(key, own, own, similarity, len(held) - sum(visits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
         for batch in batches:
-            for key, class_, *rest in zip(*(batch.column(c).to_pylist() for c in ("key", "class", "visits", "node", "label", "n_words", "profile")), strict=True):
+            for key, class_, *rest in zip(*(batch.column(c).to_pylist() for c in ("key", "class", "visits", "node", "label", "n_words", "profile", "shared")), strict=True):
                 if (key, class_) != group:
                     if held:
-                        yield from close(held)
+                        yield from close(group[0], held)
                     group, held = (key, class_), []
                 held.append(tuple(rest))
         if held:
-            yield from close(held)
+            yield from close(group[0], held)
 
     return run
 
@@ -451,30 +458,32 @@ def _closed(labels: DataFrame, entries: DataFrame, rows: DataFrame, checked: Dat
     met = ends.groupBy("key", "class").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.min("visits").alias("none")).where("least != most and not none").select("key", "class", "n")
     ends = small(ends.join(met, ["key", "class"]), "ends")
     texts = rows.select(F.col("row").alias("node"), "text")
-    profiles = small(texts.join(ends.select("node").distinct(), "node", "left_semi").mapInArrow(_profiled, "node long, profile binary"), "profiles", spread=True)
+    keys = ends.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as a sketch has, at most
+    profiles = rows.select(F.col("row").alias("node"), "text", "sketch").join(keys, "node").mapInArrow(_profiled, "node long, profile binary, shared binary")
+    profiles = small(profiles, "profiles", spread=True)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = ends.where(F.col("n") <= SMALL).drop("n").join(profiles, "node").repartition(n, "key", "class").sortWithinPartitions("key", "class", "visits", "node")
     rest = dealt.mapInArrow(_within(similarity), f"{PAIRS}, bound long")
     large = ends.where(F.col("n") > SMALL)
     if not large.isEmpty():
         rest = rest.unionByName(_between_blocks(large, profiles).mapInArrow(_bounds(similarity), f"{PAIRS}, bound long"))
-    return _settled(labels, rest.distinct(), checked, texts, similarity)
+    return _settled(labels, rest, checked, texts, similarity)
 
 
 def _between_blocks(ends: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(one, other): the texts of large buckets in blocks, and every two blocks of a bucket that are to meet."""
+    """(key, one, other): the texts of large buckets in blocks, and every two blocks of a bucket that are to meet."""
     # groups of a block or more have blocks of their own, so that none is compared with itself
     parts = ends.groupBy("key", "class", "label").agg(F.count("*").alias("own"))
     large = F.col("own") >= BLOCK
     block = F.when(large, F.struct("visits", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK)).alias("part"))).otherwise(F.struct("visits", F.lit(-1).cast("long").alias("label"), F.pmod(F.xxhash64("label"), F.ceil(F.col("n") / BLOCK)).alias("part")))
     dealt = ends.join(parts, ["key", "class", "label"]).join(profiles, "node").withColumn("block", block)
-    blocks = stored(dealt.groupBy("key", "class", "block").agg(F.collect_list(F.struct("node", "label", "n_words", "profile")).alias("of")), "blocks")
+    blocks = stored(dealt.groupBy("key", "class", "block").agg(F.collect_list(F.struct("node", "label", "n_words", "profile", "shared")).alias("of")), "blocks")
     stripes = blocks.groupBy("key", "class").agg(F.ceil(F.count("*") / STRIPE).alias("stripes"))
     striped = blocks.join(stripes, ["key", "class"])
     one = striped.where("not block.visits").select("key", "class", F.pmod(F.xxhash64("block"), "stripes").alias("stripe"), F.col("block").alias("block_a"), F.col("of").alias("one"))
     other = striped.select("key", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1)).alias("stripe"), F.col("block").alias("block_b"), F.col("of").alias("other"))
     alone = (F.col("block_a.label") == F.col("block_b.label")) & (F.col("block_a.label") >= 0)
-    return one.join(other, ["key", "class", "stripe"]).where((F.col("block_a") <= F.col("block_b")) & ~alone).select("one", "other")
+    return one.join(other, ["key", "class", "stripe"]).where((F.col("block_a") <= F.col("block_b")) & ~alone).select("key", "one", "other")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from arborq.llm import near
 from arborq.llm.bytewords import word_hashes
@@ -178,3 +179,28 @@ def test_hot_buckets_are_passed_on(spark, monkeypatch):
     groups = [frozenset(range(80)), frozenset(range(80, 90))]
     texts = [" ".join(changed(r, base, 3)) for base, n in ((words(r, 150, 10**6), 80), (words(r, 90, 10**6), 10)) for _ in range(n)]
     assert classes(near.near_groups(documents(spark, texts)).collect()) == set(groups)
+
+
+def test_pairs_are_possible_in_their_first_bucket_alone():
+    """Texts that share many buckets: over all of them, each pair of two groups that the bounds leave comes once, in the first bucket."""
+    r = random.Random(4)
+    base = words(r, 120, 10**6)
+    texts = [" ".join(changed(r, base, k)) for k in (0, 2, 4, 8, 12, 16) for _ in range(4)]
+    h, n = word_hashes(texts)
+    s = near.sketches(h, n)
+    keys = [np.unique(x).view(np.int64) for x in s]
+    batch = pa.RecordBatch.from_pydict({"node": list(range(len(texts))), "text": texts, "sketch": [x.tobytes() for x in s], "keys": keys})
+    profiles = pa.Table.from_batches(near._profiled(iter([batch])))
+    own = near._unpacked(np.arange(len(texts)), np.arange(len(texts)) // 2, n, *(profiles.column(c).to_pylist() for c in ("profile", "shared")))
+    found = []
+    for place in range(s.shape[1]):
+        for key in np.unique(s[:, place]):
+            at = np.flatnonzero(s[:, place] == key)
+            held = tuple(x[at] for x in own)
+            for out in near._possible(int(key.view(np.int64)), held, held, 0.8, len(at)):
+                found += [(a, b, place) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
+    agree = {(i, j): int(np.argmax(s[i] == s[j])) for i in range(len(texts)) for j in range(i) if (s[i] == s[j]).any() and i // 2 != j // 2}
+    parts = np.split(h, np.cumsum(n)[:-1])
+    want = [(i, j, k) for (i, j), k in agree.items() if near._unshared(parts[i], parts[j]) <= int(0.2 * max(n[i], n[j]) + 1e-9)]
+    assert len(found) == len({x[:2] for x in found}) and set(want) <= set(found)
+    assert all(agree[x[:2]] == x[2] for x in found) and want
