@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ KEYS = ("version", "preset", "include", "exclude", "rules", "overrides")
 
 PARSED = "struct<preset: string, include: array<string>, exclude: array<string>, rules: map<string,string>, overrides: array<struct<paths: array<string>, rules: map<string,string>>>, errors: array<string>>"
 
+FOUND = pa.schema([("uri", pa.string()), ("rule_id", pa.string()), ("message", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
+
 
 def _severities(table: dict, errors: list[str]) -> dict[str, str]:
     known = {r[0] for r in rules.RULES}
@@ -68,6 +73,35 @@ def configs(files: DataFrame, name: str) -> DataFrame:
     return own.select(F.col("uri").alias("config"), paths.dirname(F.col("uri")).alias("dir"), parsed(F.col("content")).alias("c")).select("config", "dir", "c.*")
 
 
+def toml_problem(text: str | None) -> tuple[str, int, int] | None:
+    """(message, start, stop) of what keeps a text from being TOML; null counts as empty. Without a place it is about the whole text."""
+    text = text or ""
+    try:
+        tomllib.loads(text)
+    except tomllib.TOMLDecodeError as e:
+        place = re.search(r" \(at line (\d+), column (\d+)\)$", str(e))
+        if place is None:
+            return re.sub(r" \(at end of document\)$", "", str(e)), len(text), len(text)
+        lines = text.split("\n")
+        line, column = int(place[1]), int(place[2])
+        start = sum(len(x) + 1 for x in lines[: line - 1]) + column - 1
+        return str(e)[: place.start()], start, min(start + 1, len(text))
+    except RecursionError:
+        return "nested too deep", 0, len(text)
+    return None
+
+
+def toml_findings(files: DataFrame) -> DataFrame:
+    """(uri, rule_id, message, start, stop): files (uri, content) that aren't TOML, an Arrow batch at a time. start is where the first problem is, in characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(u, "toml_syntax_errors", *p) for u, t in zip(batch.column("uri").to_pylist(), batch.column("content").to_pylist(), strict=True) if (p := toml_problem(t))]
+            yield pa.RecordBatch.from_pylist([dict(zip(FOUND.names, x, strict=True)) for x in found], schema=FOUND)
+
+    return files.select("uri", "content").mapInArrow(run, "uri string, rule_id string, message string, start long, stop long")
+
+
 def below(path: str, folder: str):
     """A path relative to a folder above it."""
     return F.substring(F.col(path), F.char_length(folder) + 2, F.lit(1 << 20))

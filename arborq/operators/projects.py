@@ -13,6 +13,8 @@ from arborq.operators import relational
 #: Names of project files and manifests, the preferred ones first.
 PROJECT_FILES = ("JuliaProject.toml", "Project.toml")
 MANIFEST_FILES = ("JuliaManifest.toml", "Manifest.toml")
+#: Lower-cased names of projects and of manifests, those for a version of the language too.
+TOML_NAMES = r"^(julia)?(project|manifest(-v\d+(\.\d+)*)?)\.toml$"
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
 

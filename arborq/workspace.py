@@ -205,6 +205,11 @@ class Workspace:
     def lint_configs(self) -> DataFrame:
         return config.configs(self.files, self.lint_config)
 
+    def toml_files(self) -> DataFrame:
+        """Configurations, projects and manifests: the files that have to be TOML."""
+        name = F.lower(paths.basename(F.col("uri")))
+        return self.files.where(name.isin(self.lint_config.lower(), self.format_config.lower()) | name.rlike(projects.TOML_NAMES))
+
     def findings(self) -> DataFrame:
         """(uri, rule_id, message, start, stop) of all producers."""
         own = self.table("findings").select("uri", "rule_id", "message", "start", "stop")
@@ -216,6 +221,7 @@ class Workspace:
         errors = found.select(F.col("config").alias("uri"), F.lit("config_errors").alias("rule_id"), F.explode("errors").alias("message"), F.lit(0).alias("start"), F.lit(0).alias("stop"))
         shadow = config.shadowed(found).select(F.col("config").alias("uri"), F.lit("shadowed_config").alias("rule_id"), F.col("by").alias("message"), F.lit(0).alias("start"), F.lit(0).alias("stop"))
         out = own.unionByName(tests).unionByName(includes).unionByName(errors).unionByName(shadow)
+        out = out.unionByName(config.toml_findings(self.toml_files()))
         for more in (resolve.unused(self.facts), resolve.redeclared(self.facts), resolve.unfit_calls(self.facts), *self._environment_findings()):
             out = out.unionByName(more)
         return out
