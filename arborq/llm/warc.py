@@ -158,7 +158,8 @@ def _gzip(source: Source, place: int, wanted) -> tuple[dict, bytes | None, int]:
     while not inflate.eof:
         piece = inflate.unconsumed_tail
         if not piece:
-            piece = source.at(read, skip - (read - place) if skip and read < place + skip else WINDOW if header is None else CHUNK)
+            left = place + skip - read if skip else CHUNK
+            piece = source.at(read, min(left, WINDOW) if header is None else left)
             read += len(piece)
         if not piece:
             raise Damaged("the file ends within a record")
