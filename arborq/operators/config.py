@@ -22,6 +22,20 @@ PARSED = "struct<preset: string, include: array<string>, exclude: array<string>,
 FOUND = pa.schema([("uri", pa.string()), ("rule_id", pa.string()), ("message", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
+def _table(value, what: str, errors: list[str]) -> dict:
+    if isinstance(value, dict):
+        return value
+    errors.append(f"{what} isn't a table")
+    return {}
+
+
+def _list(value, what: str, errors: list[str]) -> list:
+    if isinstance(value, list):
+        return value
+    errors.append(f"{what} isn't a list")
+    return []
+
+
 def _severities(table: dict, errors: list[str]) -> dict[str, str]:
     known = {r[0] for r in rules.RULES}
     out = {}
@@ -30,37 +44,48 @@ def _severities(table: dict, errors: list[str]) -> dict[str, str]:
         severity = "information" if severity == "info" else severity
         if rule not in known:
             errors.append(f"unknown rule {rule}")
-        elif severity is not None and severity not in rules.SEVERITIES:
+        elif severity is not None and (not isinstance(severity, str) or severity not in rules.SEVERITIES):
             errors.append(f"unknown severity {severity} of {rule}")
         elif severity is not None:
             out[rule] = severity
     return out
 
 
-def parse_config(text: str | None) -> dict:
-    """A configuration file as PARSED; what is wrong with it is listed, not raised."""
-    errors: list[str] = []
+def load_toml(text: str | None) -> tuple[dict, str | None]:
+    """(table, what is wrong): texts that aren't TOML, or nested too deep, are empty tables. Null counts as empty."""
     try:
-        table = tomllib.loads(text or "")
-    except tomllib.TOMLDecodeError as e:
-        return {"preset": "default", "include": [], "exclude": [], "rules": {}, "overrides": [], "errors": [f"not TOML: {e}"]}
+        return tomllib.loads(text or ""), None
+    except (tomllib.TOMLDecodeError, ValueError, OverflowError) as e:
+        return {}, f"not TOML: {e}"
+    except RecursionError:
+        return {}, "not TOML: nested too deep"
+
+
+def parse_config(text: str | None) -> dict:
+    """A configuration file as PARSED; what is wrong with it is listed, not raised, and counts as left out."""
+    table, problem = load_toml(text)
+    errors = [problem] if problem else []
     errors += [f"unknown key {k}" for k in table if k not in KEYS]
     preset = table.get("preset", "default")
-    if preset not in rules.PRESETS:
+    if not isinstance(preset, str) or preset not in rules.PRESETS:
         errors.append(f"unknown preset {preset}")
         preset = "default"
 
-    def regexes(patterns: list) -> list[str]:
+    def regexes(table: dict, key: str) -> list[str]:
         out = []
-        for p in patterns:
+        for p in _list(table.get(key, []), key, errors):
             try:
                 out.append(glob_to_regex(p))
             except (ValueError, TypeError, AttributeError):
                 errors.append(f"bad pattern {p!r}")
         return out
 
-    overrides = [{"paths": regexes(o.get("paths", [])), "rules": _severities(o.get("rules", {}), errors)} for o in table.get("overrides", [])]
-    return {"preset": preset, "include": regexes(table.get("include", [])), "exclude": regexes(table.get("exclude", [])), "rules": _severities(table.get("rules", {}), errors), "overrides": overrides, "errors": errors}
+    def severities(table: dict) -> dict[str, str]:
+        return _severities(_table(table.get("rules", {}), "rules", errors), errors)
+
+    own = [_table(o, "an override", errors) for o in _list(table.get("overrides", []), "overrides", errors)]
+    overrides = [{"paths": regexes(o, "paths"), "rules": severities(o)} for o in own]
+    return {"preset": preset, "include": regexes(table, "include"), "exclude": regexes(table, "exclude"), "rules": severities(table), "overrides": overrides, "errors": errors}
 
 
 def parsed(content: Column) -> Column:
@@ -88,6 +113,8 @@ def toml_problem(text: str | None) -> tuple[str, int, int] | None:
         return str(e)[: place.start()], start, min(start + 1, len(text))
     except RecursionError:
         return "nested too deep", 0, len(text)
+    except (ValueError, OverflowError) as e:  # numbers and dates that Python can't hold
+        return str(e), 0, len(text)
     return None
 
 

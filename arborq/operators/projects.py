@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tomllib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborq.functions import paths
 from arborq.operators import relational
+from arborq.operators.config import load_toml
 
 #: Names of project files and manifests, the preferred ones first.
 PROJECT_FILES = ("JuliaProject.toml", "Project.toml")
@@ -32,9 +31,8 @@ def folders(files: DataFrame, version: str | None = None) -> DataFrame:
 
 
 def _project(text: str | None) -> dict | None:
-    try:
-        t = tomllib.loads(text or "")
-    except tomllib.TOMLDecodeError:
+    t, problem = load_toml(text)
+    if problem:
         return None
     take = lambda k: t[k] if isinstance(t.get(k), str) else None
     return {"name": take("name"), "uuid": take("uuid"), "version": take("version")}
@@ -49,26 +47,23 @@ DEPS = "array<struct<name: string, kind: string, uuid: string, version: string,
 
 
 def manifest_entries(text: str | None) -> list[dict] | None:
-    """A manifest's dependencies; null if it is of an unknown format. A name with several entries is left out; one that fits no kind raises ValueError."""
-    t = tomllib.loads(text or "")
-    major = int(str(t.get("manifest_format", "1")).split(".")[0])
-    if major not in (1, 2):
+    """A manifest's dependencies; null if it isn't TOML or of an unknown format. A name with several entries, and an entry that fits no kind of dependency, are left out."""
+    t, problem = load_toml(text)
+    major = str(t.get("manifest_format", "1")).split(".")[0]
+    if problem or major not in ("1", "2"):
         return None
-    table = t if major == 1 else t.get("deps", {})
+    table = t if major == "1" else t.get("deps", {})
     out = []
-    for name, entries in table.items():
-        if not isinstance(entries, list) or len(entries) != 1:
+    for name, entries in table.items() if isinstance(table, dict) else ():
+        if not isinstance(entries, list) or len(entries) != 1 or not isinstance(entries[0], dict):
             continue
-        e = entries[0]
-        uuid, sha = e.get("uuid"), e.get("git-tree-sha1")
-        if uuid and "path" in e:
-            out.append({"name": name, "kind": "dev", "uuid": uuid, "version": e.get("version", ""), "tree_sha": None, "path": e["path"]})
-        elif uuid and sha and "version" in e:
-            out.append({"name": name, "kind": "registered", "uuid": uuid, "version": e["version"], "tree_sha": sha, "path": None})
+        uuid, version, sha, path = (x if isinstance(x := entries[0].get(k), str) else None for k in ("uuid", "version", "git-tree-sha1", "path"))
+        if uuid and path is not None:
+            out.append({"name": name, "kind": "dev", "uuid": uuid, "version": version or "", "tree_sha": None, "path": path})
+        elif uuid and sha and version is not None:
+            out.append({"name": name, "kind": "registered", "uuid": uuid, "version": version, "tree_sha": sha, "path": None})
         elif uuid:
-            out.append({"name": name, "kind": "stdlib", "uuid": uuid, "version": e.get("version"), "tree_sha": None, "path": None})
-        else:
-            raise ValueError(f"an entry of {name} fits no kind of dependency")
+            out.append({"name": name, "kind": "stdlib", "uuid": uuid, "version": version, "tree_sha": None, "path": None})
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborq.operators import relational
+from arborq.operators.graph import stored
 
 #: Kinds of declarations that later functions and assignments of the name don't replace.
 DATATYPES = ("struct", "mutable_struct", "abstract", "primitive", "enum")
@@ -18,10 +19,12 @@ UNBOUNDED = 2**31 - 1
 
 
 def item_ids(items: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """items with hash, of the key (46 bits), occurrence (0-based, of equal keys by order) and id: hash and occurrence."""
+    """items with hash, of the key (46 bits), occurrence (0-based, of equal keys by order) and id: hash and occurrence (16 bits; for each further 65,536 occurrences another hash)."""
     out = items.withColumn("hash", F.xxhash64(*key).bitwiseAND((1 << 46) - 1))
     out = out.withColumn("occurrence", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
-    return out.withColumn("id", F.shiftleft("hash", 16).bitwiseOR(F.col("occurrence").cast("long")))
+    room = 1 << 16  # an occurrence beyond takes another hash, so that it doesn't run into this one's bits
+    hashed = F.when(F.col("occurrence") < room, F.col("hash")).otherwise(F.xxhash64("hash", F.shiftright("occurrence", 16)).bitwiseAND((1 << 46) - 1))
+    return out.withColumn("id", F.shiftleft(hashed, 16).bitwiseOR(F.col("occurrence").bitwiseAND(room - 1).cast("long")))
 
 
 def declared(items: DataFrame, key: list[str], order: str, kind: str = "kind") -> DataFrame:
@@ -102,21 +105,26 @@ def completions(names: DataFrame, query: str, cutoff: float = 0.6) -> DataFrame:
 
 
 def relational_rank(df: DataFrame, order: list, width: int = 6) -> DataFrame:
-    """df with place (1-based, in the whole order) and rank_text; sorted by ranges, with the ranges' sizes added up on the driver."""
+    """df with place (1-based, in the whole order) and rank_text, of at least `width` digits and as many as the largest place has.
+
+    Rows are dealt out by ranges of the order and stored in it, with their numbers in their range; what is counted is what
+    is numbered, for ranges are sampled anew whenever they are dealt out. The sizes of ranges, a number a partition, are
+    added up and joined to the stored rows.
+    """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [o if isinstance(o, Column) else F.col(o) for o in order]
-    ranged = df.repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id())
-    own = Window.partitionBy("__part").orderBy(*keys)
-    ranged = ranged.withColumn("__own", F.row_number().over(own))
-    sizes = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    base, starts = 0, {}
-    for p in sorted(sizes):
-        starts[p] = base
-        base += sizes[p]
-    before = F.create_map(*[x for p, b in starts.items() for x in (F.lit(p), F.lit(b))])[F.col("__part")] if starts else F.lit(0)
-    place = F.coalesce(before, F.lit(0)) + F.col("__own")
-    return ranged.withColumn("place", place).withColumn("rank_text", F.lpad(F.col("place").cast("string"), width, "0")).drop("__part", "__own")
+    ranged = stored(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33).cast("int")
+    sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
+    base, starts = 0, []
+    for r in sorted(sizes):
+        starts.append((r["part"], base))
+        base += r["n"]
+    before = spark.createDataFrame(starts, "__part int, __before long")
+    out = ranged.withColumn("__part", part).join(F.broadcast(before), "__part")  # a row a partition
+    place = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+    return out.withColumn("place", place).withColumn("rank_text", F.lpad(F.col("place").cast("string"), max(width, len(str(base))), "0")).drop("__part", "__at", "__before")
 
 
 def symbol_matches(items: DataFrame, query: str, name: str = "name") -> DataFrame:

@@ -129,7 +129,7 @@ _RANK_SQL = "CASE WHEN label = 'sma' THEN 0 WHEN starts_with(label, 'sma') THEN
 @query(f"""
 WITH n AS (SELECT DISTINCT lower(p_name) AS label, CASE WHEN p_size % 3 = 0 THEN 'local' WHEN p_size % 3 = 1 THEN 'module' ELSE 'store' END AS source, (p_size % 4)::INTEGER AS depth FROM part),
 m AS (SELECT *, {_RANK_SQL} AS rnk, CASE source WHEN 'local' THEN depth WHEN 'module' THEN 100 + depth ELSE 500 END AS priority FROM n WHERE starts_with(label, 'sma') OR 1 - levenshtein(label, 'sma') / greatest(length(label), 3) >= 0.6)
-SELECT label, source, depth, lpad(row_number() OVER (ORDER BY rnk, priority, length(label), label, source, depth)::VARCHAR, 6, '0') AS rank_text FROM m""")
+SELECT label, source, depth, lpad(row_number() OVER (ORDER BY rnk, priority, length(label), label, source, depth)::VARCHAR, greatest(6, length((count(*) OVER ())::VARCHAR))::INTEGER, '0') AS rank_text FROM m""")
 def completion_rank(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_size") % 3
     names = table(spark, d, "part").select(F.lower("p_name").alias("label"), F.when(k == 0, "local").when(k == 1, "module").otherwise("store").alias("source"), (F.col("p_size") % 4).alias("depth")).distinct()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tomllib
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborq.operators import relational
+from arborq.operators.config import load_toml
 
 KEY = ["name", "uuid", "version", "tree_sha"]
 
@@ -48,12 +49,19 @@ def write_results(results: DataFrame, path: str) -> None:
 VERSIONS = "array<struct<version: string, major: int, minor: int, patch: int, tree_sha: string, yanked: boolean>>"
 
 
+#: Numbers beyond this aren't versions.
+LARGEST = (1 << 31) - 1
+
+
 def parse_versions(text: str | None) -> list[dict]:
-    """A package's versions file: a table for each version."""
+    """A package's versions file: a table for each version. What isn't a version or a table is left out, as is a text that isn't TOML."""
     out = []
-    for version, t in tomllib.loads(text or "").items():
-        n = [int(x) for x in version.split("+")[0].split("-")[0].split(".")] + [0, 0]
-        out.append({"version": version, "major": n[0], "minor": n[1], "patch": n[2], "tree_sha": t.get("git-tree-sha1"), "yanked": bool(t.get("yanked", False))})
+    for version, t in load_toml(text)[0].items():
+        n = re.fullmatch(r"v?(\d+)(?:\.(\d+))?(?:\.(\d+))?(?:[-+].*)?", version, re.ASCII)
+        numbers = [int(x or 0) for x in n.groups()] if n else [LARGEST + 1]
+        if isinstance(t, dict) and max(numbers) <= LARGEST:
+            sha = t.get("git-tree-sha1")
+            out.append({"version": version, "major": numbers[0], "minor": numbers[1], "patch": numbers[2], "tree_sha": sha if isinstance(sha, str) else None, "yanked": t.get("yanked") is True})
     return out
 
 

@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arborq.operators import lifecycle, registry, relational, symbols
@@ -99,3 +100,21 @@ def test_completions(spark):
     got = [r["label"] for r in symbols.completions(names, "foo").orderBy("place").collect()]
     assert got == ["foo", "fooo", "foobar", "Foo"]
     assert [r["rank_text"] for r in symbols.completions(names, "foo").orderBy("place").collect()][0] == "000001"
+
+
+def test_ranks_of_a_million_rows(spark):
+    """Ranges are sampled; the places must still be those of row_number, whatever the sample."""
+    n = 1_200_000
+    rows = spark.range(n).select((F.xxhash64("id") % 50_000).alias("a"), F.col("id").alias("b"))
+    got = symbols.relational_rank(rows.repartition(6), ["a", "b"], 6)
+    each = got.agg(F.count("*").alias("n"), F.count_distinct("place").alias("places"), F.min("place").alias("low"), F.max("place").alias("high"), F.count_distinct("rank_text").alias("texts"), F.max(F.char_length("rank_text")).alias("wide")).first()
+    assert tuple(each) == (n, n, 1, n, n, 7)
+    at = Window.orderBy("place")
+    wrong = got.select("a", "b", F.lag("a").over(at).alias("a0"), F.lag("b").over(at).alias("b0")).where("a0 > a OR (a0 = a AND b0 >= b)")
+    assert wrong.count() == 0
+
+
+def test_item_ids_beyond_16_bits(spark):
+    items = spark.range(70_000).select(F.lit("f").alias("name"), F.col("id").alias("at")).unionByName(spark.range(3).select(F.lit("g").alias("name"), F.col("id").alias("at")))
+    got = symbols.item_ids(items, ["name"], ["at"])
+    assert got.select("id").distinct().count() == 70_003

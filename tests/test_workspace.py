@@ -74,8 +74,7 @@ def test_manifests():
     assert [(e["name"], e["kind"]) for e in projects.manifest_entries(text)] == [("A", "dev"), ("B", "registered"), ("C", "stdlib")]
     assert projects.manifest_entries('manifest_format = "3.0"') is None
     assert [e["kind"] for e in projects.manifest_entries('[[A]]\nuuid = "u"\n')] == ["stdlib"]
-    with pytest.raises(ValueError):
-        projects.manifest_entries('[[A]]\npath = "x"\n')
+    assert projects.manifest_entries('[[A]]\npath = "x"\n[[B]]\nuuid = "u"\n') == projects.manifest_entries('[[B]]\nuuid = "u"\n')
 
 
 def test_readiness(spark):
