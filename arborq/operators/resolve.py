@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborq.operators import analysis, graph, relational, symbols
+from arborq.operators import analysis, graph, relational, symbols, visibility
 from arborq.operators.analysis import child
 
 FINDING = ("uri", "rule_id", "message", "start", "stop")
+ITEM = ["item_root", "item_path", "item_name"]
 
 
 def _finding(df: DataFrame, rule: str, message, stop=None) -> DataFrame:
@@ -127,26 +128,23 @@ def reached(rows: DataFrame, modules: DataFrame, dots: str, wanted: str) -> Data
 
 
 def exposed(found: DataFrame, spliced: DataFrame, declared: DataFrame) -> DataFrame:
-    """(root, path, name, item_root, item_path, item_name): what each name means in each module: its own declarations, and what it imports from modules of the workspace, under the alias it gives."""
-    modules = graph.stored(modules_of(found, spliced))
-    items = graph.stored(declared.where("size(qualifier) = 0").select("root", "path", "name").distinct())
-    own = items.select("root", "path", "name", F.col("root").alias("item_root"), F.col("path").alias("item_path"), F.col("name").alias("item_name"))
+    """(root, path, name, item_root, item_path, item_name): what each name means in each module: its own declarations, and what it imports from modules of the workspace, under the alias it gives, through as many modules as pass it on."""
+    key = lambda root, path: F.concat_ws("\x1f", root, path)
+    modules = graph.stored(modules_of(found, spliced).withColumn("module", key("root", "path")))
     imports = in_modules(child(found, "imports").withColumnRenamed("path", "wanted"), spliced)
-    columns = ["root", "path", "keyword", "dots", "wanted", "names", "called"]
-    listed = reached(imports.where("size(names) > 0").select(*columns), modules, "dots", "wanted")
-    listed = listed.select("root", "path", F.explode(F.arrays_zip("called", "names")).alias("n"), "to_root", "to_path").select("root", "path", F.col("n.called").alias("name"), F.col("to_root").alias("item_root"), F.col("to_path").alias("item_path"), F.col("n.names").alias("item_name"))
+    columns = ["root", "path", "keyword", "dots", "wanted", "names", "called", "ord"]
+    own, to = key("root", "path").alias("module"), key("to_root", "to_path").alias("target")
+    listed = reached(imports.where("size(names) > 0").select(*columns), modules, "dots", "wanted").withColumn("n", F.explode(F.arrays_zip("called", "names")))
+    explicit = listed.select(own, F.col("n.called").alias("name"), to, F.col("n.names").alias("target_name"), "ord")
     whole = imports.where("size(names) = 0 AND size(wanted) > 0").select(*columns)
-    exports = in_modules(child(found, "exports").select("uri", "name", "module"), spliced).select(F.col("root").alias("to_root"), F.col("path").alias("to_path"), "name")
-    used = reached(whole.where("keyword = 'using'"), modules, "dots", "wanted").join(exports, ["to_root", "to_path"]).select("root", "path", "name", F.col("to_root").alias("item_root"), F.col("to_path").alias("item_path"), F.col("name").alias("item_name"))
-    last = whole.withColumns({"item_name": F.element_at("wanted", -1), "outer": F.slice("wanted", 1, F.size("wanted") - 1), "name": F.get("called", 0)})
-    single = reached(last.where("size(outer) > 0 OR dots > 0"), modules, "dots", "outer").select("root", "path", "name", F.col("to_root").alias("item_root"), F.col("to_path").alias("item_path"), "item_name")
-    brought = listed.unionByName(used).unionByName(single)
-    there = items.select(F.col("root").alias("item_root"), F.col("path").alias("item_path"), F.col("name").alias("item_name"))
-    brought = brought.join(there, ["item_root", "item_path", "item_name"], "left_semi").join(items, ["root", "path", "name"], "left_anti")
-    return own.unionByName(brought.select(*own.columns)).distinct()
-
-
-ITEM = ["item_root", "item_path", "item_name"]
+    last = whole.withColumns({"target_name": F.element_at("wanted", -1), "outer": F.slice("wanted", 1, F.size("wanted") - 1), "name": F.get("called", 0)})
+    explicit = explicit.unionByName(reached(last.where("size(outer) > 0 OR dots > 0"), modules, "dots", "outer").select(own, "name", to, "target_name", "ord"))
+    wildcard = reached(whole.where("keyword = 'using'"), modules, "dots", "wanted").select(own, to, "ord")
+    exports = in_modules(child(found, "exports").select("uri", "name", "module"), spliced).select(own, "name")
+    items = declared.where("size(qualifier) = 0").select(own, "name")
+    seen = visibility.visible(items, explicit, wildcard, exports).where("item_module is not null")
+    there = modules.select(F.col("module").alias("item_module"), F.col("root").alias("item_root"), F.col("path").alias("item_path"))
+    return seen.join(modules, "module").join(there, "item_module").select("root", "path", "name", *ITEM).distinct()
 
 
 def sites(found: DataFrame, spliced: DataFrame, declared: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def graph_roots_for_node(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_CLOSURE}, {_ROOTS} SELECT c.dst AS node, coalesce(min(r.node) FILTER (r.node <> 1), min(r.node))::BIGINT AS root FROM c JOIN r ON c.src = r.node GROUP BY c.dst")
 def graph_best_root(spark: SparkSession, d: str) -> DataFrame:
     """Part 1 is a test."""
-    return graph.best_root(graph.roots_of(nodes(spark, d), edges(spark, d)), F.col("root") == 1)
+    return graph.best_root_of(nodes(spark, d), edges(spark, d), F.col("root") == 1)
 
 
 @query(f"{_CLOSURE} SELECT DISTINCT c.src AS node FROM c JOIN e ON c.dst = e.src AND e.dst = c.src")
@@ -59,6 +59,20 @@ def graph_cycles(spark: SparkSession, d: str) -> DataFrame:
     return graph.on_cycle(nodes(spark, d), edges(spark, d))
 
 
+_LOOPS = "(SELECT p_partkey // 3 AS src, p_partkey AS dst FROM part WHERE p_partkey >= 3 UNION SELECT p_partkey, p_partkey // 9 FROM part WHERE p_size = 7 AND p_partkey >= 9 UNION SELECT p_partkey, p_partkey FROM part WHERE p_size = 9)"
+
+
+@query(f"""
+WITH RECURSIVE e AS {_LOOPS}, c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)
+SELECT a.src AS node, greatest(a.src, max(a.dst))::BIGINT AS component FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src""")
+def graph_components(spark: SparkSession, d: str) -> DataFrame:
+    """Every part of size 7 leads back to the part two levels up, and those of size 9 to themselves: the loops that this makes, joined where they share a part."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_size")
+    down = part.where("k >= 3").select(F.floor(F.col("k") / 3).alias("src"), F.col("k").alias("dst"))
+    back = part.where("p_size = 7 AND k >= 9").select(F.col("k").alias("src"), F.floor(F.col("k") / 9).alias("dst"))
+    return graph.components(down.unionByName(back).unionByName(part.where("p_size = 9").select(F.col("k").alias("src"), F.col("k").alias("dst"))))
+
+
 @query("""
 WITH i AS (SELECT l_orderkey AS src, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount))::INTEGER AS ordinal, CASE WHEN l_quantity > 45 THEN NULL ELSE l_partkey + CASE WHEN l_discount > 0.09 THEN 100000000 ELSE 0 END END AS target FROM lineitem),
 k AS (SELECT i.*, row_number() OVER (PARTITION BY src, target ORDER BY ordinal) AS nth, p_partkey IS NOT NULL AS there FROM i LEFT JOIN part ON p_partkey = target)
