@@ -166,7 +166,7 @@ def document_symbols(found: DataFrame, kinds: tuple[str, ...] = ("module", "bare
 def module_at(found: DataFrame, points: DataFrame) -> DataFrame:
     """points (uri, offset) with the dotted name of the module around each."""
     nodes = child(found, "nodes").where(F.col("kind").isin("module", "baremodule"))
-    around = relational.contained(points, nodes, ["uri"], "offset", "start", "stop", 4096)
+    around = relational.contained(points, nodes, ["uri"], "offset", "start", "stop")
     named = around.groupBy("uri", "offset").agg(F.array_sort(F.collect_list(F.struct("start", "name"))).alias("m"))
     return points.join(named, ["uri", "offset"], "left").select("uri", "offset", F.coalesce(F.array_join("m.name", "."), F.lit("")).alias("module"))
 

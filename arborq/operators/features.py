@@ -23,7 +23,7 @@ ACTIONS = (
 
 def selection_ranges(nodes: DataFrame, points: DataFrame) -> DataFrame:
     """(uri, offset, start, stop, level): all blocks around each place, from the narrowest out."""
-    found = relational.contained(points, nodes.where("stop > start"), ["uri"], "offset", "start", "stop", 4096)
+    found = relational.contained(points, nodes.where("stop > start"), ["uri"], "offset", "start", "stop")
     own = Window.partitionBy("uri", "offset").orderBy(F.col("stop") - F.col("start"), F.col("start").desc(), "node_id")
     return found.select("uri", "offset", "start", "stop", F.row_number().over(own).alias("level"))
 
@@ -31,7 +31,7 @@ def selection_ranges(nodes: DataFrame, points: DataFrame) -> DataFrame:
 def current_block(nodes: DataFrame, points: DataFrame) -> DataFrame:
     """(uri, offset, kind, name, start, stop): the outermost block around each place but the file and its modules."""
     own = nodes.where(~F.col("kind").isin("file", "module", "baremodule"))
-    found = relational.contained(points, own, ["uri"], "offset", "start", "stop", 4096)
+    found = relational.contained(points, own, ["uri"], "offset", "start", "stop")
     return relational.top(found, ["uri", "offset"], [(F.col("stop") - F.col("start")).desc(), F.col("node_id").asc()]).select("uri", "offset", "kind", "name", "start", "stop")
 
 

@@ -52,14 +52,23 @@ def reconcile(wanted: DataFrame, running: DataFrame, keys: list[str]) -> tuple[D
     return missing(wanted, running, keys), missing(running, wanted, keys)
 
 
-def contained(points: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, stop: str, width: int = 256) -> DataFrame:
-    """points joined with the intervals of equal `by` that hold them: start <= at < stop.
+def contained(points: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, stop: str) -> DataFrame:
+    """points joined with the intervals of equal `by` that hold them: start <= at < stop; empty intervals hold nothing.
 
-    An interval is dealt to the buckets of `width` that it meets; only points of a bucket are compared with it.
+    An interval is one row, however long: it lies at the level k of the least power of two that is no shorter than it, in
+    the bucket of width 2**k where it starts, and so reaches into the next bucket at most. A point looks into two buckets
+    of each level that there is, of which there are 63 at most.
     """
-    p = points.withColumn("__b", F.floor(F.col(at) / width))
-    i = intervals.where(F.col(stop) > F.col(start)).withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(stop) - 1) / width))))
-    return p.join(i, [*by, "__b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop))).drop("__b")
+    length = F.col(stop).cast("long") - F.col(start).cast("long")
+    level = F.length(F.regexp_replace(F.bin(length - 1), "^0$", "")).cast("int")  # of 1: 0, of 2: 1, of 3 and 4: 2
+    i = intervals.where(F.col(stop) > F.col(start)).withColumn("__level", level)
+    i = i.withColumn("__b", F.expr(f"shiftright(cast(`{start}` as bigint), __level)"))
+    levels = sorted(r[0] for r in i.select("__level").distinct().collect())
+    if not levels:
+        return points.join(i.drop("__level", "__b"), by).where(F.lit(False))
+    p = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)))).withColumn("__at", F.expr(f"shiftright(cast(`{at}` as bigint), __level)"))
+    p = p.withColumn("__b", F.explode(F.array(F.col("__at"), F.col("__at") - 1))).drop("__at")
+    return p.join(i, [*by, "__level", "__b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop))).drop("__b", "__level")
 
 
 def innermost(points: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, stop: str, order: list[Column] | None = None) -> DataFrame:

@@ -81,7 +81,7 @@ def redeclared(found: DataFrame) -> DataFrame:
     """Findings of items that redeclare a constant or datatype of their module and file; not in branches of an `if`, where one excludes the other."""
     items = child(found, "items").where("size(qualifier) = 0 AND kind NOT IN ('module', 'baremodule')")
     branches = child(found, "nodes").where("kind = 'if'").select("uri", F.col("start").alias("low"), F.col("stop").alias("high"))
-    inside = relational.contained(items.select("uri", "start"), branches, ["uri"], "start", "low", "high", 4096).select("uri", "start")
+    inside = relational.contained(items.select("uri", "start"), branches, ["uri"], "start", "low", "high").select("uri", "start")
     own = Window.partitionBy("uri", "module", "name").orderBy("ord")
     fixed = ("const", *symbols.DATATYPES)
     rows = items.join(inside, ["uri", "start"], "left_anti").withColumn("before", F.lag("kind").over(own))

@@ -62,8 +62,8 @@ def unfit_calls(calls: DataFrame, methods: DataFrame, callee: str, fits: Column)
 
 
 def references(refs: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """Uses of items, by the item they lead to and not by name, so that aliases count; a place counts once."""
-    return refs.join(items, key, "left_semi").dropDuplicates(["uri", "offset", "span"])
+    """Uses of items, by the item they lead to and not by name, so that aliases count; equal rows count once, and a place as often as it stands for different items."""
+    return refs.join(items, key, "left_semi").distinct()
 
 
 def rename_sites(sites: DataFrame, name: Column) -> DataFrame:

@@ -103,24 +103,24 @@ _USES_SQL = "(SELECT 'f' || (l_orderkey % 500) AS uri, (l_orderkey // 500) * 10
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").where("p_size = 3").select(F.col("p_partkey").alias("item"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("item"))
 
 
-@query(f"SELECT DISTINCT uri, offs AS offset_, span FROM {_USES_SQL} WHERE item IN (SELECT p_partkey FROM part WHERE p_size = 3)")
+@query(f"SELECT DISTINCT uri, offs AS offset_, span FROM {_USES_SQL} WHERE item IN (SELECT p_partkey FROM part)")
 def references(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.references(_uses(spark, d), _items(spark, d), "item").select("uri", F.col("offset").alias("offset_"), "span")
+    return symbols.references(_uses(spark, d), _items(spark, d), "item").select("uri", F.col("offset").alias("offset_"), "span").distinct()
 
 
-@query(f"SELECT DISTINCT offs AS offset_, span, CASE WHEN is_write THEN 'write' ELSE 'read' END AS kind FROM {_USES_SQL} WHERE uri = 'f7' AND item IN (SELECT p_partkey FROM part WHERE p_size = 3)")
+@query(f"SELECT DISTINCT offs AS offset_, span, CASE WHEN is_write THEN 'write' ELSE 'read' END AS kind FROM {_USES_SQL} WHERE uri = 'f7' AND item IN (SELECT p_partkey FROM part)")
 def highlights(spark: SparkSession, d: str) -> DataFrame:
     found = symbols.references(_uses(spark, d), _items(spark, d), "item")
-    return symbols.highlights(found, "f7").select(F.col("offset").alias("offset_"), "span", "kind")
+    return symbols.highlights(found, "f7").select(F.col("offset").alias("offset_"), "span", "kind").distinct()
 
 
-@query(f"SELECT DISTINCT uri, offs AS offset_, span FROM {_USES_SQL} WHERE bound_name = 'n' || item AND item IN (SELECT p_partkey FROM part WHERE p_size = 3)")
+@query(f"SELECT DISTINCT uri, offs AS offset_, span FROM {_USES_SQL} WHERE bound_name = 'n' || item AND item IN (SELECT p_partkey FROM part)")
 def rename_sites(spark: SparkSession, d: str) -> DataFrame:
     found = symbols.references(_uses(spark, d), _items(spark, d), "item")
-    return symbols.rename_sites(found, F.concat(F.lit("n"), F.col("item").cast("string"))).select("uri", F.col("offset").alias("offset_"), "span")
+    return symbols.rename_sites(found, F.concat(F.lit("n"), F.col("item").cast("string"))).select("uri", F.col("offset").alias("offset_"), "span").distinct()
 
 
 _RANK_SQL = "CASE WHEN label = 'sma' THEN 0 WHEN starts_with(label, 'sma') THEN 1 WHEN starts_with(lower(label), 'sma') THEN 2 ELSE 3 END"
@@ -200,24 +200,24 @@ def type_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 10 AS file, l_partkey % 4000 AS pos FROM lineitem WHERE l_linenumber = 1),
+WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 10 AS file, l_partkey % 4000 AS pos FROM lineitem),
 i AS (SELECT p_partkey AS node, p_size % 10 AS file, p_partkey % 3000 AS start, p_partkey % 3000 + 1 + (p_partkey * 7) % 900 AS stop FROM part)
 SELECT file, pos, node FROM (SELECT p.file, p.pos, i.node, row_number() OVER (PARTITION BY p.file, p.pos ORDER BY stop - start, start DESC, node) AS k FROM (SELECT DISTINCT file, pos FROM p) p JOIN i ON i.file = p.file AND start <= pos AND pos < stop) WHERE k = 1""")
 def innermost_node(spark: SparkSession, d: str) -> DataFrame:
-    """The narrowest interval around each place, with intervals dealt to buckets."""
-    points = table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 10).alias("file"), (F.col("l_partkey") % 4000).alias("pos")).distinct()
+    """The narrowest interval around each place."""
+    points = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("file"), (F.col("l_partkey") % 4000).alias("pos")).distinct()
     k = F.col("p_partkey")
     nodes = table(spark, d, "part").select(k.alias("node"), (F.col("p_size") % 10).cast("long").alias("file"), (k % 3000).alias("start"), (k % 3000 + 1 + (k * 7) % 900).alias("stop"))
     return relational.innermost(points, nodes, ["file"], "pos", "start", "stop", [F.col("node").asc()]).select("file", "pos", "node")
 
 
 @query("""
-WITH p AS (SELECT DISTINCT l_suppkey % 10 AS file, l_partkey % 4000 AS pos FROM lineitem WHERE l_linenumber = 2 AND l_quantity < 5),
+WITH p AS (SELECT DISTINCT l_suppkey % 10 AS file, l_partkey % 4000 AS pos FROM lineitem),
 i AS (SELECT p_partkey AS node, p_size % 10 AS file, p_partkey % 3000 AS start, p_partkey % 3000 + 1 + (p_partkey * 7) % 900 AS stop FROM part)
 SELECT p.file, p.pos, node, row_number() OVER (PARTITION BY p.file, p.pos ORDER BY stop - start, start DESC, node)::BIGINT AS level FROM p JOIN i ON i.file = p.file AND start <= pos AND pos < stop""")
 def selection_ranges(spark: SparkSession, d: str) -> DataFrame:
     """All intervals around a place, from the narrowest out."""
-    points = table(spark, d, "lineitem").where("l_linenumber = 2 AND l_quantity < 5").select((F.col("l_suppkey") % 10).alias("file"), (F.col("l_partkey") % 4000).alias("pos")).distinct()
+    points = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("file"), (F.col("l_partkey") % 4000).alias("pos")).distinct()
     k = F.col("p_partkey")
     nodes = table(spark, d, "part").select(k.alias("node"), (F.col("p_size") % 10).cast("long").alias("file"), (k % 3000).alias("start"), (k % 3000 + 1 + (k * 7) % 900).alias("stop"))
     found = relational.contained(points, nodes, ["file"], "pos", "start", "stop")

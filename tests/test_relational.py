@@ -118,3 +118,14 @@ def test_item_ids_beyond_16_bits(spark):
     items = spark.range(70_000).select(F.lit("f").alias("name"), F.col("id").alias("at")).unionByName(spark.range(3).select(F.lit("g").alias("name"), F.col("id").alias("at")))
     got = symbols.item_ids(items, ["name"], ["at"])
     assert got.select("id").distinct().count() == 70_003
+
+
+def test_contained_against_all_pairs(spark):
+    r = random.Random(5)
+    points = [(r.choice("ab"), r.randrange(-50, 3000)) for _ in range(300)] + [("a", 0), ("a", 0), (None, 3), ("a", None)]
+    intervals = [(i, r.choice("ab"), s := r.randrange(-60, 3000), s + r.choice([0, 1, 2, 3, 4, 5, 8, 9, 100, 4096, 100_000, -3])) for i in range(200)] + [(900, "a", 0, 1 << 30), (901, None, 0, 9), (902, "b", None, 3)]
+    p, i = spark.createDataFrame(points, "f string, at int"), spark.createDataFrame(intervals, "i int, f string, low int, high int")
+    got = sorted((x["f"], x["at"], x["i"]) for x in relational.contained(p, i, ["f"], "at", "low", "high").collect())
+    want = sorted((f, a, k) for f, a in points for k, g, low, high in intervals if f and f == g and None not in (a, low, high) and low <= a < high)
+    assert got == want
+    assert relational.contained(p, i.where("high < low"), ["f"], "at", "low", "high").count() == 0
