@@ -93,58 +93,82 @@ def _u32(data: memoryview, at: int, n: int, width: int = 1) -> np.ndarray:
 
 
 def tracks(data: bytes | memoryview) -> list[Track]:
-    """Tracks in the order of the file, the samples of its fragments after those of its tables. Raises ValueError if it is damaged."""
-    data = memoryview(data)
+    """Tracks in the order of the file, the samples of its fragments after those of its tables.
+
+    Raises ValueError if it is damaged, and nothing else. What a box claims to hold is bounded by the box, or where it has
+    no entry for each sample by the file, so that no more than some times the file's size is allocated.
+    """
+    try:
+        return _tracks(memoryview(data))
+    except (struct.error, IndexError, OverflowError, TypeError) as e:
+        raise ValueError(f"a box is cut off: {e}") from e
+
+
+def _tracks(data: memoryview) -> list[Track]:
     out: list[Track] = []
     raw: list[dict] = []
     defaults: dict[int, tuple[int, int, int]] = {}  # of a track's samples in fragments: duration, size, flags
     runs: dict[int, list[tuple[np.ndarray, ...]]] = {}
     moof = 0
     fragment: dict = {}
-    try:
-        for path, at, end in walk(data):
-            kind = path[-1]
-            if kind == b"trak":
-                out.append(Track())
-                raw.append({})
-            elif kind == b"moof":
-                moof, fragment = at - 8, {}
-            elif kind == b"trex":
-                number, _, *own = struct.unpack_from(">5I", data, at + 4)
-                defaults[number] = tuple(own)
-            elif kind == b"tfhd":
-                fragment = _fragment(data, at, moof, fragment, defaults)
-            elif kind == b"tfdt" and fragment:
-                fragment["time"] = struct.unpack_from(">Q" if data[at] else ">I", data, at + 4)[0]
-            elif kind == b"trun" and fragment:
-                runs.setdefault(fragment["number"], []).append(_run(data, at, end, fragment))
-            elif len(path) >= 3 and path[:2] == (b"moov", b"trak"):
-                _told(data, at, end, kind, out[-1], raw[-1])
-    except (struct.error, IndexError) as e:
-        raise ValueError(f"a box is cut off: {e}") from e
+    for path, at, end in walk(data):
+        kind = path[-1]
+        if kind == b"trak":
+            out.append(Track())
+            raw.append({})
+        elif kind == b"moof":
+            moof, fragment = at - 8, {}
+        elif kind == b"trex":
+            number, _, *own = struct.unpack_from(">5I", data, at + 4)
+            defaults[number] = tuple(own)
+        elif kind == b"tfhd":
+            fragment = _fragment(data, at, moof, fragment, defaults)
+        elif kind == b"tfdt" and fragment:
+            fragment["time"] = struct.unpack_from(">Q" if data[at] else ">I", data, at + 4)[0]
+        elif kind == b"trun" and fragment:
+            runs.setdefault(fragment["number"], []).append(_run(data, at, end, fragment))
+        elif len(path) >= 3 and path[:2] == (b"moov", b"trak"):
+            _told(data, at, end, kind, out[-1], raw[-1])
     for t, r in zip(out, raw, strict=True):
         t.sizes = r.get(b"stsz", np.zeros(0, np.int64))
         n, chunks, spread = len(t.sizes), r.get(b"stco", np.zeros(0, np.int64)), r.get(b"stsc", np.zeros((0, 3), np.int64))
-        per_chunk = np.repeat(spread[:, 1], np.diff(np.append(spread[:, 0], len(chunks) + 1))) if len(spread) else np.zeros(0, np.int64)
-        if per_chunk.sum() != n:
+        counts = np.diff(np.append(spread[:, 0], len(chunks) + 1))
+        if len(spread) and (spread[0, 0] != 1 or (counts < 0).any()):
+            raise ValueError("stsc doesn't go through the chunks in order")
+        per_chunk = np.repeat(spread[:, 1], counts) if len(spread) else np.zeros(0, np.int64)
+        if per_chunk.sum() != n or len(per_chunk) != len(chunks) and n:
             raise ValueError(f"stsc deals out {per_chunk.sum()} samples, stsz has {n}")
         ends = np.cumsum(t.sizes)
         first = np.cumsum(per_chunk) - per_chunk
-        before = np.append(0, ends)[first] if len(chunks) else first
-        t.offsets = np.repeat(chunks - before, per_chunk) + ends - t.sizes
-        t.sync = r[b"stss"] - 1 if b"stss" in r else np.arange(n)
+        before = np.append(0, ends)[first] if n else first
+        t.offsets = np.repeat(chunks[: len(per_chunk)] - before, per_chunk) + ends - t.sizes
+        if (t.offsets < 0).any():
+            raise ValueError("a sample lies before the file")
+        t.sync = np.unique(r[b"stss"] - 1) if b"stss" in r else np.arange(n)
+        if len(t.sync) and not (0 <= t.sync[0] and t.sync[-1] < n):
+            raise ValueError(f"stss names a sample beyond the {n} there are")
         stts = r.get(b"stts", np.zeros((0, 2), np.int64))
-        times = np.append(0, np.cumsum(np.repeat(stts[:, 1], stts[:, 0])))
-        t.times, last = times[:n], int(times[min(n, len(times) - 1)])
+        upto = np.minimum(np.cumsum(stts[:, 0]), n)  # entries beyond the samples count for nothing
+        lasting = np.repeat(stts[:, 1], np.diff(upto, prepend=0))
+        lasting = np.append(lasting, np.zeros(n - len(lasting), np.int64))
+        done = np.cumsum(lasting)
+        t.times, last = done - lasting, int(done[-1]) if n else 0
         if t.number in runs:
             offsets, sizes, lasting, sync, begins = (np.concatenate(x) for x in zip(*runs[t.number], strict=True))
             t.sync = np.append(t.sync, n + np.flatnonzero(sync)).astype(np.int64)
             t.offsets, t.sizes, t.times = np.append(t.offsets, offsets), np.append(t.sizes, sizes), np.append(t.times, begins)
-            last = max(last, int((begins + lasting).max(initial=0)))
+            t.duration = max(t.duration, last, int((begins + lasting).max(initial=0)))  # what mdhd tells leaves fragments out
         t.duration = t.duration or last
     return out
 
 
+def _entries(data: memoryview, at: int, end: int, n: int, width: int = 1) -> np.ndarray:
+    """n rows of `width` 32-bit numbers, all within the box."""
+    if at + 4 * n * width > end:
+        raise ValueError(f"a box claims {n} entries, more than it holds")
+    return _u32(data, at, n, width)
+
+
 def _told(data: memoryview, at: int, end: int, kind: bytes, t: Track, r: dict) -> None:
     """What a box of a track tells."""
     if kind == b"tkhd":
@@ -152,20 +176,30 @@ def _told(data: memoryview, at: int, end: int, kind: bytes, t: Track, r: dict) -
     elif kind == b"mdhd":
         version, at = _full(data, at)
         t.timescale, t.duration = struct.unpack_from(">IQ", data, at + 16) if version else struct.unpack_from(">II", data, at + 8)
+        if t.duration == (0xFFFFFFFFFFFFFFFF if version else 0xFFFFFFFF):
+            t.duration = 0  # not known
     elif kind == b"hdlr":
         t.handler = bytes(data[at + 8 : at + 12]).decode("latin-1")
     elif kind == b"stsd" and end - at >= 16:
         t.codec = bytes(data[at + 12 : at + 16]).decode("latin-1")
     elif kind in (b"stts", b"stsc", b"stco", b"stss"):
         n = struct.unpack_from(">I", data, at + 4)[0]
-        r[kind] = _u32(data, at + 8, n, {b"stts": 2, b"stsc": 3}.get(kind, 1))
+        r[kind] = _entries(data, at + 8, end, n, {b"stts": 2, b"stsc": 3}.get(kind, 1))
     elif kind == b"co64":
-        r[b"stco"] = np.frombuffer(data, ">u8", struct.unpack_from(">I", data, at + 4)[0], at + 8).astype(np.int64)
+        n = struct.unpack_from(">I", data, at + 4)[0]
+        high, low = _entries(data, at + 8, end, n, 2).reshape(n, 2).T
+        if (high >> 31).any():
+            raise ValueError("a chunk lies beyond 2 ** 63")
+        r[b"stco"] = high << 32 | low
     elif kind == b"stsz":
         size, n = struct.unpack_from(">II", data, at + 4)
-        r[b"stsz"] = np.full(n, size, np.int64) if size else _u32(data, at + 12, n)
+        if size and n * size > len(data):
+            raise ValueError(f"{n} samples of {size} bytes don't fit the file")
+        r[b"stsz"] = np.full(n, size, np.int64) if size else _entries(data, at + 12, end, n)
     elif kind == b"stz2":
         bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+        if bits not in (4, 8, 16) or at + 12 + (n * bits + 7) // 8 > end:
+            raise ValueError(f"stz2 has {n} samples of {bits} bits")
         if bits == 4:
             b = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12)
             r[b"stsz"] = np.stack([b >> 4, b & 15], 1).ravel()[:n].astype(np.int64)
@@ -213,12 +247,16 @@ def _run(data: memoryview, at: int, end: int, fragment: dict) -> tuple[np.ndarra
     bits = [b for b in (0x100, 0x200, 0x400, 0x800) if flags & b]
     if at + 4 * n * len(bits) > end:
         raise ValueError(f"trun has {n} samples, more than its box")
-    columns = dict(zip(bits, _u32(data, at, n, max(1, len(bits))).reshape(n, -1).T if bits else [], strict=True))
+    if 0x200 not in bits and n * max(1, fragment["default"][1]) > len(data):
+        raise ValueError(f"trun has {n} samples, more than the file")
+    columns = dict(zip(bits, _u32(data, at, n * len(bits)).reshape(n, len(bits)).T, strict=True))
     lasting, sizes, sample_flags = (columns.get(b, np.full(n, d, np.int64)) for b, d in zip((0x100, 0x200, 0x400), fragment["default"], strict=True))
     if first is not None and n and 0x400 not in columns:
         sample_flags[0] = first
     ends, upto = np.cumsum(sizes), np.cumsum(lasting)
     begins = fragment["time"] + upto - lasting
+    if start < 0:
+        raise ValueError("a sample lies before the file")
     fragment["next"] = start + int(sizes.sum())
     fragment["time"] += int(lasting.sum())
     return start + ends - sizes, sizes, lasting, (sample_flags & _NO_SYNC) == 0, begins

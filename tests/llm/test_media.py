@@ -120,3 +120,77 @@ def test_fragments():
     assert (t.codec, t.duration, t.sync.tolist()) == ("avc1", 160 + 5 * 50, [0, 6])
     assert t.times.tolist() == [0, 40, 80, 120, 160, 210, 260, 310, 360]
     assert [data[a:b] for a, b in t.keyframes()][1] == b"".join(samples[6:])
+
+
+def fragmented(table_samples=0, mdhd_duration=0, version=0, fragment_time=0, lasting=1000, n=3):
+    """A file with samples in its tables, and a fragment after them."""
+    box, full = media._box, media._full_box
+    k = table_samples
+    stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"avc1", bytes(8))), full(b"stts", struct.pack(">3I", 1, k, 1) if k else bytes(4)), full(b"stsc", struct.pack(">4I", 1, 1, k, 1) if k else bytes(4)), full(b"stsz", struct.pack(">2I", 2 * bool(k), k)), full(b"stco", struct.pack(">2I", 1, 8) if k else bytes(4)))
+    mdhd = box(b"mdhd", struct.pack(">IQQIQ", 1 << 24, 0, 0, 1000, mdhd_duration)) if version else full(b"mdhd", struct.pack(">4I2H", 0, 0, 1000, mdhd_duration, 0, 0))
+    mdia = box(b"mdia", mdhd, full(b"hdlr", bytes(4), b"vide", bytes(13)), box(b"minf", stbl))
+    trak = box(b"trak", full(b"tkhd", struct.pack(">5I", 0, 0, 7, 0, 0), bytes(60)), mdia)
+    run = full(b"trun", struct.pack(">Ii", n, 8), *(struct.pack(">2I", lasting, 5) for _ in range(n)), flags=0x301)
+    moof = box(b"moof", full(b"mfhd", bytes(4)), box(b"traf", full(b"tfhd", struct.pack(">I", 7), flags=0x20000), full(b"tfdt", struct.pack(">I", fragment_time)), run))
+    return box(b"ftyp", b"isom", bytes(4)) + box(b"moov", trak, box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 40, 0, 0)))) + moof + box(b"mdat", bytes(5 * n + 80))
+
+
+def test_durations():
+    assert media.tracks(fragmented(20, 20, 0, 20))[0].duration == 3020  # that of the fragments counts, whatever mdhd says
+    assert media.tracks(fragmented(20, 0xFFFFFFFF, 0, 20, n=0))[0].duration == 20  # not known
+    assert media.tracks(fragmented(0, 0xFFFFFFFFFFFFFFFF, 1))[0].duration == 3000
+    assert media.tracks(fragmented(20, 9000, 1, 20))[0].duration == 9000
+    assert media.tracks(fragmented(20, 50, n=0))[0].times.tolist() == list(range(20))
+
+
+def claims():
+    """Boxes that claim more than they hold, or point beyond the samples."""
+    box, full = media._box, media._full_box
+    many = 0xFFFFFFFF
+    tables = {
+        "stsz of one size": full(b"stsz", struct.pack(">2I", 1, many)), "stsz": full(b"stsz", struct.pack(">2I", 0, many)), "stts": full(b"stts", struct.pack(">3I", 1, many, 1)), "stts entries": full(b"stts", struct.pack(">I", many)),
+        "stss": full(b"stsz", struct.pack(">3I", 0, 1, 1)) + full(b"stco", struct.pack(">2I", 1, 0)) + full(b"stsc", struct.pack(">4I", 1, 1, 1, 1)) + full(b"stss", struct.pack(">2I", 1, 9)),
+        "stss of none": full(b"stss", struct.pack(">2I", 1, 0)), "stsc": full(b"stsc", struct.pack(">7I", 2, 1, many, 1, many, 1, 1)), "co64": full(b"co64", struct.pack(">2IQ", 1, 1 << 31, 0)), "stz2": full(b"stz2", struct.pack(">2I", 4, many)),
+    }
+    for name, t in tables.items():
+        yield name, box(b"moov", box(b"trak", full(b"tkhd", bytes(80)), box(b"mdia", full(b"mdhd", bytes(20)), box(b"minf", box(b"stbl", t)))))
+    yield "trun", box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">I", 1)), full(b"trun", struct.pack(">I", many))))
+    yield "trun of one size", box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">2I", 1, 1), flags=16), full(b"trun", struct.pack(">I", many))))
+
+
+def described_within(data, times=200, more=1 << 20):
+    import tracemalloc
+
+    tracemalloc.start()
+    found, problem = media._described(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < times * len(data) + more, (peak, len(data))
+    return found, problem
+
+
+def test_claims_beyond_a_box_are_problems():
+    for name, data in claims():
+        found, problem = described_within(data)
+        assert problem or name in ("stts",), name  # entries beyond the samples count for nothing
+
+
+def test_damaged_files_raise_nothing_and_take_no_memory():
+    r = random.Random(11)
+    whole = [media.container(bytes(range(64)) * n) for n in (1, 70, 300)] + [fragmented(20, 20, 0, 20), fragmented(0, 0, 1)] + [d for _, d in claims()]
+    bad = 0
+    for _ in range(1500):
+        data = bytearray(r.choice(whole))
+        for _ in range(r.randrange(1, 6)):
+            at = r.randrange(min(len(data), 700))
+            data[at : at + 4] = r.choice([b"\xff\xff\xff\xff", b"\x00\x00\x00\x00", b"\x7f\xff\xff\xff", r.randbytes(4), bytes(data[at : at + 1]) + b"\x01\x00\x00"])
+        if r.random() < 0.2:
+            del data[r.randrange(len(data)) :]
+        bad += described_within(bytes(data))[1] is not None
+    assert bad > 300
+
+
+def test_a_damaged_file_stops_no_other(spark):
+    rows = [(i, bytearray(d)) for i, (_, d) in enumerate(claims())] + [(99, bytearray(media.container(bytes(64))))]
+    got = media.media_columns(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    assert len(got) == len(rows) and [r["tracks"][0]["samples"] for r in got if r["doc_id"] == 99] == [1]
