@@ -104,9 +104,22 @@ def test_packing(spark, plain):
     r = random.Random(6)
     texts = odd_texts() + MORE + [". ".join(" ".join(words(r, r.randint(1, 30))) for _ in range(r.randint(1, 60))) + "." for _ in range(150)]
     ids = {i: ids_of(plain, t) for i, t in enumerate(texts)}
-    for window, parts in ((4096, 1), (4096, 5), (64, 3)):
+    encode = tokens.Encoder(tokens.default_vocabulary())
+    ends = packing.sentence_ids(encode.tokenizer)
+    for window, parts in ((4096, 1), (4096, 5), (64, 3), (512, 40)):
         rows = packing.pack(documents(spark, texts, extra=True), window, partitions=parts).collect()
-        assert check_pieces(rows, ids, window) < 0.2
+        assert check_pieces(rows, ids, window) < (0.2 if parts < 40 else 0.5)
+        rows.sort(key=lambda r: (r["sequence_id"], r["offset"]))
+        assert [(r["doc_id"], r["start"]) for r in rows] == sorted((r["doc_id"], r["start"]) for r in rows)  # stretches of the stream, in its order
+        assert max(r["offset"] + r["length"] for r in rows) <= window
+        stream = np.concatenate([ids[i] for i in sorted(ids)])
+        before = np.cumsum([0] + [len(ids[i]) for i in sorted(ids)])
+        admissible = np.unique(np.concatenate([before, np.flatnonzero(ends[stream]) + 1]))
+        for a, b in zip(rows, rows[1:]):
+            cut = before[b["doc_id"]] + b["start"]
+            if a["sequence_id"] != b["sequence_id"] and cut not in admissible:  # only where nothing else fits
+                k = np.searchsorted(admissible, cut)
+                assert admissible[k] - admissible[k - 1] > window
     assert packing.pack(documents(spark, [])).count() == 0
 
 
@@ -137,6 +150,32 @@ def test_cuts_are_the_best_there_are():
         assert cost(got) == least
 
 
+def test_room_at_the_end():
+    """Against all ways to cut, where what is left has to fit into a part of a window."""
+    r = random.Random(12)
+    for _ in range(200):
+        window, room = 10, r.choice([5, 5, 10, 1])
+        places = [0]
+        while places[-1] < r.randint(5, 40):
+            places.append(places[-1] + r.randint(1, 9))
+        costs = [0] + [r.choice([0, 2, 5]) for _ in places[1:]]
+        best = {0: 0}
+        for j in range(1, len(places)):
+            best[j] = min(best[i] + window - (places[j] - places[i]) + costs[j] for i in range(j) if i in best and places[j] - places[i] <= window)
+        least = min(v + room - (places[-1] - places[j]) for j, v in best.items() if places[-1] - places[j] <= room)
+        total, at = 0, 0
+        for i in packing.cuts(np.array(places), np.array(costs), window, room):
+            assert places[i] - at <= window
+            total, at = total + window - (places[i] - at) + costs[i], places[i]
+        assert places[-1] - at <= room and total + room - (places[-1] - at) == least
+
+
+def test_windows_that_partitions_share():
+    got = packing.shared_windows([(0, 0, 7), (1, 5, 0), (2, 3, 2), (5, 4, 0), (6, 0, 1), (7, 0, 2)], 16)
+    last = lambda p: p << 32 | packing.LAST
+    assert got == [(0, -1, last(0), 0), (1, -2, last(0), 7), (2, -2, last(1), 0), (2, -1, last(2), 0), (5, -2, last(2), 2), (6, -1, last(6), 0), (7, -1, last(7), 0)]
+
+
 def test_blocks_carry_over(plain):
     r = random.Random(8)
     texts = [" ".join(words(r, r.randint(0, 300))) + "." for _ in range(60)]
