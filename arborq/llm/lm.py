@@ -7,10 +7,13 @@ given its neighbours on both sides.
 
 Ids are those of the tokenizer, by rank of their counts. The OUTPUTS - 1 most frequent have outputs of their own. The last
 output stands for all others: a further softmax over RARE_CLASSES, from the same context, tells its class, and an id has
-the share of its class's counts that is its own. As context a rare id has one of RARE_ROWS rows. Training is by stochastic gradients where the documents lie: in each of ROUNDS rounds every
-partition starts from the same parameters, goes through all its documents (every STRIDE-th place of each, another phase
-each round), and the results are averaged by their places, pairwise in a tree of tasks. ROUNDS is a multiple of STRIDE, so
-that counts and training cover every place of every document; what is sent grows with the number of partitions.
+the share of its class's counts that is its own. As context a rare id has one of RARE_ROWS rows.
+
+Training is by stochastic gradients in copies of the network, one for each REPLICA_IDS ids: in each of ROUNDS rounds all
+start from the same state, each goes through its documents (every STRIDE-th place of each, another phase each round), and
+their states are averaged by their places, pairwise in a tree of tasks. ROUNDS is a multiple of STRIDE, so that training
+covers every place of every document; what is sent grows with the number of copies. Which documents a copy sees, and in
+what order, is told by a hash, so that scores don't depend on how a table is dealt out.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ EDGE = 65536
 #: Row of the tables for each rank.
 ROWS = np.append(np.where(np.arange(EDGE) < OUTPUTS - 1, np.arange(EDGE), OUTPUTS - 1 + np.arange(EDGE) % RARE_ROWS), OUTPUTS - 1 + RARE_ROWS).astype(np.int32)
 ROUNDS, STRIDE, BATCH, RATE = 2, 2, 8192, 0.15
+#: Ids that a copy of the network is trained on.
+REPLICA_IDS = 2_000_000
 #: Results of training that one task of the tree averages.
 FAN_IN = 16
 
@@ -160,22 +165,23 @@ def rare_class(ranks: np.ndarray) -> np.ndarray:
 
 
 class _Softmax:
-    """Of logits, which it overwrites. They are far from overflow: no maximum is taken off."""
+    """Of logits, which it overwrites. Where any is far from 0 the greatest of its row is taken off, so that nothing overflows or vanishes."""
 
     def __init__(self, x: np.ndarray):
-        np.minimum(x, 60, out=x)
+        if x.size and not (x.max() < 60 and x.min() > -60):
+            x -= x.max(1, keepdims=True)
         self.x, self.at = x, np.arange(len(x)) * x.shape[1]
 
     def log_of(self, which: np.ndarray) -> np.ndarray:
         """The logarithm of one probability a row."""
         out = self.x.reshape(-1).take(self.at + which)
         np.exp(self.x, out=self.x)
-        return out - np.log(self.x @ np.ones(self.x.shape[1], np.float32) + np.float32(1e-30))
+        return out - np.log(self.x @ np.ones(self.x.shape[1], np.float32))
 
     def less(self, which: np.ndarray) -> np.ndarray:
         """The probabilities, of which one a row is lessened by 1."""
         np.exp(self.x, out=self.x)
-        self.x /= (self.x @ np.ones(self.x.shape[1], np.float32) + np.float32(1e-30))[:, None]
+        self.x /= (self.x @ np.ones(self.x.shape[1], np.float32))[:, None]
         self.x.reshape(-1)[self.at + which] -= 1
         return self.x
 
@@ -254,16 +260,29 @@ def ranks(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rank, share
 
 
-def trained(tokens: DataFrame, rank: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
-    """A network from all documents. No ids: an untrained one."""
+def replicas(tokens: DataFrame, ids: int = REPLICA_IDS) -> int:
+    """How many copies of the network train side by side: one for each REPLICA_IDS ids there are."""
+    return max(1, -(-(tokens.agg(F.sum(F.octet_length("ids"))).head()[0] or 0) // (2 * ids)))
+
+
+def trained(tokens: DataFrame, rank: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE, n: int | None = None) -> Network:
+    """A network from all documents. No ids: an untrained one.
+
+    Documents are dealt to n replicas, and ordered in them, by a hash of id and text, so that the network is the same
+    however the table is laid out. Both parameters and sums of squared gradients are averaged after a round.
+    """
     network, spark = Network.new(), tokens.sparkSession
+    squares = [np.full(x.shape, 1e-8, np.float32) for x in network.parts()]
+    n = n or replicas(tokens)
     sums = "weight double, vector binary"
+    dealt = tokens.withColumn("mark", F.xxhash64("doc_id", "ids")).repartition(n, "mark").sortWithinPartitions("mark", "ids").select("ids")
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((network.vector(), rank))  # its size is fixed by the network's
+        shared = spark.sparkContext.broadcast((network.vector(), _joined(squares), rank))  # its size is fixed by the network's
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            vector, rank = shared.value
-            own, squares, weight = Network.of(vector), [np.full(x.shape, 1e-8, np.float32) for x in Network.of(vector).parts()], 0
+            vector, told, rank = shared.value
+            own, weight = Network.of(vector), 0
+            squares = _split(told, own)
             for batch in slices(batches, "ids"):
                 documents = _ids_of(batch)
                 stream, at = streamed(documents, rank)
@@ -271,20 +290,33 @@ def trained(tokens: DataFrame, rank: np.ndarray, rounds: int = ROUNDS, stride: i
                 own.train(stream, at, squares)
                 weight += len(at)
             if weight:
-                yield pa.RecordBatch.from_arrays([pa.array([float(weight)]), pa.array([(own.vector().astype(np.float64) * weight).astype("<f4").tobytes()], pa.binary())], names=["weight", "vector"])
-
-        found = tokens.select("ids").mapInArrow(run, sums)
-        n = tokens.rdd.getNumPartitions()
-        while n > 1:
-            n = -(-n // FAN_IN)
-            found = found.repartition(n).mapInArrow(_added, sums)
-        got = found.collect()
+                whole = np.concatenate([own.vector(), _joined(squares)]).astype(np.float64) * weight
+                yield pa.RecordBatch.from_arrays([pa.array([float(weight)]), pa.array([whole.astype("<f4").tobytes()], pa.binary())], names=["weight", "vector"])
+
+        found, k = dealt.mapInArrow(run, sums), n
+        while k > 1:
+            k = -(-k // FAN_IN)
+            found = found.repartition(k).mapInArrow(_added, sums)
+        got = found.collect()  # one row
         if not got:
             return network
-        network = Network.of(sum(np.frombuffer(bytes(r["vector"]), "<f4").astype(np.float64) for r in got) / sum(r["weight"] for r in got))
+        mean = sum(np.frombuffer(bytes(r["vector"]), "<f4").astype(np.float64) for r in got) / sum(r["weight"] for r in got)
+        network, squares = Network.of(mean[: len(mean) // 2]), _split(mean[len(mean) // 2 :], network)
     return network
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([x.reshape(-1) for x in parts])
+
+
+def _split(vector: np.ndarray, like: Network) -> list[np.ndarray]:
+    out, at = [], 0
+    for x in like.parts():
+        out.append(vector[at : at + x.size].reshape(x.shape).astype(np.float32))
+        at += x.size
+    return out
+
+
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weight, total = 0.0, None
     for batch in batches:

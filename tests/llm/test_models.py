@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -249,3 +250,46 @@ def test_mixing_drops_and_keeps(spark, mixture):
     assert len(clean - kept) <= 0.03 * len(clean) and len(kept - clean) <= 3
     none = mixing.mixed(documents(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int"), {"good": 1.0, "toxic": 0.0})
     assert none.count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_network_at_the_query_s_settings(spark):
+    """Held-out documents of the tables: far better than counts of single ids, and the same however the table is laid out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = lm.token_table(docs.where("doc_id % 5 = 0"))
+    found = {}
+    for n in (1, 4, 32):
+        tokens = lm.token_table(docs.where("doc_id % 5 <> 0").repartition(n))
+        scorer = lm.fit(tokens)
+        r = lm.score(held, scorer).agg(F.sum("log_prob"), F.sum("n_tokens")).first()
+        found[n] = r[0] / r[1]
+    n = np.ones(65536)
+    for r in tokens.select("ids").collect():
+        n += np.bincount(np.frombuffer(r["ids"], np.uint16), minlength=65536)
+    logs = np.log(n / n.sum())
+    total = sum(logs[np.frombuffer(r["ids"], np.uint16)].sum() for r in held.select("ids").collect())
+    alone = total / held.agg(F.sum(F.octet_length("ids")) / 2).first()[0]
+    assert found[1] > alone + 1.5
+    assert abs(found[4] - found[1]) < 1e-9 and abs(found[32] - found[1]) < 1e-9
+
+
+def test_copies_of_the_network(spark):
+    """Several copies, averaged: still better than an untrained network, and as many as there are ids for."""
+    r = random.Random(9)
+    tokens = lm.token_table(documents(spark, [" ".join(words(r, 60, 30)) for _ in range(200)]))
+    rank, _ = lm.ranks(tokens)
+    ids = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] // 2
+    assert lm.replicas(tokens, ids) == 1 and lm.replicas(tokens, ids - 1) == 2 and lm.replicas(tokens.limit(0)) == 1
+    score = lambda net: lm.score(tokens, lm.Scorer(rank, np.zeros(65536), net)).agg(F.sum("log_prob")).first()[0]
+    assert score(lm.trained(tokens, rank, n=20)) > score(lm.Network.new())
+
+
+def test_softmax_of_large_logits():
+    x = np.array([[0.0, -80, -500], [900, 899, 0], [-300, -301, -700], [70, 70, 70]], np.float32)
+    exact = x.astype(float) - x.max(1, keepdims=True)
+    exact = exact - np.log(np.exp(exact).sum(1, keepdims=True))
+    for k in range(3):
+        assert np.allclose(lm._Softmax(x.copy()).log_of(np.full(4, k)), exact[:, k], atol=1e-3)
+        want = np.exp(exact)
+        want[:, k] -= 1
+        assert np.allclose(lm._Softmax(x.copy()).less(np.full(4, k)), want, atol=1e-5)
