@@ -27,6 +27,8 @@ START, MIDDLE, END = "<|turn|>", "<|says|>", "<|end|>\n"
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
 SEGMENT = re.compile(re.escape(START) + "(.*?)" + re.escape(MIDDLE) + "(.*)" + re.escape(END), re.DOTALL)
 TARGET = "assistant"
+#: Code points of a role, and of a text, that tell its range among rows of one turn.
+PREFIX = 32
 
 
 def escaped(c: Column) -> Column:
@@ -56,7 +58,10 @@ def format_turns(turns: DataFrame, ranges: int | None = None) -> DataFrame:
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
     rows = rows.withColumns({"segment": F.concat(head, escaped(F.col("text")), F.lit(END)), "head": F.char_length(head)})
     order = ["turn", "role", "text"]
-    rows = stored(rows.repartitionByRange(n, "conv_id", *order).sortWithinPartitions("conv_id", *order).withColumn("part", F.spark_partition_id()), "turns")
+    # ranges are told by short keys, for samples of them go to the driver; what shares a beginning lies in one range
+    long = F.char_length("role") > PREFIX
+    keys = [F.left("role", F.lit(PREFIX)), long, F.when(~long, F.left("text", F.lit(PREFIX)))]
+    rows = stored(rows.repartitionByRange(n, "conv_id", "turn", *keys).sortWithinPartitions("conv_id", *order).withColumn("part", F.spark_partition_id()), "turns")
     rows = rows.withColumn("n_chars", F.char_length("segment"))
     parts = rows.groupBy("conv_id", "part").agg(F.sum("n_chars").alias("chars"), F.count("*").alias("n"))
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -87,11 +87,11 @@ def conversation(c: Column) -> Column:
 
 
 def placed(turns: DataFrame, n: int | None = None) -> DataFrame:
-    """turns (conv_id, turn, role, text) with conv, a key, and place, which orders the rows of a conversation: by turn (nulls first), role, the first 32 characters of the text, and its hash. Null roles and texts are one space. Dealt out by ranges of that order, so that a long conversation lies in many partitions."""
+    """turns (conv_id, turn, role, text) with conv, a key, and place, which orders the rows of a conversation: by turn (nulls first), then by the first 32 characters and a hash of the role, and of the text. Null roles and texts are one space. Dealt out by ranges of that order, so that a long conversation lies in many partitions."""
     n = n or int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blank = lambda c: F.coalesce(F.col(c), F.lit(" "))
     rows = turns.select(conversation(F.col("conv_id")).alias("conv"), "conv_id", F.col("turn").cast("long").alias("turn"), blank("role").alias("role"), blank("text").alias("text"))
-    order = ["conv", "turn", "role", F.left("text", F.lit(32)), F.xxhash64("text")]
+    order = ["conv", "turn", *[f for c in ("role", "text") for f in (F.left(c, F.lit(32)), F.xxhash64(c))]]  # short keys, for samples of them go to the driver
     return stored(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "placed")
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +74,13 @@ def test_escapes_are_reversible(spark, text):
     code = spark.createDataFrame([(text,)], "t string").select(chat.escaped(F.col("t")).alias("c")).collect()[0]["c"]
     assert "<" not in code and "[" not in code
     assert chat.unescape(code) == text
+
+
+def test_rows_of_one_turn_over_many_ranges(spark):
+    """Long roles and texts that share beginnings are in the order of the whole texts, whatever the ranges."""
+    r = random.Random(4)
+    roles = ["assistant", "user", "x" * 32, "x" * 32 + "y", "x" * 33, "x" * 31, ""]
+    rows = [(1, r.choice([0, 1]), r.choice(roles), r.choice(["same beginning of more than 32 characters ", "a", "é"]) * r.randrange(3) + str(r.randrange(50))) for _ in range(400)]
+    for ranges in (1, 9):
+        assert read_back(spark, rows, ranges)[1] == by_hand(rows)
+
