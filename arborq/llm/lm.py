@@ -38,7 +38,7 @@ EDGE = 65536
 ROWS = np.append(np.where(np.arange(EDGE) < OUTPUTS - 1, np.arange(EDGE), OUTPUTS - 1 + np.arange(EDGE) % RARE_ROWS), OUTPUTS - 1 + RARE_ROWS).astype(np.int32)
 ROUNDS, STRIDE, BATCH, RATE = 2, 2, 8192, 0.15
 #: Ids that a copy of the network is trained on.
-REPLICA_IDS = 2_000_000
+REPLICA_IDS = 4_000_000
 #: Results of training that one task of the tree averages.
 FAN_IN = 16
 
@@ -269,20 +269,19 @@ def trained(tokens: DataFrame, rank: np.ndarray, rounds: int = ROUNDS, stride: i
     """A network from all documents. No ids: an untrained one.
 
     Documents are dealt to n replicas, and ordered in them, by a hash of id and text, so that the network is the same
-    however the table is laid out. Both parameters and sums of squared gradients are averaged after a round.
+    however the table is laid out. A replica sends how far its parameters have moved, in half precision.
     """
     network, spark = Network.new(), tokens.sparkSession
-    squares = [np.full(x.shape, 1e-8, np.float32) for x in network.parts()]
     n = n or replicas(tokens)
-    sums = "weight double, vector binary"
     dealt = tokens.withColumn("mark", F.xxhash64("doc_id", "ids")).repartition(n, "mark").sortWithinPartitions("mark", "ids").select("ids")
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((network.vector(), _joined(squares), rank))  # its size is fixed by the network's
+        start = network.vector()
+        shared = spark.sparkContext.broadcast((start, rank))  # its size is fixed by the network's
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            vector, told, rank = shared.value
+            vector, rank = shared.value
             own, weight = Network.of(vector), 0
-            squares = _split(told, own)
+            squares = [np.full(x.shape, 1e-8, np.float32) for x in own.parts()]
             for batch in slices(batches, "ids"):
                 documents = _ids_of(batch)
                 stream, at = streamed(documents, rank)
@@ -290,41 +289,35 @@ def trained(tokens: DataFrame, rank: np.ndarray, rounds: int = ROUNDS, stride: i
                 own.train(stream, at, squares)
                 weight += len(at)
             if weight:
-                whole = np.concatenate([own.vector(), _joined(squares)]).astype(np.float64) * weight
-                yield pa.RecordBatch.from_arrays([pa.array([float(weight)]), pa.array([whole.astype("<f4").tobytes()], pa.binary())], names=["weight", "vector"])
+                yield _sent(weight, own.vector() - vector)
 
-        found, k = dealt.mapInArrow(run, sums), n
+        found, k = dealt.mapInArrow(run, SENT), n
         while k > 1:
             k = -(-k // FAN_IN)
-            found = found.repartition(k).mapInArrow(_added, sums)
+            found = found.repartition(k).mapInArrow(_averaged, SENT)
         got = found.collect()  # one row
         if not got:
             return network
-        mean = sum(np.frombuffer(bytes(r["vector"]), "<f4").astype(np.float64) for r in got) / sum(r["weight"] for r in got)
-        network, squares = Network.of(mean[: len(mean) // 2]), _split(mean[len(mean) // 2 :], network)
+        network = Network.of(start + np.frombuffer(bytes(got[0]["moved"]), "<f2").astype(np.float32))
     return network
 
 
-def _joined(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([x.reshape(-1) for x in parts])
+SENT = "weight double, moved binary"
 
 
-def _split(vector: np.ndarray, like: Network) -> list[np.ndarray]:
-    out, at = [], 0
-    for x in like.parts():
-        out.append(vector[at : at + x.size].reshape(x.shape).astype(np.float32))
-        at += x.size
-    return out
+def _sent(weight: float, moved: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([float(weight)]), pa.array([moved.astype("<f2").tobytes()], pa.binary())], names=["weight", "moved"])
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for all: the mean by weight."""
     weight, total = 0.0, None
     for batch in batches:
-        for w, v in zip(batch.column("weight").to_pylist(), batch.column("vector"), strict=True):
-            x = np.frombuffer(v.as_py(), "<f4").astype(np.float64)
+        for w, v in zip(batch.column("weight").to_pylist(), batch.column("moved"), strict=True):
+            x = w * np.frombuffer(v.as_py(), "<f2").astype(np.float64)
             weight, total = weight + w, x if total is None else total + x
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["weight", "vector"])
+        yield _sent(weight, total / weight)
 
 
 def fit(tokens: DataFrame) -> Scorer:
