@@ -36,7 +36,8 @@ RARE_CLASSES, RARE_ROWS = 256, 1024
 EDGE = 65536
 #: Row of the tables for each rank.
 ROWS = np.append(np.where(np.arange(EDGE) < OUTPUTS - 1, np.arange(EDGE), OUTPUTS - 1 + np.arange(EDGE) % RARE_ROWS), OUTPUTS - 1 + RARE_ROWS).astype(np.int32)
-ROUNDS, STRIDE, BATCH, RATE = 2, 2, 8192, 0.15
+#: Places of a step of training, and of scoring.
+ROUNDS, STRIDE, BATCH, SCORED, RATE = 2, 2, 8192, 16384, 0.15
 #: Ids that a copy of the network is trained on.
 REPLICA_IDS = 4_000_000
 #: Results of training that one task of the tree averages.
@@ -87,9 +88,9 @@ class Network:
     def log_probs(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the ids at the places `at`; of a rare one without its share of its class."""
         out, rows = np.empty(len(at), np.float32), ROWS.take(stream)
-        for a in range(0, len(at), BATCH):
-            place = at[a : a + BATCH]
-            out[a : a + BATCH] = self._log_probs(self.hidden(rows, place)[0], stream.take(place))
+        for a in range(0, len(at), SCORED):
+            place = at[a : a + SCORED]
+            out[a : a + SCORED] = self._log_probs(self.hidden(rows, place)[0], stream.take(place))
         return out
 
     def _log_probs(self, h: np.ndarray, ranks: np.ndarray) -> np.ndarray:
