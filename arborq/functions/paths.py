@@ -82,3 +82,36 @@ def uri_to_path(uri: str) -> str | None:
 normalised = F.udf(_normalised, StringType(), useArrow=False)
 to_uri = F.udf(lambda p: None if p is None else path_to_uri(p), StringType(), useArrow=False)
 from_uri = F.udf(lambda u: None if u is None else uri_to_path(u), StringType(), useArrow=False)
+
+#: Names of the tools' configurations, and patterns of names by kind, all of lower-cased names.
+LINT_CONFIG, FORMAT_CONFIG, TESTITEMS_CONFIG = "JuliaLint.toml", "JuliaFormat.toml", "JuliaTestItems.toml"
+KINDS = {
+    "julia": r"\.jl$",
+    "markdown": r"\.md$",
+    "juliamarkdown": r"\.jmd$",
+    "project": r"^(julia)?project\.toml$",
+    "manifest": r"^(julia)?manifest(-v\d+(\.\d+)*)?\.toml$",
+    "lint_config": r"^julialint\.toml$",
+    "format_config": r"^juliaformat\.toml$",
+    "testitems_config": r"^juliatestitems\.toml$",
+}
+LANGUAGES = {k: k if k in ("julia", "markdown", "juliamarkdown") else "toml" for k in KINDS}
+_KINDS = [(k, re.compile(v, re.ASCII)) for k, v in KINDS.items()]
+
+
+def kind_of(path: str) -> str | None:
+    """The kind of a file by its name, case aside; null for files that no tool reads."""
+    name = posixpath.basename(path).lower()
+    return next((k for k, r in _KINDS if r.search(name)), None)
+
+
+def kind(path: Column) -> Column:
+    """`kind_of` as a column."""
+    name, out = F.lower(basename(path)), F.lit(None).cast("string")
+    for k, r in reversed(KINDS.items()):
+        out = F.when(name.rlike(r), k).otherwise(out)
+    return out
+
+
+def language(kind: Column) -> Column:
+    return F.when(kind.isin("julia", "markdown", "juliamarkdown"), kind).when(kind.isNotNull(), "toml")

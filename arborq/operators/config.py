@@ -36,8 +36,7 @@ def _list(value, what: str, errors: list[str]) -> list:
     return []
 
 
-def _severities(table: dict, errors: list[str]) -> dict[str, str]:
-    known = {r[0] for r in rules.RULES}
+def _severities(table: dict, errors: list[str], known: frozenset[str]) -> dict[str, str]:
     out = {}
     for rule, value in table.items():
         severity = value.get("severity") if isinstance(value, dict) else value
@@ -61,8 +60,13 @@ def load_toml(text: str | None) -> tuple[dict, str | None]:
         return {}, "not TOML: nested too deep"
 
 
-def parse_config(text: str | None) -> dict:
-    """A configuration file as PARSED; what is wrong with it is listed, not raised, and counts as left out."""
+def known_rules() -> frozenset[str]:
+    return frozenset(r[0] for r in rules.every())
+
+
+def parse_config(text: str | None, known: frozenset[str] | None = None) -> dict:
+    """A configuration file as PARSED; what is wrong with it is listed, not raised, and counts as left out. known: the rules that there are."""
+    known = known_rules() if known is None else known
     table, problem = load_toml(text)
     errors = [problem] if problem else []
     errors += [f"unknown key {k}" for k in table if k not in KEYS]
@@ -81,7 +85,7 @@ def parse_config(text: str | None) -> dict:
         return out
 
     def severities(table: dict) -> dict[str, str]:
-        return _severities(_table(table.get("rules", {}), "rules", errors), errors)
+        return _severities(_table(table.get("rules", {}), "rules", errors), errors, known)
 
     own = [_table(o, "an override", errors) for o in _list(table.get("overrides", []), "overrides", errors)]
     overrides = [{"paths": regexes(o, "paths"), "rules": severities(o)} for o in own]
@@ -89,7 +93,8 @@ def parse_config(text: str | None) -> dict:
 
 
 def parsed(content: Column) -> Column:
-    return F.udf(parse_config, PARSED, useArrow=False)(content)
+    known = known_rules()  # told to the workers, which don't know what the session has added
+    return F.udf(lambda text: parse_config(text, known), PARSED, useArrow=False)(content)
 
 
 def configs(files: DataFrame, name: str) -> DataFrame:

@@ -22,11 +22,17 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the one that driver and executors share, for `release` to delete."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _written.append(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cuts lineage by a table in the folder that driver and executors share."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex[:12]}"
-    _written.append(path)
+    path = new_folder(spark, "graph")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

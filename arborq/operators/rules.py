@@ -43,12 +43,32 @@ RULES = [
     ("shadowed_config", "workspace", "information", "information", "warning", False),
     ("environment_errors", "project", "off", "information", "warning", False),
 ]
+#: Rules that a session has added, by id.
+_ADDED: dict[str, tuple] = {}
 PRESETS = ("minimal", "default", "strict")
 SEVERITIES = ("off", "hint", "information", "warning", "error")
 
 
+def add(rule_id: str, tier: str, minimal: str = "off", default: str = "off", strict: str = "warning", env_dependent: bool = False) -> None:
+    """Adds a rule, which configurations may then name. ValueError if there is one of that id, or a severity is none."""
+    if rule_id in _ADDED or rule_id in {r[0] for r in RULES}:
+        raise ValueError(f"there is a rule {rule_id} already")
+    if {minimal, default, strict} - set(SEVERITIES):
+        raise ValueError(f"severities are {', '.join(SEVERITIES)}")
+    _ADDED[rule_id] = (rule_id, tier, minimal, default, strict, env_dependent)
+
+
+def remove(rule_id: str) -> None:
+    """Takes back what `add` has added."""
+    del _ADDED[rule_id]
+
+
+def every() -> list[tuple]:
+    return [*RULES, *_ADDED.values()]
+
+
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "rule_id string, tier string, severity_minimal string, severity_default string, severity_strict string, env_dependent boolean")
+    return spark.createDataFrame(every(), "rule_id string, tier string, severity_minimal string, severity_default string, severity_strict string, env_dependent boolean")
 
 
 def preset_rows(spark: SparkSession) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arborq.operators import registry as versions
 from arborq.operators import relational, symbols
+from arborq.operators import versions as ranges
 from arborq.plans.registry import query, table
 
 
@@ -173,6 +174,26 @@ def registry_topn_per_line(spark: SparkSession, d: str) -> DataFrame:
     return versions.newest(own, 1, ["name", "line"]).drop("yanked")
 
 
+@query("""
+WITH v AS (SELECT p_partkey, p_brand AS name, p_size % 3 AS a, p_partkey % 7 AS b, p_partkey % 5 AS c, p_partkey % 11 = 0 AS rc FROM part),
+k AS (SELECT 'Brand#' || (1 + s_suppkey % 5) || (1 + s_suppkey // 5 % 5) AS name, s_suppkey % 2 AS fa, s_suppkey % 4 AS fb, s_suppkey % 3 AS ta, 3 + s_suppkey % 5 AS tb, s_suppkey % 4 AS l0, s_suppkey % 3 AS l1, 9 - s_suppkey % 4 AS h1 FROM supplier),
+f AS (SELECT p_partkey, l0, l1, h1 FROM v JOIN k USING (name) WHERE (fa, fb, 0) <= (a, b, c) AND (a, b, c) < (ta, tb + 1, 0)),
+s AS (SELECT p_partkey, max(l0) AS l0, max(l1) AS l1, min(h1) AS h1 FROM f GROUP BY p_partkey)
+SELECT p_partkey, a || '.' || b || '.' || c || CASE WHEN rc THEN '-rc1' ELSE '' END AS version, CASE WHEN s.p_partkey IS NOT NULL THEN '0.' || l0 || '.0 to 0.10.0; 1.' || l1 || '.0 to 1.' || (h1 + 1) || '.0' END AS allowed,
+  CASE WHEN s.p_partkey IS NULL THEN true ELSE l1 <= 2 AND 2 <= h1 END AS runs FROM v LEFT JOIN s USING (p_partkey)""")
+def registry_compat(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as versions of their brands' packages, suppliers as what those declare: the versions of the language that each works with, and whether 1.2 is one."""
+    k = F.col("p_partkey")
+    dots = lambda *c: F.concat_ws(".", *[x.cast("string") for x in c])
+    own = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("name"), F.concat(dots(F.col("p_size") % 3, k % 7, k % 5), F.when(k % 11 == 0, "-rc1").otherwise("")).alias("version"))
+    s = F.col("s_suppkey")
+    brand = F.concat(F.lit("Brand#"), (1 + s % 5).cast("string"), (1 + F.floor(s / 5) % 5).cast("string"))
+    compat = table(spark, d, "supplier").select(brand.alias("name"), F.concat(dots(s % 2, s % 4), F.lit("-"), dots(s % 3, 3 + s % 5)).alias("for_versions"), F.array(F.concat(F.lit("0."), (s % 4).cast("string"), F.lit("-0.9")), F.concat(F.lit("1."), (s % 3).cast("string"), F.lit("-1."), (9 - s % 4).cast("string"))).alias("works_with"))
+    got = ranges.compatibility(own, compat, ["name"])
+    runs = F.coalesce(ranges.holds(F.col("allowed"), ranges.version(F.lit("1.2.0"))), F.lit(True))
+    return got.select("p_partkey", "version", ranges.shown(F.col("allowed")).alias("allowed"), runs.alias("runs"))
+
+
 @query("SELECT p_partkey FROM part WHERE ('0x' || substr(md5(p_name || '@' || p_partkey), 1, 8))::BIGINT % 5 = 2")
 def shard_select(spark: SparkSession, d: str) -> DataFrame:
     h = F.conv(F.substring(F.md5(F.concat("p_name", F.lit("@"), F.col("p_partkey").cast("string"))), 1, 8), 16, 10).cast("long")

@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from arborq.plans import code, graphs, lifecycles, names, types, visibility, workspace  # noqa: F401
+    from arborq.plans import code, edits, graphs, lifecycles, names, types, visibility, workspace  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from arborq.functions import globs, paths, text
 from arborq.operators import config, diagnostics, projects, relational, rules
+from arborq.operators.graph import new_folder
 from arborq.plans.registry import query, table
+from arborq.sources import folders
+from arborq.workspace import Workspace
 
 URI = "'/' || lang || '/' || source || '/' || doc_id || '.jl'"
 
@@ -215,3 +218,34 @@ SELECT doc_id, coalesce(regexp_extract(text, '^[^' || chr(10) || ']*'), '') AS f
 def outlines(spark: SparkSession, d: str) -> DataFrame:
     """The heading of each file."""
     return table(spark, d, "documents").select("doc_id", F.coalesce(F.regexp_extract("text", "^[^\n]*", 0), F.lit("")).alias("first_line"), F.col("text").isNotNull().alias("has_words"))
+
+
+@query("""
+SELECT '/' || coalesce(lang, 'x') || '/d' || doc_id || CASE WHEN doc_id % 6 < 3 THEN '.jl' ELSE '.md' END AS path, CASE WHEN doc_id % 6 < 3 THEN 'julia' ELSE 'markdown' END AS kind, strlen(coalesce(text, '')) AS size,
+  CASE WHEN NOT contains(coalesce(text, ''), chr(0)) THEN length(coalesce(text, '')) END AS n_chars
+FROM documents WHERE doc_id % 6 < 4 UNION ALL SELECT '/' || coalesce(lang, 'x') || '/JuliaLint.toml', 'lint_config', 0, 0 FROM documents GROUP BY lang""")
+def folder_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written out as a tree of files and listed: some are of no kind that is read, and some lie in folders that are never entered."""
+    k, lang = F.col("doc_id") % 6, F.coalesce("lang", F.lit("x"))
+    docs = table(spark, d, "documents")
+    name = F.concat(F.when(k == 5, "/node_modules/d").otherwise("/d"), F.col("doc_id").cast("string"), F.when(k < 3, ".jl").when(k == 4, ".txt").when(k == 5, ".jl").otherwise(".md"))
+    files = docs.select(F.concat(F.lit("/"), lang, name).alias("path"), F.col("text").alias("content"))
+    files = files.unionByName(docs.select(F.concat(F.lit("/"), lang, F.lit("/JuliaLint.toml")).alias("path"), F.lit("").alias("content")).distinct())
+    folder = new_folder(spark, "tree")
+    folders.write_tree(files, folder)
+    root = folders.filesystem(folder)[1]
+    found = folders.tree(spark, folder, "kind IS NOT NULL")
+    return found.select(F.substring("path", len(root) + 1, 1 << 20).alias("path"), "kind", "size", F.char_length("content").cast("long").alias("n_chars"))
+
+
+@query()
+def workspace_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """A whole workspace from a folder: written out, listed, read, parsed, and its configured findings of every rule by file."""
+    from arborq.plans.code import sources  # which registers queries of its own
+
+    config_ = spark.createDataFrame([("/JuliaLint.toml", 'preset = "strict"\n')], "path string, content string")
+    folder = new_folder(spark, "sweep")
+    folders.write_tree(sources(spark, d).select(F.col("uri").alias("path"), "content").unionByName(config_), folder)
+    found = Workspace.from_folders(spark, folder).diagnostics()
+    root = F.char_length(F.lit(paths.path_to_uri(folders.filesystem(folder)[1])))
+    return found.groupBy(F.expr("uri").alias("uri"), "rule_id", "severity").agg(F.count("*").alias("n")).withColumn("uri", F.substring(F.col("uri"), root + 1, F.lit(1 << 20)))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborq.functions import paths
-from arborq.operators import analysis, config, diagnostics, features, graph, lifecycle, projects, relational, resolve, rules, symbols
+from arborq.operators import analysis, config, diagnostics, edits, features, graph, lifecycle, producers, projects, relational, resolve, rules, symbols
 from arborq.operators.graph import shared_dir
 from arborq.sources import folders
 from arborq.streaming import changes
@@ -31,7 +31,7 @@ class DuplicateFile(ValueError):
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, files: DataFrame | None = None, lint_config: str = "lint.toml", format_config: str = "format.toml"):
+    def __init__(self, spark: SparkSession, files: DataFrame | None = None, lint_config: str = paths.LINT_CONFIG, format_config: str = paths.FORMAT_CONFIG):
         self.spark, self.lint_config, self.format_config = spark, lint_config, format_config
         self.files = files if files is not None else spark.createDataFrame([], FILES)
         self.active_project: str | None = None
@@ -39,6 +39,8 @@ class Workspace:
         self.failed = spark.createDataFrame([], "kind string, path string, package string, content_hash string, message string")
         #: (package, name): what installed packages and the language export; null: rules that need it are withheld.
         self.environment: DataFrame | None = None
+        #: (package, name): what packages export that could be brought in, for FixMissingRef.
+        self.available: DataFrame | None = None
         self._facts: DataFrame | None = None
 
     @classmethod
@@ -62,10 +64,14 @@ class Workspace:
         self._set(self.files.unionByName(_as_files(added)))
 
     def update_files(self, updated: DataFrame) -> None:
+        """updated: (uri, content[, language_id]), each file once; one without a language keeps the one it has, and all stay regular or indirect as they are."""
+        if updated.groupBy("uri").count().where("count > 1").limit(1).count():
+            raise DuplicateFile("a file is updated twice at once")
         if not updated.join(self.files, "uri", "left_anti").isEmpty():
             raise UnknownFile("a file isn't there")
-        before = self.files.select("uri", F.col("revision").alias("before"))
-        new = _as_files(updated).join(before, "uri").withColumn("revision", F.col("before") + 1).drop("before")
+        language = F.col("language_id") if "language_id" in updated.columns else F.lit(None).cast("string")
+        new = updated.select("uri", "content", language.alias("told")).join(self.files.drop("content"), "uri")
+        new = new.select("uri", "content", F.coalesce("told", "language_id").alias("language_id"), (F.col("revision") + 1).alias("revision"), "is_regular")
         self._set(self.files.join(updated.select("uri"), "uri", "left_anti").unionByName(new))
 
     def add_file(self, uri: str, content: str, language_id: str | None = None) -> None:
@@ -208,31 +214,11 @@ class Workspace:
     def toml_files(self) -> DataFrame:
         """Configurations, projects and manifests: the files that have to be TOML."""
         name = F.lower(paths.basename(F.col("uri")))
-        return self.files.where(name.isin(self.lint_config.lower(), self.format_config.lower()) | name.rlike(projects.TOML_NAMES))
+        return self.files.where(name.isin(self.lint_config.lower(), self.format_config.lower(), paths.TESTITEMS_CONFIG.lower()) | name.rlike(projects.TOML_NAMES))
 
     def findings(self) -> DataFrame:
-        """(uri, rule_id, message, start, stop) of all producers."""
-        own = self.table("findings").select("uri", "rule_id", "message", "start", "stop")
-        tests = analysis.test_ids(self.facts).where("duplicate").select("uri", F.lit("testitem_errors").alias("rule_id"), F.concat(F.lit("the label is there twice: "), "label").alias("message"), "start", F.col("start").alias("stop"))
-        records = self.include_records()
-        wrong = graph.include_findings(records, self.nodes(), self.roots()).join(self.table("includes").select(F.col("uri").alias("src"), "ordinal", "start"), ["src", "ordinal"])
-        includes = wrong.select(F.col("src").alias("uri"), F.lit("include_errors").alias("rule_id"), F.concat_ws(" ", "code", "target").alias("message"), "start", F.col("start").alias("stop"))
-        found = self.lint_configs()
-        errors = found.select(F.col("config").alias("uri"), F.lit("config_errors").alias("rule_id"), F.explode("errors").alias("message"), F.lit(0).alias("start"), F.lit(0).alias("stop"))
-        shadow = config.shadowed(found).select(F.col("config").alias("uri"), F.lit("shadowed_config").alias("rule_id"), F.col("by").alias("message"), F.lit(0).alias("start"), F.lit(0).alias("stop"))
-        out = own.unionByName(tests).unionByName(includes).unionByName(errors).unionByName(shadow)
-        out = out.unionByName(config.toml_findings(self.toml_files()))
-        for more in (resolve.unused(self.facts), resolve.redeclared(self.facts), resolve.unfit_calls(self.facts), *self._environment_findings()):
-            out = out.unionByName(more)
-        return out
-
-    def _environment_findings(self) -> list[DataFrame]:
-        """What needs the names that the environment has: nothing, until `environment` is set."""
-        if self.environment is None:
-            return []
-        spliced = analysis.splices(self.facts)
-        packages = self.environment.select(F.col("package").alias("name")).distinct().unionByName(self.workspace_packages()).distinct()
-        return [resolve.missing_references(self.facts, spliced, analysis.declarations(self.facts, spliced), self.environment.select("name").distinct(), packages), resolve.unresolved_imports(self.facts, spliced, packages)]
+        """(uri, rule_id, message, start, stop) of all producers, as one union."""
+        return producers.findings(self)
 
     def workspace_packages(self) -> DataFrame:
         """(name) of the packages in the workspace."""
@@ -311,6 +297,24 @@ class Workspace:
     def code_actions(self, messages: DataFrame | None = None) -> DataFrame:
         return features.code_actions(self.findings() if messages is None else messages)
 
+    def action_edits(self, *actions: str) -> DataFrame:
+        """(uri, start, stop, text, action): the edits that answer findings; of the actions named, or all."""
+        found = edits.of_findings(self.findings(), self.files, self.available)
+        return found.where(F.col("action").isin(*actions)) if actions else found
+
+    def apply_edits(self, wanted: DataFrame) -> DataFrame:
+        """Makes edits (uri, start, stop, text) of any number of files as one revision, and gives those that couldn't be made (uri, start, stop, text, rank)."""
+        plan = graph.stored(edits.composed(wanted))
+        done = graph.stored(edits.applied(self.files, plan))
+        changed = done.where("n_edits > 0").select("uri", "content")
+        if not changed.isEmpty():
+            self.update_files(changed)
+        return edits.conflicts(plan).unionByName(edits.conflicts(done))
+
+    def apply_actions(self, *actions: str) -> DataFrame:
+        """`apply_edits` of `action_edits`."""
+        return self.apply_edits(self.action_edits(*actions).select("uri", "start", "stop", "text"))
+
     def format_edits(self, formatter: Callable[[str], str]) -> DataFrame:
         code = self.files.where("is_regular").join(self.julia_files(), "uri", "left_semi")
         scope = config.scoped(code.select("uri"), config.configs(self.files, self.format_config)).where("in_scope")

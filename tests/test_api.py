@@ -4,7 +4,7 @@ from arborq.workspace import DuplicateFile, UnknownFile, Workspace
 
 CONTENT = {
     "file:///w/Project.toml": 'name = "P"\nuuid = "7876af07-990d-54b4-ab0e-23690620f79a"\nversion = "0.1.0"\n',
-    "file:///w/lint.toml": 'preset = "strict"\nexclude = ["gen/"]\n',
+    "file:///w/JuliaLint.toml": 'preset = "strict"\nexclude = ["gen/"]\n',
     "file:///w/src/P.jl": 'module P\nusing Q\ninclude("a.jl")\ninclude("a.jl")\ninclude("gone.jl")\nend\n',
     "file:///w/src/a.jl": 'f(x) = 1\nf(x, y; k=2) = g(x)\ng(z) = f(1, 2) == nothing\n',
     "file:///w/gen/x.jl": "@show 1\n",

@@ -16,11 +16,11 @@ def test_toml_problem():
 
 def test_toml_findings(spark):
     broken, fine = "name = = 1\n", 'name = "P"\n'
-    there = {"/p/Project.toml": broken, "/p/Manifest-v1.11.toml": broken, "/q/JuliaManifest.toml": broken, "/lint.toml": broken, "/q/Project.toml": fine, "/q/data.toml": broken, "/q/a.jl": "x = 1\n", "/r/Manifest.toml": None}
+    there = {"/p/Project.toml": broken, "/p/Manifest-v1.11.toml": broken, "/q/JuliaManifest.toml": broken, "/JuliaLint.toml": broken, "/q/Project.toml": fine, "/q/data.toml": broken, "/q/a.jl": "x = 1\n", "/r/Manifest.toml": None}
     w = Workspace(spark, spark.createDataFrame([(u, t, None, 1, True) for u, t in there.items()], "uri string, content string, language_id string, revision long, is_regular boolean"))
     assert {r["uri"] for r in w.toml_files().collect()} == set(there) - {"/q/data.toml", "/q/a.jl"}
     got = {r["uri"]: (r["rule_id"], r["start"], r["stop"]) for r in config.toml_findings(w.toml_files()).collect()}
-    assert got == {u: ("toml_syntax_errors", 7, 8) for u in ("/p/Project.toml", "/p/Manifest-v1.11.toml", "/q/JuliaManifest.toml", "/lint.toml")}
+    assert got == {u: ("toml_syntax_errors", 7, 8) for u in ("/p/Project.toml", "/p/Manifest-v1.11.toml", "/q/JuliaManifest.toml", "/JuliaLint.toml")}
     found = w.diagnostics().where("rule_id = 'toml_syntax_errors'")
     assert {(r["uri"], r["severity"]) for r in found.collect()} == {(u, "error") for u in got}
     none = Workspace(spark, spark.createDataFrame([], w.files.schema))
@@ -49,7 +49,7 @@ def test_readers_of_toml_raise_nothing():
 
 
 def test_one_bad_file_stops_nothing(spark):
-    there = {f"/p{i}/{name}": t for i, t in enumerate(odd_toml()) if i % 9 == 0 or i >= 400 for name in ("lint.toml", "Project.toml", "Manifest.toml")}
+    there = {f"/p{i}/{name}": t for i, t in enumerate(odd_toml()) if i % 9 == 0 or i >= 400 for name in ("JuliaLint.toml", "Project.toml", "Manifest.toml")}
     there |= {f"/p{i}/a.jl": "x = 1\n" for i in range(0, 400, 9)}
     w = Workspace(spark, spark.createDataFrame([(u, t, None, 1, True) for u, t in there.items()], "uri string, content string, language_id string, revision long, is_regular boolean"))
     assert w.diagnostics().count() > 0

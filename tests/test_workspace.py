@@ -19,12 +19,12 @@ def test_config_layers(spark):
     ws = files(
         spark,
         {
-            "/Lint.toml": 'preset = "strict"\nexclude = ["gen/"]\n[rules]\nasync_task = "hint"\n',
-            "/p/lint.toml": 'include = ["src/"]\n[rules]\nbare_using = { severity = "info" }\n[[overrides]]\npaths = ["src/x*"]\n[overrides.rules]\nbare_using = "off"\n[[overrides]]\npaths = ["src/xy.jl"]\n[overrides.rules]\nbare_using = "error"\n',
+            "/JULIALINT.toml": 'preset = "strict"\nexclude = ["gen/"]\n[rules]\nasync_task = "hint"\n',
+            "/p/JuliaLint.toml": 'include = ["src/"]\n[rules]\nbare_using = { severity = "info" }\n[[overrides]]\npaths = ["src/x*"]\n[overrides.rules]\nbare_using = "off"\n[[overrides]]\npaths = ["src/xy.jl"]\n[overrides.rules]\nbare_using = "error"\n',
             "/a.jl": "", "/gen/b.jl": "", "/p/src/xa.jl": "", "/p/src/xy.jl": "", "/p/src/c.jl": "", "/p/test.jl": "",
         },
     )
-    found = config.configs(ws, "lint.toml")
+    found = config.configs(ws, "JuliaLint.toml")
     assert {r["dir"]: r["preset"] for r in found.collect()} == {"": "strict", "/p": "default"}
     code = ws.where("uri like '%.jl'")
     scope = {r["uri"]: r["in_scope"] for r in config.scoped(code.select("uri"), found).collect()}
@@ -34,7 +34,7 @@ def test_config_layers(spark):
     assert got["/a.jl", "async_task"] == "hint" and got["/a.jl", "bare_using"] == "warning"
     assert [got[f"/p/src/{x}.jl", "bare_using"] for x in ("c", "xa", "xy")] == ["information", "off", "error"]
     assert got["/p/src/c.jl", "async_task"] == "off"  # nothing merges across files
-    assert {r["config"]: r["by"] for r in config.shadowed(found).collect()} == {"/p/lint.toml": "/Lint.toml"}
+    assert {r["config"]: r["by"] for r in config.shadowed(found).collect()} == {"/p/JuliaLint.toml": "/JULIALINT.toml"}
 
 
 def test_config_errors():
@@ -268,9 +268,9 @@ def test_which_excluded_configs_report(spark):
     """One that leaves itself out does, one that another above leaves out doesn't."""
     bad = "nosuch = 1\n"
     w = Workspace(spark)
-    w.add_files(files(spark, {"/p/lint.toml": bad + 'exclude = ["**"]', "/q/lint.toml": 'exclude = ["vendor/"]', "/q/vendor/x/lint.toml": bad, "/q/own/lint.toml": bad, "/q/vendor/a.jl": "x == NaN"}))
+    w.add_files(files(spark, {"/p/JuliaLint.toml": bad + 'exclude = ["**"]', "/q/JuliaLint.toml": 'exclude = ["vendor/"]', "/q/vendor/x/JuliaLint.toml": bad, "/q/own/JuliaLint.toml": bad, "/q/vendor/a.jl": "x == NaN"}))
     got = {(r["uri"], r["rule_id"]) for r in w.diagnostics().select("uri", "rule_id").collect()}
-    assert got >= {("/p/lint.toml", "config_errors"), ("/q/own/lint.toml", "config_errors")}
+    assert got >= {("/p/JuliaLint.toml", "config_errors"), ("/q/own/JuliaLint.toml", "config_errors")}
     assert not any(u.startswith("/q/vendor") for u, _ in got)
 
 
