@@ -79,9 +79,9 @@ def uri_to_path(uri: str) -> str | None:
     return f"//{m[1]}{path}" if m[1] else path
 
 
-normalised = F.udf(_normalised, StringType(), useArrow=False)
-to_uri = F.udf(lambda p: None if p is None else path_to_uri(p), StringType(), useArrow=False)
-from_uri = F.udf(lambda u: None if u is None else uri_to_path(u), StringType(), useArrow=False)
+normalised = F.udf(_normalised, StringType(), useArrow=True)
+to_uri = F.udf(lambda p: None if p is None else path_to_uri(p), StringType(), useArrow=True)
+from_uri = F.udf(lambda u: None if u is None else uri_to_path(u), StringType(), useArrow=True)
 
 #: Names of the tools' configurations, and patterns of names by kind, all of lower-cased names.
 LINT_CONFIG, FORMAT_CONFIG, TESTITEMS_CONFIG = "JuliaLint.toml", "JuliaFormat.toml", "JuliaTestItems.toml"

@@ -157,10 +157,11 @@ def test_ids(found: DataFrame) -> DataFrame:
 
 def document_symbols(found: DataFrame, kinds: tuple[str, ...] = ("module", "baremodule", "function", "macro", "mutable_struct", "struct", "abstract", "primitive", "testitem")) -> DataFrame:
     """(uri, node_id, parent, name, kind, start, stop): the outline as parent and child rows, with the nearest listed parent."""
-    nodes = child(found, "nodes")
-    listed = nodes.where(F.col("kind").isin(*kinds))
-    up = listed.alias("a").join(listed.alias("b"), (F.col("a.uri") == F.col("b.uri")) & (F.col("b.start") < F.col("a.start")) & (F.col("a.stop") <= F.col("b.stop")), "left")
-    return up.groupBy("a.uri", "a.node_id", "a.name", "a.kind", "a.start", "a.stop").agg(F.max_by("b.node_id", "b.start").alias("parent"))
+    listed = child(found, "nodes").where(F.col("kind").isin(*kinds)).select("uri", "node_id", "name", "kind", "start", "stop")
+    above = listed.select("uri", F.col("node_id").alias("above_id"), F.col("start").alias("above_start"), F.col("stop").alias("above_stop"))
+    around = relational.contained(listed.select("uri", "node_id", "start", "stop"), above, ["uri"], "start", "above_start", "above_stop").where("above_start < start AND stop <= above_stop")
+    nearest = around.groupBy("uri", "node_id").agg(F.max_by("above_id", "above_start").alias("parent"))
+    return listed.join(nearest, ["uri", "node_id"], "left")
 
 
 def module_at(found: DataFrame, points: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ def _redeclared(w: Workspace) -> DataFrame:
 
 @producer("calls", "incorrect_call_args")
 def _calls(w: Workspace) -> DataFrame:
-    return resolve.unfit_calls(w.facts)
+    return resolve.unfit_calls(w.facts, w.known)
 
 
 def _packages(w: Workspace) -> DataFrame:

@@ -52,7 +52,7 @@ def _fnv1a(text: str | None) -> int | None:
 
 
 #: The 64-bit FNV-1a hash, as a signed number.
-fnv1a = F.udf(_fnv1a, LongType(), useArrow=False)
+fnv1a = F.udf(_fnv1a, LongType(), useArrow=True)
 
 
 def unsigned_mod(h: Column, n: int) -> Column:

@@ -89,18 +89,26 @@ def redeclared(found: DataFrame) -> DataFrame:
     return _finding(wrong, "const_decl", F.concat("name", F.lit(" is a constant already")))
 
 
-def unfit_calls(found: DataFrame) -> DataFrame:
-    """Findings of calls that no method of the name fits, by counts and keywords; only of names that nothing but functions declare, and that no scope binds."""
-    items = child(found, "items")
-    methods = items.where("kind = 'function' AND min_args IS NOT NULL").select(F.col("name").alias("callee"), "min_args", "max_args", "kws", "kwsplat")
-    other = items.where("kind <> 'function' OR min_args IS NULL OR size(qualifier) > 0").select(F.col("name").alias("callee"))
-    methods = methods.join(other, "callee", "left_anti")
-    calls = child(found, "calls").join(bound_uses(found).select("uri", F.col("name").alias("callee"), "start"), ["uri", "callee", "start"], "left_anti")
+def unfit_calls(found: DataFrame, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Findings of calls that no method of the item they lead to fits, by counts and keywords. Items that anything but functions declares have none, nor have names that some module adds methods to by a qualified name; a call that leads to several items is wrong only if no method of any fits."""
+    declared, every = known or resolved(found)
+    item = [F.col("root").alias("item_root"), F.col("path").alias("item_path"), F.col("name").alias("item_name")]
+    own = declared.where("kind = 'function' AND min_args IS NOT NULL AND size(qualifier) = 0").select(*item, "min_args", "max_args", "kws", "kwsplat")
+    other = declared.where("(kind <> 'function' OR min_args IS NULL) AND size(qualifier) = 0").select(*item)
+    added = declared.where("size(qualifier) > 0").select(F.col("name").alias("item_name"))
+    methods = own.join(other, ITEM, "left_anti").join(added, "item_name", "left_anti")
+    uses = every.where("role = 'use' AND item_name IS NOT NULL").select("uri", "start", *ITEM).distinct()
+    calls = child(found, "calls").join(uses, ["uri", "start"]).join(methods.select(*ITEM), ITEM, "left_semi")
     fits = symbols.arity_fits(
         {"min": F.col("c.min_args"), "max": F.col("c.max_args"), "kws": F.col("c.kws"), "has_splat": F.col("c.max_args") == symbols.UNBOUNDED},
         {"min": F.col("m.min_args"), "max": F.col("m.max_args"), "kws": F.col("m.kws"), "kwsplat": F.col("m.kwsplat")},
     )
-    return _finding(symbols.unfit_calls(calls, methods, "callee", fits), "incorrect_call_args", F.concat(F.lit("no method of "), "callee", F.lit(" takes these arguments")), F.col("stop"))
+    same = F.lit(True)
+    for k in ITEM:
+        same = same & (F.col(f"c.{k}") == F.col(f"m.{k}"))
+    good = calls.alias("c").join(methods.alias("m"), same & fits, "left_semi").select("uri", "start").distinct()
+    wrong = calls.select("uri", "callee", "start", "stop").distinct().join(good, ["uri", "start"], "left_anti")
+    return _finding(wrong, "incorrect_call_args", F.concat(F.lit("no method of "), "callee", F.lit(" takes these arguments")), F.col("stop"))
 
 
 def modules_of(found: DataFrame, spliced: DataFrame) -> DataFrame:

@@ -42,6 +42,7 @@ class Workspace:
         #: (package, name): what packages export that could be brought in, for FixMissingRef.
         self.available: DataFrame | None = None
         self._facts: DataFrame | None = None
+        self._known: tuple | None = None
 
     @classmethod
     def from_folders(cls, spark: SparkSession, *where: str, **options) -> Workspace:
@@ -152,6 +153,14 @@ class Workspace:
         self._facts = self.spark.read.schema(out.schema).parquet(path)
         return self._facts
 
+    @property
+    def known(self) -> tuple[DataFrame, DataFrame]:
+        """Declarations and what every place stands for (`resolve.resolved`), stored until the facts change."""
+        facts = self.facts
+        if self._known is None or self._known[0] is not facts:
+            self._known = facts, resolve.resolved(facts)
+        return self._known[1]
+
     @property
     def facts(self) -> DataFrame:
         return self._facts if self._facts is not None else self.refresh()
@@ -273,17 +282,17 @@ class Workspace:
         return features.hover(self.table("calls"), self.table("items"), self._points(uri, offsets))
 
     def definitions(self, uri: str, *offsets: int) -> DataFrame:
-        return resolve.definitions(self.facts, self._points(uri, offsets))
+        return resolve.definitions(self.facts, self._points(uri, offsets), self.known)
 
     def references(self, uri: str, *offsets: int) -> DataFrame:
-        return resolve.references(self.facts, self._points(uri, offsets))
+        return resolve.references(self.facts, self._points(uri, offsets), self.known)
 
     def highlights(self, uri: str, *offsets: int) -> DataFrame:
         return self.references(uri, *offsets).where(F.col("ref_uri") == uri)
 
     def rename_edits(self, uri: str, offset: int, name: str) -> DataFrame:
         """(uri, start, stop, text): all places that spell what stands at a place, given another name."""
-        rows = resolve.rename_sites(self.facts, self._points(uri, (offset,)))
+        rows = resolve.rename_sites(self.facts, self._points(uri, (offset,)), self.known)
         return rows.select("uri", "start", (F.col("start") + F.char_length("name")).alias("stop"), F.lit(name).alias("text"))
 
     def document_links(self, uri: str | None = None) -> DataFrame:

@@ -171,3 +171,11 @@ def test_files_are_spliced_depth_first(spark):
     assert {f: p for f, (p, _) in got.items()} == {"/m.jl": [], "/a.jl": ["M"], "/b.jl": ["M", "A"], "/c.jl": ["M", "A"]}
     assert sorted(got, key=lambda f: got[f][1]) == ["/m.jl", "/a.jl", "/b.jl", "/c.jl"]
     assert {r["file"]: r["path"] for r in analysis.splices(found).collect()}.keys() == text.keys()  # a cycle has no root
+
+
+def test_calls_go_by_item(spark):
+    """Methods of the same name in another module, and those that a qualified name adds, don't count for what they aren't of."""
+    files = {"/m/A.jl": "module A\nf(x) = x\ng(x) = x\nf(1, 2)\ng(1, 2)\nend\n", "/m/B.jl": "module B\nf(x, y) = x\nf(1)\nf(1, 2)\nimport A\nA.g(x, y) = y\nend\n", "/m/C.jl": "module C\nusing A: f as h\nh(1, 2)\nh(1)\nk(1)\nend\n"}
+    found = analysis.facts(spark.createDataFrame(list(files.items()), "uri string, content string")).persist()
+    got = {(r["uri"], r["start"]) for r in resolve.unfit_calls(found).collect()}
+    assert got == {("/m/A.jl", files["/m/A.jl"].index("f(1, 2)")), ("/m/B.jl", files["/m/B.jl"].index("f(1)")), ("/m/C.jl", files["/m/C.jl"].index("h(1, 2)"))}
