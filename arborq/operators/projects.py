@@ -96,3 +96,21 @@ def env_ready(state: DataFrame) -> DataFrame:
     hold = F.coalesce("project_required", f) & ~F.coalesce("project_settled", f)
     hold = hold | F.coalesce("env_pending", f) | (F.coalesce("needs_test_env", f) & F.coalesce("test_env_pending", f))
     return state.withColumn("ready", F.when(F.coalesce("override", f), t).otherwise(~hold))
+
+
+def deving(packages: DataFrame, deps: DataFrame) -> DataFrame:
+    """packages (folder) with project: the folder of a project whose manifest has the package as a dependency under development, null where none has; of several the least.
+
+    deps: (project, kind, path), entries of the manifests; a path is taken from the project's folder unless it is absolute,
+    and compared without dots and slashes at its end. Entries of other kinds, and without a path, count for nothing.
+    """
+    path = F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat("project", F.lit("/"), "path"))
+    dev = deps.where("kind = 'dev' AND path IS NOT NULL AND project IS NOT NULL").select(paths.normalised(path).alias("folder"), "project")
+    return packages.join(dev.groupBy("folder").agg(F.min("project").alias("project")), "folder", "left")
+
+
+def test_environments(packages: DataFrame, projects: DataFrame, active: str | None) -> DataFrame:
+    """packages (folder, project as of `deving`) with test_env: the folder whose environment the package's tests run in: its own where it is a project itself or no project develops it, else the active project (null without one)."""
+    own = projects.select("folder", F.lit(True).alias("__own")).distinct()
+    out = packages.join(own, "folder", "left")
+    return out.withColumn("test_env", F.when(F.col("__own") | F.col("project").isNull(), F.col("folder")).otherwise(F.lit(active).cast("string"))).drop("__own")

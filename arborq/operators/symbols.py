@@ -149,3 +149,16 @@ def method_index(items: DataFrame, key: list[str], order: str, arity: Column) ->
 
 def overlay(layers: list[DataFrame], key: list[str], value: str) -> DataFrame:
     return relational.layered(layers, key, value)
+
+
+def extended_methods(functions: DataFrame) -> DataFrame:
+    """(owner, name, modules): for each function that other modules add methods to its own module and theirs, ascending, each once.
+
+    functions: (module, name, extends_module, extends_name), a row for each function that a module has methods of; what it
+    extends is itself for its own. Rows without what they extend are left out. Copies of a row are dropped before the
+    shuffle, so that a function which every module extends sends one row a module.
+    """
+    rows = functions.where("extends_module IS NOT NULL AND extends_name IS NOT NULL AND module IS NOT NULL")
+    other = rows.where("module <> extends_module OR name <> extends_name").select(F.col("extends_module").alias("owner"), F.col("extends_name").alias("name"), "module").distinct()
+    got = other.groupBy("owner", "name").agg(F.collect_set("module").alias("modules"))
+    return got.select("owner", "name", F.array_sort(F.array_union("modules", F.array("owner"))).alias("modules"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborq.operators import registry as versions
-from arborq.operators import relational, symbols
+from arborq.operators import projects, relational, symbols
 from arborq.operators import versions as ranges
 from arborq.plans.registry import query, table
 
@@ -244,3 +244,32 @@ def selection_ranges(spark: SparkSession, d: str) -> DataFrame:
     found = relational.contained(points, nodes, ["file"], "pos", "start", "stop")
     own = Window.partitionBy("file", "pos").orderBy(F.col("stop") - F.col("start"), F.col("start").desc(), "node")
     return found.select("file", "pos", "node", F.row_number().over(own).cast("long").alias("level"))
+
+
+@query("""
+WITH f AS (SELECT DISTINCT p_brand AS module, 'n' || p_size AS name, CASE WHEN p_partkey % 3 = 0 THEN 'Brand#' || (1 + p_partkey % 5) || (1 + p_size % 5) ELSE p_brand END AS owner, CASE WHEN p_partkey % 3 = 0 THEN 'n' || (p_size % 9) ELSE 'n' || p_size END AS fname FROM part),
+x AS (SELECT owner, fname, module FROM f WHERE module <> owner OR name <> fname), y AS (SELECT * FROM x UNION SELECT owner, fname, owner FROM x)
+SELECT owner, fname AS name, count(*)::BIGINT AS n, string_agg(module, ',' ORDER BY module) AS modules FROM y GROUP BY owner, fname""")
+def extended_methods(spark: SparkSession, d: str) -> DataFrame:
+    """Brands as modules, every third part a method that is added to a function of another."""
+    k, size, brand = F.col("p_partkey"), F.col("p_size"), F.col("p_brand")
+    n = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    third = k % 3 == 0
+    owner = F.when(third, F.concat(F.lit("Brand#"), (1 + k % 5).cast("string"), (1 + size % 5).cast("string"))).otherwise(brand)
+    functions = table(spark, d, "part").select(brand.alias("module"), n(size).alias("name"), owner.alias("extends_module"), F.when(third, n(size % 9)).otherwise(n(size)).alias("extends_name"))
+    got = symbols.extended_methods(functions)
+    return got.select("owner", "name", F.size("modules").cast("long").alias("n"), F.array_join("modules", ",").alias("modules"))
+
+
+@query("""
+WITH d AS (SELECT '/w/p' || l_suppkey AS folder, min('/w/q' || (l_orderkey % 97)) AS project FROM lineitem WHERE l_quantity > 45 AND l_linenumber % 2 = 1 GROUP BY l_suppkey)
+SELECT s_suppkey, d.project, CASE WHEN s_suppkey % 4 = 0 OR d.project IS NULL THEN '/w/p' || s_suppkey ELSE '/active' END AS test_env FROM supplier LEFT JOIN d ON d.folder = '/w/p' || s_suppkey""")
+def dev_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as packages, lines as entries of manifests: the project that develops each package, and where its tests run; every fourth package is a project itself."""
+    key, line = F.col("l_suppkey").cast("string"), F.col("l_linenumber")
+    path = F.when(line == 1, F.concat(F.lit("../p"), key)).when(line == 3, F.concat(F.lit("/w/x/../p"), key, F.lit("/"))).otherwise(F.concat(F.lit("./../y/..//p"), key))
+    deps = table(spark, d, "lineitem").where("l_quantity > 45").select(F.concat(F.lit("/w/q"), (F.col("l_orderkey") % 97).cast("string")).alias("project"), F.when(line % 2 == 1, "dev").otherwise("registered").alias("kind"), path.alias("path"))
+    folder = F.concat(F.lit("/w/p"), F.col("s_suppkey").cast("string"))
+    packages = table(spark, d, "supplier").select("s_suppkey", folder.alias("folder"))
+    found = projects.test_environments(projects.deving(packages, deps), packages.where("s_suppkey % 4 = 0").select("folder"), "/active")
+    return found.select("s_suppkey", "project", "test_env")

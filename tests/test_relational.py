@@ -3,7 +3,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from arborq.operators import lifecycle, registry, relational, symbols
+from arborq.operators import lifecycle, projects, registry, relational, symbols
 
 
 def test_deepest_match_and_chain(spark):
@@ -129,3 +129,20 @@ def test_contained_against_all_pairs(spark):
     want = sorted((f, a, k) for f, a in points for k, g, low, high in intervals if f and f == g and None not in (a, low, high) and low <= a < high)
     assert got == want
     assert relational.contained(p, i.where("high < low"), ["f"], "at", "low", "high").count() == 0
+
+
+def test_extended_methods(spark):
+    rows = [("A", "f", "A", "f"), ("B", "f", "A", "f"), ("C", "f", "A", "f"), ("C", "f", "A", "f"), ("A", "g", "A", "g"), ("B", "h", "A", "k"), ("A", "k2", "A", "k"), (None, "f", "A", "f"), ("D", "x", None, None)]
+    got = symbols.extended_methods(spark.createDataFrame(rows, "module string, name string, extends_module string, extends_name string"))
+    assert {(r["owner"], r["name"]): r["modules"] for r in got.collect()} == {("A", "f"): ["A", "B", "C"], ("A", "k"): ["A", "B"]}
+
+
+def test_deving(spark):
+    deps = spark.createDataFrame([("/w/b", "dev", "../p"), ("/w/a", "dev", "/w/p/"), ("/w/c", "registered", "../q"), ("/w/c", "dev", None), (None, "dev", "/w/q"), ("/w", "dev", "r")], "project string, kind string, path string")
+    packages = spark.createDataFrame([("/w/p",), ("/w/q",), ("/w/r",), (None,)], "folder string")
+    found = projects.deving(packages, deps)
+    assert {r["folder"]: r["project"] for r in found.collect()} == {"/w/p": "/w/a", "/w/q": None, "/w/r": "/w", None: None}
+    own = spark.createDataFrame([("/w/r",)], "folder string")
+    for active in ("/active", None):
+        got = {r["folder"]: r["test_env"] for r in projects.test_environments(found, own, active).collect()}
+        assert got == {"/w/p": active, "/w/q": "/w/q", "/w/r": "/w/r", None: None}
