@@ -103,10 +103,10 @@ def unfit_calls(found: DataFrame, known: tuple[DataFrame, DataFrame] | None = No
         {"min": F.col("c.min_args"), "max": F.col("c.max_args"), "kws": F.col("c.kws"), "has_splat": F.col("c.max_args") == symbols.UNBOUNDED},
         {"min": F.col("m.min_args"), "max": F.col("m.max_args"), "kws": F.col("m.kws"), "kwsplat": F.col("m.kwsplat")},
     )
-    same = F.lit(True)
-    for k in ITEM:
-        same = same & (F.col(f"c.{k}") == F.col(f"m.{k}"))
-    good = calls.alias("c").join(methods.alias("m"), same & fits, "left_semi").select("uri", "start").distinct()
+    shape = ["min_args", "max_args", "kws"]
+    kinds = methods.select(*ITEM, "min_args", "max_args", "kws", "kwsplat")
+    shapes = symbols.fit_shapes(calls, kinds, ITEM, shape, fits).where("fit").drop("fit")
+    good = symbols.of_shapes(calls, shapes).select("uri", "start").distinct()
     wrong = calls.select("uri", "callee", "start", "stop").distinct().join(good, ["uri", "start"], "left_anti")
     return _finding(wrong, "incorrect_call_args", F.concat(F.lit("no method of "), "callee", F.lit(" takes these arguments")), F.col("stop"))
 

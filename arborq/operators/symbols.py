@@ -54,11 +54,38 @@ def arity_fits(call: dict[str, Column], method: dict[str, Column]) -> Column:
     return positional & keywords
 
 
-def unfit_calls(calls: DataFrame, methods: DataFrame, callee: str, fits: Column) -> DataFrame:
-    """calls whose callee has methods, none of which fits: an equi join on the callee with the condition on top."""
-    known = calls.join(methods.select(callee).distinct(), callee, "left_semi")
-    c, m = known.alias("c"), methods.alias("m")
-    return c.join(m, (F.col(f"c.{callee}") == F.col(f"m.{callee}")) & fits, "left_anti")
+def fit_shapes(calls: DataFrame, methods: DataFrame, callee: list[str], shape: list[str], fits: Column) -> DataFrame:
+    """(callee, shape, fit): each different shape of a call whose callee has methods, and whether any of these takes it.
+
+    fits reads the columns `callee` and `shape` of calls as c, and any of methods as m. Calls and methods alike in these are
+    one row each before they are joined, so that what is compared is kinds of calls with kinds of methods, however many
+    there are of each; methods should have no columns but those. A shape may have nulls.
+    """
+    kinds = methods.distinct()
+    own = calls.select(*callee, *shape).distinct().join(methods.select(*callee).distinct(), callee, "left_semi")
+    same = F.lit(True)
+    for k in callee:
+        same = same & (F.col(f"c.{k}") == F.col(f"m.{k}"))
+    good = own.alias("c").join(kinds.alias("m"), same & fits, "left_semi").withColumn("fit", F.lit(True))
+    return own.withColumn("fit", F.lit(False)).unionByName(good).groupBy(*callee, *shape).agg(F.bool_or("fit").alias("fit"))
+
+
+def of_shapes(calls: DataFrame, shapes: DataFrame) -> DataFrame:
+    """calls that have one of shapes (callee and shape, as of `fit_shapes`); nulls are alike."""
+    same = F.lit(True)
+    for k in shapes.columns:
+        same = same & F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}"))
+    return calls.alias("c").join(shapes.alias("s"), same, "left_semi")
+
+
+def fit_calls(calls: DataFrame, methods: DataFrame, callee: str, shape: list[str], fits: Column) -> DataFrame:
+    """calls that some method of their callee fits, by `fit_shapes`."""
+    return of_shapes(calls, fit_shapes(calls, methods, [callee], shape, fits).where("fit").drop("fit"))
+
+
+def unfit_calls(calls: DataFrame, methods: DataFrame, callee: str, shape: list[str], fits: Column) -> DataFrame:
+    """calls whose callee has methods, none of which fits, by `fit_shapes`."""
+    return of_shapes(calls, fit_shapes(calls, methods, [callee], shape, fits).where("NOT fit").drop("fit"))
 
 
 def references(refs: DataFrame, items: DataFrame, key: str) -> DataFrame:

@@ -63,6 +63,9 @@ def method_index(spark: SparkSession, d: str) -> DataFrame:
     return got.select("module", "name", F.size("arities").cast("long").alias("n"), F.array_min("arities.min").alias("least"), F.array_max("arities.max").alias("most"), F.array_join(F.transform("arities", lambda a: a["min"].cast("string")), ",").alias("arities"))
 
 
+_SHAPE = ["args", "kws", "splat"]
+
+
 def _calls(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Column]:
     line, part = table(spark, d, "lineitem"), table(spark, d, "part")
     calls = line.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 200).alias("callee"), (F.col("l_suppkey") % 6).alias("args"), F.when(F.col("l_tax") > 0.06, F.array(F.lit("k1"))).otherwise(F.array().cast("array<string>")).alias("kws"), (F.col("l_quantity") == 1).alias("splat"))
@@ -86,7 +89,7 @@ SELECT l_orderkey, l_linenumber FROM c WHERE {} EXISTS (SELECT 1 FROM m WHERE m.
 def arity_anti(spark: SparkSession, d: str) -> DataFrame:
     """Calls that no method of their callee fits."""
     calls, methods, fits = _calls(spark, d)
-    return symbols.unfit_calls(calls, methods, "callee", fits).select("l_orderkey", "l_linenumber")
+    return symbols.unfit_calls(calls, methods, "callee", _SHAPE, fits).select("l_orderkey", "l_linenumber")
 
 
 @query(_FITS_SQL.format(""))
