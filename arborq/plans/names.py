@@ -95,7 +95,7 @@ def arity_anti(spark: SparkSession, d: str) -> DataFrame:
 @query(_FITS_SQL.format(""))
 def arity_semi(spark: SparkSession, d: str) -> DataFrame:
     calls, methods, fits = _calls(spark, d)
-    return calls.alias("c").join(methods.alias("m"), (F.col("c.callee") == F.col("m.callee")) & fits, "left_semi").select("l_orderkey", "l_linenumber")
+    return symbols.fit_calls(calls, methods, "callee", _SHAPE, fits).select("l_orderkey", "l_linenumber")
 
 
 def _uses(spark: SparkSession, d: str) -> DataFrame:
