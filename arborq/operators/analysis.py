@@ -11,7 +11,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from arborq.functions import paths
 from arborq.operators import graph, relational
-from arborq.parser.parser import parse
+from arborq.parser.parser import Facts, pieces
 
 TABLES = {
     "nodes": "node_id int, parent_id int, kind string, name string, start int, stop int",
@@ -27,41 +27,78 @@ TABLES = {
     "members": "qualifier array<string>, name string, module array<string>, start int",
     "findings": "rule_id string, message string, start int, stop int",
 }
-FACTS = "uri string, " + ", ".join(f"{t} array<struct<{', '.join(c.replace(' ', ': ', 1) for c in cols.split(', '))}>>" for t, cols in TABLES.items())
+FACTS = "uri string, " + ", ".join(f"{t} array<struct<{', '.join(c.replace(' ', ': ', 1) for c in cols.split(', '))}>>" for t, cols in TABLES.items()) + ", piece int"
+#: Facts of a row of FACTS, with those of one more statement at most.
+ROOM = 10_000
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """files (uri, content) as FACTS: Python runs here alone, a file at a time. A null content has no facts."""
+    """files (uri, content) as FACTS: Python runs here alone, a file at a time. A null content has no facts.
+
+    A file has a row for each ROOM of its facts, numbered by `piece` from 0, so that neither Python nor a row of Spark's
+    holds all facts of a large file; `uris` has each file once.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(_parse_datatype_string(FACTS))
-    names = {t: [c.split()[0] for c in cols.split(", ")] for t, cols in TABLES.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n = [], 0
         for batch in batches:
-            rows = []
-            for uri, content in zip(batch.column("uri").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                found = parse(content)
-                rows.append({"uri": uri} | {t: [dict(zip(cols, x, strict=True)) for x in getattr(found, t)] for t, cols in names.items()})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            for uri, content in zip(batch.column("uri"), batch.column("content"), strict=True):
+                for k, piece in enumerate(pieces(content.as_py(), ROOM)):
+                    rows.append((uri.as_py(), piece, k))
+                    n += piece.size()
+                    if n >= ROOM or len(rows) >= 1000:
+                        yield _batch(rows, schema)
+                        rows, n = [], 0
+        yield _batch(rows, schema)
 
     return files.select("uri", "content").mapInArrow(run, FACTS)
 
 
+def _batch(rows: list[tuple[str, Facts, int]], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array([uri for uri, _, _ in rows], pa.string())]
+    for t in TABLES:
+        kind = schema.field(t).type
+        own = kind.value_type
+        offsets, every = [0], []
+        for _, found, _ in rows:
+            every += getattr(found, t)
+            offsets.append(len(every))
+        values = [pa.array(c, own.field(i).type) for i, c in enumerate(zip(*every, strict=True) if every else [()] * own.num_fields)]
+        structs = pa.StructArray.from_arrays(values, fields=list(own))
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs, type=kind))
+    return pa.RecordBatch.from_arrays([*columns, pa.array([k for _, _, k in rows], pa.int32())], schema=schema)
+
+
+def uris(found: DataFrame) -> DataFrame:
+    """(uri) of each file with facts."""
+    return found.where("piece = 0").select("uri")
+
+
 def child(found: DataFrame, name: str) -> DataFrame:
     """One of TABLES, with uri."""
     return found.select("uri", F.explode(name).alias("x")).select("uri", "x.*")
 
 
 def inventory_hash(found: DataFrame) -> DataFrame:
-    """(uri, hash) of what other files can see: no places and no bodies, so that an edit inside a body leaves it as it is."""
-    seen = F.struct(
-        F.transform("items", lambda x: F.struct(x["name"], x["qualifier"], x["kind"], x["module"], x["min_args"], x["max_args"], x["kws"], x["kwsplat"])).alias("i"),
-        F.transform("imports", lambda x: F.struct(x["keyword"], x["dots"], x["path"], x["names"], x["called"], x["module"])).alias("m"),
-        F.transform("exports", lambda x: F.struct(x["name"], x["kind"], x["module"])).alias("e"),
-        F.transform("includes", lambda x: F.struct(x["target"], x["guarded"], x["module"])).alias("n"),
+    """(uri, hash) of what other files can see: no places and no bodies, so that an edit inside a body leaves it as it is.
+
+    What is seen is hashed one by one, and the hashes in their order: of a file they are gathered, not what they are of.
+    """
+
+    def seen(table: str, k: int, at: str, *columns: str) -> Column:
+        return F.transform(table, lambda x: F.struct(F.lit(k).alias("k"), x[at].alias("at"), F.unhex(F.sha2(F.to_json(F.struct(*[x[c].alias(c) for c in columns])), 256)).alias("h")))
+
+    every = F.concat(
+        seen("items", 0, "ord", "name", "qualifier", "kind", "module", "min_args", "max_args", "kws", "kwsplat"),
+        seen("imports", 1, "ord", "keyword", "dots", "path", "names", "called", "module"),
+        seen("exports", 2, "start", "name", "kind", "module"),
+        seen("includes", 3, "ordinal", "target", "guarded", "module"),
     )
-    return found.select("uri", F.sha2(F.to_json(seen), 256).alias("hash"))
+    got = found.groupBy("uri").agg(F.flatten(F.collect_list(every)).alias("s"))
+    return got.select("uri", F.sha2(F.array_join(F.transform(F.array_sort("s"), lambda x: F.concat(x["k"].cast("string"), F.hex(x["h"]))), ","), 256).alias("hash"))
 
 
 def include_records(found: DataFrame) -> DataFrame:
@@ -133,10 +170,10 @@ def _spliced(root: str, by_file: dict[str, list[tuple]]) -> list[tuple]:
 def splices(found: DataFrame) -> DataFrame:
     """`module_files` of all files with facts, from the roots among them; files of a cycle without a root are roots themselves."""
     records = include_records(found)
-    nodes = found.select(F.col("uri").alias("node"))
+    nodes = uris(found).select(F.col("uri").alias("node"))
     edges = records.where("target is not null").select("src", F.col("target").alias("dst"))
     roots = graph.roots(nodes, edges)
-    out = module_files(records, found.select("uri"), roots)
+    out = module_files(records, uris(found), roots)
     lost = nodes.join(out.select(F.col("file").alias("node")), "node", "left_anti")
     return out.unionByName(lost.select(F.col("node").alias("root"), F.col("node").alias("file"), F.array().cast("array<string>").alias("path"), F.array(F.lit(0)).alias("at")))
 

@@ -177,7 +177,7 @@ class Workspace:
         return self.include_records().where("target is not null").select("src", F.col("target").alias("dst"))
 
     def nodes(self) -> DataFrame:
-        return self.facts.select(F.col("uri").alias("node"))
+        return analysis.uris(self.facts).select(F.col("uri").alias("node"))
 
     def roots(self) -> DataFrame:
         return graph.roots(self.nodes(), self.edges())

@@ -328,3 +328,42 @@ def test_states_over_a_stream(spark, tmp_path):
     q.stop()
     got = {(r["key"], r["seq"]): (r["valid"], r["failures"], r["exhausted"]) for r in spark.table("states").collect()}
     assert got["w", 3] == (False, 0, False) and got["w", 5] == (True, 1, False) and got["w", 6] == (True, 2, True) and got["v", 2] == (True, 0, False)
+
+
+def test_facts_of_a_large_file_come_in_pieces(spark):
+    """A file of 3,000 declarations has several rows, none with over a few facts more than ROOM, that together are what the parser finds."""
+    text = "module M\n" + "\n".join(f"function f{i}(a, b=1; c)\n    @show a\n    return g(a, b)\nend" for i in range(3000)) + "\nend\n"
+    found = analysis.facts(files(spark, {"a": text, "b": "x = 1", "c": ""})).collect()
+    whole = parse(text)
+    own = sorted((r for r in found if r["uri"].endswith("a")), key=lambda r: r["piece"])
+    assert len(own) > 3 and [r["piece"] for r in own] == list(range(len(own)))
+    assert max(sum(len(r[t]) for t in analysis.TABLES) for r in own) < analysis.ROOM + 100
+    for t in analysis.TABLES:
+        rows = [tuple(x) for r in own for x in r[t]]
+        assert sorted(map(repr, rows)) == sorted(map(repr, getattr(whole, t))), t
+    assert sum(r["piece"] == 0 for r in found) == 3
+
+
+def test_inventory_hash_of_a_large_file(spark):
+    """Edits inside bodies move the bounds between a file's pieces, and leave its hash; the order of declarations is part of it."""
+    one = lambda body, names: "\n".join(f"function {n}(a)\n    {body}\nend" for n in names)
+    names = [f"f{i}" for i in range(3000)]
+    texts = {"a": one("a", names), "b": one("a + a + a", names), "c": one("a", names[::-1])}
+    got = {r["uri"][-1]: r["hash"] for r in analysis.inventory_hash(analysis.facts(files(spark, texts))).collect()}
+    assert len(got) == 3 and got["a"] == got["b"] != got["c"]
+
+
+def test_tokens_hold_little():
+    """All tokens of a file of two million were Token objects of over 150 bytes each."""
+    import tracemalloc
+
+    from arborq.parser.lexer import Tokens, tokens
+
+    text = "f(a, b)\n" * 50_000
+    tracemalloc.start()
+    held = Tokens(text)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(held) == 350_000 and size < 12 * len(held)
+    few = tokens(text[:80])
+    assert held[:70] == few and held[-1].text == "\n" and held[349_993].start == 49_999 * 8 and held[0] == few[0]
