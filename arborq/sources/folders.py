@@ -28,7 +28,7 @@ SKIPPED = (".git", ".svn", ".hg", "node_modules")
 FILES = "uri string, path string, content string, language_id string, is_regular boolean"
 TREE = "uri string, path string, name string, kind string, language_id string, size long, content string, problem string"
 ARROW = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in TREE.split(", ")])
-#: Folders to deal out, at least, if there are that many; folders that the driver lists, at most; files to a partition of those it has found; bytes of a batch.
+#: Folders to deal out, at least, if there are that many; folders that the driver lists, at most; files to a partition of those it has found; bytes of a batch, and of such a partition.
 PARTS, LISTED, FILES_EACH, BATCH_BYTES = 64, 2000, 500, 8 << 20
 #: Schemes that the listing reaches; other stores go through Spark's own reader.
 SCHEMES = ("file", "s3", "gs", "gcs", "hdfs")
@@ -119,7 +119,14 @@ class TreeReader(ds.DataSourceReader):
             todo.extend(down)
             found += files
             n += 1
-        return [Part(files=found[i : i + FILES_EACH]) for i in range(0, len(found), FILES_EACH)] + [Part(folders=[x]) for x in todo] or [Part()]
+        parts, size = [], 0
+        for path, n in found:
+            if not parts or len(parts[-1].files) >= FILES_EACH or size + n > BATCH_BYTES:
+                parts.append(Part())
+                size = 0
+            parts[-1].files.append((path, n))
+            size += n
+        return parts + [Part(folders=[x]) for x in todo] or [Part()]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         system, _ = filesystem(self.path)
@@ -228,13 +235,13 @@ def write_tree(files: DataFrame, folder: str) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = filesystem(folder)
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 below = posixpath.normpath("/" + (path or "").lstrip("/"))
                 if ".." in (path or "").split("/") or below == "/":
                     raise ValueError(f"{path!r} isn't below the folder")
                 system.create_dir(root + posixpath.dirname(below), recursive=True)
                 with system.open_output_stream(root + below, compression=None) as f:
-                    f.write((content or "").encode())
+                    f.write((content.as_py() or "").encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     return files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).head()[0] or 0

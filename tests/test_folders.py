@@ -124,3 +124,10 @@ def test_updates_keep_what_they_do_not_tell(spark):
     assert [(r["content"], r["language_id"], r["revision"]) for r in w.files.collect()] == [("x = 2", "julia", 2)]
     with pytest.raises(ValueError):
         w.update_files(spark.createDataFrame([("untitled:1", "a"), ("untitled:1", "b")], "uri string, content string"))
+
+
+def test_large_files_of_a_folder_are_dealt_out_by_size(tmp_path):
+    for i in range(6):
+        (tmp_path / f"{i}.jl").write_text("x = 1\n" * 600_000)
+    parts = folders.TreeReader({"path": str(tmp_path)}).partitions()
+    assert max(len(p.files) for p in parts) == 2 and sum(len(p.files) for p in parts) == 6
