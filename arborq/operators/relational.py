@@ -72,11 +72,28 @@ def contained(points: DataFrame, intervals: DataFrame, by: list[str], at: str, s
 
 
 def innermost(points: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, stop: str, order: list[Column] | None = None) -> DataFrame:
-    """The narrowest interval around each point."""
-    found = contained(points, intervals, by, at, start, stop)
+    """The narrowest interval around each point. Of intervals with the same ends only the first by order is looked at."""
+    one = top(intervals, [*by, start, stop], order) if order else intervals.dropDuplicates([*by, start, stop])
+    found = contained(points, one, by, at, start, stop)
     return top(found, [*by, at], [(F.col(stop) - F.col(start)).asc(), F.col(start).desc(), *(order or [])])
 
 
+def outward(points: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, stop: str, order: list[Column]) -> DataFrame:
+    """points (different ones) with all intervals around them and their level from 1, the narrowest first, then the one that starts last, then by order.
+
+    What is sorted for each point is the different ends of intervals, with how many have them; intervals are numbered once
+    among those of the same ends, and joined to these in the end.
+    """
+    ends = [*by, start, stop]
+    keyed = intervals.where(F.col(stop) > F.col(start))
+    kinds = keyed.groupBy(*ends).agg(F.count("*").alias("__many"))
+    found = contained(points, kinds, by, at, start, stop)
+    own = Window.partitionBy(*points.columns).orderBy(F.col(stop) - F.col(start), F.col(start).desc())
+    before = found.withColumn("__before", F.sum("__many").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__many")).drop("__many")
+    numbered = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy(*ends).orderBy(*order)))
+    return before.join(numbered, ends).withColumn("level", F.col("__before") + F.col("__nth")).drop("__before", "__nth")
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by `order`, without a window: one pass with partial results."""
     rest = [c for c in df.columns if c not in keys]

@@ -160,3 +160,21 @@ def test_calls_are_fitted_by_shape_however_many_there_are(spark):
     assert sorted(r["id"] for r in bad.collect()) == [i for i, fit in want if not fit]
     kinds = symbols.fit_shapes(calls, methods, ["callee"], ["n", "kws"], fits)
     assert sorted((r["n"] is None, r["n"] or 0, r["fit"]) for r in kinds.collect()) == [(False, 0, True), (False, 1, True), (False, 2, False), (True, 0, False)]
+
+
+def test_intervals_of_the_same_ends_are_compared_once(spark, monkeypatch):
+    """1,000 intervals of 10 different ends around 20 points: 10 rows go into the join, where all 1,000 did."""
+    from arborq.operators import relational
+
+    joined, real = [], relational.contained
+    monkeypatch.setattr(relational, "contained", lambda points, intervals, *rest: joined.append(intervals.count()) or real(points, intervals, *rest))
+    nodes = spark.range(1000).select(F.col("id").alias("node"), F.lit("a").alias("file"), (F.col("id") % 5).alias("start"), (F.col("id") % 5 + 3 + F.col("id") % 2 * 9).alias("stop"))
+    points = spark.range(20).select(F.lit("a").alias("file"), F.col("id").alias("pos"))
+    own = [(r["stop"] - r["start"], -r["start"], r["node"], r["stop"]) for r in nodes.collect()]
+    want = {p: [k for _, s, k, stop in sorted(own) if -s <= p < stop] for p in range(20)}
+    args = (["file"], "pos", "start", "stop", [F.col("node").asc()])
+    best = relational.innermost(points, nodes, *args).collect()
+    every = relational.outward(points, nodes, *args).collect()
+    assert {r["pos"]: r["node"] for r in best} == {p: k[0] for p, k in want.items() if k}
+    assert {(r["pos"], r["node"]): r["level"] for r in every} == {(p, k): i + 1 for p, ks in want.items() for i, k in enumerate(ks)}
+    assert joined == [10, 10]
