@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborq.operators import registry as versions
@@ -244,9 +244,7 @@ def selection_ranges(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("file"), (F.col("l_partkey") % 4000).alias("pos")).distinct()
     k = F.col("p_partkey")
     nodes = table(spark, d, "part").select(k.alias("node"), (F.col("p_size") % 10).cast("long").alias("file"), (k % 3000).alias("start"), (k % 3000 + 1 + (k * 7) % 900).alias("stop"))
-    found = relational.contained(points, nodes, ["file"], "pos", "start", "stop")
-    own = Window.partitionBy("file", "pos").orderBy(F.col("stop") - F.col("start"), F.col("start").desc(), "node")
-    return found.select("file", "pos", "node", F.row_number().over(own).cast("long").alias("level"))
+    return relational.outward(points, nodes, ["file"], "pos", "start", "stop", [F.col("node").asc()]).select("file", "pos", "node", "level")
 
 
 @query("""
