@@ -6,13 +6,15 @@ inserts. All places are of the file as it is, so that edits from any number of s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EDIT = "struct<start: bigint, stop: bigint, text: string, rank: bigint>"
+#: Characters of edited texts that a task of `applied` holds before it gives them on.
+EDITED = 1 << 21
 
 
 def composed(edits: DataFrame, rank: Column | None = None) -> DataFrame:
@@ -56,19 +58,33 @@ def _edited(text: str, edits: list[dict]) -> tuple[str, list[dict]]:
     return "".join([*out, text[at:]]), beyond
 
 
+def _edited_batch(out: list[tuple]) -> pa.RecordBatch:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("text", pa.string()), ("rank", pa.int64())]))
+    columns = list(zip(*out, strict=True)) or [[]] * 4
+    types = [pa.string(), pa.string(), pa.int64(), kind]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["uri", "content", "n_edits", "refused"])
+
+
+def edited_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (uri, content, taken) edited, in batches of EDITED characters, and one more text at most."""
+    for batch in batches:
+        out, size = [], 0
+        for uri, content, taken in zip(batch.column("uri"), batch.column("content"), batch.column("taken"), strict=True):
+            own = taken.as_py() or []
+            text, beyond = _edited(content.as_py() or "", own)
+            out.append((uri.as_py(), text, len(own) - len(beyond), beyond))
+            size += len(text)
+            if size >= EDITED:
+                yield _edited_batch(out)
+                out, size = [], 0
+        yield _edited_batch(out)
+
+
 def applied(files: DataFrame, plan: DataFrame) -> DataFrame:
     """(uri, content, n_edits, refused) of the files (uri, content) that a plan of `composed` has edits for: the new text, and how many edits were made; refused are those that reach beyond the file. Null content counts as empty; a plan for a file that isn't there does nothing."""
     rows = files.select("uri", "content").join(plan.select("uri", "taken"), "uri")
     schema = "uri string, content string, n_edits long, refused array<struct<start: bigint, stop: bigint, text: string, rank: bigint>>"
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("text", pa.string()), ("rank", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [_edited(c or "", t or []) for c, t in zip(batch.column("content").to_pylist(), batch.column("taken").to_pylist(), strict=True)]
-            n = [len(t or []) - len(b) for t, (_, b) in zip(batch.column("taken").to_pylist(), done, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("uri"), pa.array([x for x, _ in done], pa.string()), pa.array(n, pa.int64()), pa.array([b for _, b in done], kind)], names=["uri", "content", "n_edits", "refused"])
-
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(edited_batches, schema)
 
 
 # --- edits that answer findings

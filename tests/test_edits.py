@@ -82,3 +82,17 @@ def test_actions_are_applied_and_read_back(spark):
     assert again.count() == 0
     w.apply_actions("ReplaceUnusedAssignmentName")
     assert {x["uri"]: x["content"] for x in w.files.collect()} == got
+
+
+def test_texts_are_edited_a_few_at_a_time():
+    """12 texts of a million characters came out of a task as one batch; now a batch ends after two million."""
+    import pyarrow as pa
+
+    from arborq.operators import edits
+
+    edit = {"start": 1, "stop": 2, "text": "é", "rank": 0}
+    batch = pa.RecordBatch.from_pylist([{"uri": str(i), "content": None if i == 11 else "x" * 1_000_000, "taken": [edit]} for i in range(12)])
+    got = list(edits.edited_batches([batch]))
+    rows = [r for b in got for r in b.to_pylist()]
+    assert max(b.num_rows for b in got) == 3 and [r["uri"] for r in rows] == [str(i) for i in range(12)]
+    assert rows[0]["content"][:3] == "xéx" and rows[0]["n_edits"] == 1 and rows[11]["refused"] == [edit]
