@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 #: Tables written so far and not yet released, in this Python process.
 _written: list[str] = []
+#: Names of those in buckets.
+_named: list[str] = []
 
 
 def release(spark: SparkSession) -> None:
     """Deletes the tables that `stored` has written: for when all results that read them have been written themselves."""
     jvm = spark.sparkContext._jvm
+    while _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop()}")
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -37,6 +41,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """`stored` as a table in buckets by keys, as many as a shuffle has partitions: sums by the keys, and joins by all of them, move only what they are joined with. df is to be dealt by the keys already, as a sum by them is, or each task writes to all buckets."""
+    spark = df.sparkSession
+    path = new_folder(spark, "graph")
+    name = path.rpartition("/")[2].replace("-", "_")
+    _named.append(name)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Unset it is one of our own, on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborq.operators.graph import stored
+from arborq.operators.graph import bucketed, stored
 
 #: The type above all, and a union whose members aren't known.
 TOP, SOME_UNION = "Any", "Union"
 #: A walk up the supertypes ends after 2 ** DOUBLINGS steps, without an answer: a cycle, or deeper than any real hierarchy.
 DOUBLINGS = 5
+#: Rounds of inference whose tables are put together.
+MOST = 8
 
 
 def chains(supers: DataFrame) -> DataFrame:
@@ -151,29 +153,45 @@ def inferred(bindings: DataFrame, literals: DataFrame, assigns: DataFrame, calls
     literals: (binding, type), what is written down for a binding. assigns: (binding, source), bindings that take another's
     value. calls: (binding, callee) and returns: (callee, type), results of functions. What flows only grows, and a binding
     with over `width` types is at the top and takes no more, so that the work ends after at most width + 2 changes of a
-    binding. Each round joins the types that are new with the assignments, and drops those already there. Loops of
-    assignments end, nulls are left out, repeated rows count once.
+    binding. Loops of assignments end, nulls are left out, repeated rows count once.
+
+    Each round joins the types that are new with the assignments, drops those already there, and writes what is left: a row
+    for each binding that changed. Assignments lie in buckets by source and types in buckets by binding, so that a round
+    moves only what flows in it; what a round has found is never written again, but that every MOST rounds are put together.
     """
     both = lambda df, a, b: df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    edges = stored(both(assigns, "binding", "source").distinct())
+    edges = bucketed(both(assigns, "binding", "source").repartition("source").distinct(), "source")
     start = both(literals, "binding", "type").unionByName(both(calls, "binding", "callee").join(both(returns, "callee", "type"), "callee").select("binding", "type"))
-    seen = fresh = stored(_capped(start.distinct(), None, width))
+    asked = bindings.select("binding", F.lit(None).cast("string").alias("type"), F.lit(True).alias("asked")).unionByName(start.withColumn("asked", F.lit(False)))
+    first = asked.groupBy("binding").agg(F.collect_set("type").alias("types"), F.max("asked").alias("asked"))  # no more than there are declared types
+    first = bucketed(first.withColumn("types", _capped(F.col("types"), F.lit(0), width)), "binding")
+    fresh, more = first.where(F.size("types") > 0), []
     while not fresh.isEmpty():
-        flow = edges.join(fresh.withColumnRenamed("binding", "source"), "source").select("binding", "type").distinct()
-        fresh = stored(_capped(flow.join(seen, ["binding", "type"], "left_anti"), seen, width))
-        gone = fresh.where(F.col("type") == TOP).select("binding")
-        seen = stored(seen.join(gone, "binding", "left_anti").unionByName(fresh))
-    types = seen.groupBy("binding").agg(F.array_sort(F.collect_set("type")).alias("types"))
-    out = bindings.select("binding").distinct().join(types, "binding", "left")
-    return out.select("binding", F.coalesce("types", F.array().cast("array<string>")).alias("types"))
-
-
-def _capped(flow: DataFrame, seen: DataFrame | None, width: int) -> DataFrame:
-    """New (binding, type) rows; just TOP for a binding that has too many by now or gets TOP, and none for one that is there."""
-    new = flow.groupBy("binding").agg(F.collect_set("type").alias("types"))  # no more than there are declared types
-    if seen is not None:
-        old = seen.groupBy("binding").agg(F.count("*").alias("n"), F.max((F.col("type") == TOP).cast("int")).alias("top"))
-        new = new.join(old, "binding", "left").where(F.coalesce("top", F.lit(0)) == 0)
-    n = F.coalesce(F.col("n"), F.lit(0)) if seen is not None else F.lit(0)
-    over = F.array_contains("types", TOP) | (F.size("types") + n > width)
-    return new.select("binding", F.explode(F.when(over, F.array(F.lit(TOP))).otherwise(F.col("types"))).alias("type"))
+        flow = fresh.select(F.col("binding").alias("source"), "types").join(edges.hint("merge"), "source").select("binding", F.explode("types").alias("type"))
+        new = flow.groupBy("binding").agg(F.collect_set("type").alias("new"))
+        new = _with_types(new, [first, *more]).where(~F.array_contains("types", TOP)).withColumn("new", F.array_except("new", "types")).where(F.size("new") > 0)
+        fresh = bucketed(new.select("binding", _capped(F.col("new"), F.size("types"), width).alias("types")), "binding")
+        more.append(fresh)
+        if len(more) >= MOST:
+            rows = more[0]
+            for t in more[1:]:
+                rows = rows.unionByName(t)
+            more = [bucketed(rows.groupBy("binding").agg(F.flatten(F.collect_list("types")).alias("types")), "binding")]
+    out = _with_types(first.where("asked").select("binding"), [first, *more])
+    top = F.array_contains("types", TOP)
+    return out.select("binding", F.when(top, F.array(F.lit(TOP))).otherwise(F.array_sort("types")).alias("types"))
+
+
+def _capped(types: Column, n: Column, width: int) -> Column:
+    """Types that are new for a binding with n others; just TOP where it has too many by now or gets TOP."""
+    return F.when(F.array_contains(types, TOP) | (F.size(types) + n > width), F.array(F.lit(TOP))).otherwise(types)
+
+
+def _with_types(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """rows (binding, ...) with the types that tables (binding, types) in buckets have for them, put together."""
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("types", none)
+    for t in found:
+        more = t.select("binding", F.col("types").alias("more")).hint("merge")
+        rows = rows.join(more, "binding", "left").withColumn("types", F.concat("types", F.coalesce("more", none))).drop("more")
+    return rows
