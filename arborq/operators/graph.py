@@ -79,6 +79,11 @@ class Seen:
         return self.merge(out) if len(self.tables) > 1 else out
 
 
+def unseen(step: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """step's rows whose keys seen doesn't have. By an outer join: Spark pushes an anti join down below the join that made step, onto all edges."""
+    return step.join(seen.select(*keys, F.lit(True).alias("__seen")), keys, "left").where("__seen is null").drop("__seen")
+
+
 def _steps(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Stored once, for every round reads them."""
     return stored(edges.where("src is not null and dst is not null").select(F.col("src").alias(src), F.col("dst").alias(dst)).distinct())
@@ -98,11 +103,15 @@ def closure(starts: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """The nodes (column node) that any of starts (column node) reaches, themselves too: a set, without pairs."""
-    edges = _steps(edges, "node", "next")
+    return reachable_by(starts, _steps(edges, "node", "next"))
+
+
+def reachable_by(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """`reachable` by steps (node, next) that are stored already, best in buckets by node."""
     frontier = stored(starts.select("node").distinct())
     seen = Seen(frontier)
     while not frontier.isEmpty():
-        frontier = stored(frontier.join(edges, "node").select(F.col("next").alias("node")).distinct().join(seen.all(), "node", "left_anti"))
+        frontier = stored(unseen(frontier.join(steps, "node").select(F.col("next").alias("node")).distinct(), seen.all(), ["node"]))
         seen.add(frontier)
     return seen.all()
 
@@ -208,16 +217,22 @@ def include_findings(records: DataFrame, contents: DataFrame, root_nodes: DataFr
     or not; one that was met before is a duplicate, unless this include or every earlier one was guarded, which pardons it
     once. A test body has its own set of what it met.
 
-    What is computed or missing is told by joins for every file that a root reaches. Only roots below which some file is
-    included twice, or the root itself is, can have loops and duplicates: these alone are walked, each in one task.
+    What is computed or missing is told by joins for every file that a root reaches. Records are stored once, in buckets by
+    the file that includes; pairs of a root and a file below are made for files that include something. Only roots below
+    which some file is included twice, or the root itself is, can have loops and duplicates: these alone are walked, each
+    in one task.
     """
     there = contents.select(F.col("node").alias("target"), F.lit(True).alias("there"))
-    rows = records.join(there, "target", "left")
-    below = closure(root_nodes.select(F.col("node").alias("src")), rows.where("there").select("src", F.col("target").alias("dst")))
-    plain = rows.join(below.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").where("NOT coalesce(guarded, false)")
-    told = plain.where("there is null").select("src", "ordinal", "target", F.when(F.col("target").isNull(), "ComputedInclude").otherwise("MissingFile").alias("code"))
-    met = stored(below.select(F.col("src").alias("root"), F.col("dst").alias("src")).join(rows.where("there"), "src"))
-    again = met.groupBy("root", "target").agg(F.count("*").alias("n")).where("n > 1 OR target = root").select("root").distinct()
+    including = records.select(F.col("src").alias("target")).distinct().withColumn("includes", F.lit(True))
+    rows = records.join(there.join(including, "target", "left"), "target", "left")
+    rows = bucketed(rows.repartition("src"), "src")
+    # files that include nothing end a walk, and have no record to find: pairs are made for the others alone
+    inner = rows.where("there AND includes").select("src", F.col("target").alias("dst"))
+    below = closure(root_nodes.select(F.col("node").alias("src")), inner)
+    plain = rows.where("NOT coalesce(guarded, false) AND there is null").join(below.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    told = plain.select("src", "ordinal", "target", F.when(F.col("target").isNull(), "ComputedInclude").otherwise("MissingFile").alias("code"))
+    met = below.select(F.col("src").alias("root"), F.col("dst").alias("src")).join(rows.where("there"), "src")
+    again = stored(met.groupBy("root", "target").agg(F.count("*").alias("n")).where("n > 1 OR target = root").select("root").distinct())
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = ["root", "src", "ordinal", "target", "guarded", "testitem", "there"]
     dealt = met.join(again, "root", "left_semi").select(*columns).repartition(n, "root").sortWithinPartitions("root", "src", "ordinal", "target")

@@ -156,3 +156,13 @@ def test_release_deletes_what_was_written(spark):
     assert paths and all(os.path.isdir(p) for p in paths)
     graph.release(spark)
     assert not graph._written and not any(os.path.isdir(p) for p in paths)
+
+
+def test_pairs_are_made_for_files_that_include(spark, monkeypatch):
+    """A file that includes nothing ends the walk: no pair of a root and it is made."""
+    f, asked, old = spark.createDataFrame, [], graph.closure
+    monkeypatch.setattr(graph, "closure", lambda starts, edges: asked.extend(sorted(map(tuple, edges.collect()))) or old(starts, edges))
+    records = f([("r", 1, "a", False, None), ("r", 2, "leaf", False, None), ("a", 1, "leaf", False, None), ("a", 2, "gone", False, None), ("a", 3, "a", False, None)], "src string, ordinal int, target string, guarded boolean, testitem int")
+    got = graph.include_findings(records, f([("r",), ("a",), ("leaf",)], "node string"), f([("r",)], "node string"))
+    assert {(x["src"], x["ordinal"], x["code"]) for x in got.collect()} == {("a", 1, "DuplicateInclude"), ("r", 2, "DuplicateInclude"), ("a", 2, "MissingFile"), ("a", 3, "IncludeLoop")} - {("a", 1, "DuplicateInclude")}
+    assert asked == [("a", "a"), ("r", "a")]
