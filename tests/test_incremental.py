@@ -48,3 +48,13 @@ def test_only_affected_keys_are_computed(spark):
 
     got = incremental.merged(table, spark.createDataFrame([("b",), ("n",)], "node string"), compute, spark.createDataFrame([("c",)], "node string"))
     assert asked == ["b", "n"] and sorted(map(tuple, got.collect())) == [("a", 1), ("b", 9), ("n", 9)]
+
+
+def test_roots_without_the_walk_down(spark, monkeypatch):
+    """Roots alone take one walk, up; edges that stay the same are read once."""
+    f, walks, old = spark.createDataFrame, [], incremental.graph.stored
+    monkeypatch.setattr(incremental.graph, "stored", lambda df: walks.append(df) or old(df))
+    edges = f([("r", "a"), ("a", "b"), ("q", "b"), ("x", "y"), ("x", "y"), (None, "b")], "src string, dst string")
+    got = incremental.affected_roots(f([("q", "removed")], "node string, how string"), f([("b", "updated")], "node string, how string"), edges, edges)
+    assert [x["node"] for x in got.collect()] == ["r"]
+    assert len(walks) <= 6
