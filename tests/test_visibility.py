@@ -72,3 +72,19 @@ def test_names_that_modules_pass_on(spark):
     points = [("/w/Top.jl", FILES["/w/Top.jl"].index("deep(1)")), ("/w/Top.jl", FILES["/w/Top.jl"].index("shallow(T)")), ("/w/Top.jl", FILES["/w/Top.jl"].index("T)")), ("/w/LoopTwo.jl", FILES["/w/LoopTwo.jl"].index("own() +")), ("/w/LoopTwo.jl", FILES["/w/LoopTwo.jl"].index("deep(2)"))]
     got = {(x["name"], x["target_uri"]) for x in resolve.definitions(found, spark.createDataFrame(points, "uri string, offset int")).collect()}
     assert got == {("deep", "/w/Base.jl"), ("shallow", "/w/Base.jl"), ("T", "/w/Base.jl"), ("own", "/w/Loop.jl")}
+
+
+def test_rounds_send_nothing_whole_to_the_driver(spark):
+    """No join of a round is by broadcast, which goes through the driver, however small the tables are."""
+    f = spark.createDataFrame
+    declared, imports = f([("a", "x")], "module string, name string"), f([("b", "x", "a", "x"), ("c", "x", "b", "x")], "module string, name string, target string, target_name string")
+    rounds = visibility.bound(declared, imports)
+    assert {tuple(r) for r in rounds.collect()} == {("a", "x", 0), ("b", "x", 1), ("c", "x", 2)}
+    explicit = imports.selectExpr("*", "1 AS ord")
+    none = f([], "module string, target string, ord int")
+    out = visibility.visible(declared, explicit, none, declared)
+    assert {tuple(r) for r in out.collect()} == {("a", "x", 3, "a", "x"), ("b", "x", 2, "a", "x"), ("c", "x", 2, "a", "x")}
+    store = spark._jsparkSession.sharedState().statusStore()
+    got = store.executionsList()
+    recent = [got.apply(i).physicalPlanDescription() for i in range(max(0, got.size() - 12), got.size())]
+    assert recent and not any("BroadcastHashJoin" in plan for plan in recent)
