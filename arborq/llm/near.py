@@ -38,8 +38,8 @@ SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 64
 PART_WORDS = 50_000
 #: Texts of a star, at most; texts of an Arrow batch in one bucket from which on they aren't sent to where the bucket is.
 STAR, HOT = 256, 64
-#: Rounds of stars over groups, before all pairs that are left.
-ROUNDS = 2
+#: Rounds of stars over groups, before all pairs that are left; other groups that a group is compared with in each, at most.
+ROUNDS, PARTNERS = 2, 2
 #: Hashed counts of a text's words, and for a first look.
 BINS, FOLD = 2048, 256
 #: Texts of a bucket that one task compares; of larger ones, texts of a block, about, and blocks that one task meets all others with.
@@ -428,35 +428,44 @@ def _settled(labels: DataFrame, rest: DataFrame, checked: DataFrame, texts: Data
 
 
 def _starred(labels: DataFrame, entries: DataFrame, checked: DataFrame, texts: DataFrame, similarity: float, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(labels, checked) after another round of stars: each group is compared with one text of another, the one that it shares most buckets with of those that are drawn as a bucket's hub. A group has one text in a bucket, and a round as many comparisons as there are groups at most."""
+    """(labels, checked) after another round of stars: each group is compared with PARTNERS others, those that it shares most buckets with of those that are drawn as a bucket's hub, by the two texts that agree most and aren't in checked. Buckets are counted by group, for those of a large group are drawn for many of its texts. A group has one text in a bucket, and a round PARTNERS comparisons a group at most."""
     drawn = F.xxhash64("key", "node", F.lit(turn))
     own = entries.select("key", "node").join(labels, "node").groupBy("key", "label").agg(F.min_by("node", drawn).alias("node"))
     hubs = own.groupBy("key").agg(F.min_by(F.struct("node", "label"), drawn).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     met = own.join(hubs, "key").where("label != hub.label")
     agree = met.groupBy(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b"), F.col("label").alias("label_a"), F.col("hub.label").alias("label_b")).agg(F.count("*").alias("n"))
-    best = agree.groupBy("label_a").agg(F.max_by(F.struct("a", "b", "label_b"), F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b", "label_a", "p.label_b")
-    best = small(best.dropDuplicates(["a", "b"]).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "best")
+    agree = agree.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    partners = agree.groupBy("label_a", "label_b").agg(F.sum("n").alias("n"), F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p"))
+    share = F.pmod(F.xxhash64("label_b", F.lit(turn)), F.lit(PARTNERS)).alias("share")  # the best of each share: a sum in every task
+    best = partners.groupBy("label_a", share).agg(F.max_by(F.struct("p.a", "p.b", "label_b"), F.struct("n", "p")).alias("p")).select("p.a", "p.b", "label_a", "p.label_b")
+    best = small(best.dropDuplicates(["a", "b"]), "best")
     found = _compared(best, texts, similarity)
     return small(_renamed(labels, _joined(found)), "labels"), checked.unionByName(found)
 
 
+def _meeting(own: DataFrame) -> DataFrame:
+    """Of own (key, node, label, class, ...) a row with visits and n for each class of a bucket where the text meets one of another group: in its own class those of it and its visitors, who are of the next class; as a visitor in the class before, those who are of that class. n: texts there, at most. Every two texts of different groups, of one class or of neighbours, meet in each bucket that they share."""
+    sides = own.groupBy("key", "class").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+    # as many sides as there are classes of lengths, which grow with the longest text's logarithm
+    buckets = sides.groupBy("key").agg(F.collect_list(F.struct("class", "n", "least", "most")).alias("sides"), F.min("least").alias("least"), F.max("most").alias("most")).where("least != most").select("key", "sides")
+    between = lambda s, first, last: s["class"].between(F.col("class") + first, F.col("class") + last)
+    others = lambda first, last: F.exists("sides", lambda s: between(s, first, last) & ((s["least"] != F.col("label")) | (s["most"] != F.col("label"))))
+    there = lambda visits, first: F.struct(F.lit(visits).alias("visits"), F.aggregate(F.filter("sides", lambda s: between(s, first, first + 1)), F.lit(0).cast("long"), lambda n, s: n + s["n"]).alias("n"))
+    met = own.join(buckets, "key").withColumn("there", F.explode(F.array_compact(F.array(F.when(others(0, 1), there(False, 0)), F.when(others(-1, -1), there(True, -1))))))
+    return met.select(*[c for c in own.columns if c != "class"], (F.col("class") - F.col("there.visits").cast("int")).alias("class"), "there.visits", "there.n")
+
+
 def _closed(labels: DataFrame, entries: DataFrame, rows: DataFrame, checked: DataFrame, similarity: float) -> DataFrame:
     """labels (node, label) with groups joined that candidates link: after it all texts that agree in a sketch have one label or are known not to be near.
 
     Two near texts are in one class of lengths or in two that are next to each other: a bucket's texts meet those of their
     own class and of the next.
     """
-    own = entries.select("key", "node").join(labels, "node")
-    mixed = own.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("key")
-    mixed = small(own.join(mixed, "key"), "mixed")
-    if mixed.isEmpty():
-        return labels
     step = math.log(1.001 / similarity)
-    lengths = rows.select(F.col("row").alias("node"), "n_words")
-    ends = mixed.join(lengths, "node").withColumn("class", F.floor(F.log("n_words") / step).cast("int"))
-    ends = ends.withColumn("visits", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("class", F.col("class") - F.col("visits").cast("int"))
-    met = ends.groupBy("key", "class").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.min("visits").alias("none")).where("least != most and not none").select("key", "class", "n")
-    ends = small(ends.join(met, ["key", "class"]), "ends")
+    lengths = rows.select(F.col("row").alias("node"), "n_words", F.floor(F.log("n_words") / step).cast("int").alias("class"))
+    ends = small(_meeting(entries.select("key", "node").join(labels.join(lengths, "node"), "node")), "ends")
+    if ends.isEmpty():
+        return labels
     texts = rows.select(F.col("row").alias("node"), "text")
     keys = ends.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as a sketch has, at most
     profiles = rows.select(F.col("row").alias("node"), "text", "sketch").join(keys, "node").mapInArrow(_profiled, "node long, profile binary, shared binary")

@@ -204,3 +204,45 @@ def test_pairs_are_possible_in_their_first_bucket_alone():
     want = [(i, j, k) for (i, j), k in agree.items() if near._unshared(parts[i], parts[j]) <= int(0.2 * max(n[i], n[j]) + 1e-9)]
     assert len(found) == len({x[:2] for x in found}) and set(want) <= set(found)
     assert all(agree[x[:2]] == x[2] for x in found) and want
+
+
+def test_texts_meet_others_of_their_bucket_and_no_one_else(spark):
+    """Of a bucket all pairs of different groups and of like lengths meet, once; no row is made for a text that meets its own group alone."""
+    r = random.Random(6)
+    rows = [(key, node, r.choice((1, 1, 1, 2, 3)) if key % 3 else 1, r.randint(0, 6)) for key in range(60) for node in r.sample(range(100), r.randint(2, 12))]
+    rows += [(70, k, 1, 3) for k in range(50)] + [(70, 50, 1, 2), (70, 51, 2, 3), (70, 52, 3, 0)]
+    own = spark.createDataFrame(rows, "key long, node long, label long, class int")
+    got = near._meeting(own).collect()
+    want, sizes = {}, {}
+    for key, _, _, c in rows:
+        sizes[key, c] = sizes.get((key, c), 0) + 1
+    for key, a, la, ca in rows:
+        for other, b, lb, cb in rows:
+            if key == other and la != lb and cb in (ca, ca + 1):
+                want.update({(key, a, la, ca, False): None, (key, b, lb, ca, cb > ca): None})
+    assert len(got) == len(want) and {(x["key"], x["node"], x["label"], x["class"], x["visits"]) for x in got} == want.keys()
+    assert all(x["n"] == sizes.get((x["key"], x["class"]), 0) + sizes.get((x["key"], x["class"] + 1), 0) for x in got)
+    assert [x["node"] for x in got if x["key"] == 70 and x["visits"]] == [51]  # not the 50 that would meet only text 50, of their group
+
+
+def test_groups_are_compared_with_those_that_they_meet_most(spark, monkeypatch):
+    """A group meets one that is near in six buckets, in each with another text, and a single text that isn't near in two: it is compared with the first all the same."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(7)
+    base, far = words(r, 100, 10**6), words(r, 100, 10**6)
+    texts = {1: base, 100: changed(r, base, 5), 200: far} | {k: changed(r, base, 3) for k in range(2, 8)}
+    drawn = lambda node: F.xxhash64("key", F.lit(node).cast("long"), F.lit(0))
+    keys = lambda node, hub, n: [x["key"] for x in spark.range(1000).select(F.col("id").alias("key")).where(drawn(hub) < drawn(node)).limit(n).collect()]
+    rows = [(key, x) for node in range(2, 8) for key in keys(node, 100, 200)[20 * node : 20 * node + 1] for x in (node, 100)]
+    rows += [(key, x) for key in [k for k in keys(1, 200, 400) if k not in {y for y, _ in rows}][:2] for x in (1, 200)]
+    entries = spark.createDataFrame([(*x, 0) for x in rows], "key long, node long, hub long")
+    labels = spark.createDataFrame([(k, k if k >= 100 else 1) for k in texts], "node long, label long")
+    checked = spark.createDataFrame([], f"{near.PAIRS}, near boolean")
+    own = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "node long, text string")
+    for partners in (1, near.PARTNERS):
+        monkeypatch.setattr(near, "PARTNERS", partners)
+        got, seen = near._starred(labels, entries, checked, own, near.SIMILARITY, 0)
+        got = {x["node"]: x["label"] for x in got.collect()}
+        assert got[100] == got[1] == 1 and got[200] == 200
+        assert 1 <= seen.count() <= partners
