@@ -14,8 +14,11 @@ comparisons. Texts lie in a table bucketed by row: a comparison moves the texts
 The stars only make large groups cheaper. After them every pair of a bucket that is still in two groups is looked at, in
 the first of the buckets that its texts share, so that no candidates are lost: lengths, then a bound below the edit
 distance (words that one text has more often than the other, in BINS hashed counts) rule out most without their texts,
-block against block, and the alignment decides the rest. The bounds of n texts of like lengths that share a passage and
-aren't near one another take n * n / 2 looks at BINS bytes each: that part is quadratic.
+block against block. Texts that the bounds leave a partner come to their bucket once more, with their words, and are
+aligned there, in blocks. No row is made for a pair: a text is a row in a bucket where it may have a partner, a link is a
+row only if it joins two groups that no other link of its two blocks joins. The looks stay quadratic: n texts of like
+lengths that share a passage and aren't near one another take n * n / 2 bounds of BINS bytes each, and those of them that
+the bounds leave an alignment each.
 """
 
 from __future__ import annotations
@@ -44,6 +47,10 @@ ROUNDS, PARTNERS = 2, 2
 BINS, FOLD = 2048, 256
 #: Texts of a bucket that one task compares; of larger ones, texts of a block, about, and blocks that one task meets all others with.
 SMALL, BLOCK, STRIPE = 4096, 512, 16
+#: Words of a block of texts that are aligned, about; a text counts as TEXT_WORDS more, so that short ones don't make large blocks.
+BLOCK_WORDS, TEXT_WORDS = 50_000, 100
+#: Possible pairs that are handed on at a time, about.
+PAIRS_AT_ONCE = 100_000
 _U = np.uint64
 
 
@@ -321,7 +328,11 @@ def _possible(key: int, one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ..
     sa, sb = pa_.sum(1, dtype=np.int64), pb.sum(1, dtype=np.int64)
     place = int(np.argmax(ka[0] == _U(key & 0xFFFFFFFFFFFFFFFF)))
     ka, kb = ka[:, :place], np.ascontiguousarray(kb[:, :place])
-    out = []
+    out, held = [], 0
+
+    def pieces() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, 1)], names=["a", "b", "label_a", "label_b", "bound"])
+
     for i in range(len(a) if after is None else after):
         start = 0 if after is None else i + 1
         limit = ((1 - similarity) * np.maximum(na[i], nb[start:]) + 1e-9).astype(np.int64)
@@ -337,29 +348,113 @@ def _possible(key: int, one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ..
             first = a[i] > b[at]
             mine = lambda x, y: (np.where(first, x, y), np.where(first, y, x))  # noqa: B023, E731
             out.append(np.stack([*mine(a[i], b[at]), *mine(la[i], lb[at]), bound]))
+            held += len(at)
+            if held >= PAIRS_AT_ONCE:
+                yield pieces()
+                out, held = [], 0
     if out:
-        found = np.concatenate(out, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "label_a", "label_b", "bound"])
+        yield pieces()
+
+
+MEETS = "key long, class int, visits boolean, node long, label long, n_words long"
+
+
+def _meets(key: int, class_: int, visits: np.ndarray, of: tuple[np.ndarray, ...], found: np.ndarray) -> pa.RecordBatch:
+    """The texts of a block that are in found, in one bucket."""
+    at = np.flatnonzero(np.isin(of[0], found))
+    own = [pa.array(np.full(len(at), key, np.int64)), pa.array(np.full(len(at), class_, np.int32)), pa.array(visits[at])]
+    return pa.RecordBatch.from_arrays([*own, *(pa.array(x[at]) for x in of[:3])], names=["key", "class", "visits", "node", "label", "n_words"])
+
+
+def _ends(pairs: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """The texts of pairs, each once."""
+    found = np.zeros(0, np.int64)
+    for x in pairs:
+        found = np.unique(np.concatenate([found, x.column("a").to_numpy(), x.column("b").to_numpy()]))
+    return found
+
+
+def _pairs(batch: pa.RecordBatch, row: int, similarity: float) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...], Iterator[pa.RecordBatch]]:
+    """The two blocks of a row, and their possible pairs."""
+    one, other = _block(batch.column("one"), row), _block(batch.column("other"), row)
+    after = len(one[0]) if batch.column("alone")[row].as_py() else None
+    return one, other, _possible(batch.column("key")[row].as_py(), one, one if after else other, similarity, after)
 
 
 def _bounds(similarity: float):
-    """Possible pairs of two blocks, two at a time."""
+    """Texts with a possible pair in two blocks, two blocks at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                yield from _possible(batch.column("key")[row].as_py(), _block(batch.column("one"), row), _block(batch.column("other"), row), similarity)
+                one, other, pairs = _pairs(batch, row, similarity)
+                found, (key, class_, visits, alone) = _ends(pairs), (batch.column(c)[row].as_py() for c in ("key", "class", "visits", "alone"))
+                for of, visiting in ((one, False), (other, visits))[: 1 if alone else 2]:
+                    yield _meets(key, class_, np.full(len(of[0]), visiting), of, found)
 
     return run
 
 
+def _aligned(similarity: float):
+    """Links (a, b) of groups by near texts of two blocks, two blocks at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                texts = {}
+                for c in ("one", "other")[: 1 if batch.column("alone")[row].as_py() else 2]:
+                    of = batch.column(c)[row].values
+                    hashes, sizes = word_hashes(of.field("text").to_pylist())
+                    texts |= zip(of.field("node").to_pylist(), np.split(hashes, np.cumsum(sizes)[:-1]), strict=True)
+                links = _forest((x for *_, pairs in [_pairs(batch, row, similarity)] for x in pairs), texts, similarity)
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def _forest(pairs: Iterator[pa.RecordBatch], texts: dict[int, np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (label_a, label_b) that join all groups that near ones of the pairs join, one fewer than the groups that they join. Pairs of least bound are aligned first, and none whose groups are joined by then."""
+    into: dict[int, int] = {}
+    links = []
+
+    def root(x: int) -> int:
+        while (to := into.get(x, x)) != x:
+            into[x] = x = into.get(to, to)
+        return x
+
+    def apart(rest: np.ndarray) -> np.ndarray:
+        names, at = np.unique(rest[2:4], return_inverse=True)
+        roots = np.array([root(x) for x in names.tolist()], np.int64)[at.reshape(2, -1)]
+        return rest[:, roots[0] != roots[1]]
+
+    for batch in pairs:
+        rest = np.stack([x.to_numpy() for x in batch.columns])
+        rest, size = apart(rest[:, np.argsort(rest[4], kind="stable")]), 16
+        while rest.shape[1]:
+            part, rest = rest[:4, :size].T.tolist(), rest[:, size:]
+            both = [(texts[a], texts[b]) for a, b, *_ in part]
+            limits = [int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in both]
+            before = len(links)
+            for (_, _, la, lb), d, limit in zip(part, distances(both, limits), limits, strict=True):
+                if d <= limit and (one := root(la)) != (other := root(lb)):
+                    into[max(one, other)] = min(one, other)
+                    links.append((la, lb))
+            if len(links) > before:
+                rest = apart(rest)
+            size = min(2 * size, 1024)
+    return links
+
+
 def _within(similarity: float):
-    """Possible pairs within each (key, class). Rows come sorted by these and visits; those of one are held at a time, SMALL at most."""
+    """Texts with a possible pair within each (key, class). Rows come sorted by these and visits; those of one are held at a time, SMALL at most."""
 
-    def close(key: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def close(key: int, class_: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         visits, *numbers, profiles, shared = zip(*held, strict=True)
         own = _unpacked(*(np.array(x, np.int64) for x in numbers), profiles, shared)
-        yield from _possible(key, own, own, similarity, len(held) - sum(visits))
+        found = _ends(_possible(key, own, own, similarity, len(held) - sum(visits)))
+        if len(found):
+            yield _meets(key, class_, np.array(visits), own, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
@@ -367,11 +462,11 @@ def _within(similarity: float):
             for key, class_, *rest in zip(*(batch.column(c).to_pylist() for c in ("key", "class", "visits", "node", "label", "n_words", "profile", "shared")), strict=True):
                 if (key, class_) != group:
                     if held:
-                        yield from close(group[0], held)
+                        yield from close(*group, held)
                     group, held = (key, class_), []
                 held.append(tuple(rest))
         if held:
-            yield from close(group[0], held)
+            yield from close(*group, held)
 
     return run
 
@@ -390,7 +485,12 @@ def _compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def _joined(found: DataFrame) -> DataFrame | None:
     """(label, into) for the labels of groups that found (label_a, label_b, near) links; None where there are no links."""
     links = small(found.where("near").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "links")
-    return None if links.isEmpty() else components(links).select(F.col("node").alias("label"), F.col("label").alias("into"))
+    return None if links.isEmpty() else _into(links)
+
+
+def _into(links: DataFrame) -> DataFrame:
+    """(label, into) for the labels of groups that links (a, b) join."""
+    return components(links).select(F.col("node").alias("label"), F.col("label").alias("into"))
 
 
 def _renamed(rows: DataFrame, into: DataFrame | None, c: str = "label") -> DataFrame:
@@ -401,32 +501,6 @@ def _renamed(rows: DataFrame, into: DataFrame | None, c: str = "label") -> DataF
     return rows.join(into, c, "left").withColumn(c, F.coalesce("into", c)).drop("into")
 
 
-def _settled(labels: DataFrame, rest: DataFrame, checked: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """labels with the groups joined that rest (a, b, label_a, label_b, bound) links; checked (a, b) are known not to be near, or joined.
-
-    Of the pairs between two groups a few of least bound are compared at a time, for one that is near will do; in the end
-    every pair is compared or within a group.
-    """
-    count, rest, done, links = 1, small(rest, "rest", spread=True), checked.select("a", "b"), None
-    while not rest.isEmpty():
-        groups = [F.least("label_a", "label_b").alias("one"), F.greatest("label_a", "label_b").alias("other"), F.pmod(F.xxhash64("a", "b"), F.lit(count)).alias("share")]
-        first = rest.groupBy(*groups).agg(F.min(F.struct("bound", "a", "b", "label_a", "label_b")).alias("p")).select("p.*")
-        first = small(first.join(done, ["a", "b"], "left_anti"), "first")
-        found = _compared(first, texts, similarity)
-        links = found if links is None else links.unionByName(found)
-        into = _joined(found)
-        done = done.unionByName(first.select("a", "b"))
-        if into is not None:
-            # by pairs of groups, which are fewer than pairs of texts
-            now = rest.select("label_a", "label_b", F.col("label_a").alias("label"), F.col("label_b").alias("to")).distinct()
-            now = _renamed(_renamed(now, into), into, "to").where("label != to")
-            rest = rest.join(now, ["label_a", "label_b"]).select("a", "b", F.col("label").alias("label_a"), F.col("to").alias("label_b"), "bound")
-            rest = small(rest, "rest")  # or the anti join below goes first, over pairs that this one drops
-        rest = small(rest.join(done, ["a", "b"], "left_anti"), "rest")
-        count *= 16
-    return labels if links is None else small(_renamed(labels, _joined(links)), "labels")
-
-
 def _starred(labels: DataFrame, entries: DataFrame, checked: DataFrame, texts: DataFrame, similarity: float, turn: int) -> tuple[DataFrame, DataFrame]:
     """(labels, checked) after another round of stars: each group is compared with PARTNERS others, those that it shares most buckets with of those that are drawn as a bucket's hub, by the two texts that agree most and aren't in checked. Buckets are counted by group, for those of a large group are drawn for many of its texts. A group has one text in a bucket, and a round PARTNERS comparisons a group at most."""
     drawn = F.xxhash64("key", "node", F.lit(turn))
@@ -455,7 +529,7 @@ def _meeting(own: DataFrame) -> DataFrame:
     return met.select(*[c for c in own.columns if c != "class"], (F.col("class") - F.col("there.visits").cast("int")).alias("class"), "there.visits", "there.n")
 
 
-def _closed(labels: DataFrame, entries: DataFrame, rows: DataFrame, checked: DataFrame, similarity: float) -> DataFrame:
+def _closed(labels: DataFrame, entries: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """labels (node, label) with groups joined that candidates link: after it all texts that agree in a sketch have one label or are known not to be near.
 
     Two near texts are in one class of lengths or in two that are next to each other: a bucket's texts meet those of their
@@ -472,27 +546,41 @@ def _closed(labels: DataFrame, entries: DataFrame, rows: DataFrame, checked: Dat
     profiles = small(profiles, "profiles", spread=True)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = ends.where(F.col("n") <= SMALL).drop("n").join(profiles, "node").repartition(n, "key", "class").sortWithinPartitions("key", "class", "visits", "node")
-    rest = dealt.mapInArrow(_within(similarity), f"{PAIRS}, bound long")
+    meets = dealt.mapInArrow(_within(similarity), MEETS)
     large = ends.where(F.col("n") > SMALL)
     if not large.isEmpty():
-        rest = rest.unionByName(_between_blocks(large, profiles).mapInArrow(_bounds(similarity), f"{PAIRS}, bound long"))
-    return _settled(labels, rest, checked, texts, similarity)
+        blocks = _between_blocks(large, profiles, F.lit(1), BLOCK, STRIPE)
+        meets = meets.unionByName(blocks.mapInArrow(_bounds(similarity), MEETS).distinct())
+    meets = small(meets, "meets", spread=True)
+    if meets.isEmpty():
+        return labels
+    weight = F.col("n_words") + TEXT_WORDS
+    sizes = meets.groupBy("key", "class").agg(F.sum(weight).alias("n"))
+    held = stored(profiles.join(texts.join(meets.select("node").distinct(), "node", "left_semi"), "node"), "held")
+    # an alignment is long beside the move of its texts: a block a stripe
+    blocks = _between_blocks(meets.join(sizes, ["key", "class"]), held, weight, BLOCK_WORDS, 1)
+    links = small(blocks.mapInArrow(_aligned(similarity), "a long, b long").distinct(), "links")
+    return labels if links.isEmpty() else small(_renamed(labels, _into(links)), "labels")
 
 
-def _between_blocks(ends: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(key, one, other): the texts of large buckets in blocks, and every two blocks of a bucket that are to meet."""
+def _between_blocks(ends: DataFrame, held: DataFrame, weight, size: int, stripe: int) -> DataFrame:
+    """(key, class, visits, alone, one, other): the texts of buckets in blocks of about size by weight, and every two blocks of a bucket that are to meet; visits: the other one's texts are visitors; alone: both are the same block. ends: (key, class, visits, node, label, n_words, n), n being the bucket's weight; held: (node, ...), what a block holds of each text; stripe: blocks that one task meets all others with, about."""
     # groups of a block or more have blocks of their own, so that none is compared with itself
-    parts = ends.groupBy("key", "class", "label").agg(F.count("*").alias("own"))
-    large = F.col("own") >= BLOCK
-    block = F.when(large, F.struct("visits", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK)).alias("part"))).otherwise(F.struct("visits", F.lit(-1).cast("long").alias("label"), F.pmod(F.xxhash64("label"), F.ceil(F.col("n") / BLOCK)).alias("part")))
-    dealt = ends.join(parts, ["key", "class", "label"]).join(profiles, "node").withColumn("block", block)
-    blocks = stored(dealt.groupBy("key", "class", "block").agg(F.collect_list(F.struct("node", "label", "n_words", "profile", "shared")).alias("of")), "blocks")
-    stripes = blocks.groupBy("key", "class").agg(F.ceil(F.count("*") / STRIPE).alias("stripes"))
+    parts = ends.groupBy("key", "class", "label").agg(F.sum(weight).alias("own"))
+    large = F.col("own") >= size
+    block = F.when(large, F.struct("visits", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / size)).alias("part"))).otherwise(F.struct("visits", F.lit(-1).cast("long").alias("label"), F.pmod(F.xxhash64("label"), F.ceil(F.col("n") / size)).alias("part")))
+    dealt = ends.join(parts, ["key", "class", "label"]).select("key", "class", "node", "label", "n_words", block.alias("block")).join(held, "node")
+    of = F.struct("node", "label", "n_words", *[c for c in held.columns if c != "node"])
+    blocks = stored(dealt.groupBy("key", "class", "block").agg(F.collect_list(of).alias("of")), "blocks")
+    stripes = blocks.groupBy("key", "class").agg(F.ceil(F.count("*") / stripe).alias("stripes"))
     striped = blocks.join(stripes, ["key", "class"])
     one = striped.where("not block.visits").select("key", "class", F.pmod(F.xxhash64("block"), "stripes").alias("stripe"), F.col("block").alias("block_a"), F.col("of").alias("one"))
     other = striped.select("key", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1)).alias("stripe"), F.col("block").alias("block_b"), F.col("of").alias("other"))
-    alone = (F.col("block_a.label") == F.col("block_b.label")) & (F.col("block_a.label") >= 0)
-    return one.join(other, ["key", "class", "stripe"]).where((F.col("block_a") <= F.col("block_b")) & ~alone).select("key", "one", "other")
+    same = (F.col("block_a.label") == F.col("block_b.label")) & (F.col("block_a.label") >= 0)
+    # the few bytes of two blocks are long work: in as many tasks as a shuffle has, not in as few as hold the bytes
+    n, keys = int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["key", "class", "stripe"]
+    met = one.repartition(n, *keys).join(other.repartition(n, *keys), keys).where((F.col("block_a") <= F.col("block_b")) & ~same)
+    return met.select("key", "class", F.col("block_b.visits").alias("visits"), (F.col("block_a") == F.col("block_b")).alias("alone"), "one", "other")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -537,7 +625,7 @@ def _labels(rows: DataFrame, similarity: float, count: int) -> DataFrame:
     labels = small(_renamed(labels, _joined(checked)), "labels")
     for turn in range(ROUNDS):
         labels, checked = _starred(labels, entries, checked, texts, similarity, turn)
-    labels = _closed(labels, entries, rows, checked, similarity)
+    labels = _closed(labels, entries, rows, similarity)
     nodes = firsts.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     wordless = rows.where("n_words = 0").groupBy("digest").agg(F.min("row").alias("label"))
     # as a table of its own, so that Spark can deal the rows of a digest with many copies to many tasks

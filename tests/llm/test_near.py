@@ -246,3 +246,69 @@ def test_groups_are_compared_with_those_that_they_meet_most(spark, monkeypatch):
         got = {x["node"]: x["label"] for x in got.collect()}
         assert got[100] == got[1] == 1 and got[200] == 200
         assert 1 <= seen.count() <= partners
+
+
+def test_pairs_that_are_not_near_make_no_rows(spark, monkeypatch):
+    """Texts of the same passages in other orders: the bounds rule out none of their pairs, the alignment all but one. After the buckets' ends no table has more rows than these have, however many pairs there are."""
+    r = random.Random(8)
+    passages = [words(r, 12, 10**6) for _ in range(10)]
+    texts = [" ".join(w for p in r.sample(passages, len(passages)) for w in p) for _ in range(150)]
+    texts.append(texts[40].replace("w", "W", 50) + " one two three")
+    made = []
+
+    def small(df, name, *rest, f=near.small, **more):
+        made.append((name, (out := f(df, name, *rest, **more)).count()))
+        return out
+
+    monkeypatch.setattr(near, "small", small)
+    h, n = word_hashes(texts)
+    s, own = near.sketches(h, n, count=16), np.split(h, np.cumsum(n)[:-1])
+    agree = [(i, j) for i in range(len(texts)) for j in range(i) if (s[i] == s[j]).any()]
+    got = {x["doc_id"]: x["class_id"] for x in near.near_groups(documents(spark, texts), count=16).collect()}
+    assert got == {k: 40 if k == 150 else k for k in range(151)} and all(near._unshared(own[i], own[j]) <= 3 for i, j in agree)
+    names = [x for x, _ in made]
+    most = made[names.index("ends")][1]
+    assert len(agree) > 1.5 * most and max(k for x, k in made[names.index("ends") :] if x not in ("classes", "nodes")) <= most
+
+
+def test_links_are_a_forest():
+    """Of all near pairs of a block only those that join groups are links, and they join all that the others would."""
+    r = random.Random(11)
+    bases = [words(r, 60, 10**6) for _ in range(4)]
+    texts = [" ".join(changed(r, base, r.randint(0, 7))) for base in bases for _ in range(25)]
+    h, n = word_hashes(texts)
+    own = dict(enumerate(np.split(h, np.cumsum(n)[:-1])))
+    label = {k: k // 2 * 2 for k in own}
+    pairs = [(i, j) for i in own for j in own if i > j and label[i] != label[j]]
+    limits = [int(0.2 * max(n[i], n[j]) + 1e-9) for i, j in pairs]
+    into = dict.fromkeys(label.values())
+    for x in into:
+        into[x] = x
+    for (i, j), d, limit in zip(pairs, near.distances([(own[i], own[j]) for i, j in pairs], limits), limits, strict=True):
+        if d <= limit:
+            a, b = sorted((into[label[i]], into[label[j]]))
+            into = {k: a if x == b else x for k, x in into.items()}
+    columns = [*zip(*((i, j, label[i], label[j], 0) for i, j in pairs), strict=True)]
+    cut = len(pairs) // 3
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[x], pa.int64()) for c in columns], names=["a", "b", "label_a", "label_b", "bound"]) for x in (slice(cut), slice(cut, None))]
+    links = near._forest(iter(batches), own, near.SIMILARITY)
+    found = {x: x for x in into}
+    for x, y in links:
+        a, b = sorted((found[x], found[y]))
+        assert a != b  # a link that others don't give
+        found = {k: a if z == b else z for k, z in found.items()}
+    assert found == into and 1 < len(set(into.values())) < len(into)
+
+
+def test_texts_are_aligned_between_blocks(spark, monkeypatch):
+    """The same groups, whether the texts of a bucket are aligned in one block or in many."""
+    r = random.Random(13)
+    monkeypatch.setattr(near, "ROUNDS", 0)
+    base = words(r, 120, 10**6)
+    rim = [changed(r, base, 14) for _ in range(25)]
+    texts = [" ".join(x) for x in [*rim, *(changed(r, r.choice(rim), 22) for _ in range(25))]]
+    df = documents(spark, texts)
+    whole = {x["doc_id"]: x["class_id"] for x in near.near_groups(df).collect()}
+    monkeypatch.setattr(near, "BLOCK_WORDS", 700)
+    assert {x["doc_id"]: x["class_id"] for x in near.near_groups(df).collect()} == whole
+    assert 1 < len(set(whole.values())) < len(texts)
