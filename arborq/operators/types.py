@@ -6,8 +6,14 @@ a walk up the supertypes was known.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from arborq.operators.graph import stored
 
@@ -15,6 +21,10 @@ from arborq.operators.graph import stored
 TOP, SOME_UNION = "Any", "Union"
 #: A walk up the supertypes ends after 2 ** DOUBLINGS steps, without an answer: a cycle, or deeper than any real hierarchy.
 DOUBLINGS = 5
+#: Rows of a scope that one task holds at once; a scope with more goes through joins.
+SCOPE = 200_000
+#: Rows, of whole scopes, that are worked on together.
+TOGETHER = 1 << 16
 
 
 def chains(supers: DataFrame) -> DataFrame:
@@ -177,3 +187,108 @@ def _capped(flow: DataFrame, seen: DataFrame | None, width: int) -> DataFrame:
     n = F.coalesce(F.col("n"), F.lit(0)) if seen is not None else F.lit(0)
     over = F.array_contains("types", TOP) | (F.size("types") + n > width)
     return new.select("binding", F.explode(F.when(over, F.array(F.lit(TOP))).otherwise(F.col("types"))).alias("type"))
+
+
+# --- inference within scopes
+
+
+def inferred_within(facts: DataFrame, width: int = 4) -> DataFrame:
+    """(scope, binding, types): `inferred` where bindings take values only from those of their own scope.
+
+    facts: (scope, binding, type, source). A row says that there is a binding, that a type is written down for it unless
+    null, and that it takes the value of source unless null; source is of binding's kind. Every binding of facts that isn't
+    null has one row. Nothing is known in a null scope. Repeated rows count once.
+
+    Rows are dealt by scope, which moves nothing where they lie so already, and each task goes through its own, some scopes
+    at a time: no round of a join, and nothing written, however long the ways. Scopes of over SCOPE rows are counted
+    before and go through `inferred`, so that what a worker holds is bounded.
+    """
+    there = F.col("scope").isNotNull()
+    facts = facts.where("binding is not null").select("scope", "binding", F.when(there, F.col("type")).alias("type"), F.when(there, F.col("source")).alias("source"))
+    # not a repartition, which would move all rows once more
+    sized = facts.withColumn("rows", F.count("*").over(Window.partitionBy("scope")))
+    schema = StructType([facts.schema["scope"], facts.schema["binding"], StructField("types", ArrayType(StringType()))])
+    got = sized.where(F.col("rows") <= SCOPE).drop("rows").mapInArrow(_scopes(width, TOGETHER), schema)
+    if facts.groupBy("scope").count().where(F.col("count") > SCOPE).isEmpty():
+        return got
+    large = stored(sized.where(F.col("rows") > SCOPE).select(F.struct("scope", "binding").alias("binding"), "type", F.when(F.col("source").isNotNull(), F.struct("scope", F.col("source").alias("binding"))).alias("source")))
+    none = large.select("binding", F.lit("").alias("callee"), "type").limit(0)
+    rest = inferred(large, large, large, none, none.select("callee", "type"), width)
+    return got.unionByName(rest.select("binding.scope", "binding.binding", "types"))
+
+
+def _scopes(width: int, together: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over facts of which those of a scope follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= together:
+                table = pa.Table.from_batches(held)
+                scope = _codes(table["scope"])[0]
+                others = np.flatnonzero(scope != scope[-1])
+                whole = int(others[-1]) + 1 if len(others) else 0  # the last scope may go on
+                if whole:
+                    yield from _solved(table.slice(0, whole), width)
+                held = table.slice(whole).to_batches()
+                rows -= whole
+        if rows:
+            yield from _solved(pa.Table.from_batches(held), width)
+
+    return run
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each value, and the values by number; a null is one, too."""
+    d = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
+
+
+def _solved(facts: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
+    """The bindings of whole scopes with their types."""
+    n = facts.num_rows
+    scope = _codes(facts["scope"])[0]
+    names, values = _codes(pa.chunked_array([*facts["binding"].chunks, *facts["source"].chunks]))
+    has = np.asarray(facts["source"].combine_chunks().is_valid())
+    at = np.concatenate([scope * len(values) + names[:n], (scope * len(values) + names[n:])[has]])
+    _, first, node = np.unique(at, return_index=True, return_inverse=True)
+    kinds, texts = _codes(facts["type"])
+    texts = texts.to_pylist()
+    order = [TOP, *sorted({t for t in texts if t is not None} - {TOP})]
+    number = {t: i for i, t in enumerate(order)}
+    kind = np.array([number.get(t, -1) for t in texts], dtype=np.int64)[kinds]
+    have, many = _flow(len(first), node[n:], node[:n][has], node[:n][kind >= 0], kind[kind >= 0], len(order), width)
+    asked = first < n
+    first, have, many = first[asked], np.sort(have[asked], axis=1), many[asked]  # empty places are the greatest
+    flat = have[np.arange(have.shape[1]) < many[:, None]]
+    types = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(order, pa.string()).take(pa.array(flat)))
+    row = facts.select(["scope", "binding"]).take(pa.array(first))
+    yield from row.append_column("types", types).combine_chunks().to_batches()
+
+
+def _flow(n: int, source: np.ndarray, binding: np.ndarray, start: np.ndarray, kind: np.ndarray, kinds: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The types (numbers below kinds, TOP 0) of n bindings, in rows of `width` places, and how many of these are taken: each round passes on what was new in the one before."""
+    out = np.argsort(source, kind="stable")
+    to, begin = binding[out], np.concatenate([[0], np.cumsum(np.bincount(source, minlength=n))])
+    have, many, top = np.full((n, max(width, 1)), kinds, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    b, t = start, kind
+    while len(b):
+        new = ~top[b] & (have[b] != t[:, None]).all(axis=1)
+        b, t = np.divmod(np.unique(b[new] * kinds + t[new]), kinds)
+        place = many[b] + np.arange(len(b)) - np.searchsorted(b, b)
+        above = np.unique(b[(place >= width) | (t == 0)])
+        top[above] = True
+        fits = ~top[b]
+        b, t, place = b[fits], t[fits], place[fits]
+        have[b, place] = t
+        np.maximum.at(many, b, place + 1)
+        have[above], many[above] = kinds, 1
+        have[above, 0] = 0
+        b, t = np.concatenate([b, above]), np.concatenate([t, np.zeros(len(above), dtype=np.int64)])
+        outs = begin[b + 1] - begin[b]
+        each = np.repeat(np.arange(len(b)), outs)
+        step = np.arange(len(each)) - np.repeat(np.cumsum(outs) - outs, outs)
+        b, t = to[begin[b][each] + step], t[each]
+    return have, many
