@@ -25,6 +25,8 @@ DOUBLINGS = 5
 SCOPE = 200_000
 #: Rows, of whole scopes, that are worked on together.
 TOGETHER = 1 << 16
+#: Parts that scopes are dealt to when rows are counted: only where a part has over SCOPE rows are they counted by scope.
+PARTS = 1 << 16
 
 
 def chains(supers: DataFrame) -> DataFrame:
@@ -209,7 +211,7 @@ def inferred_within(facts: DataFrame, width: int = 4) -> DataFrame:
     sized = facts.withColumn("rows", F.count("*").over(Window.partitionBy("scope")))
     schema = StructType([facts.schema["scope"], facts.schema["binding"], StructField("types", ArrayType(StringType()))])
     got = sized.where(F.col("rows") <= SCOPE).drop("rows").mapInArrow(_scopes(width, TOGETHER), schema)
-    if facts.groupBy("scope").count().where(F.col("count") > SCOPE).isEmpty():
+    if not _any_over(facts, SCOPE):
         return got
     large = stored(sized.where(F.col("rows") > SCOPE).select(F.struct("scope", "binding").alias("binding"), "type", F.when(F.col("source").isNotNull(), F.struct("scope", F.col("source").alias("binding"))).alias("source")))
     none = large.select("binding", F.lit("").alias("callee"), "type").limit(0)
@@ -217,6 +219,13 @@ def inferred_within(facts: DataFrame, width: int = 4) -> DataFrame:
     return got.unionByName(rest.select("binding.scope", "binding.binding", "types"))
 
 
+def _any_over(facts: DataFrame, most: int) -> bool:
+    """Whether a scope has over `most` rows."""
+    parted = facts.select("scope", F.pmod(F.hash("scope"), F.lit(PARTS)).alias("part"))
+    full = parted.groupBy("part").count().where(F.col("count") > most).select("part")
+    return not full.isEmpty() and not parted.join(F.broadcast(full), "part").groupBy("scope").count().where(F.col("count") > most).isEmpty()
+
+
 def _scopes(width: int, together: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow over facts of which those of a scope follow each other."""
 
